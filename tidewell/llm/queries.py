@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, shards
+from . import decontam, lines, quality, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated", "n_near")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
+
+
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(_table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +39,8 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op10_histogram_sharding": op10_histogram_sharding,
 }
 
