@@ -79,6 +79,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder: partitions, and the order within them, stay as they are."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that materialize() wrote in this application."""
     jvm = spark.sparkContext._jvm

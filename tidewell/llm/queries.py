@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lm, quality, shards, simhash
+from . import decontam, lines, lm, packing, quality, shards, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _sha(c) -> F.Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = _sha(F.concat_ws(",", "items")).alias("items_sha256")
@@ -40,17 +44,29 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.suffix_sums(tokens.histogram(_table(spark, sf_dir, "documents")))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.filter_urls(_table(spark, sf_dir, "pages"), urls.literal_rules(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(_table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_url_filters": op9_url_filters,
     "op10_histogram_sharding": op10_histogram_sharding,
 }
 
