@@ -12,7 +12,6 @@ from tidewell.operators import segments as seg
 
 from .registry import SIG, query, signals
 
-S = F.col("samples")
 MEAN = "list_avg(samples)"
 FS = 64.0
 
@@ -26,7 +25,7 @@ dd AS (SELECT segment_id, list_stddev_pop(list_transform(range(1, 64), lambda i:
 --
 SELECT segment_id, mean, std, min, max, max - min AS range, median, iqr, skew, kurtosis, mad, rms, CASE WHEN abs(mean) > 1e-12 THEN std / mean END AS cv, diff_std FROM g JOIN dd USING (segment_id)""", "mean std min max range median iqr skew kurtosis mad rms diff_std", "segment_id")
 def array_raw_stats(spark, d):
-    st = seg.raw_stats(S)
+    st = seg.raw_stats(F.col("samples"))
     return signals(spark, d).select("segment_id", *[v.alias(k) for k, v in st.items() if k != "cv"])
 
 
@@ -34,7 +33,7 @@ def array_raw_stats(spark, d):
 --
 SELECT segment_id, v0 AS activity, sqrt(v1 / v0) AS mobility, sqrt(v2 / v1) / sqrt(v1 / v0) AS complexity FROM v""", "activity mobility complexity", "segment_id")
 def array_hjorth(spark, d):
-    return signals(spark, d).select("segment_id", seg.hjorth(S).alias("h")).select("segment_id", "h.*")
+    return signals(spark, d).select("segment_id", seg.hjorth(F.col("samples")).alias("h")).select("segment_id", "h.*")
 
 
 @query("array_crossings", SIG + """, t AS (SELECT segment_id, list_avg(list_transform(range(1, 64), lambda i: CASE WHEN (samples[i] < 0) <> (samples[i + 1] < 0) THEN 1e0 ELSE 0e0 END)) AS zcr,
@@ -43,22 +42,22 @@ len(list_filter(range(1, 63), lambda i: (samples[i + 1] - samples[i]) * (samples
 --
 SELECT segment_id, zcr, mcr, log10(64) / (log10(64) + log10(64 / (64 + 0.4 * turns))) AS petrosian FROM t""", "zcr mcr petrosian", "segment_id")
 def array_crossings(spark, d):
-    mcr = seg.bind(seg.mean(S), lambda m: seg.bind(F.transform(S, lambda x: x - m), seg.zero_cross_rate))
-    return signals(spark, d).select("segment_id", seg.zero_cross_rate(S).alias("zcr"), mcr.alias("mcr"), seg.petrosian(S).alias("petrosian"))
+    mcr = seg.bind(seg.mean(F.col("samples")), lambda m: seg.bind(F.transform(F.col("samples"), lambda x: x - m), seg.zero_cross_rate))
+    return signals(spark, d).select("segment_id", seg.zero_cross_rate(F.col("samples")).alias("zcr"), mcr.alias("mcr"), seg.petrosian(F.col("samples")).alias("petrosian"))
 
 
 @query("array_permutation_entropy", SIG + """, c AS (SELECT segment_id, unnest(list_transform(range(1, 63), lambda i: (samples[i] > samples[i + 1])::INT * 4 + (samples[i] > samples[i + 2])::INT * 2 + (samples[i + 1] > samples[i + 2])::INT)) AS code FROM sig), n AS (SELECT segment_id, code, count(*) / 62e0 AS p FROM c GROUP BY ALL)
 --
 SELECT segment_id, -sum(p * log2(p)) / log2(6) AS pe FROM n GROUP BY segment_id""", "pe", "segment_id")
 def array_permutation_entropy(spark, d):
-    return signals(spark, d).select("segment_id", seg.permutation_entropy3(S).alias("pe"))
+    return signals(spark, d).select("segment_id", seg.permutation_entropy3(F.col("samples")).alias("pe"))
 
 
 @query("array_resample_linear", SIG + """, t AS (SELECT segment_id, samples, k, k * 63 / 31e0 AS t FROM sig, (SELECT unnest(range(0, 32)) AS k))
 --
 SELECT segment_id, sum(k * (samples[CAST(floor(t) AS INT) + 1] + (t - floor(t)) * (samples[least(CAST(floor(t) AS INT) + 2, 64)] - samples[CAST(floor(t) AS INT) + 1]))) AS moment FROM t GROUP BY segment_id""", "moment", "segment_id")
 def array_resample_linear(spark, d):
-    r = signals(spark, d).select("segment_id", F.posexplode(seg.resample_linear(S, 32)).alias("k", "x"))
+    r = signals(spark, d).select("segment_id", F.posexplode(seg.resample_linear(F.col("samples"), 32)).alias("k", "x"))
     return r.groupBy("segment_id").agg(F.sum(F.col("k") * F.col("x")).alias("moment"))
 
 
@@ -67,18 +66,18 @@ def array_resample_linear(spark, d):
 SELECT segment_id, kept, CAST(70 AS INTEGER) AS padded, CAST(10 AS INTEGER) AS cut FROM g""", "", "segment_id kept padded cut")
 def array_strip_and_pad(spark, d):
     s = signals(spark, d).withColumn("samples", F.transform("samples", lambda x, i: F.when(i < 64 - F.col("segment_id") % 5, x)))
-    return s.select("segment_id", F.size(seg.strip_trailing(S)).alias("kept"), F.size(seg.fit_length(S, 70)).alias("padded"), F.size(seg.fit_length(S, 10)).alias("cut"))
+    return s.select("segment_id", F.size(seg.strip_trailing(F.col("samples"))).alias("kept"), F.size(seg.fit_length(F.col("samples"), 70)).alias("padded"), F.size(seg.fit_length(F.col("samples"), 10)).alias("cut"))
 
 
 @query("subwindow_means", SIG + ", w AS (SELECT segment_id, CAST(w AS INTEGER) AS win, samples[w * 21 + 1 : w * 21 + 21] AS s FROM sig, (SELECT unnest(range(0, 3)) AS w))\n--\nSELECT segment_id, win, list_avg(s) AS mean, list_stddev_pop(s) AS std FROM w", "mean std", "segment_id win")
 def subwindow_means(spark, d):
     w = seg.subwindows(signals(spark, d), "samples", 3)
-    return w.select("segment_id", F.col("window").alias("win"), seg.mean(S).alias("mean"), F.sqrt(seg.var_pop(S)).alias("std"))
+    return w.select("segment_id", F.col("window").alias("win"), seg.mean(F.col("samples")).alias("mean"), F.sqrt(seg.var_pop(F.col("samples"))).alias("std"))
 
 
 @query("subwindows_wide", SIG + "\n--\nSELECT segment_id, list_avg(samples[1:21]) AS w0_mean, list_avg(samples[22:42]) AS w1_mean, list_avg(samples[43:63]) AS w2_mean FROM sig", "w0_mean w1_mean w2_mean", "segment_id")
 def subwindows_wide(spark, d):
-    w = seg.subwindows(signals(spark, d), "samples", 3).select("segment_id", F.concat(F.lit("w"), "window").alias("w"), seg.mean(S).alias("m"))
+    w = seg.subwindows(signals(spark, d), "samples", 3).select("segment_id", F.concat(F.lit("w"), "window").alias("w"), seg.mean(F.col("samples")).alias("m"))
     return rel.widen(w, ["segment_id"], "w", ["w0", "w1", "w2"], "m", "_mean")
 
 
@@ -99,7 +98,7 @@ SELECT segment_id, CAST(k AS INTEGER) AS k, p FROM p""", "p", "segment_id k")  #
 def spectrum_dft(spark, d):
     """Of every tenth segment: the explicit transform is the check of the fast one, not the way to compute it."""
     s = signals(spark, d).filter("segment_id % 10 = 0")
-    return s.select("segment_id", F.posexplode(seg.dft_power(S, 64)).alias("k", "p"))
+    return s.select("segment_id", F.posexplode(seg.dft_power(F.col("samples"), 64)).alias("k", "p"))
 
 
 @query("psd_welch", SIG + """, c AS (SELECT segment_id, list_transform(range(0, 64), lambda i: (samples[i + 1] - list_avg(samples)) * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS x FROM sig), k AS (SELECT segment_id, k, i, x[i + 1] AS x FROM c, (SELECT unnest(range(0, 33)) AS k), (SELECT unnest(range(0, 64)) AS i)),
@@ -107,7 +106,7 @@ p AS (SELECT segment_id, k, (sum(x * cos(i * k * 2 * pi() / 64)) ** 2 + sum(x *
 --
 SELECT segment_id, CAST(k AS INTEGER) AS k, p FROM p""", "p", "segment_id k")
 def psd_welch(spark, d):
-    s = signals(spark, d).select("segment_id", seg.psd(S, FS, 64, 0).alias("s"))
+    s = signals(spark, d).select("segment_id", seg.psd(F.col("samples"), FS, 64, 0).alias("s"))
     return s.select("segment_id", F.posexplode("s.p").alias("k", "p"))
 
 
@@ -133,19 +132,19 @@ def subwindow_features(spark, d):
 @query("filtered_envelope")
 def filtered_envelope(spark, d):
     b, a = sg.butter(2, 2.0, 8.0, FS)
-    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(S, lambda x: sg.envelope(sg.filtfilt(b, a, x)))).alias("t", "x"))
+    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(F.col("samples"), lambda x: sg.envelope(sg.filtfilt(b, a, x)))).alias("t", "x"))
 
 
 @query("resample_polyphase")
 def resample_polyphase(spark, d):
-    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(S, lambda x: sg.resample_poly(x, 48))).alias("t", "x"))
+    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(F.col("samples"), lambda x: sg.resample_poly(x, 48))).alias("t", "x"))
 
 
 @query("peaks")
 def peaks(spark, d):
-    return signals(spark, d).select("segment_id", F.explode(seg.map_array(S, lambda x: sg.find_peaks(x, 4, 0.2))).alias("t"))
+    return signals(spark, d).select("segment_id", F.explode(seg.map_array(F.col("samples"), lambda x: sg.find_peaks(x, 4, 0.2))).alias("t"))
 
 
 @query("spectrogram")
 def spectrogram(spark, d):
-    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(S, lambda x: sg.spectrogram(x, FS, 32, 16).ravel())).alias("cell", "db"))
+    return signals(spark, d).select("segment_id", F.posexplode(seg.map_array(F.col("samples"), lambda x: sg.spectrogram(x, FS, 32, 16).ravel())).alias("cell", "db"))
