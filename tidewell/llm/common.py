@@ -37,10 +37,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in clash])
 
 
-def doc_columns(df: DataFrame, *names: str) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]
-
-
 def _folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it. A folder of our own only where it is unset and Spark is local."""
     conf = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, without
+from .common import lower_ascii, materialize
 from .cuckoo import CuckooFilter, buckets_for
 
 BLANK = " \t\n\x0b\x0c\r"
