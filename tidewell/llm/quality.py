@@ -189,18 +189,21 @@ def fit_mcd(vectors: DataFrame, rules: Rules) -> DataFrame:
     return materialize(_moments(near, names, factor, floors), "mcd-final")
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
+def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
+    """docs, without the text unless keep_text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     Input columns with these names are replaced. A null text has no words and fails the base rules. Null languages
     and sources form cohorts of their own. A document whose cohort has no estimate (fewer than min_cohort rows are
-    left over all) is judged by the base rules alone: distance2 is null. Rows are judged one by one, so repeated rows stay.
+    left over all) is judged by the base rules alone: distance2 is null. With keep_text the statistics are computed
+    from the texts once more at the end, which is cheaper than writing the texts. Rows are judged one by one, so repeated rows stay.
     """
     names, p = list(rules.floors), len(rules.floors)
     rows = add_base(docs, rules, text_col)
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("?"))
     rows = rows.withColumns({"__tw_lang": part(lang_col), "__tw_source": part(source_col)})
-    fitted = materialize(rows.filter("not base_failed").select("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names]), "quality-vectors")
+    # Written before anything is filtered: a filter would be pushed below the statistics and compute them again.
+    table = materialize(rows.select("base_failed", "__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names]) if keep_text else rows.drop(text_col), "quality-vectors")
+    fitted = table.filter("not base_failed").select("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names])
 
     least = rules.min_cohort
     sizes = fitted.groupBy("__tw_lang", "__tw_source").agg(F.count(F.lit(1)).alias("n"))
@@ -217,10 +220,11 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_
     params = fit_mcd(large.join(enough, "cohort", "left_semi"), rules)
 
     params = cohorts.join(params, "cohort").drop("cohort", "logdet", *[f"c_{a}" for a in names])
-    out = rows.join(params, ["__tw_lang", "__tw_source"], "left")
+    out = (rows if keep_text else table).join(params, ["__tw_lang", "__tw_source"], "left")
     out = out.withColumn("distance2", F.when(F.col("l_0_0").isNotNull(), _distance2(names, rules.floors)))
     cutoff = chi2_quantile(rules.reject_quantile, p)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
+    # One predicate over both sides of the join, for the same reason.
+    out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.coalesce("distance2", F.lit(0.0))) <= cutoff)
     return out.drop("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names], *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 

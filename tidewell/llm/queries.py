@@ -27,7 +27,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(_table(spark, sf_dir, "documents"))
+    out = quality.judge(_table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
