@@ -134,9 +134,9 @@ def _bloom(keys: DataFrame):
             at = np.concatenate(_bloom_places(b["h"].to_numpy(np.int64), b["c"].to_numpy(np.int64)))
             yield pd.DataFrame({"w": at >> 6, "m": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
-    rows = keys.select("h", "c").mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    rows = keys.select("h", "c").mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << BLOOM_BITS - 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).view(np.uint64)
+    out[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
     return out
 
 
