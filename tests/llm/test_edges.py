@@ -271,6 +271,14 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 
+def test_simhash_survivors_without_unique_ids(spark):
+    """Unlinked texts all survive, though their ids are null or equal; copies among them do not."""
+    texts = [" ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(40)) for i in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(8, texts[7]), (9, texts[7]), (None, texts[0])]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(set(rows[:8]))
+
+
 def test_simhash_links_are_complete(spark):
     import numpy as np
 

@@ -140,13 +140,13 @@ def links(fps: DataFrame, t: int = 2) -> DataFrame:
 
 
 def group(rows: DataFrame, t: int = 2) -> DataFrame:
-    """rows: doc_id, fp. Gives (fp, component_id): the least doc_id of the rows whose fingerprints are reachable by links."""
+    """rows: doc_id, fp. Gives (fp, root, component_id): the least fingerprint, and the least doc_id, of the rows whose fingerprints are reachable by links."""
     own = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     parts = min(max(8, own.count() // 20_000), 4096)
     stars = components(links(own.select("fp").repartition(parts, "fp"), t))
     joined = own.join(stars, own["fp"] == stars["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "root").select("fp", "component_id")
+    return joined.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,8 +169,8 @@ def deduplicate(docs: DataFrame, n: int = 3, t: int = 2, id_col: str = "doc_id",
     same = rows.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("m"))
     best = same.groupBy("fp").agg(F.min(F.struct("doc_id", "th", "m")).alias("s"))
     keys = materialize(group(rows, t), "components").join(best, "fp")
-    # The component's least fingerprint row: component_id may be null, so components are told apart by their own least row.
-    keep = keys.groupBy("component_id").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("__tw_id"), F.col("s.th").alias("__tw_h"), F.col("s.m").alias("__tw_m"))
+    # By root, not component_id: that is null for every component without ids, and an id repeated with unlike texts may lead two.
+    keep = keys.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("__tw_id"), F.col("s.th").alias("__tw_h"), F.col("s.m").alias("__tw_m"))
     keep = materialize(keep, "survivors")
     hit = F.col(f"`{id_col}`").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_th") == F.col("__tw_h"))
     marked = docs.withColumn("__tw_th", th)
