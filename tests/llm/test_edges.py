@@ -258,6 +258,59 @@ def test_language_model_sums_to_one(spark):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("share", [None, 1e-9])
+def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, share):
+    """Every row against plain backoff over all n-grams seen twice, over several chunks and shards."""
+    import math
+    import random
+    import zlib
+
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(120)]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
+    seqs = {i: [*t.split(), None] for i, t in docs}
+    n = [Counter(), Counter(), Counter()]
+    for i, q in seqs.items():
+        for o in range(3):
+            n[o].update([] if held[i] else [tuple(q[k : k + o + 1]) for k in range(len(q) - o)])
+    total, distinct = sum(n[0].values()), len(n[0])
+    kept = [n[0], *({g: c for g, c in m.items() if c >= 2} for m in n[1:])]
+    after = {}
+    for m in kept[1:]:
+        for g in m:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def prob(context, w):
+        if not context:
+            return (n[0][w,] + 0.1) / (total + 0.1 * (distinct + 1))
+        if n[len(context) - 1][context] < 2:
+            return prob(context[1:], w)
+        m = kept[len(context)]
+        p = lambda x: (m[*context, x] - 0.5) / n[len(context) - 1][context]
+        if (*context, w) in m:
+            return p(w)
+        ws = after.get(context, [])
+        return max(1 - sum(map(p, ws)), 1e-9) / max(1 - sum(prob(context[1:], x) for x in ws), 1e-9) * prob(context[1:], w)
+
+    options = {} if share is None else {"min_share": share}
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **options).collect()}
+    assert got.keys() == seqs.keys()
+    for i, q in seqs.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(q), sum(n[0][w,] > 0 for w in q), total)
+        assert r.base_score == pytest.approx(sum(math.log10(prob((), w)) for w in q))
+        assert r.score == pytest.approx(sum(math.log10(prob(tuple(q[max(0, k - 2) : k]), w)) for k, w in enumerate(q)))
+
+
+def test_language_model_grows_with_the_corpus(spark):
+    """A pair seen twice keeps its weight when other text makes its share small."""
+    docs = spark.createDataFrame([(1, "rare pair of words"), (2, "rare pair of words")], "doc_id long, text string")
+    more = spark.range(100, 1000).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('filler', id % 7, ' '), 3000)").alias("text"))
+    r = lm.score(docs.unionByName(more)).filter("doc_id = 2").first()
+    assert r.train_tokens > 2_000_000 and r.score > r.base_score + 9
+
+
 def test_simhash(odd, none):
     rows = odd.collect()
     out = simhash.near_duplicates(odd).collect()

@@ -1,33 +1,39 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Counts come from all training documents. A word is frequent if its share of the training tokens is at
-least min_share, and so for pairs and triples of words, so no order has more than 1 / min_share kept n-grams
-however large the corpus; the automaton is therefore small enough to broadcast, at every size alike.
-Pairs are only counted between frequent words and triples between kept pairs, which loses none.
-
-States are the empty context, the kept words and the kept pairs. An arc consumes a word along a kept
-n-gram, with the discounted log probability; the failure arc leads to the context without its first word,
-with the backoff weight that makes the probabilities of a state sum to 1. At the empty context every
-token has its add-0.1 probability, whose exact count for words that are not frequent is joined from the
-full unigram table. One left-to-right traversal carries the state and adds up log10 probabilities.
+"""Language-model scoring with backoff over all words, pairs and triples of the training documents.
+
+An n-gram is kept from LEAST occurrences upward, the same count at every size, so what is gathered grows with
+the corpus. Nothing of it reaches the driver or is broadcast. Documents are laid up in chunks of about CHUNK_BYTES
+of text. A chunk sends the distinct keys of its n-grams to shards, which are ranges of keys; a shard adds up the counts of all
+chunks and answers each with the counts of the keys it sent, in their order. With these a chunk knows the discounted
+probability of all its kept n-grams. For the backoff weights each kept n-gram is owned by one of its chunks; that
+chunk sends its probability, and that of the order below, to the shard of the context, which adds them up and answers every
+chunk that has the context. Shards grow in number, not in size, and a frequent n-gram is one row a chunk there.
+
+The score of a token depends on the two words before it: the discounted probability of the longest kept n-gram
+that ends in it, times the backoff weights of the longer contexts that are kept. At the empty context every token
+has its add-0.1 probability from its exact count. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, words
+from .common import materialize
 
 ADD, DISCOUNT = 0.1, 0.5
 WORD_BITS = 20
-FLUSH = 2_000_000
+LEAST = 2
+CHUNK_BYTES = 6_000_000
+SHARD_TOKENS = 1_000_000
+END = xxhash.xxh64_intdigest(b" ")  # no word has a blank
 
 
 def held_out(id_col: str) -> F.Column:
@@ -39,63 +45,209 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def unigrams(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c) over all documents of train, without the end token."""
-    return train.select(F.explode(words(lower_ascii(F.col(f"`{text_col}`")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the two in their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 1)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents to rows of chunks: ids, held-out marks, byte lengths, and the lower-cased texts in a row, compressed."""
+    ids, held, texts, size, kind = [], [], [], 0, None
+
+    def row():
+        n = np.array([len(t) for t in texts], np.int64)
+        tokens = sum(len(t.split()) + 1 for t, h in zip(texts, held, strict=True) if not h)
+        out = {"docs": len(ids), "train": tokens, "ids": ids, "held": held, "lengths": n.tobytes(), "texts": zlib.compress(b"".join(texts), 1)}
+        types = {"docs": pa.int64(), "train": pa.int64(), "ids": pa.list_(kind), "held": pa.list_(pa.bool_()), "lengths": pa.binary(), "texts": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([out[k]], t) for k, t in types.items()], names=list(types))
+
+    for b in batches:
+        kind = b.schema.field("doc_id").type
+        for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids.append(i)
+            held.append(h)
+            texts.append((t or "").encode().lower())
+            size += len(texts[-1]) + 8
+            if size >= CHUNK_BYTES:
+                yield row()
+                ids, held, texts, size = [], [], [], 0
+    if ids:
+        yield row()
+
+
+class _Chunk:
+    """keys[o]: sorted distinct keys of order o + 1; at[o]: each position's place there, or -1; first[o]: a position of each key."""
+
+    def __init__(self, held: list[bool], lengths: bytes, texts: bytes):
+        n, raw, hashes = np.frombuffer(lengths, np.int64), zlib.decompress(texts), _Hashes()
+        flat, sizes, a = [], [], 0
+        for k in n.tolist():
+            words = raw[a : a + k].split()
+            flat.extend(map(hashes.__getitem__, words))
+            flat.append(END)
+            sizes.append(len(words) + 1)
+            a += k
+        x = np.array(flat, np.uint64)
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        since = np.arange(len(x)) - np.repeat(self.starts, self.sizes)
+        train = ~np.repeat(np.array(held, bool), self.sizes)
+        two = np.zeros(len(x), np.uint64)
+        two[1:] = _mix(x[:-1], x[1:])
+        three = np.zeros(len(x), np.uint64)
+        three[1:] = _mix(two[:-1], two[1:])
+        self.keys, self.at, self.first, self.n = [], [], [], []
+        for o, k in enumerate((x, two, three)):
+            here = np.flatnonzero(since >= o)
+            keys, first, inv = np.unique(k[here], return_index=True, return_inverse=True)
+            at = np.full(len(x), -1, np.int64)
+            at[here] = inv
+            self.keys.append(keys)
+            self.first.append(here[first])
+            self.at.append(at)
+            self.n.append(np.bincount(inv[train[here]], minlength=len(keys)))
+
+    def read_counts(self, answers: list[dict]) -> None:
+        """Sets n to the counts in the corpus, 0 for n-grams that are not kept, and own."""
+        got = [_joined(answers, o, np.int64) for o in range(3)]
+        self.n, self.own = [g >> 1 for g in got], [(g & 1).astype(bool) for g in got]
+
+
+def _joined(answers: list[dict], order: int, kind) -> np.ndarray:
+    parts = sorted((a["shard"], a["blob"]) for a in answers if a["ord"] == order)
+    return np.frombuffer(b"".join(zlib.decompress(b) for _, b in parts), kind)
+
+
+def _slices(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, slice]]:
+    """(shard, its slice of the sorted keys), empty ones left out."""
+    edges = np.array([(k << 64) // n_shards for k in range(1, n_shards)], np.uint64)
+    cut = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        yield k, slice(cut[k], cut[k + 1])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+SENT = "ord int, shard int, chunk long, keys binary, a binary, b binary"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["ord", "shard", "chunk", "keys", "a", "b"])
+
+
+def _send_counts(n_shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            c = _Chunk(r["held"], r["lengths"], r["texts"])
+            for o in range(3):
+                yield _sent([(o, k, r["chunk"], c.keys[o][s].tobytes(), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards)])
+
+    return run
 
 
-def _ngram_counter(vocabulary, kept_pairs, order: int):
-    """Batches of texts to (k, n): kept n-gram candidates by code, counted before the shuffle."""
+def _add_counts(least: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk")
+        keys = [np.frombuffer(k, np.uint64) for k in g["keys"]]
+        n = np.concatenate([np.frombuffer(zlib.decompress(a), np.int64) for a in g["a"]])
+        _, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(inv, n).astype(np.int64)
+        distinct = int((total > 0).sum())
+        if g["ord"].iloc[0]:
+            total[total < least] = 0
+        answer = total[inv] << 1
+        answer[first] |= 1
+        ends = np.cumsum([len(k) for k in keys])
+        blobs = [_pack(a) for a in np.split(answer, ends[:-1])]
+        return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": blobs, "words": [distinct if o == 0 and i == 0 else 0 for i, o in enumerate(g["ord"])]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, pairs = vocabulary.value, kept_pairs.value if kept_pairs is not None else None
-        end = len(ids)
-        codes: list[np.ndarray] = []
-        held = 0
+    return run
 
-        def flush():
-            k, n = np.unique(np.concatenate(codes), return_counts=True)
-            codes.clear()
-            return pd.DataFrame({"k": k, "n": n})
 
-        for b in batches:
-            flat: list[int] = []
-            for text in b["text"]:
-                flat.extend([ids.get(w, -1) for w in _tokens(text)])
-                flat.append(end)
-                flat.append(-1)  # no n-gram spans two documents
-            a = np.array(flat, np.int64)
-            good = (a[:-1] >= 0) & (a[1:] >= 0)
-            code = np.where(good, a[:-1] << WORD_BITS | a[1:], -1)
-            if order == 3:
-                at = np.searchsorted(pairs, code)
-                at[at == len(pairs)] = 0
-                at = np.where((pairs[at] == code) & good, at, -1) if len(pairs) else np.full(len(code), -1)
-                both = (at[:-1] >= 0) & (at[1:] >= 0)
-                code = at[:-1][both] << WORD_BITS | a[2:][both]
-            else:
-                code = code[good]
-            if len(code):
-                codes.append(code)
-                held += len(code)
-            if held >= FLUSH:
-                yield flush()
-                held = 0
-        if codes:
-            yield flush()
+def _send_masses(n_shards: int, z: float, least: int):
+    """For every kept context of a chunk: the mass of the continuations it owns, and their mass one order lower."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            c = _Chunk(r["held"], r["lengths"], r["texts"])
+            c.read_counts(r["counts"])
+            for o in (1, 2):
+                mine = np.flatnonzero(c.own[o] & (c.n[o] > 0))
+                p = c.first[o][mine]
+                context, below = c.at[o - 1][p - 1], c.at[o - 1][p]
+                mass = (c.n[o][mine] - DISCOUNT) / c.n[o - 1][context]
+                low = (c.n[0][below] + ADD) / z if o == 1 else (c.n[1][below] - DISCOUNT) / c.n[0][c.at[0][p - 1]]
+                size = len(c.keys[o - 1])
+                mass, low = np.bincount(context, mass, size), np.bincount(context, low, size)
+                kept = c.n[o - 1] >= least
+                keys, mass, low = c.keys[o - 1][kept], mass[kept], low[kept]
+                rows = [(o - 1, k, r["chunk"], keys[s].tobytes(), _pack(mass[s]), _pack(low[s])) for k, s in _slices(keys, n_shards)]
+                if rows:
+                    yield _sent(rows)
 
     return run
 
 
-def _kept(train: DataFrame, counter, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and counts of the n-grams that are kept; at most 1 / min_share."""
-    rows = train.mapInPandas(counter, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    rows = rows.sort_values("k")
-    return rows["k"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def _add_masses(g: pd.DataFrame) -> pd.DataFrame:
+    g = g.sort_values("chunk")
+    keys = [np.frombuffer(k, np.uint64) for k in g["keys"]]
+    add = lambda c: np.bincount(inv, np.concatenate([np.frombuffer(zlib.decompress(a), np.float64) for a in g[c]]))
+    _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    backoff = np.log10(np.maximum(1 - add("a"), 1e-9) / np.maximum(1 - add("b"), 1e-9))[inv]
+    blobs = [_pack(a) for a in np.split(backoff, np.cumsum([len(k) for k in keys])[:-1])]
+    return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": blobs})
+
+
+def _scorer(z: float, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.schema.field("ids").type.value_type
+            for r in _rows(iter([b])):
+                c = _Chunk(r["held"], r["lengths"], r["texts"])
+                c.read_counts(r["counts"])
+                n1, n2, n3 = c.n
+                w, pair, triple = c.at
+                backoff = []
+                for o in (0, 1):
+                    full = np.zeros(len(c.keys[o]))
+                    full[c.n[o] >= least] = _joined(r["backoffs"] or [], o, np.float64)
+                    backoff.append(full)
+                one = np.log10((n1 + ADD) / z)[w]
+                score = one.copy()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = np.flatnonzero(pair >= 0)
+                    v, n = w[p - 1], n2[pair[p]]
+                    score[p] = np.where(n > 0, np.log10((n - DISCOUNT) / n1[v]), backoff[0][v] + one[p])
+                    p = np.flatnonzero(triple >= 0)
+                    uv, n = pair[p - 1], n3[triple[p]]
+                    score[p] = np.where(n > 0, np.log10((n - DISCOUNT) / n2[uv]), backoff[1][uv] + score[p])
+                known = np.add.reduceat((n1[w] > 0).astype(np.int64), c.starts)
+                cols = [pa.array(r["ids"], kind), pa.array(r["held"], pa.bool_()), pa.array(c.sizes), pa.array(known), pa.array(np.add.reduceat(one, c.starts)), pa.array(np.add.reduceat(score, c.starts))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 class Automaton:
-    """State 0 is the empty context, 1 + w the word w, 1 + V + p the pair p. arcs: state << WORD_BITS | word -> its place in nxt and weight."""
+    """The same model as one automaton in one process, for small corpora and as the measure of score(). State 0 is the empty context, 1 + w the word w, 1 + V + p the pair p. arcs: state << WORD_BITS | word -> its place in nxt and weight."""
 
     def __init__(self, c: np.ndarray, total: int, distinct: int, pairs, pair_n, triples, triple_n):
         size, z = len(c), total + ADD * (distinct + 1)
@@ -124,88 +276,30 @@ class Automaton:
         return np.maximum(left, 1e-9) / np.maximum(lower_left, 1e-9)
 
 
-def _scorer(model, vocabulary, end_known: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, ids = model.value, vocabulary.value
-        arcs = dict(zip(m.code.tolist(), range(len(m.code)), strict=True))
-        nxt, weight, fail, backoff, base = m.nxt.tolist(), m.weight.tolist(), m.fail.tolist(), m.backoff.tolist(), m.base.tolist()
-        end, place, row = len(ids), TaskContext.get().partitionId() << 40, 0
-        get, word_id = arcs.get, ids.get
-        for b in batches:
-            out = []
-            for doc_id, held, text in zip(b["doc_id"], b["held_out"], b["text"], strict=True):
-                tokens = _tokens(text)
-                score = plain = 0.0
-                rare: dict[bytes, int] = {}
-                s = 0
-                for t in tokens:
-                    w = word_id(t)
-                    if w is None:  # its weight at the empty context is joined later
-                        rare[t] = rare.get(t, 0) + 1
-                        while s:
-                            score += backoff[s]
-                            s = fail[s]
-                        continue
-                    plain += base[w]
-                    arc = get(s << WORD_BITS | w)
-                    while arc is None:
-                        score += backoff[s]
-                        s = fail[s]
-                        arc = get(s << WORD_BITS | w)
-                    score += weight[arc]
-                    s = nxt[arc]
-                plain += base[end]
-                arc = get(s << WORD_BITS | end)
-                while arc is None:
-                    score += backoff[s]
-                    s = fail[s]
-                    arc = get(s << WORD_BITS | end)
-                score += weight[arc]
-                known = len(tokens) + int(end_known) - sum(rare.values())
-                out.append((place + row, doc_id, held, len(tokens) + 1, known, plain, score, [{"word": k.decode(), "tf": v} for k, v in rare.items()]))
-                row += 1
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "held_out", "n_tokens", "known", "plain", "score", "rare"])
-
-    return run
-
-
-def score(docs: DataFrame, min_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, min_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Tokens: words between ASCII white space, A-Z lower-cased, then one end token; null and empty texts have the end
     token only. The model learns from the rows that are not held out. Null ids are scored like others; repeated rows
-    count, and are scored, as often as they occur. Without training rows every token is unknown.
+    count, and are scored, as often as they occur. Without training rows every token is unknown. A min_share above 0
+    also drops n-grams with a smaller share of the training tokens; by default none is dropped from LEAST upward.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    train = rows.filter("not held_out").select("text")
-    counts = materialize(unigrams(train), "unigrams")
-    n_end = train.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    total, distinct = total + n_end, distinct + (n_end > 0)
-    least = max(2, math.ceil(min_share * total))
-
-    kept = counts.filter(F.col("c") >= least).toPandas().sort_values("word")  # at most 1 / min_share
-    vocabulary = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(kept["word"])})
-    c = np.append(kept["c"].to_numpy(np.int64), n_end)
-    pairs, pair_n = _kept(train, _ngram_counter(vocabulary, None, 2), least)
-    shared_pairs = spark.sparkContext.broadcast(pairs)
-    triples, triple_n = _kept(train, _ngram_counter(vocabulary, shared_pairs, 3), least)
-    model = spark.sparkContext.broadcast(Automaton(c, total, distinct, pairs, pair_n, triples, triple_n))
-
-    schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, plain double, score double, rare array<struct<word:string,tf:long>>"
-    scored = materialize(rows.mapInPandas(_scorer(model, vocabulary, n_end > 0), schema), "scored")
-    rare = scored.select("rid", F.inline("rare"))
+    body = f"docs long, train long, ids array<{id_type}>, held array<boolean>, lengths binary, texts binary"
+    chunks = materialize(rows.mapInArrow(_chunks, body).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    least, n_shards = max(LEAST, math.ceil(min_share * total)), max(4, -(-total // SHARD_TOKENS))
+
+    answer = "chunk long, ord int, shard int, blob binary"
+    sent = chunks.select("chunk", "held", "lengths", "texts").mapInArrow(_send_counts(n_shards), SENT)
+    counts = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_counts(least), answer + ", words long"), "counts")
+    distinct = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     z = total + ADD * (distinct + 1)
-    exact = rare.join(counts.filter(F.col("c") < least), "word", "left")
-    exact = exact.groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / z)).alias("rest"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"),
-    )
-    out = scored.drop("rare").join(exact, "rid", "left")
-    rest = F.coalesce("rest", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + rest).alias("base_score"), (F.col("score") + rest).alias("score"),
-    )
+    gathered = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("ord", "shard", "blob")).alias(name))
+    counted = chunks.drop("docs", "train").join(gathered(counts, "counts"), "chunk")
+    sent = counted.mapInArrow(_send_masses(n_shards, z, least), SENT)
+    backoffs = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_masses, answer), "backoffs")
+    ready = counted.join(gathered(backoffs, "backoffs"), "chunk", "left")
+    out = ready.mapInArrow(_scorer(z, least), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
