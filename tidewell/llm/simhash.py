@@ -170,7 +170,12 @@ def deduplicate(docs: DataFrame, n: int = 3, t: int = 2, id_col: str = "doc_id",
     best = same.groupBy("fp").agg(F.min(F.struct("doc_id", "th", "m")).alias("s"))
     keys = materialize(group(rows, t), "components").join(best, "fp")
     # By root, not component_id: that is null for every component without ids, and an id repeated with unlike texts may lead two.
-    keep = keys.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("__tw_id"), F.col("s.th").alias("__tw_h"), F.col("s.m").alias("__tw_m"))
+    return keep_rows(docs, keys.groupBy("root").agg(F.min("s").alias("s")), th, id_col)
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, th: F.Column, id_col: str) -> DataFrame:
+    """One row of docs for each s (doc_id, th, m) of keep; m rows of docs have that id and text hash."""
+    keep = keep.select(F.col("s.doc_id").alias("__tw_id"), F.col("s.th").alias("__tw_h"), F.col("s.m").alias("__tw_m"))
     keep = materialize(keep, "survivors")
     hit = F.col(f"`{id_col}`").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_th") == F.col("__tw_h"))
     marked = docs.withColumn("__tw_th", th)
