@@ -20,3 +20,15 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_spectrum_of_every_segment(spark, sf):
+    """spectrum_dft is of every tenth segment; spectrum_dft_all is of all, as numpy has it."""
+    import numpy as np
+
+    got = {}
+    for r in registry.QUERIES["spectrum_dft_all"](spark, sf).collect():
+        got.setdefault(r.segment_id, {})[r.k] = r.p
+    want = {r.segment_id: np.abs(np.fft.rfft(r.samples)) ** 2 for r in registry.signals(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose([got[i][k] for k in range(33)], p, atol=1e-5) for i, p in want.items())

@@ -101,6 +101,13 @@ def spectrum_dft(spark, d):
     return s.select("segment_id", F.posexplode(seg.dft_power(F.col("samples"), 64)).alias("k", "p"))
 
 
+@query("spectrum_dft_all", SIG + """, k AS (SELECT segment_id, k, i, samples[i + 1] AS x FROM sig, (SELECT unnest(range(0, 33)) AS k), (SELECT unnest(range(0, 64)) AS i)), p AS (SELECT segment_id, k, sum(x * cos(i * k * 2 * pi() / 64)) ** 2 + sum(x * sin(i * k * 2 * pi() / 64)) ** 2 AS p FROM k GROUP BY ALL)
+--
+SELECT segment_id, CAST(k AS INTEGER) AS k, p FROM p""", "p", "segment_id k")
+def spectrum_dft_all(spark, d):
+    return signals(spark, d).select("segment_id", F.posexplode(seg.dft_power(F.col("samples"), 64)).alias("k", "p"))
+
+
 @query("psd_welch", SIG + """, c AS (SELECT segment_id, list_transform(range(0, 64), lambda i: (samples[i + 1] - list_avg(samples)) * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS x FROM sig), k AS (SELECT segment_id, k, i, x[i + 1] AS x FROM c, (SELECT unnest(range(0, 33)) AS k), (SELECT unnest(range(0, 64)) AS i)),
 p AS (SELECT segment_id, k, (sum(x * cos(i * k * 2 * pi() / 64)) ** 2 + sum(x * sin(i * k * 2 * pi() / 64)) ** 2) / (64 * 24e0) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM k GROUP BY segment_id, k)
 --
