@@ -32,3 +32,17 @@ def test_spectrum_of_every_segment(spark, sf):
     want = {r.segment_id: np.abs(np.fft.rfft(r.samples)) ** 2 for r in registry.signals(spark, sf).collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose([got[i][k] for k in range(33)], p, atol=1e-5) for i, p in want.items())
+
+
+def test_channel_z_of_every_sample(spark, sf):
+    """norm_channel_z adds up five samples of a segment; norm_channel_z_samples has all 64, as numpy has them."""
+    import numpy as np
+
+    got = {(r.segment_id, r.pos): r.z for r in registry.QUERIES["norm_channel_z_samples"](spark, sf).collect()}
+    rows = registry.signals(spark, sf).collect()
+    assert len(got) == sum(len(r.samples) for r in rows)
+    for c in {r["class"] for r in rows}:
+        x = np.array([r.samples for r in rows if r["class"] == c])
+        z = (x - x.mean()) / x.std()
+        ids = [r.segment_id for r in rows if r["class"] == c]
+        assert np.allclose([[got[i, k] for k in range(x.shape[1])] for i in ids], z, atol=2e-6)

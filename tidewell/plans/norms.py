@@ -103,6 +103,11 @@ def norm_channel_z(spark, d):
     return z.select("segment_id", F.aggregate(F.slice("samples", 1, 5), F.lit(0.0), lambda a, b: a + b).alias("head"))
 
 
+@query("norm_channel_z_samples", SIG + ", e AS (SELECT class, unnest(samples) AS x FROM sig), m AS (SELECT class, avg(x) m, stddev_pop(x) s FROM e GROUP BY class), p AS (SELECT segment_id, class, unnest(range(len(samples))) AS pos, unnest(samples) AS x FROM sig)\n--\nSELECT segment_id, CAST(pos AS INTEGER) AS pos, (x - m) / s AS z FROM p JOIN m USING (class)", "z", "segment_id pos")
+def norm_channel_z_samples(spark, d):
+    return normalize.array_z(signals(spark, d), "samples", ["class"]).select("segment_id", F.posexplode("samples").alias("pos", "z"))
+
+
 ANOVA = ", g AS (SELECT feature, class, count(*) n, avg(value) m, var_pop(value) v FROM means GROUP BY ALL), t AS (SELECT feature, count(*) k, sum(n) nn, sum(n * v) ssw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) ssb FROM g GROUP BY feature)"
 
 
