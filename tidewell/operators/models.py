@@ -129,13 +129,11 @@ class Calibrator:
 
     def apply(self, p: Column, eps: float = 1e-6) -> Column:
         if self.kind == "platt":
-            out = 1 / (1 + F.exp(-(self.a * p + self.b)))
+            out = 1 / (1 + F.exp(-(self.a * F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p)) + self.b)))
         elif self.kind == "isotonic":
-            out = F.lit(self.y[-1])
-            for i in range(len(self.x) - 1, 0, -1):
-                x0, x1, y0, y1 = self.x[i - 1], self.x[i], self.y[i - 1], self.y[i]
-                out = F.when(p <= x1, F.lit(y0) + (p - x0) * (y1 - y0) / (x1 - x0)).otherwise(out)
-            out = F.when(p <= self.x[0], F.lit(self.y[0])).otherwise(out)
+            x, y = np.array(self.x), np.array(self.y)
+            between = F.pandas_udf(lambda v: pd.Series(np.interp(v.to_numpy(float), x, y)), "double")
+            out = F.when(p.isNotNull(), between(p))
         else:
             out = p
         return F.greatest(F.lit(eps), F.least(F.lit(1 - eps), out))
@@ -156,17 +154,61 @@ def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.concatenate([np.full(int(k), a / w) for a, w, k in blocks])
 
 
-def fit_calibrator(df: DataFrame, p: str, y: str, kind: str, bins: int = 1000) -> Calibrator:
-    """From counts of p on a fine grid, so that what reaches the driver is bounded by bins."""
+def _pool(lo: np.ndarray, hi: np.ndarray, s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Pool adjacent violators over blocks in the order of p. Pooling parts of the range first gives the same."""
+    out: list[list[float]] = []
+    for row in zip(lo.tolist(), hi.tolist(), s.tolist(), n.tolist(), strict=True):
+        out.append(list(row))
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, h, a, w = out.pop()
+            out[-1][1:] = [h, out[-1][2] + a, out[-1][3] + w]
+    return pd.DataFrame(out, columns=["lo", "hi", "s", "n"], dtype=float)
+
+
+def _platt(g: DataFrame, steps: int = 50) -> tuple[float, float]:
+    """fit_logistic of the one column p, with the sums of each step by an aggregate."""
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = F.lit(float(b[0])) * F.col("p") + F.lit(float(b[1]))
+        q = 1 / (1 + F.exp(-z))
+        e, v = F.col("n") * q - F.col("s"), F.col("n") * q * (1 - q)
+        loss = F.col("n") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - F.col("s") * z
+        r = g.agg(*[F.sum(c) for c in (loss, e * F.col("p"), e, v * F.col("p") * F.col("p"), v * F.col("p"), v)]).first()
+        return 0.5 * b[0] ** 2 + r[0], np.array([b[0] + r[1], r[2]]), np.array([[1 + r[3], r[4]], [r[4], r[5]]]) + 1e-12 * np.eye(2)
+
+    b = np.zeros(2)
+    loss, grad, hess = at(b)
+    for _ in range(steps):
+        step = np.linalg.solve(hess, grad)
+        new = at(b - step)
+        while new[0] > loss and np.abs(step).max() > 1e-10:
+            step = step / 2
+            new = at(b - step)
+        b, (loss, grad, hess) = b - step, new
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(b[0]), float(b[1])
+
+
+def fit_calibrator(df: DataFrame, p: str, y: str, kind: str, eps: float = 1e-6) -> Calibrator:
+    """From the exact probabilities, clipped to eps and 1 - eps. Rows with a null are left out.
+
+    Isotonic blocks are pooled on ranges of p before they reach the driver; Platt's sums are aggregates.
+    """
     if kind == "none":
         return Calibrator("none")
-    g = df.groupBy(F.round(F.col(p) * bins).alias("g")).agg(F.avg(p).alias("p"), F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n")).orderBy("g").toPandas()
-    x, s, n = g["p"].to_numpy(), g["s"].to_numpy(), g["n"].to_numpy(float)
+    rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p))).alias("p"), F.col(y).cast("double").alias("y"))
+    g = rows.groupBy("p").agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     if kind == "platt":
-        b = fit_logistic(np.concatenate([x, x])[:, None], np.concatenate([np.ones(len(x)), np.zeros(len(x))]), np.concatenate([s, n - s]), 1.0)
-        return Calibrator("platt", float(b[0]), float(b[1]))
-    xs, ys = isotonic(np.repeat(x, n.astype(int)), np.concatenate([np.r_[np.ones(int(a)), np.zeros(int(m - a))] for a, m in zip(s, n, strict=True)]))
-    return Calibrator("isotonic", x=tuple(map(float, xs)), y=tuple(map(float, ys)))
+        g = g.persist()
+        a, b = _platt(g)
+        g.unpersist()
+        return Calibrator("platt", a, b)
+    pool = lambda batches: (_pool(t["p"].to_numpy(), t["p"].to_numpy(), t["s"].to_numpy(), t["n"].to_numpy()) for t in batches)
+    t = g.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(pool, "lo double, hi double, s double, n double").toPandas().sort_values("lo")
+    t = _pool(*(t[c].to_numpy() for c in ("lo", "hi", "s", "n")))
+    knots = [(x, s / n) for lo, hi, s, n in t.itertuples(index=False) for x in dict.fromkeys((lo, hi))]
+    return Calibrator("isotonic", x=tuple(x for x, _ in knots), y=tuple(v for _, v in knots))
 
 
 def standard_scale(df: DataFrame, columns: list[str], train: Column, robust: bool = False) -> DataFrame:

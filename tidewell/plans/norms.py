@@ -376,4 +376,4 @@ def loso_probabilities(spark, d):
 def calibrated_probabilities(spark, d):
     p = _pred(spark, d)
     out = p.select("segment_id", "y", "proba")
-    return out.select("segment_id", *[models.fit_calibrator(out, "proba", "y", k, 50).apply(F.col("proba")).alias(k) for k in ("none", "platt", "isotonic")])
+    return out.select("segment_id", *[models.fit_calibrator(out, "proba", "y", k).apply(F.col("proba")).alias(k) for k in ("none", "platt", "isotonic")])
