@@ -119,8 +119,8 @@ def psd_welch(spark, d):
 
 @query("extract_features")
 def extract_features(spark, d):
-    """Raw, time-frequency and physiological features of each signal as a BVP and a breathing recording."""
-    return seg.extract(signals(spark, d), ["segment_id"], {"bvp": "samples", "resp": "samples"}, FS)
+    """Raw, time-frequency and physiological features of each signal as a recording of each of the four channels."""
+    return seg.extract(signals(spark, d), ["segment_id"], dict.fromkeys(("bvp", "eda", "resp", "spo2"), "samples"), FS)
 
 
 @query("subwindow_features")
