@@ -156,6 +156,17 @@ def test_quality_estimate_against_numpy(spark):
     assert min(far[700:]) > quality.chi2_quantile(rules.reject_quantile, p) and np.mean(np.array(far[:700]) > quality.chi2_quantile(rules.reject_quantile, p)) < 0.01
 
 
+@pytest.mark.parametrize("others", [0, 400])
+def test_quality_of_small_cohorts(spark, others):
+    """Too few documents for an estimate of their own, alone or beside a large cohort, are judged by that of all."""
+    text = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[: 3 + (i + k) % 7] for k in range(60))
+    rows = [(i, text(i), "xx", "s") for i in range(60)] + [(100 + i, " ".join(w.upper() + "!!!###" for w in text(i).split()), "xx", "s") for i in range(5)]
+    rows += [(1000 + i, text(1000 + i), "en", "s") for i in range(others)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed or r.distance2 is None for r in out.values())
+    assert not any(out[100 + i].kept for i in range(5)) and all(out[i].kept for i in range(60))
+
+
 @pytest.mark.parametrize("limit", [5000, 0])
 def test_substrings(odd, none, limit, monkeypatch):
     monkeypatch.setattr(substring, "GRAM_CONTEXTS", limit)

@@ -193,8 +193,9 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_
     """docs, without the text unless keep_text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     Input columns with these names are replaced. A null text has no words and fails the base rules. Null languages
-    and sources form cohorts of their own. A document whose cohort has no estimate (fewer than min_cohort rows are
-    left over all) is judged by the base rules alone: distance2 is null. With keep_text the statistics are computed
+    and sources form cohorts of their own. Cohorts with fewer than
+    min_cohort rows are pooled by language, then over what is left of all; if that is still too few, they are judged by the
+    estimate of all documents that pass the base rules, however few. With keep_text the statistics are computed
     from the texts once more at the end, which is cheaper than writing the texts. Rows are judged one by one, so repeated rows stay.
     """
     names, p = list(rules.floors), len(rules.floors)
@@ -216,8 +217,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_
     )
     cohorts = materialize(cohorts, "cohorts")
     large = materialize(fitted.join(cohorts, ["__tw_lang", "__tw_source"]).drop("__tw_lang", "__tw_source"), "cohort-vectors")
-    enough = large.groupBy("cohort").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cohort")
-    params = fit_mcd(large.join(enough, "cohort", "left_semi"), rules)
+    left = large.filter("cohort = ''").limit(least).count()
+    if 0 < left < least:  # too few for an estimate of their own: all documents give it
+        large = large.filter("cohort <> ''").unionByName(fitted.drop("__tw_lang", "__tw_source").withColumn("cohort", F.lit("")))
+    params = fit_mcd(large, rules)
 
     params = cohorts.join(params, "cohort").drop("cohort", "logdet", *[f"c_{a}" for a in names])
     out = (rows if keep_text else table).join(params, ["__tw_lang", "__tw_source"], "left")
