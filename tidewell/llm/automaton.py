@@ -1,4 +1,4 @@
-"""A generalized suffix automaton over integer sequences, and matching statistics against it."""
+"""A generalized suffix automaton over sequences, and matching statistics against it."""
 
 from __future__ import annotations
 
@@ -6,43 +6,53 @@ from collections.abc import Iterator, Sequence
 
 
 class SuffixAutomaton:
+    """States carry the label of the sequence that first held their strings, if sequences come in the order of their labels."""
+
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.next: list[dict] = [{}]
+        self.link, self.length, self.first = [-1], [0], [0]
 
-    def add(self, seq: Sequence[int]) -> None:
+    def add(self, seq: Sequence, label: int = 0) -> None:
         """Add all substrings of seq."""
-        nxt, link, length = self.next, self.link, self.length
+        for _ in self.stream(seq, label, len(seq) + 1):
+            pass
+
+    def stream(self, seq: Sequence, label: int, least: int) -> Iterator[int]:
+        """Stream seq and add it where it leaves known text. Gives, for each run of least items, the label that held it first, or seq's own."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
         last = 0
-        for x in seq:
+        for i, x in enumerate(seq, 1):
             q = nxt[last].get(x)
-            if q is not None and length[q] == length[last] + 1:
-                last = q
-                continue
-            if q is None:
+            if q is not None:
+                last = q if length[q] == length[last] + 1 else self._split(last, q, x)
+            else:
                 cur = len(nxt)
                 nxt.append({})
                 length.append(length[last] + 1)
                 link.append(0)
+                first.append(label)
                 p = last
                 while p >= 0 and x not in nxt[p]:
                     nxt[p][x] = cur
                     p = link[p]
                 if p >= 0:
-                    link[cur] = self._split(p, nxt[p][x], x)
+                    q = nxt[p][x]
+                    link[cur] = q if length[q] == length[p] + 1 else self._split(p, q, x)
                 last = cur
-            else:
-                last = self._split(last, q, x)
+            if i >= least:
+                v = last
+                while length[link[v]] >= least:
+                    v = link[v]
+                yield first[v]
 
-    def _split(self, p: int, q: int, x: int) -> int:
-        """The state of p's longest string extended by x; a copy of q if q also holds longer ones."""
+    def _split(self, p: int, q: int, x) -> int:
+        """The state of p's longest string extended by x, apart from q, which also holds longer ones."""
         nxt, link, length = self.next, self.link, self.length
-        if length[q] == length[p] + 1:
-            return q
         copy = len(nxt)
         nxt.append(dict(nxt[q]))
         length.append(length[p] + 1)
         link.append(link[q])
+        self.first.append(self.first[q])
         link[q] = copy
         while p >= 0 and nxt[p].get(x) == q:
             nxt[p][x] = copy

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in clash])
 
 
+class WordHashes(dict):
+    """Words to their XXH64, kept for as long as this dict lives."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def _folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it. A folder of our own only where it is unset and Spark is local."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -90,9 +100,17 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else as it is, for a shuffled join. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted now: Spark does so when the driver's heap is next collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def broadcast_if(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and bytes; else as it is, for a shuffled join. df should be cheap to compute."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, held = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and held <= most_bytes else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

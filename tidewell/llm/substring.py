@@ -2,36 +2,43 @@
 
 A window (13 consecutive words) is repeated if its words also start in a document with a smaller
 id. Streaming every document past the automata of all documents would grow with the square of
-the corpus, so the reference is sharded by content. Every window has a minimizer, its 6-word gram
-of least hash, and equal windows have equal minimizers; a gram's context is all windows around it.
-Equal contexts are recognized by hash, and in all but the first document that holds one the whole
-context is repeated. What is left are the first holders of contexts whose gram also stands in
-others. They go, by gram, to reference shards of bounded size. In a shard a suffix automaton
-grows in the order of ids: each context is streamed for its matching statistics against those of
-smaller ids, maximal spans of at least 13 words are kept, then it is added. Grams with very many
-contexts are not sharded so; their windows are compared by hash instead, which is exact as well.
+the corpus, so reference and documents are sharded by content. The least hash among a window's
+6-word grams names its shard, so equal windows meet there. A context is a run of a document's
+windows with one least gram; documents that hold the same context are streamed as one.
+
+Grams in one document only can have no repeated window and are left out, by a Bloom filter of
+bounded size or, for more grams than that, by a join. For every other gram a suffix automaton
+grows in the order of ids. Each context is streamed through it: the state that is reached, and
+from it by suffix links the state of the last 13 words, carries the smallest id that holds them;
+where the context leaves known text it extends the automaton. So every context gets, for each of
+its windows, the first document that holds it, and loses the maximal spans of windows whose first
+document is smaller than its own. A gram with one context is an automaton without branches; its
+windows start where the context first stood. A gram with more contexts than a shard may hold is
+split by window: an automaton of one window is a path, so equality and a minimum are left of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import materialize
+from .common import WordHashes, broadcast_if, materialize
 
 GRAM = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(1 << 63)
 FLUSH = 1_000_000
-#: Contexts of one gram up to which it goes to an automaton, and contexts a shard.
+#: Contexts of one gram beyond which it is split by window, and contexts a shard.
 GRAM_CONTEXTS, SHARD_CONTEXTS = 5_000, 5_000
 BLOOM_BITS, BLOOM_HASHES = 26, 3
+BLOOM_KEYS = 1 << BLOOM_BITS - 2
+HOT_ROWS = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,29 +57,25 @@ def _slide(a: np.ndarray, n: int, f) -> np.ndarray:
     return out
 
 
-def contexts(words: list[bytes], window: int):
-    """(gram hash, context hash, start, end) of every minimizer of the words' windows, as arrays."""
+def contexts(words: list[bytes], window: int, hashes: WordHashes):
+    """(gram hash, context hash, start, end) of every run of windows with one least gram, as arrays."""
     n = len(words)
     if n < window:
         return None
-    h64 = xxhash.xxh64_intdigest
-    h = np.fromiter((h64(w) for w in words), np.uint64, n)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     grams = n - GRAM + 1
     g = np.zeros(grams, np.uint64)
     for j in range(GRAM):
         g = g * MULTIPLIER + h[j : j + grams]
-    g = _mix(g)
-    per = window - GRAM + 1
-    least = _slide(g, per, np.minimum)
-    padded = np.concatenate((np.zeros(per - 1, np.uint64), least, np.zeros(per - 1, np.uint64)))
-    at = np.flatnonzero(_slide(padded, per, np.maximum) == g)
-    a, b = np.maximum(at - (window - GRAM), 0), np.minimum(at + window, n)
-    # A polynomial of the context's words, aligned at the gram: sum of h[i] * M^(i - a), from prefix sums.
+    least = _slide(_mix(g), window - GRAM + 1, np.minimum)
+    a = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    b = np.concatenate((a[1:] - 1, [n - window])) + window
+    # A polynomial of the context's words: sum of h[i] * M^(b - i), from prefix sums.
     power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, MULTIPLIER))))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h[::-1] * power)))[::-1]  # prefix[i] = sum over k >= i of h[k] * M^(n-1-k)
     c = (prefix[a] - prefix[b]) * _inverse_powers(n)[n - b]
-    c = _mix(c ^ _mix(((at - a) << 8 | (b - a)).astype(np.uint64) + np.uint64(1)))
-    return g[at].view(np.int64), c.view(np.int64), a, b
+    c = _mix(c ^ _mix((b - a).astype(np.uint64)))
+    return least[a].view(np.int64), c.view(np.int64), a, b
 
 
 _INVERSE = {"p": np.ones(1, np.uint64)}
@@ -90,7 +93,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _count(window: int):
-    """Batches of documents to (h, c, lo, hi): contexts with their least and greatest document, combined before the shuffle."""
+    """Batches of documents to (h, lo, hi, n): grams with their least and greatest document and number of contexts, combined before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list = []
@@ -98,17 +101,18 @@ def _count(window: int):
 
         def flush():
             h, c, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((d, c, h))
+            order = np.lexsort((c, h))
             h, c, d = h[order], c[order], d[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            new = np.concatenate(([True], h[1:] != h[:-1]))
             first = np.flatnonzero(new)
-            last = np.concatenate((first[1:] - 1, [len(h) - 1]))
+            fresh = (new | np.concatenate(([True], c[1:] != c[:-1]))).astype(np.int64)
             parts.clear()
-            return pd.DataFrame({"h": h[first], "c": c[first], "lo": d[first], "hi": d[last]})
+            return pd.DataFrame({"h": h[first], "lo": np.minimum.reduceat(d, first), "hi": np.maximum.reduceat(d, first), "n": np.add.reduceat(fresh, first)})
 
         for b in batches:
+            hashes = WordHashes()
             for doc, text in zip(b["doc"].to_numpy(np.int64).tolist(), b["text"], strict=True):
-                found = contexts(_words(text), window)
+                found = contexts(_words(text), window, hashes)
                 if found is not None:
                     parts.append((found[0], found[1], np.full(len(found[0]), doc, np.int64)))
                     held += len(found[0])
@@ -121,46 +125,46 @@ def _count(window: int):
     return run
 
 
-def _bloom_places(h: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    x = _mix(h.view(np.uint64) ^ _mix(c.view(np.uint64)))
-    return [(x >> np.uint64(21 * k) & np.uint64((1 << 21) - 1)).astype(np.int64) | ((x >> np.uint64(7 * k + 3)).astype(np.int64) & (1 << BLOOM_BITS - 21) - 1) << 21 for k in range(BLOOM_HASHES)]
+def _bloom_places(h: np.ndarray) -> list[np.ndarray]:
+    x = _mix(h.view(np.uint64))
+    return [(x >> np.uint64(19 * k) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64) for k in range(BLOOM_HASHES)]
 
 
-def _bloom(keys: DataFrame):
-    """The bits of a Bloom filter of (h, c), built on the executors: at most 2 ** BLOOM_BITS bits, whatever there are of keys."""
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """The bits of a Bloom filter of h, built on the executors: at most 2 ** BLOOM_BITS bits, whatever there are of keys."""
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = np.concatenate(_bloom_places(b["h"].to_numpy(np.int64), b["c"].to_numpy(np.int64)))
+            at = np.concatenate(_bloom_places(b["h"].to_numpy(np.int64)))
             yield pd.DataFrame({"w": at >> 6, "m": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
-    rows = keys.select("h", "c").mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    rows = keys.select("h").mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << BLOOM_BITS - 6, np.uint64)
     out[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
     return out
 
 
 def _occurrences(window: int, bloom):
-    """Batches of documents to the contexts that may be in the Bloom filter, with their place and words."""
+    """Batches of documents to the contexts whose gram may be in the Bloom filter, with their places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = bloom.value if bloom is not None else None
         for b in batches:
-            out = []
+            out, hashes = [], WordHashes()
             for doc, th, text in zip(b["doc"].to_numpy(np.int64).tolist(), b["th"].to_numpy(np.int64).tolist(), b["text"], strict=True):
-                found = contexts(_words(text), window)
+                found = contexts(_words(text), window, hashes)
                 if found is None:
                     continue
                 h, c, a, e = found
                 if bits is not None:
                     hit = np.ones(len(h), bool)
-                    for at in _bloom_places(h, c):
+                    for at in _bloom_places(h):
                         hit &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                     h, c, a, e = h[hit], c[hit], a[hit], e[hit]
                 if len(h):
-                    out.append(pd.DataFrame({"h": h, "c": c, "doc": doc, "th": th, "a": a.astype(np.int32), "b": e.astype(np.int32)}))
+                    out.append((h, c, np.full(len(h), doc), np.full(len(h), th), a.astype(np.int32), e.astype(np.int32)))
             if out:
-                yield pd.concat(out)
+                yield pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("h", "c", "doc", "th", "a", "b"))})
 
     return run
 
@@ -171,57 +175,73 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, places in zip(b["text"], b["places"], strict=True):
             words = _words(text)
-            out += [(p["h"], p["lo"], p["th"], p["a"], b" ".join(words[p["a"] : p["b"]]).decode()) for p in places]
-        yield pd.DataFrame(out, columns=["h", "lo", "th", "a", "words"])
+            out += [(p["h"], p["c"], p["lo"], p["hot"], b" ".join(words[p["a"] : p["b"]]).decode()) for p in places]
+        yield pd.DataFrame(out, columns=["h", "c", "lo", "hot", "words"])
 
 
 def _match(window: int):
-    """A reference shard: (doc, th, a, b) spans of its contexts that also start in contexts of smaller ids."""
+    """A reference shard: (h, c, x, y, first), runs of windows of its contexts with the first document that holds them."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["h", "lo", "c"])
         out = []
-        for _, rows in shard.sort_values(["h", "lo", "th", "a"]).groupby("h", sort=False):
-            automaton, ids = SuffixAutomaton(), {}
-            for _, same in rows.groupby("lo", sort=True):
-                seqs = [[ids.setdefault(w, len(ids)) for w in x.split(" ")] for x in same["words"]]
-                for lo, th, a, seq in zip(same["lo"], same["th"], same["a"], seqs, strict=True):
-                    out += [(lo, th, a + x, a + y) for x, y in automaton.long_spans(seq, window)]
-                for seq in seqs:
-                    automaton.add(seq)
-        return pd.DataFrame(out, columns=["doc", "th", "a", "b"]).astype({"doc": "int64", "th": "int64", "a": "int32", "b": "int32"})
+        for h, rows in groupby(zip(shard["h"].tolist(), shard["lo"].tolist(), shard["c"].tolist(), shard["words"], strict=True), lambda r: r[0]):
+            automaton = SuffixAutomaton()
+            for _, lo, c, words in rows:
+                x, was = 0, None
+                for i, first in enumerate(automaton.stream(words.split(" "), lo, window)):
+                    if first != was:
+                        if was is not None:
+                            out.append((h, c, x, i - 1 + window, was))
+                        x, was = i, first
+                out.append((h, c, x, i + window, was))
+        return pd.DataFrame(out, columns=["h", "c", "x", "y", "first"]).astype({"x": "int32", "y": "int32"})
 
     return run
 
 
-def repeated_spans(rows: DataFrame, window: int = 13) -> DataFrame:
-    """rows: doc (long), th (long, tells texts of one id apart), text. Gives (doc, th, a, b): word spans to remove, perhaps overlapping."""
-    seen = rows.select("doc", "text").mapInPandas(_count(window), "h long, c long, lo long, hi long")
-    seen = seen.repartition("h").groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    per_gram = Window.partitionBy("h")
-    seen = seen.withColumns({"n": F.count(F.lit(1)).over(per_gram), "first": F.min("lo").over(per_gram)})
-    # Useful: contexts of several documents, and those whose gram stands in other contexts of smaller or greater ids.
-    seen = materialize(seen.filter("hi > lo or n > 1"), "contexts")
-    n_useful = seen.count()
-    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(seen)) if n_useful < 1 << BLOOM_BITS - 2 else None
+def first_holders(rows: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
+    """rows: doc (long), th (long, tells texts of one id apart), text.
+
+    Gives places (h, c, doc, th, a, b), the contexts of documents by word positions, and runs (h, c, x, y, first): words
+    x to y of a context are windows that first stand in that document.
+    """
+    seen = rows.select("doc", "text").mapInPandas(_count(window), "h long, lo long, hi long, n long")
+    seen = seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("hi > lo")
+    useful = materialize(seen.select("h", (F.col("n") > GRAM_CONTEXTS).alias("hot")), "grams")
+    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(useful)) if useful.count() <= BLOOM_KEYS else None
     places = rows.select("doc", "th", "text").mapInPandas(_occurrences(window, bloom), "h long, c long, doc long, th long, a int, b int")
-    places = materialize(places.join(seen, ["h", "c"]), "places")
-
-    whole = places.filter("doc > lo").select("doc", "th", "a", "b")
-    first = places.filter("doc = lo and n > 1")
-    own = first.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "lo", "th", "a", "b")).alias("places"))
-    cut = rows.select("doc", "th", "text").join(own, ["doc", "th"]).select("text", "places").mapInPandas(_cut, "h long, lo long, th long, a int, words string")
-    cut = cut.join(seen.select("h", "n").distinct(), "h").distinct()
-    cut = materialize(cut, "first-contexts")
-    few = cut.filter(F.col("n") <= GRAM_CONTEXTS)
+    if bloom is None:
+        places = places.join(useful, "h")
+    else:
+        places = places.join(broadcast_if(useful.filter("hot"), HOT_ROWS), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    places = materialize(places, "places")
+
+    known = places.groupBy("h", "c").agg(F.min(F.struct("doc", "th", "a", "b")).alias("at"), F.first("hot").alias("hot"))
+    known = known.select("h", "c", F.col("at.doc").alias("lo"), F.col("at.th").alias("th"), F.col("at.a").alias("a"), F.col("at.b").alias("b"), "hot")
+    cold = known.filter("not hot").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    known = materialize(cold.unionByName(known.filter("hot").withColumn("n", F.lit(2).cast("long"))), "contexts")
+    alone = known.filter("n = 1").select("h", "c", F.lit(0).alias("x"), (F.col("b") - F.col("a")).alias("y"), F.col("lo").alias("first"))
+
+    own = known.filter("n > 1").groupBy(F.col("lo").alias("doc"), "th").agg(F.collect_list(F.struct("h", "c", "lo", "a", "b", "hot")).alias("places"))
+    cut = rows.select("doc", "th", "text").join(own, ["doc", "th"]).dropDuplicates(["doc", "th"])
+    cut = materialize(cut.select("text", "places").mapInPandas(_cut, "h long, c long, lo long, hot boolean, words string"), "first-contexts")
+    few = cut.filter("not hot")
     shards = max(32, few.count() // SHARD_CONTEXTS)
     few = few.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    spans = few.select("shard", "h", "lo", "th", "a", "words").groupBy("shard").applyInPandas(_match(window), "doc long, th long, a int, b int")
+    runs = few.groupBy("shard").applyInPandas(_match(window), "h long, c long, x int, y int, first long")
 
-    w = cut.filter(F.col("n") > GRAM_CONTEXTS).withColumn("w", F.split("words", " "))
-    w = w.select("lo", "th", "a", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.unhex(F.md5(F.concat_ws(" ", F.slice("w", i + 1, window)).cast("binary"))))).alias("i", "k"))
-    least = w.groupBy("k").agg(F.min("lo").alias("least"))
-    hot = w.join(least, "k").filter("lo > least").select(F.col("lo").alias("doc"), "th", (F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("i") + window).alias("b"))
-    return whole.unionByName(spans).unionByName(hot)
+    w = cut.filter("hot").withColumn("w", F.split("words", " "))
+    w = w.select("h", "c", "lo", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.unhex(F.md5(F.concat_ws(" ", F.slice("w", i + 1, window)).cast("binary"))))).alias("x", "k"))
+    split = w.join(w.groupBy("k").agg(F.min("lo").alias("first")), "k").select("h", "c", "x", (F.col("x") + window).alias("y"), "first")
+    return places, alone.unionByName(runs).unionByName(split)
+
+
+def repeated_spans(rows: DataFrame, window: int = 13) -> DataFrame:
+    """rows: doc (long), th (long), text. Gives (doc, th, a, b): word spans to remove, perhaps overlapping."""
+    places, runs = first_holders(rows, window)
+    found = places.join(materialize(runs, "first-holders"), ["h", "c"]).filter("first < doc")
+    return found.select("doc", "th", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b"))
 
 
 def deduplicate(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +256,7 @@ def deduplicate(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc"), th.alias("th"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spans = repeated_spans(rows, window)
-    lost = spans.groupBy(F.col("doc").alias("__tw_d"), F.col("th").alias("__tw_t")).agg(F.collect_list(F.struct("a", "b")).alias("__tw_spans"))
+    lost = spans.groupBy(F.col("doc").alias("__tw_d"), F.col("th").alias("__tw_t")).agg(F.collect_set(F.struct("a", "b")).alias("__tw_spans"))
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
