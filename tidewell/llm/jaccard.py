@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize
+from .common import WordHashes, broadcast_if, materialize
 from .components import components
-from .lm import _Hashes, _mix, _tokens
+from .lm import _mix, _tokens
 from .simhash import keep_rows
 
 #: A shingle in more prefixes than this is put last, for the most frequent so many.
@@ -45,7 +45,7 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common = last.value if last is not None else np.zeros(0, np.int64)
         for texts in batches:
-            hashes, out = _Hashes(), []
+            hashes, out = WordHashes(), []
             for t in texts:
                 h = shingles(t, n, hashes)
                 sid, m = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)

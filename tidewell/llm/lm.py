@@ -5,31 +5,35 @@ the corpus. Nothing of it reaches the driver or is broadcast. Documents are laid
 of text. A chunk sends the distinct keys of its n-grams to shards, which are ranges of keys; a shard adds up the counts of all
 chunks and answers each with the counts of the keys it sent, in their order. With these a chunk knows the discounted
 probability of all its kept n-grams. For the backoff weights each kept n-gram is owned by one of its chunks; that
-chunk sends its probability, and that of the order below, to the shard of the context, which adds them up and answers every
-chunk that has the context. Shards grow in number, not in size, and a frequent n-gram is one row a chunk there.
+chunk sends its count, and that of the order below, to the shard of the context, which adds them up and answers every
+chunk that has to back off from the context. Shards grow in number, not in size, and a frequent n-gram is one row a chunk there.
 
 The score of a token depends on the two words before it: the discounted probability of the longest kept n-gram
 that ends in it, times the backoff weights of the longer contexts that are kept. At the empty context every token
-has its add-0.1 probability from its exact count. N-grams are told apart by 64-bit hashes.
+has its add-0.1 probability from its exact count. N-grams are told apart by hashes with SPARE_BITS bits more than it takes
+to number the training tokens (64 at most), so that at any size about one in a million shares its hash with another.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WordHashes, free_shuffles, materialize
 
 ADD, DISCOUNT = 0.1, 0.5
+#: Both as parts of one, so that sums of discounted counts are sums of integers.
+ADD_PARTS, DISCOUNT_PARTS = 10, 2
 WORD_BITS = 20
+SPARE_BITS = 20
 LEAST = 2
 CHUNK_BYTES = 6_000_000
 SHARD_TOKENS = 1_000_000
@@ -45,12 +49,6 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the two in their order."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
@@ -60,7 +58,24 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Integers from 0, in the narrowest type that holds them all."""
+    kind = np.min_scalar_type(int(a.max(initial=0)))
+    return kind.char.encode() + zstandard.ZstdCompressor(level=1).compress(a.astype(kind).tobytes())
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.dtype(blob[:1].decode())).astype(np.int64)
+
+
+def _pack_keys(keys: np.ndarray, low: int) -> bytes:
+    """Sorted keys from low as steps, four bytes each where that is enough."""
+    steps = np.diff(keys, prepend=np.uint64(low))
+    return steps.astype(np.uint32).tobytes() if not len(steps) or steps.max() < 1 << 32 else b"8" + steps.tobytes()
+
+
+def _unpack_keys(blob: bytes, low: int) -> np.ndarray:
+    steps = np.frombuffer(blob[1:], np.uint64) if len(blob) % 2 else np.frombuffer(blob, np.uint32).astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(low)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row():
         n = np.array([len(t) for t in texts], np.int64)
         tokens = sum(len(t.split()) + 1 for t, h in zip(texts, held, strict=True) if not h)
-        out = {"docs": len(ids), "train": tokens, "ids": ids, "held": held, "lengths": n.tobytes(), "texts": zlib.compress(b"".join(texts), 1)}
+        out = {"docs": len(ids), "train": tokens, "ids": ids, "held": held, "lengths": n.tobytes(), "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(texts))}
         types = {"docs": pa.int64(), "train": pa.int64(), "ids": pa.list_(kind), "held": pa.list_(pa.bool_()), "lengths": pa.binary(), "texts": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([out[k]], t) for k, t in types.items()], names=list(types))
 
@@ -91,8 +106,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Chunk:
     """keys[o]: sorted distinct keys of order o + 1; at[o]: each position's place there, or -1; first[o]: a position of each key."""
 
-    def __init__(self, held: list[bool], lengths: bytes, texts: bytes):
-        n, raw, hashes = np.frombuffer(lengths, np.int64), zlib.decompress(texts), _Hashes()
+    def __init__(self, held: list[bool], lengths: bytes, texts: bytes, bits: int):
+        n, raw, hashes = np.frombuffer(lengths, np.int64), zstandard.ZstdDecompressor().decompress(texts), WordHashes()
         flat, sizes, a = [], [], 0
         for k in n.tolist():
             words = raw[a : a + k].split()
@@ -112,7 +127,7 @@ class _Chunk:
         self.keys, self.at, self.first, self.n = [], [], [], []
         for o, k in enumerate((x, two, three)):
             here = np.flatnonzero(since >= o)
-            keys, first, inv = np.unique(k[here], return_index=True, return_inverse=True)
+            keys, first, inv = np.unique(k[here] >> np.uint64(64 - bits), return_index=True, return_inverse=True)
             at = np.full(len(x), -1, np.int64)
             at[here] = inv
             self.keys.append(keys)
@@ -122,18 +137,49 @@ class _Chunk:
 
     def read_counts(self, answers: list[dict]) -> None:
         """Sets n to the counts in the corpus, 0 for n-grams that are not kept, and own."""
-        got = [_joined(answers, o, np.int64) for o in range(3)]
+        got = [_joined(answers, o, "blob") for o in range(3)]
         self.n, self.own = [g >> 1 for g in got], [(g & 1).astype(bool) for g in got]
 
+    def masses(self, o: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each key of order o as a context: the discounted counts of the continuations this chunk owns, and the same one order lower."""
+        mine = np.flatnonzero(self.own[o] & (self.n[o] > 0))
+        p = self.first[o][mine]
+        context, below = self.at[o - 1][p - 1], self.at[o - 1][p]
+        low = self.n[0][below] * ADD_PARTS + 1 if o == 1 else self.n[1][below] * DISCOUNT_PARTS - 1
+        size = len(self.keys[o - 1])
+        return tuple(np.bincount(context, w, size).astype(np.int64) for w in (self.n[o][mine] * DISCOUNT_PARTS - 1, low))
+
+    def asks(self, o: int, mass: np.ndarray, least: int) -> np.ndarray:
+        """The keys of order o - 1 to send: kept contexts whose continuations this chunk owns, or from which it backs off."""
+        p = np.flatnonzero(self.at[o] >= 0)
+        p = p[self.n[o][self.at[o][p]] == 0]
+        needed = mass > 0
+        needed[self.at[o - 1][p - 1]] = True
+        return np.flatnonzero(needed & (self.n[o - 1] >= least))
+
+    def backoffs(self, o: int, answers: list[dict], z: float, least: int) -> np.ndarray:
+        """log10 of the backoff weight of each key of order o - 1 as a context; 0 for those that are not kept or not needed."""
+        at = self.asks(o, self.masses(o)[0], least)
+        a, b = _joined(answers, o - 1, "blob"), _joined(answers, o - 1, "low")
+        mass = a / (DISCOUNT_PARTS * self.n[o - 1][at])
+        low = b / (ADD_PARTS * z) if o == 1 else b / (DISCOUNT_PARTS * self.n[0][self.at[0][self.first[1][at]]])
+        out = np.zeros(len(self.keys[o - 1]))
+        out[at] = np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - low, 1e-9))
+        return out
 
-def _joined(answers: list[dict], order: int, kind) -> np.ndarray:
-    parts = sorted((a["shard"], a["blob"]) for a in answers if a["ord"] == order)
-    return np.frombuffer(b"".join(zlib.decompress(b) for _, b in parts), kind)
 
+def _joined(answers: list[dict], order: int, name: str) -> np.ndarray:
+    parts = sorted((a["shard"], a[name]) for a in answers if a["ord"] == order)
+    return np.concatenate([np.zeros(0, np.int64), *[_unpack(b) for _, b in parts]])
 
-def _slices(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, slice]]:
+
+def _edge(shard: int, n_shards: int, bits: int) -> int:
+    return (shard << bits) // n_shards
+
+
+def _slices(keys: np.ndarray, n_shards: int, bits: int) -> Iterator[tuple[int, slice]]:
     """(shard, its slice of the sorted keys), empty ones left out."""
-    edges = np.array([(k << 64) // n_shards for k in range(1, n_shards)], np.uint64)
+    edges = np.array([_edge(k, n_shards, bits) for k in range(1, n_shards)], np.uint64)
     cut = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
     for k in np.flatnonzero(np.diff(cut)).tolist():
         yield k, slice(cut[k], cut[k + 1])
@@ -153,21 +199,24 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["ord", "shard", "chunk", "keys", "a", "b"])
 
 
-def _send_counts(n_shards: int):
+def _send_counts(n_shards: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = _Chunk(r["held"], r["lengths"], r["texts"])
+            c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
             for o in range(3):
-                yield _sent([(o, k, r["chunk"], c.keys[o][s].tobytes(), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards)])
+                rows = [(o, k, r["chunk"], _pack_keys(c.keys[o][s], _edge(k, n_shards, bits)), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards, bits)]
+                if rows:
+                    yield _sent(rows)
 
     return run
 
 
-def _add_counts(least: int):
+def _add_counts(least: int, n_shards: int, bits: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk")
-        keys = [np.frombuffer(k, np.uint64) for k in g["keys"]]
-        n = np.concatenate([np.frombuffer(zlib.decompress(a), np.int64) for a in g["a"]])
+        low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
+        keys = [_unpack_keys(k, low) for k in g["keys"]]
+        n = np.concatenate([_unpack(a) for a in g["a"]])
         _, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(inv, n).astype(np.int64)
         distinct = int((total > 0).sum())
@@ -182,54 +231,47 @@ def _add_counts(least: int):
     return run
 
 
-def _send_masses(n_shards: int, z: float, least: int):
+def _send_masses(n_shards: int, bits: int, least: int):
     """For every kept context of a chunk: the mass of the continuations it owns, and their mass one order lower."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = _Chunk(r["held"], r["lengths"], r["texts"])
+            c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
             c.read_counts(r["counts"])
             for o in (1, 2):
-                mine = np.flatnonzero(c.own[o] & (c.n[o] > 0))
-                p = c.first[o][mine]
-                context, below = c.at[o - 1][p - 1], c.at[o - 1][p]
-                mass = (c.n[o][mine] - DISCOUNT) / c.n[o - 1][context]
-                low = (c.n[0][below] + ADD) / z if o == 1 else (c.n[1][below] - DISCOUNT) / c.n[0][c.at[0][p - 1]]
-                size = len(c.keys[o - 1])
-                mass, low = np.bincount(context, mass, size), np.bincount(context, low, size)
-                kept = c.n[o - 1] >= least
-                keys, mass, low = c.keys[o - 1][kept], mass[kept], low[kept]
-                rows = [(o - 1, k, r["chunk"], keys[s].tobytes(), _pack(mass[s]), _pack(low[s])) for k, s in _slices(keys, n_shards)]
+                mass, low = c.masses(o)
+                at = c.asks(o, mass, least)
+                keys, mass, low = c.keys[o - 1][at], mass[at], low[at]
+                rows = [(o - 1, k, r["chunk"], _pack_keys(keys[s], _edge(k, n_shards, bits)), _pack(mass[s]), _pack(low[s])) for k, s in _slices(keys, n_shards, bits)]
                 if rows:
                     yield _sent(rows)
 
     return run
 
 
-def _add_masses(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values("chunk")
-    keys = [np.frombuffer(k, np.uint64) for k in g["keys"]]
-    add = lambda c: np.bincount(inv, np.concatenate([np.frombuffer(zlib.decompress(a), np.float64) for a in g[c]]))
-    _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    backoff = np.log10(np.maximum(1 - add("a"), 1e-9) / np.maximum(1 - add("b"), 1e-9))[inv]
-    blobs = [_pack(a) for a in np.split(backoff, np.cumsum([len(k) for k in keys])[:-1])]
-    return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": blobs})
+def _add_masses(n_shards: int, bits: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk")
+        low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
+        keys = [_unpack_keys(k, low) for k in g["keys"]]
+        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        mass, below = ([_pack(a) for a in np.split(np.bincount(inv, np.concatenate([_unpack(x) for x in g[c]])).astype(np.int64)[inv], cuts)] for c in ("a", "b"))
+        return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": mass, "low": below})
 
+    return run
 
-def _scorer(z: float, least: int):
+
+def _scorer(z: float, bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.schema.field("ids").type.value_type
             for r in _rows(iter([b])):
-                c = _Chunk(r["held"], r["lengths"], r["texts"])
+                c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
                 c.read_counts(r["counts"])
                 n1, n2, n3 = c.n
                 w, pair, triple = c.at
-                backoff = []
-                for o in (0, 1):
-                    full = np.zeros(len(c.keys[o]))
-                    full[c.n[o] >= least] = _joined(r["backoffs"] or [], o, np.float64)
-                    backoff.append(full)
+                backoff = [c.backoffs(o, r["backoffs"] or [], z, least) for o in (1, 2)]
                 one = np.log10((n1 + ADD) / z)[w]
                 score = one.copy()
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -250,6 +292,8 @@ class Automaton:
     """The same model as one automaton in one process, for small corpora and as the measure of score(). State 0 is the empty context, 1 + w the word w, 1 + V + p the pair p. arcs: state << WORD_BITS | word -> its place in nxt and weight."""
 
     def __init__(self, c: np.ndarray, total: int, distinct: int, pairs, pair_n, triples, triple_n):
+        if len(c) > 1 << WORD_BITS or len(pairs) >= 1 << 62 - WORD_BITS:
+            raise ValueError(f"more than 2 ** {WORD_BITS} words, or too many pairs, for one automaton")
         size, z = len(c), total + ADD * (distinct + 1)
         p1 = (c + ADD) / z
         a, b = pairs >> WORD_BITS, pairs & (1 << WORD_BITS) - 1
@@ -291,15 +335,19 @@ def score(docs: DataFrame, min_share: float = 0.0, id_col: str = "doc_id", text_
     total = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     least, n_shards = max(LEAST, math.ceil(min_share * total)), max(4, -(-total // SHARD_TOKENS))
 
+    bits = min(64, max(1, total).bit_length() + SPARE_BITS)
+
     answer = "chunk long, ord int, shard int, blob binary"
-    sent = chunks.select("chunk", "held", "lengths", "texts").mapInArrow(_send_counts(n_shards), SENT)
-    counts = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_counts(least), answer + ", words long"), "counts")
+    sent = chunks.select("chunk", "held", "lengths", "texts").mapInArrow(_send_counts(n_shards, bits), SENT)
+    counts = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_counts(least, n_shards, bits), answer + ", words long"), "counts")
+    free_shuffles(docs.sparkSession)
     distinct = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     z = total + ADD * (distinct + 1)
-    gathered = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("ord", "shard", "blob")).alias(name))
-    counted = chunks.drop("docs", "train").join(gathered(counts, "counts"), "chunk")
-    sent = counted.mapInArrow(_send_masses(n_shards, z, least), SENT)
-    backoffs = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_masses, answer), "backoffs")
-    ready = counted.join(gathered(backoffs, "backoffs"), "chunk", "left")
-    out = ready.mapInArrow(_scorer(z, least), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    gathered = lambda df, name, *cols: df.groupBy("chunk").agg(F.collect_list(F.struct("ord", "shard", *cols)).alias(name))
+    counted = chunks.drop("docs", "train").join(gathered(counts, "counts", "blob"), "chunk")
+    sent = counted.mapInArrow(_send_masses(n_shards, bits, least), SENT)
+    backoffs = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_masses(n_shards, bits), answer + ", low binary"), "backoffs")
+    free_shuffles(docs.sparkSession)
+    ready = counted.join(gathered(backoffs, "backoffs", "blob", "low"), "chunk", "left")
+    out = ready.mapInArrow(_scorer(z, bits, least), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
