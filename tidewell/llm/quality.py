@@ -1,14 +1,16 @@
 """Quality rules: base rules, and robust multivariate outliers by minimum covariance determinant.
 
 Each document becomes a short vector of transformed rates. Documents that pass the base rules
-fit one estimate for each cohort, (language, source) where it has enough rows, else what is
-left of the language, else what is left of all. The start is coordinate medians and MADs;
-each concentration step takes the half of the cohort with the least Mahalanobis distances
-and estimates centre and covariance from it; a reweighting step follows. Medians and
-distance quantiles come from exact counts on a fine grid, so that every row counts, a group
-is never gathered in one task, and results do not depend on the order of rows. A document is
-rejected if its distance from its cohort's estimate is beyond the cutoff. DataFrame
-functions only; the covariance is factored by Cholesky expressions.
+fit one estimate for each language and source, one for each language, and one of all. There are
+three deterministic starts; each concentration step takes the half of the cohort with the least
+Mahalanobis distances and estimates centre and covariance from it. Steps go on until no
+determinant falls; the start with the least one wins, and a reweighting step follows. A language
+and source is judged by its own estimate, drawn to that of its language, and this to that of all,
+by a fixed number of pseudo-rows, so that few rows do not make a cohort of outliers the rule.
+Medians and distance quantiles come from exact counts on a fine grid, so that every row counts, a
+group is never gathered in one task, and results do not depend on the order of rows. A document
+is rejected if its distance from its estimate is beyond the cutoff. DataFrame functions only; the
+covariance is factored by Cholesky expressions.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, without, words
+from .common import broadcast_if, let, materialize, without, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GRID = 256  # cells a unit for medians; a distance's logarithm has GRID / 4
+BROADCAST_COHORTS = 20_000
 
 
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
-    min_cohort: int = 200
-    concentration_steps: int = 5
+    #: Rows that the estimate of the language, and that of all documents, counts for beside a cohort's own.
+    prior_rows: int = 50
+    max_steps: int = 20
     reweight_quantile: float = 0.975
     reject_quantile: float = 1 - 1e-7
     #: Least standard deviation of each statistic; a cohort of near-equal documents rejects nothing within it.
@@ -125,7 +129,7 @@ def _quantile(rows: DataFrame, keys: list[str], cell: Column, share: float) -> D
     return counts.filter(F.col("run") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("cell").alias("q"))
 
 
-def _distance2(names: list[str], floors: dict[str, float]) -> Column:
+def _distance2(names: list[str]) -> Column:
     """Squared Mahalanobis distance of the row's x from (m_*, l_*_*), l being the Cholesky factor: forward substitution by nested binding."""
     vals = F.array(*[(F.col(f"__tw_x_{a}") - F.col(f"m_{a}")) for a in names])
 
@@ -140,94 +144,146 @@ def _distance2(names: list[str], floors: dict[str, float]) -> Column:
     return let(vals, lambda d: step(0, [], d))
 
 
-def _moments(rows: DataFrame, names: list[str], factor: float, floors: dict[str, float]) -> DataFrame:
-    """(cohort, m_*, l_*_*, logdet) from all rows; covariance times factor plus the squared floors on the diagonal."""
+def _cholesky(df: DataFrame, v, names: list[str], floors: dict[str, float]) -> DataFrame:
+    """df with the covariance v(i, j) plus the squared floors on the diagonal as v_*_*, its Cholesky factor l_*_*, and logdet."""
     p = len(names)
-    x = [F.col(f"__tw_x_{a}") - F.col(f"c_{a}") for a in names]  # about the medians, so that sums of squares keep their digits
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(x[i]).alias(f"a_{i}") for i in range(p)] + [F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    aggs += [F.first(f"c_{a}").alias(f"c_{a}") for a in names]
-    out = rows.groupBy("cohort").agg(*aggs)
-    out = out.withColumns({f"m_{a}": F.col(f"c_{a}") + F.col(f"a_{i}") for i, a in enumerate(names)})
-    logdet = F.lit(0.0)
+    df = df.withColumns({f"v_{i}_{j}": v(i, j) + (floors[names[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)})
     for i in range(p):
-        level = {}
         for j in range(i + 1):
-            t = (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * factor
-            if i == j:
-                t = t + floors[names[i]] ** 2
+            t = F.col(f"v_{i}_{j}")
             for k in range(j):
-                t = t - (level[k] if k in level else F.col(f"l_{i}_{k}")) * F.col(f"l_{j}_{k}") if j < i else t - level[k] * level[k]
-            level[j] = F.sqrt(F.greatest(t, F.lit(floors[names[i]] ** 2 * 1e-3))) if i == j else t / F.col(f"l_{j}_{j}")
-            out = out.withColumn(f"l_{i}_{j}", level[j])
-            level[j] = F.col(f"l_{i}_{j}")
-        logdet = logdet + 2 * F.log(F.col(f"l_{i}_{i}"))
-    return out.select("cohort", *[f"c_{a}" for a in names], *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], logdet.alias("logdet"))
+                t = t - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(t, F.lit(floors[names[i]] ** 2 * 1e-3))) if i == j else t / F.col(f"l_{j}_{j}"))
+    return df.withColumn("logdet", sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0)))
 
 
-def fit_mcd(vectors: DataFrame, rules: Rules) -> DataFrame:
-    """vectors: cohort, __tw_x_*. Gives one row a cohort: cohort, m_*, l_*_*."""
-    names, floors = list(rules.floors), rules.floors
+def _estimate(names: list[str]) -> list[str]:
+    p = len(names)
+    pairs = [f"{i}_{j}" for i in range(p) for j in range(i + 1)]
+    return [*[f"c_{a}" for a in names], *[f"m_{a}" for a in names], *[f"v_{x}" for x in pairs], *[f"l_{x}" for x in pairs], "logdet"]
+
+
+def _moments(rows: DataFrame, keys: list[str], names: list[str], factor: float, floors: dict[str, float]) -> DataFrame:
+    """The keys with their centre and covariance from all rows; the latter times factor, plus the floors."""
+    p = len(names)
+    x = [F.col(f"__tw_x_{a}") - F.col(f"c_{a}") for a in names]  # about the medians, so that sums of squares keep their digits
+    aggs = [F.avg(x[i]).alias(f"a_{i}") for i in range(p)] + [F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    out = rows.groupBy(*keys).agg(*aggs, *[F.first(f"c_{a}").alias(f"c_{a}") for a in names])
+    out = out.withColumns({f"m_{a}": F.col(f"c_{a}") + F.col(f"a_{i}") for i, a in enumerate(names)})
+    out = _cholesky(out, lambda i, j: (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * factor, names, floors)
+    return out.select(*keys, *_estimate(names))
+
+
+def _small(params: DataFrame) -> DataFrame:
+    """Estimates for a join: broadcast if there are not too many cohorts."""
+    return broadcast_if(params, BROADCAST_COHORTS)
+
+
+def _starts(vectors: DataFrame, names: list[str], floors: dict[str, float]) -> DataFrame:
+    """(cohort, start, estimate) with medians as centres and the scales of the MADs: 0 with no correlations, 1 with those of tanh(z), 2 with those of z / |z|."""
     p = len(names)
     long = vectors.select("cohort", F.inline(F.array(*[F.struct(F.lit(a).alias("name"), F.col(f"__tw_x_{a}").alias("x")) for a in names])))
     median = materialize(_quantile(long, ["cohort", "name"], F.round(F.col("x") * GRID).cast("int"), 0.5), "mcd-median").withColumnRenamed("q", "mid")
-    spread = _quantile(long.join(median, ["cohort", "name"]), ["cohort", "name"], F.round(F.abs(F.col("x") - F.col("mid") / GRID) * GRID).cast("int"), 0.5)
-    start = median.join(spread, ["cohort", "name"]).groupBy("cohort").agg(
-        *[F.max(F.when(F.col("name") == a, F.col("mid") / GRID)).alias(f"m_{a}") for a in names],
-        *[F.sqrt(F.lit(floors[a] ** 2) + F.pow(F.max(F.when(F.col("name") == a, 1.4826 * F.col("q") / GRID)), F.lit(2))).alias(f"l_{i}_{i}") for i, a in enumerate(names)],
+    spread = _quantile(long.join(_small(median), ["cohort", "name"]), ["cohort", "name"], F.round(F.abs(F.col("x") - F.col("mid") / GRID) * GRID).cast("int"), 0.5)
+    mids = median.join(spread, ["cohort", "name"]).groupBy("cohort").agg(
+        *[F.max(F.when(F.col("name") == a, F.col("mid") / GRID)).alias(f"c_{a}") for a in names],
+        *[F.max(F.when(F.col("name") == a, 1.4826 * F.col("q") / GRID)).alias(f"d_{i}") for i, a in enumerate(names)],
     )
-    start = start.withColumns({f"l_{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)} | {f"c_{a}": F.col(f"m_{a}") for a in names})
-    params = materialize(start, "mcd-start")
-    half = chi2_quantile(0.5, p)
-    consistency = 0.5 / _chi2_cdf(half, p + 2)
+    mids = materialize(mids, "mcd-mids")
+    z = F.array(*[(F.col(f"__tw_x_{a}") - F.col(f"c_{a}")) / F.sqrt(F.col(f"d_{i}") ** 2 + floors[a] ** 2) for i, a in enumerate(names)])
+    rows = vectors.join(_small(mids), "cohort").select("cohort", z.alias("z"))
+    norm = F.greatest(F.sqrt(F.aggregate("z", F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-9))
+    rows = rows.select("cohort", F.transform("z", F.tanh).alias("z1"), F.transform("z", lambda x: x / norm).alias("z2"))
+    get = lambda c, i: F.get(F.col(c), F.lit(i))
+    aggs = [F.avg(get(c, i) * get(c, j)).alias(f"{c}_{i}_{j}") for c in ("z1", "z2") for i in range(p) for j in range(i + 1)]
+    found = mids.join(rows.groupBy("cohort").agg(*aggs), "cohort")
+
+    def correlation(i: int, j: int) -> Column:
+        if i == j:
+            return F.lit(1.0)
+        r = lambda c: F.coalesce(F.try_divide(F.col(f"{c}_{i}_{j}"), F.sqrt(F.col(f"{c}_{i}_{i}") * F.col(f"{c}_{j}_{j}"))), F.lit(0.0))
+        return F.when(F.col("start") == 1, r("z1")).when(F.col("start") == 2, r("z2")).otherwise(0.0)
+
+    found = found.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumns({f"m_{a}": F.col(f"c_{a}") for a in names})
+    found = _cholesky(found, lambda i, j: correlation(i, j) * F.col(f"d_{i}") * F.col(f"d_{j}"), names, floors)
+    return found.select("cohort", "start", *_estimate(names)).withColumn("logdet", F.lit(float("inf")))
+
+
+def fit_mcd(vectors: DataFrame, rules: Rules) -> DataFrame:
+    """vectors: cohort, __tw_x_*. Gives one row a cohort: cohort, c_*, m_*, v_*_*, l_*_*, logdet.
+
+    Concentration steps from three starts; after two of them the start with the least determinant goes on, until no
+    cohort's determinant falls further. Each cohort keeps the least determinant that it met.
+    """
+    names, floors = list(rules.floors), rules.floors
+    p = len(names)
+    params = materialize(_starts(vectors, names, floors), "mcd-starts")
+    consistency = 0.5 / _chi2_cdf(chi2_quantile(0.5, p), p + 2)
+    keys = ["cohort", "start"]
     cell = F.floor(F.log(F.col("d2") + 1e-9) * (GRID // 4)).cast("int")
-    for k in range(rules.concentration_steps):
-        near = vectors.join(params, "cohort").withColumn("d2", _distance2(names, floors)).withColumn("cell", cell)
-        limit = materialize(_quantile(near, ["cohort"], F.col("cell"), 0.5), f"mcd-half-{k}")
-        params = materialize(_moments(near.join(limit, "cohort").filter("cell <= q"), names, consistency, floors), f"mcd-{k}")
-    near = vectors.join(params, "cohort").withColumn("d2", _distance2(names, floors)).filter(F.col("d2") <= chi2_quantile(rules.reweight_quantile, p))
-    factor = rules.reweight_quantile / _chi2_cdf(chi2_quantile(rules.reweight_quantile, p), p + 2)
-    return materialize(_moments(near, names, factor, floors), "mcd-final")
+    for k in range(rules.max_steps):
+        near = vectors.join(_small(params), "cohort").withColumn("d2", _distance2(names)).withColumn("cell", cell)
+        limit = materialize(_quantile(near, keys, F.col("cell"), 0.5), f"mcd-half-{k}")
+        after = _moments(near.join(_small(limit), keys).filter("cell <= q"), keys, names, consistency, floors)
+        old = params.select(*keys, F.struct(*_estimate(names)).alias("old"))
+        both = after.select(*keys, F.struct(*_estimate(names)).alias("new")).join(old, keys)
+        falls = F.col("new.logdet") < F.col("old.logdet") - 1e-6
+        both = both.select(*keys, falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"))
+        if k == 1:
+            both = both.groupBy("cohort").agg(F.min_by(F.struct("start", "falls", "e"), F.struct("e.logdet", "start")).alias("b")).select("cohort", "b.*")
+        both = materialize(both, f"mcd-{k}")
+        params = both.select(*keys, "e.*")
+        if k and both.filter("falls").isEmpty():
+            break
+    q = rules.reweight_quantile
+    near = vectors.join(_small(params), "cohort").withColumn("d2", _distance2(names)).filter(F.col("d2") <= chi2_quantile(q, p))
+    return materialize(_moments(near, ["cohort"], names, q / _chi2_cdf(chi2_quantile(q, p), p + 2), floors), "mcd-final")
+
+
+def _shrunk(sizes: DataFrame, params: DataFrame, names: list[str], rules: Rules) -> DataFrame:
+    """(__tw_lang, __tw_source, m_*, l_*_*): the estimate of each language and source, drawn to that of the language and that to the one of all by prior_rows pseudo-rows."""
+    p = len(names)
+    values = [f"m_{a}" for a in names] + [f"v_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    level = lambda tag: params.select(F.col("cohort").alias(f"{tag}_cohort"), F.struct(*values).alias(tag))
+    out = sizes.withColumn("lang_n", F.sum("n").over(Window.partitionBy("__tw_lang")))
+    out = out.join(level("own"), F.concat_ws("\x01", "__tw_lang", "__tw_source") == F.col("own_cohort"))
+    out = out.join(level("lang"), F.col("__tw_lang") == F.col("lang_cohort")).join(level("all"), F.col("all_cohort") == "")
+
+    def mix(c: str) -> Column:
+        n, m, k = F.col("n"), F.col("lang_n"), float(rules.prior_rows)
+        parent = (m * F.col(f"lang.{c}") + k * F.col(f"all.{c}")) / (m + k)
+        return (n * F.col(f"own.{c}") + k * parent) / (n + k)
+
+    out = out.select("__tw_lang", "__tw_source", *[mix(c).alias(c) for c in values])
+    none = dict.fromkeys(names, 1e-3)  # the floors are in the estimates already
+    out = _cholesky(out.withColumnsRenamed({f"v_{i}_{j}": f"w_{i}_{j}" for i in range(p) for j in range(i + 1)}), lambda i, j: F.col(f"w_{i}_{j}"), names, none)
+    return out.select("__tw_lang", "__tw_source", *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """docs, without the text unless keep_text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     Input columns with these names are replaced. A null text has no words and fails the base rules. Null languages
-    and sources form cohorts of their own. Cohorts with fewer than
-    min_cohort rows are pooled by language, then over what is left of all; if that is still too few, they are judged by the
-    estimate of all documents that pass the base rules, however few. With keep_text the statistics are computed
-    from the texts once more at the end, which is cheaper than writing the texts. Rows are judged one by one, so repeated rows stay.
+    and sources are values of their own. Every language and source has its own estimate, whatever its size, drawn to
+    that of its language and of all documents. Rows are judged one by one, so repeated rows stay. A language and source
+    without a document that passes the base rules has no distance2.
     """
     names, p = list(rules.floors), len(rules.floors)
     rows = add_base(docs, rules, text_col)
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("?"))
     rows = rows.withColumns({"__tw_lang": part(lang_col), "__tw_source": part(source_col)})
     # Written before anything is filtered: a filter would be pushed below the statistics and compute them again.
-    table = materialize(rows.select("base_failed", "__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names]) if keep_text else rows.drop(text_col), "quality-vectors")
+    table = materialize(rows if keep_text else rows.drop(text_col), "quality-vectors")
     fitted = table.filter("not base_failed").select("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names])
+    sizes = materialize(fitted.groupBy("__tw_lang", "__tw_source").agg(F.count(F.lit(1)).alias("n")), "cohorts")
+    levels = F.array(F.concat_ws("\x01", "__tw_lang", "__tw_source"), F.col("__tw_lang"), F.lit(""))
+    vectors = materialize(fitted.withColumn("cohort", F.explode(levels)).drop("__tw_lang", "__tw_source"), "cohort-vectors")
+    params = materialize(_shrunk(sizes, fit_mcd(vectors, rules), names, rules), "quality-estimates")
 
-    least = rules.min_cohort
-    sizes = fitted.groupBy("__tw_lang", "__tw_source").agg(F.count(F.lit(1)).alias("n"))
-    rest = F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0))
-    langs = sizes.groupBy("__tw_lang").agg(rest.alias("rest"))
-    cohorts = sizes.join(langs, "__tw_lang").select(
-        "__tw_lang",
-        "__tw_source",
-        F.when(F.col("n") >= least, F.concat_ws("\x01", "__tw_lang", "__tw_source")).when(F.col("rest") >= least, F.col("__tw_lang")).otherwise(F.lit("")).alias("cohort"),
-    )
-    cohorts = materialize(cohorts, "cohorts")
-    large = materialize(fitted.join(cohorts, ["__tw_lang", "__tw_source"]).drop("__tw_lang", "__tw_source"), "cohort-vectors")
-    left = large.filter("cohort = ''").limit(least).count()
-    if 0 < left < least:  # too few for an estimate of their own: all documents give it
-        large = large.filter("cohort <> ''").unionByName(fitted.drop("__tw_lang", "__tw_source").withColumn("cohort", F.lit("")))
-    params = fit_mcd(large, rules)
-
-    params = cohorts.join(params, "cohort").drop("cohort", "logdet", *[f"c_{a}" for a in names])
-    out = (rows if keep_text else table).join(params, ["__tw_lang", "__tw_source"], "left")
-    out = out.withColumn("distance2", F.when(F.col("l_0_0").isNotNull(), _distance2(names, rules.floors)))
+    out = table.join(_small(params), ["__tw_lang", "__tw_source"], "left")
+    out = out.withColumn("distance2", F.when(F.col("l_0_0").isNotNull(), _distance2(names)))
     cutoff = chi2_quantile(rules.reject_quantile, p)
-    # One predicate over both sides of the join, for the same reason.
-    out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.coalesce("distance2", F.lit(0.0))) <= cutoff)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
     return out.drop("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names], *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
