@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import plain
 import pytest
+from plain import base_stats
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, lines, lm, packing, quality, shards, simhash, substring, tokens, urls
@@ -93,19 +95,6 @@ def test_proximity(spark):
     assert got == {1: (5, 0), 2: (0, 1), 3: (0, 0), 4: (0, 1), 5: (0, 0)}
 
 
-def base_stats(t):
-    t = t or ""
-    w = [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in t).split(" ") if x]
-    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    cover = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
-    seen, dup = set(), 0
-    for x in t.split("\n"):
-        if x.strip(" \t\n\x0b\x0c\r"):
-            dup += x in seen
-            seen.add(x)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
-
-
 def test_quality(spark, odd, none, sf):
     out = quality.judge(odd).collect()
     assert len(out) == len(ODD)
@@ -115,7 +104,7 @@ def test_quality(spark, odd, none, sf):
     for r in out:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in texts[r.doc_id]
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
-        assert r.kept == (not r.base_failed)  # too few rows for an estimate
+        assert not (r.kept and r.base_failed)
     assert quality.judge(none).count() == 0
     assert quality.keep_good(odd).columns == odd.columns
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 150")
@@ -135,24 +124,13 @@ def test_quality_estimate_against_numpy(spark):
     df = spark.createDataFrame([("c", *map(float, r)) for r in x], "cohort string, " + ", ".join(f"__tw_x_{n} double" for n in names))
     rules = quality.Rules()
     fit = quality.fit_mcd(df, rules).first()
-    floors = np.array(list(rules.floors.values()))
-    med = np.array([np.sort(np.round(x[:, i] * quality.GRID))[len(x) // 2 - 1] / quality.GRID for i in range(p)])
-    mad = np.array([np.sort(np.round(np.abs(x[:, i] - med[i]) * quality.GRID))[len(x) // 2 - 1] / quality.GRID for i in range(p)])
-    m, cov = med, np.diag(floors**2 + (1.4826 * mad) ** 2)
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    half = quality.chi2_quantile(0.5, p)
-    for _ in range(rules.concentration_steps):
-        cell = np.floor(np.log(d2() + 1e-9) * (quality.GRID // 4))
-        near = x[cell <= np.sort(cell)[len(x) // 2 - 1]]
-        m, cov = near.mean(0), np.cov(near.T, bias=True) * 0.5 / quality._chi2_cdf(half, p + 2) + np.diag(floors**2)
-    near = x[d2() <= quality.chi2_quantile(0.975, p)]
-    m, cov = near.mean(0), np.cov(near.T, bias=True) * 0.975 / quality._chi2_cdf(quality.chi2_quantile(0.975, p), p + 2) + np.diag(floors**2)
+    m, cov = plain.mcd(x, rules)
     chol = np.linalg.cholesky(cov)
     assert np.allclose([fit[f"m_{n}"] for n in names], m)
     assert np.allclose([fit[f"l_{i}_{j}"] for i in range(p) for j in range(i + 1)], [chol[i, j] for i in range(p) for j in range(i + 1)])
     out = df.withColumns({f"m_{n}": F.lit(fit[f"m_{n}"]) for n in names} | {f"l_{i}_{j}": F.lit(fit[f"l_{i}_{j}"]) for i in range(p) for j in range(i + 1)})
-    far = [r[0] for r in out.select(quality._distance2(names, rules.floors)).collect()]
-    assert np.allclose(far, d2())
+    far = [r[0] for r in out.select(quality._distance2(names)).collect()]
+    assert np.allclose(far, plain.far(x, m, cov))
     assert min(far[700:]) > quality.chi2_quantile(rules.reject_quantile, p) and np.mean(np.array(far[:700]) > quality.chi2_quantile(rules.reject_quantile, p)) < 0.01
 
 
@@ -167,9 +145,11 @@ def test_quality_of_small_cohorts(spark, others):
     assert not any(out[100 + i].kept for i in range(5)) and all(out[i].kept for i in range(60))
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_substrings(odd, none, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "keys"), [(5000, 1 << 24), (5000, -1), (0, 1 << 24), (0, -1)])
+def test_substrings(odd, none, limit, keys, monkeypatch):
+    """By automata and by windows, with the Bloom filter and with the join."""
     monkeypatch.setattr(substring, "GRAM_CONTEXTS", limit)
+    monkeypatch.setattr(substring, "BLOOM_KEYS", keys)
     out = substring.deduplicate(odd)
     rows = sorted(((-1 if r.doc_id is None else r.doc_id), words(r.text)) for r in odd.collect())
     first = {}
@@ -185,6 +165,49 @@ def test_substrings(odd, none, limit, monkeypatch):
     assert substring.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [5000, 3])
+def test_substrings_of_few_words(spark, limit, monkeypatch):
+    """Random texts over two words, where every window has many places, with passages that start and end anywhere."""
+    import random
+
+    monkeypatch.setattr(substring, "GRAM_CONTEXTS", limit)
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(60)]
+    passage = [f"p{k}" for k in range(40)]
+    for i in range(60, 140):
+        a = rng.randrange(30)
+        docs.append((i, " ".join([f"x{i}"] * rng.randrange(5) + passage[a : a + rng.randrange(5, 40)] + [f"y{i}"] * rng.randrange(3))))
+    first, want = {}, {}
+    for i, t in docs:
+        for k in range(len(t.split()) - 12):
+            first.setdefault(tuple(t.split()[k : k + 13]), i)
+    for i, t in docs:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    got = {r.doc_id: r.text for r in substring.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_automaton():
+    """Matching statistics, and the first holder of every run, against the strings themselves."""
+    import random
+
+    from tidewell.llm.automaton import SuffixAutomaton
+
+    rng = random.Random(1)
+    for _ in range(200):
+        seqs = [[rng.choice("abc") for _ in range(rng.randrange(1, 14))] for _ in range(5)]
+        automaton, held = SuffixAutomaton(), []
+        for label, q in enumerate(seqs):
+            held.append({tuple(q[i:j]) for i in range(len(q)) for j in range(i, len(q) + 1)})
+            want = [next(d for d, h in enumerate(held) if tuple(q[i : i + 3]) in h) for i in range(len(q) - 2)]
+            assert list(automaton.stream(q, label, 3)) == want
+        probe = [rng.choice("abcd") for _ in range(20)]
+        every = set().union(*held)
+        assert list(automaton.matching_statistics(probe)) == [max(n for n in range(i + 2) if tuple(probe[i + 1 - n : i + 1]) in every) for i in range(20)]
+
+
 def key(x):
     return x.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
 
@@ -215,6 +238,49 @@ def test_lines_are_reversible(spark):
     assert hashed(lines.clean(lines.delete(state, docs.select("doc_id")), docs)) == hashed(docs)
 
 
+def test_line_ends_of_other_kinds(spark):
+    """Only \n ends a line, and only ASCII white space is stripped: a line may end in other terminators after spaces."""
+    line = "a line that many documents hold"
+    docs = [(i, f"{line} \t{end}\n{line}{end} \nown {i}") for i in range(4) for end in ["\x85\u2028\u2029\r"[i]]]
+    docs += [(10 + i, f"{line}  \x85\nown {i}") for i in range(4)]
+    want = plain.lines(dict(docs))
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and sum(got[i] != t for i, t in docs) == 3
+
+
+def test_lines_grow_in_small_shards(spark):
+    """A filter that finds no place for a key below its load limit is built anew from the exact table."""
+    state = lines.empty_state(spark, n_shards=1, min_docs=1)
+    texts = [f"distinct line number 37 {i} of this corpus" for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    state = lines.insert(state, docs.filter("doc_id < 4"))
+    state = lines.insert(state, docs.filter("doc_id >= 4"))
+    again = spark.createDataFrame([(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    state = lines.insert(state, again)
+    assert {r.text for r in lines.clean(state, docs).collect()} == {""}
+    assert sorted(r.text for r in lines.clean(state, again).collect()) == sorted(texts)
+
+
+def test_full_cuckoo_filter_stays_as_it_was():
+    import numpy as np
+
+    from tidewell.llm.cuckoo import CuckooFilter
+
+    rng = np.random.default_rng(2)
+    refused = 0
+    for _ in range(300):
+        f, held = CuckooFilter(np.zeros((2, 4), np.uint16)), []
+        for h in rng.integers(0, 1 << 63, 8, dtype=np.uint64).tolist():
+            before = f.table.copy()
+            if f.insert(h):
+                held.append(h)
+            else:
+                refused += 1
+                assert (f.table == before).all()
+        assert f.contains(np.array(held, np.uint64)).all()
+    assert refused
+
+
 def test_cuckoo_filter():
     import numpy as np
 
@@ -281,35 +347,13 @@ def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, share):
     docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(120)]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
     seqs = {i: [*t.split(), None] for i, t in docs}
-    n = [Counter(), Counter(), Counter()]
-    for i, q in seqs.items():
-        for o in range(3):
-            n[o].update([] if held[i] else [tuple(q[k : k + o + 1]) for k in range(len(q) - o)])
-    total, distinct = sum(n[0].values()), len(n[0])
-    kept = [n[0], *({g: c for g, c in m.items() if c >= 2} for m in n[1:])]
-    after = {}
-    for m in kept[1:]:
-        for g in m:
-            after.setdefault(g[:-1], []).append(g[-1])
-
-    def prob(context, w):
-        if not context:
-            return (n[0][w,] + 0.1) / (total + 0.1 * (distinct + 1))
-        if n[len(context) - 1][context] < 2:
-            return prob(context[1:], w)
-        m = kept[len(context)]
-        p = lambda x: (m[*context, x] - 0.5) / n[len(context) - 1][context]
-        if (*context, w) in m:
-            return p(w)
-        ws = after.get(context, [])
-        return max(1 - sum(map(p, ws)), 1e-9) / max(1 - sum(prob(context[1:], x) for x in ws), 1e-9) * prob(context[1:], w)
-
+    prob, words, total = plain.language_model(seqs, held)
     options = {} if share is None else {"min_share": share}
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **options).collect()}
     assert got.keys() == seqs.keys()
     for i, q in seqs.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(q), sum(n[0][w,] > 0 for w in q), total)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(q), sum(words[w,] > 0 for w in q), total)
         assert r.base_score == pytest.approx(sum(math.log10(prob((), w)) for w in q))
         assert r.score == pytest.approx(sum(math.log10(prob(tuple(q[max(0, k - 2) : k]), w)) for k, w in enumerate(q)))
 
@@ -382,6 +426,31 @@ def test_token_counts(odd, none):
     assert tokens.suffix_sums(tokens.histogram(none)).count() == 0
 
 
+def test_token_counts_of_long_white_space(spark):
+    """Runs too long for the tokenizer's pattern are cut where it cuts them itself."""
+    path = tokens.default_vocabulary()
+    encode = tokens.encoder(path).encode_ordinary
+    for blank in (" ", "\t", "\n", "\r\n", " \u2003\n", "\x85", "\u3000"):
+        for text in ("a{}b", "{}", "{}b", "a{}", "a{}'s {}1{}!", "{}\x1cx", "é{} {}é"):
+            text = text.replace("{}", blank * 12_000)
+            assert tokens.encoded_length(text, path) == len(encode(text))
+    huge = [(1, "a" + " " * 1_000_000 + "b"), (2, "\t" * 1_000_000), (3, "x" + "\n" * 1_000_000), (4, "y" * 2_000_000), (5, " y" * 1_500_000)]
+    docs = spark.createDataFrame(huge, "doc_id long, text string")
+    out = {r.doc_id: r.n_tokens for r in tokens.add_length(docs).collect()}
+    assert out[1] == 1_000_001 and out[4] == len(encode(huge[3][1])) and out[5] == 1_500_000
+    assert sum(r.n_docs for r in tokens.histogram(docs).collect()) == 5
+    packed = Counter()
+    for r in packing.pack(docs).collect():
+        packed[r.doc_id] += r.n_tokens
+    assert packed == {d: n + 1 for d, n in out.items()}
+
+
+def test_packing_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three")] * 3000 + [(1, "one two three")] * 500, "doc_id long, text string")
+    out = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in out) == {None: 3000, 1: 500} and len({(r.bin_id, r.bin_offset) for r in out}) == 3500
+
+
 def test_urls(spark):
     odd = ["http://a.EXAMPLE.com/en/7?x", "http://com/en/8#q/", "http://xcom/en/", "://", None, "x", "http://a.net?q=1://b", "HTTP://Net/de/", "http://com/en/", "http://a..com/en/x", "http://b.example.net/de/80"] * 2
     pages = spark.createDataFrame([(i, u, 1, "p") for i, u in enumerate(odd)] + [(None, odd[0], 1, "p")], "page_id long, url string, host int, Path string")
@@ -406,3 +475,13 @@ def test_shards(spark, odd, none):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text for a third of all").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     size = {r.shard: r.b for r in shards.shard(hot).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     assert len(size) == 8 and max(size.values()) - min(size.values()) <= 0.003 * sum(size.values())
+    same = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), (F.col("id") % 2).alias("part"))
+    for docs in (same, same.withColumn("doc_id", F.lit(None).cast("long")).unionByName(hot.withColumn("part", F.lit(5).cast("long")))):
+        out = shards.shard(docs).collect()
+        sizes, rows = Counter(), Counter()
+        for r in out:
+            sizes[r.shard] += r["size"]
+            rows[r.shard] += 1
+        assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 0.003 * sum(sizes.values())
+        assert all(sorted(r.slot for r in out if r.shard == k) == list(range(n)) for k, n in rows.items())
+        assert Counter(r.part for r in out) == Counter(r.part for r in docs.collect())

@@ -3,95 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
-import numpy as np
-from test_edges import base_stats
+import plain
 
 import corpus_pipeline
-from tidewell.llm import packing, quality, simhash, tokens
-
-
-def plain_quality(docs):
-    rules = quality.Rules()
-    floors = np.array(list(rules.floors.values()))
-    p, vec, ok = len(floors), {}, []
-    for d, (text, lang, source) in docs.items():
-        n, chars, sym, dup, rep = base_stats(text)
-        if n < 10 or 100 * rep > 20 * n:
-            continue
-        ok.append(d)
-        up, ex = sum(c.isascii() and c.isupper() for c in text), text.count("!")
-        vec[d] = [math.log1p(20 * sym / (n + 50)), math.log((chars + 250) / (n + 50)), math.log1p(20 * rep / (n + 50)), math.log1p(10 * dup / (text.count("\n") + 11)), math.log((up + 4) / (chars + 100)), math.log1p(20 * ex / (n + 50))]
-    fine = Counter(docs[d][1:] for d in ok)
-    rest = Counter()
-    for (lang, _), n in fine.items():
-        rest[lang] += n if n < rules.min_cohort else 0
-    groups = {}
-    for d in ok:
-        key = docs[d][1:]
-        groups.setdefault(key if fine[key] >= rules.min_cohort else key[0] if rest[key[0]] >= rules.min_cohort else "", []).append(d)
-    kept = set()
-    for members in groups.values():
-        if len(members) < rules.min_cohort:
-            kept |= set(members)
-            continue
-        x = np.array([vec[d] for d in members])
-        at = math.ceil(len(x) * 0.5) - 1
-        rnd = lambda v: np.floor(v * quality.GRID + 0.5) if (v >= 0).all() else np.sign(v) * np.floor(np.abs(v) * quality.GRID + 0.5)
-        med = np.array([np.sort(rnd(x[:, i]))[at] / quality.GRID for i in range(p)])
-        mad = np.array([np.sort(rnd(np.abs(x[:, i] - med[i])))[at] / quality.GRID for i in range(p)])
-        m, cov = med, np.diag(floors**2 + (1.4826 * mad) ** 2)
-        d2 = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        for _ in range(rules.concentration_steps):
-            cell = np.floor(np.log(d2() + 1e-9) * (quality.GRID // 4))
-            near = x[cell <= np.sort(cell)[at]]
-            m, cov = near.mean(0), np.cov(near.T, bias=True) * 0.5 / quality._chi2_cdf(quality.chi2_quantile(0.5, p), p + 2) + np.diag(floors**2)
-        q = rules.reweight_quantile
-        near = x[d2() <= quality.chi2_quantile(q, p)]
-        m, cov = near.mean(0), np.cov(near.T, bias=True) * q / quality._chi2_cdf(quality.chi2_quantile(q, p), p + 2) + np.diag(floors**2)
-        kept |= {d for d, v in zip(members, d2(), strict=True) if v <= quality.chi2_quantile(rules.reject_quantile, p)}
-    return {d: docs[d][0] for d in kept}
-
-
-def plain_lines(texts):
-    key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
-    held = {}
-    for d, t in texts.items():
-        for k in {key(x) for x in t.split("\n")}:
-            held.setdefault(k, []).append(d)
-    gone = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
-    return {d: "\n".join(x for x in t.split("\n") if gone.get(key(x), d) == d) for d, t in texts.items()}
-
-
-def plain_near(texts):
-    fps = {}
-    for d in sorted(texts):
-        fps.setdefault(simhash.fingerprint(texts[d]), []).append(d)
-    keys = sorted(fps)
-    root = {f: f for f in keys}
-
-    def find(f):
-        while root[f] != f:
-            f = root[f]
-        return f
-
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if (a ^ b).bit_count() <= 2:
-                root[find(a)] = find(b)
-    least = {}
-    for f, ds in fps.items():
-        least[find(f)] = min(least.get(find(f), 1 << 60), ds[0])
-    return {d: texts[d] for d in least.values()}
-
-
-def plain_clean(texts, items):
-    word = lambda t: [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())]
-    grams = {tuple(w[k : k + 10]) for w in map(word, items) if w for k in range(max(1, len(w) - 9))}
-    sizes = {len(g) for g in grams}
-    return {d: t for d, t in texts.items() for w in [word(t)] if not any(tuple(w[k : k + n]) in grams for n in sizes for k in range(len(w) - n + 1))}
+from tidewell.llm import packing, tokens
 
 
 def test_stages(spark, sf):
@@ -99,8 +16,8 @@ def test_stages(spark, sf):
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
     now, want = spark.read.parquet(f"{sf}/documents.parquet"), None
-    plain = [lambda _: plain_quality(docs), plain_lines, plain_near, lambda t: plain_clean(t, items)]
-    for (name, stage), f in zip(corpus_pipeline.STAGES, plain, strict=False):
+    stages = [lambda _: {d: docs[d][0] for d in plain.keeps(docs)}, plain.lines, plain.near, lambda t: plain.clean(t, items)]
+    for (name, stage), f in zip(corpus_pipeline.STAGES, stages, strict=False):
         now = corpus_pipeline.materialize(stage(spark, now, sf), "test")
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         want = f(want)

@@ -45,7 +45,7 @@ class CuckooFilter:
         return (self.table[a] == fp[:, None]).any(1) | (self.table[b] == fp[:, None]).any(1)
 
     def insert(self, h: int) -> bool:
-        """False if no place was found; the filter is then to be built anew, larger."""
+        """False if no place was found: the filter is as before, and is to be built anew."""
         fps, firsts, seconds = self._places(np.array([h], np.uint64))
         fp, at, mask = int(fps[0]), int(firsts[0]), int(self.mask)
         for place in (at, int(seconds[0])):
@@ -53,14 +53,18 @@ class CuckooFilter:
             if len(free):
                 self.table[place, free[0]] = fp
                 return True
+        moved = []
         for kick in range(MAX_KICKS):
             slot = (fp + kick) % SLOTS
+            moved.append((at, slot, int(self.table[at, slot])))
             fp, self.table[at, slot] = int(self.table[at, slot]), fp
             at ^= fp * 0x5BD1E995 & mask
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
                 self.table[at, free[0]] = fp
                 return True
+        for at, slot, held in reversed(moved):
+            self.table[at, slot] = held
         return False
 
     def delete(self, h: int) -> bool:

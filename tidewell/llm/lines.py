@@ -26,7 +26,7 @@ from .cuckoo import CuckooFilter, buckets_for
 
 BLANK = " \t\n\x0b\x0c\r"
 CHANGES = "shard int, h long, add boolean, fresh boolean"
-FILTERS = "shard int, buckets int, cells binary"
+FILTERS = "shard int, buckets int, cells binary, full boolean"
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class LineState:
 
 
 def line_key(line: Column) -> Column:
-    return lower_ascii(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return lower_ascii(F.regexp_replace(line, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
 
 
 def _key(line: Column) -> Column:
@@ -73,10 +73,10 @@ def _dense(counts: DataFrame, state: LineState) -> DataFrame:
 
 
 def _turn(key, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    """A shard's new filter. fresh: the changes hold all its keys, and the old filter is put aside."""
-    shard = int(key[0])
+    """A shard's new filter. fresh: the changes hold all its keys, and the old filter is put aside. full: it must be built anew."""
+    shard, full = int(key[0]), False
     if len(changes) == 0:
-        return filters[["shard", "buckets", "cells"]]
+        return filters[["shard", "buckets", "cells", "full"]]
     add = changes[changes["add"]].h.to_numpy(np.int64).view(np.uint64)
     if changes.fresh.any() or len(filters) == 0:
         f = CuckooFilter.build(np.sort(add))
@@ -85,13 +85,12 @@ def _turn(key, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         for h in np.sort(changes[~changes["add"]].h.to_numpy(np.int64).view(np.uint64)).tolist():
             f.delete(h)
         for h in np.sort(add).tolist():
-            if not f.insert(h):
-                raise RuntimeError("a cuckoo filter below its load limit is full")
-    return pd.DataFrame({"shard": [shard], "buckets": [len(f.table)], "cells": [f.table.tobytes()]})
+            full = full or not f.insert(h)
+    return pd.DataFrame({"shard": [shard], "buckets": [len(f.table)], "cells": [f.table.tobytes()], "full": [full]})
 
 
 def _refilter(state: LineState, before: DataFrame | None, after: DataFrame) -> DataFrame:
-    """Filters for the counts after; only shards with changes are touched, and only shards whose size class changes are rebuilt."""
+    """Filters for the counts after; only shards with changes are touched, and only shards that outgrow or far underfill their filter are rebuilt."""
     new = _dense(after, state)
     if before is None:
         changes = new.select("shard", "h", F.lit(True).alias("add"), F.lit(True).alias("fresh"))
@@ -99,14 +98,21 @@ def _refilter(state: LineState, before: DataFrame | None, after: DataFrame) -> D
         old = _dense(before, state)
         size = F.udf(lambda n: buckets_for(n or 0), "int")
         need = new.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).join(state.filters.select("shard", "buckets"), "shard", "full")
-        rebuilt = need.select("shard", (F.coalesce(size("n"), F.lit(1)) != F.coalesce("buckets", F.lit(-1))).alias("fresh"))
+        rebuilt = need.select("shard", ((F.coalesce(size("n"), F.lit(1)) > F.coalesce("buckets", F.lit(0))) | (F.coalesce(size("n"), F.lit(1)) * 2 < F.col("buckets"))).alias("fresh"))
         plus = new.join(old.select("key"), "key", "left_anti").withColumn("add", F.lit(True))
         minus = old.join(new.select("key"), "key", "left_anti").withColumn("add", F.lit(False))
         touched = plus.union(minus).join(rebuilt, "shard").filter("not fresh")
         whole = new.withColumn("add", F.lit(True)).join(rebuilt, "shard").filter("fresh")
         emptied = rebuilt.filter("fresh").join(new.select("shard").distinct(), "shard", "left_anti").select("shard", F.lit(0).cast("long").alias("h"), F.lit(False).alias("add"), "fresh")
         changes = touched.unionByName(whole).select("shard", "h", "add", "fresh").unionByName(emptied)
-    return state.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_turn, FILTERS)
+    turned = lambda filters, changes: materialize(filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_turn, FILTERS), "line-filters")
+    filters = turned(state.filters, changes)
+    full = filters.filter("full").select("shard")
+    if full.isEmpty():
+        return filters
+    # A key found no place below the load limit: these shards are built anew from the exact table, larger if need be.
+    again = new.join(full, "shard", "left_semi").select("shard", "h", F.lit(True).alias("add"), F.lit(True).alias("fresh"))
+    return turned(filters, again)
 
 
 def empty_state(spark: SparkSession, id_type: str = "long", n_shards: int = 16, min_docs: int = 3, min_chars: int = 20) -> LineState:
@@ -116,7 +122,7 @@ def empty_state(spark: SparkSession, id_type: str = "long", n_shards: int = 16,
 
 def _with(state: LineState, refs: DataFrame, fresh: bool) -> LineState:
     counts = materialize(_count(refs), "line-counts")
-    return replace(state, refs=refs, counts=counts, filters=materialize(_refilter(state, None if fresh else state.counts, counts), "line-filters"))
+    return replace(state, refs=refs, counts=counts, filters=_refilter(state, None if fresh else state.counts, counts))
 
 
 def insert(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: bool = False) -> LineState:

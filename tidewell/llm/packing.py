@@ -26,7 +26,7 @@ from .common import materialize
 from .tokens import add_length
 
 SIZES = (512, 1024, 2048, 4096, 8192)
-RANK_BUCKETS = 256
+RANK_BUCKETS, BUCKET_ROWS = 256, 100_000
 
 
 def attention_cost(size: int) -> float:
@@ -129,25 +129,28 @@ def pack(
     A document takes its encoded length plus the separators that end it; a null or empty text takes the separators
     alone. A document longer than the largest size is cut into pieces of that size and a rest. Null ids are kept, and
     repeated rows are packed as often as they occur. The bins of a size hold at most that many tokens; together the
-    pieces of a bin fill it from 0 without gaps.
+    pieces of a bin fill it from 0 without gaps. Which of several pieces of one length takes which of their places is
+    not fixed.
     """
     most = max(sizes)
     id_type = docs.schema[id_col].dataType.simpleString()
     lengths = add_length(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), vocabulary, as_col="total").drop("text")
-    lengths = materialize(lengths.withColumn("total", F.col("total") + separators).filter("total > 0"), "lengths")
+    lengths = lengths.withColumn("total", F.col("total") + separators).filter("total > 0")
+    lengths = materialize(lengths.withColumn("row", F.monotonically_increasing_id()), "lengths")  # written, so the numbers stay
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(most).cast("long")))
     pieces = lengths.withColumn("piece_start", start)
     pieces = pieces.select(
-        "doc_id", (F.col("piece_start") / most).cast("int").alias("piece"), "piece_start", F.least(F.col("total") - F.col("piece_start"), F.lit(most)).cast("long").alias("n_tokens")
+        "doc_id", "row", (F.col("piece_start") / most).cast("int").alias("piece"), "piece_start", F.least(F.col("total") - F.col("piece_start"), F.lit(most)).cast("long").alias("n_tokens")
     )
     # Ranks among equal lengths without gathering a length in one task: by bucket, after the rows of earlier buckets.
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS))
+    # By row, not id: null and repeated ids are dealt over all buckets.
+    bucket = F.pmod(F.xxhash64("row", "piece"), F.lit(max(RANK_BUCKETS, lengths.count() // BUCKET_ROWS)))
     pieces = pieces.withColumn("bucket", bucket)
     counts = materialize(pieces.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     hist = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most max(sizes) rows
     earlier = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("n_tokens", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    own = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")
+    own = Window.partitionBy("n_tokens", "bucket").orderBy("row", "piece")
     ranked = pieces.join(first, ["n_tokens", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(own) - 1)
     plan = docs.sparkSession.sparkContext.broadcast(make_plan(hist, sizes, cost))
     schema = f"doc_id {id_type}, piece int, piece_start long, n_tokens long, bin_id long, bin_offset long, bin_capacity long, bin_used long"

@@ -1,8 +1,8 @@
 """Sharding by histogram sort.
 
 Rows are ordered by a 63-bit key: 39 bits of the text's hash above 24 bits of a hash of
-(id, text), so equal texts stand together and yet a group that holds a third of all rows
-can be cut anywhere. Rounds count the exact bytes and rows between candidate boundaries;
+(id, text, copy), so equal texts stand together and yet a group that holds a third of all rows
+can be cut anywhere; copy numbers the rows that are equal in id and text. Rounds count the exact bytes and rows between candidate boundaries;
 the cells that hold a splitter not yet within tolerance, or too many rows, get finer
 probes between their least and greatest key. Once all splitters meet the tolerance, every
 row is exchanged once, by cell; a cell lies in one shard and its rows are bounded, so slots
@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import broadcast_if, materialize, without
 
 KEY_BITS = 63
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,10 @@ class Probes:
     step: int
 
 
-def _key(id_col: Column, text: Column) -> Column:
+def _key(id_col: Column, text: Column, copy: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 25), 24)
-    return high.bitwiseOR(F.xxhash64(id_col, text).bitwiseAND(F.lit((1 << 24) - 1)))
+    return high.bitwiseOR(F.xxhash64(id_col, text, copy).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 def _cell(key: Column, levels: list[list[Probes]]) -> Column:
@@ -53,12 +54,15 @@ def _cell(key: Column, levels: list[list[Probes]]) -> Column:
     return out
 
 
-def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: int, hot_share: float, max_rounds: int):
+def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: int, cell_rows: int, max_rounds: int):
     """keyed: __tw_key, __tw_size. Gives the probe levels and the n_shards - 1 splitters (least key of the shard).
 
-    The driver holds the counts of at most probes x (1 + rounds x (n_shards - 1 + 1 / hot_share)) cells.
+    There are probes cells or as many as give cells of cell_rows rows; those of more than four times as many are cut
+    further. The driver holds the counts of all cells: a few numbers for each cell_rows rows.
     """
-    levels = [[Probes(0, 1 << KEY_BITS, (1 << KEY_BITS) // probes)]]
+    most_rows = keyed.count()
+    cell_rows = max(16, min(cell_rows, most_rows // 512))
+    levels = [[Probes(0, 1 << KEY_BITS, (1 << KEY_BITS) // max(probes, most_rows // cell_rows))]]
     cells: dict[int, tuple[int, int, int, int]] = {}
     key = F.col("__tw_key")
     splitters: list[int] = []
@@ -78,7 +82,7 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: in
             del cells[parent]
         cells.update({r.cell: (r.bytes, r.n, r.lo, r.hi) for r in counts.collect()})
         order = sorted(cells)
-        total, rows = sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values())
+        total = sum(c[0] for c in cells.values())
         slack = tolerance * total / n_shards
         refine, splitters, below, k = {}, [], 0, 1
         for lo in order:
@@ -91,7 +95,7 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: in
                     refine[lo] = Probes(least, most + 1, max(1, -(-(most + 1 - least) // probes)))
                 splitters.append(lo if near_lo <= near_hi else lo + 1)  # lo + 1: the next cell's
                 k += 1
-            if can and n > max(64, hot_share * rows):
+            if can and n > 4 * cell_rows:
                 refine[lo] = Probes(least, most + 1, max(1, -(-(most + 1 - least) // probes)))
             below += size
         splitters = [s if s in cells else next((c for c in order if c >= s), (1 << KEY_BITS) - 1) for s in splitters]
@@ -99,16 +103,34 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: in
             break
         levels.append(list(refine.values()))
     else:
-        levels = levels[:max_rounds]
+        raise RuntimeError("splitters do not meet the tolerance: raise max_rounds")
     return levels, splitters
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __tw_copy, which numbers rows that are equal in all columns, so that they can be told apart.
+
+    Ids and texts are hashed first; only rows whose hash occurs twice or more are grouped, and these groups are counted
+    before they are shuffled.
+    """
+    hashed = docs.withColumn("__tw_row", F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    twice = materialize(hashed.groupBy("__tw_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__tw_row"), "repeated-rows")
+    zero = F.lit(0).cast("long")
+    if twice.isEmpty():
+        return docs.withColumn("__tw_copy", zero)
+    twice = broadcast_if(twice, BROADCAST_ROWS)
+    once = hashed.join(twice, "__tw_row", "left_anti").withColumn("__tw_copy", zero)
+    more = hashed.join(twice, "__tw_row", "left_semi").groupBy(*[F.col(f"`{c}`") for c in hashed.columns]).agg(F.count(F.lit(1)).alias("__tw_n"))
+    more = more.withColumn("__tw_copy", F.explode(F.sequence(zero, F.col("__tw_n") - 1))).drop("__tw_n")
+    return once.unionByName(more).drop("__tw_row")
+
+
 def shard(
     docs: DataFrame,
     n_shards: int = 8,
     tolerance: float = 0.001,
     probes: int = 1024,
-    hot_share: float = 1 / 512,
+    cell_rows: int = 1_000_000,
     max_rounds: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -117,14 +139,15 @@ def shard(
 
     size: UTF-8 bytes plus 1 (null text: 1). text_crc32: of the UTF-8 bytes (null: 0). Shards hold bytes that
     differ from an eighth (for 8 shards) by at most the tolerance, or by one row where one row is larger. Slots
-    run from 0 in each shard in the order of key, id and checksum; repeated rows get slots of their own. A null
-    id is a value like any other. An empty table gives an empty table.
+    run from 0 in each shard in the order of key, id and checksum; repeated rows get slots of their own, and may
+    stand in several shards. A null id is a value like any other. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.withColumn("__tw_key", _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    rows = _numbered(docs, id_col, text_col)
+    rows = rows.withColumn("__tw_key", _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col("__tw_copy"))).drop("__tw_copy")
     rows = rows.withColumn("__tw_size", F.octet_length(text).cast("long") + 1).withColumn("__tw_crc", F.crc32(text.cast("binary")))
     keyed = materialize(rows.select("__tw_key", "__tw_size"), "shard-keys")
-    levels, splitters = find_splitters(keyed, n_shards, tolerance, probes, hot_share, max_rounds)
+    levels, splitters = find_splitters(keyed, n_shards, tolerance, probes, cell_rows, max_rounds)
 
     def shard_of(c: Column) -> Column:
         out = F.lit(0)
@@ -137,8 +160,8 @@ def shard(
     cells = cells.withColumn("__tw_shard", shard_of(F.col("__tw_cell")))
     before = Window.partitionBy("__tw_shard").orderBy("__tw_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("__tw_cell", "__tw_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_first"))
-    # Bounded by the probes: at most probes x (1 + rounds x (n_shards - 1 + 1 / hot_share)) rows of three numbers.
-    out = rows.withColumn("__tw_cell", cell).join(F.broadcast(cells), "__tw_cell")
+    # Three numbers a cell, and a cell has some cell_rows rows: broadcast unless there are very many.
+    out = rows.withColumn("__tw_cell", cell).join(broadcast_if(cells, BROADCAST_ROWS), "__tw_cell")
     place = F.row_number().over(Window.partitionBy("__tw_cell").orderBy("__tw_key", F.col(f"`{id_col}`"), "__tw_crc"))
     out = out.withColumn("__tw_slot", F.col("__tw_first") + place - 1)
     out = without(out, "size", "text_crc32", "shard", "slot")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import materialize, worker_cache
 #: The pre-tokenizer's pattern that goes with the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+#: White space as the pattern has it, in runs too long for its look-ahead.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def default_vocabulary() -> str:
@@ -41,9 +44,25 @@ def encoder(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         cache["bpe", path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cache["blank", path] = tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
     return cache["bpe", path]
 
 
+def encoded_length(text: str | None, path: str) -> int:
+    """Tokens of the whole text; of a null one 0.
+
+    The pattern takes a run of white space up to its last character as one piece, and that character with what follows;
+    at the end of the text it takes all of the run. Its engine fails on very long runs, so these are cut there.
+    """
+    encode = encoder(path).encode_ordinary
+    n = at = 0
+    for m in LONG_BLANK.finditer(text or ""):
+        end = m.end() - (m.end() < len(text))
+        n += len(encode(text[at : m.start()])) + len(worker_cache()["blank", path].encode_ordinary(text[m.start() : end]))
+        at = end
+    return n + len(encode(text[at:])) if text else 0
+
+
 def add_length(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", as_col: str = "n_tokens") -> DataFrame:
     """docs with the encoded length of the whole text; null and empty texts have 0. A column of that name is replaced.
 
@@ -53,9 +72,8 @@ def add_length(docs: DataFrame, vocabulary: str | None = None, text_col: str = "
 
     @F.pandas_udf("long")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode_ordinary
         for texts in batches:
-            yield pd.Series(np.array([len(encode(t)) if t else 0 for t in texts], np.int64))
+            yield pd.Series(np.array([encoded_length(t, path) for t in texts], np.int64))
 
     return docs.withColumn(as_col, length(F.col(f"`{text_col}`").cast("string")))
 
