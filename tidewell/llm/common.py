@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -71,7 +72,15 @@ def _local_folder() -> str:
 
 
 def app_folder(spark: SparkSession) -> str:
-    return f"{_folder(spark)}/tidewell-{spark.sparkContext.applicationId}"
+    """The application's folder; it goes when the driver ends, or with cleanup()."""
+    path = f"{_folder(spark)}/tidewell-{spark.sparkContext.applicationId}"
+    if worker_cache().get("marked") != path:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        worker_cache()["marked"] = path
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -102,8 +111,10 @@ def cleanup(spark: SparkSession) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries deleted now: Spark does so when the driver's heap is next collected, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what listeners still hold at first is free the second time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def broadcast_if(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Near-duplicates by the exact Jaccard similarity of sets of word shingles.
+"""Near-duplicates of a given Jaccard similarity of their sets of word shingles.
 
-Two sets of similarity t or more share one of the first m - ceil(t m) + 1 shingles of each, m being its size, in any one order of all
+SimHash with anchors comes first: sets whose fingerprints differ in t bits or fewer meet at an anchor, are compared exactly, and
+those that are similar become one component. Fingerprints of a few bits' difference can't find all pairs of a similarity
+of 0.8, though, whose fingerprints differ in some ten bits, and no anchors cover that. So prefixes of the sets complete it: two sets of similarity t or more share one of the first m - ceil(t m) + 1 shingles of each, m being its size, in any one order of all
 shingles; so only sets that meet there are compared, and none is missed. The order is by hash, with shingles that are
 frequent there last: that choice changes the cost, never the result. Equal sets are one. Sets that meet are compared with the least of them first;
-after that only sets of different components are, as others can't change the components.
+after that only sets of different components are, as others can't change the components. So what the anchors have joined is not compared again.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, broadcast_if, materialize
 from .components import components
 from .lm import _mix, _tokens
-from .simhash import keep_rows
+from .simhash import keep_rows, links
 
 #: A shingle in more prefixes than this is put last, for the most frequent so many.
 FREQUENT, MOST_FREQUENT = 20, 200_000
@@ -39,8 +41,14 @@ def shingles(text: str | None, n: int, hashes: dict) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes, signed."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False) -> DataFrame:
-    """rows with sid (a hash of the set), m (its size) and hs: the set if whole, else its prefix."""
+    """rows with sid (a hash of the set), m (its size), fp (the set's SimHash) and hs: the set if whole, else its prefix."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common = last.value if last is not None else np.zeros(0, np.int64)
@@ -49,14 +57,15 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
             for t in texts:
                 h = shingles(t, n, hashes)
                 sid, m = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)
+                fp = 0 if whole or not m else _fingerprint(h)
                 if not whole:
                     if len(common) and m:
                         h = h[np.argsort(np.isin(h, common, kind="sort"), kind="stable")]
                     h = h[: m - math.ceil(least * m - 1e-9) + 1]
-                out.append((sid, m, h))
-            yield pd.DataFrame(out, columns=["sid", "m", "hs"])
+                out.append((sid, m, fp, h))
+            yield pd.DataFrame(out, columns=["sid", "m", "fp", "hs"])
 
-    of = F.pandas_udf(run, "sid long, m int, hs array<long>")
+    of = F.pandas_udf(run, "sid long, m int, fp long, hs array<long>")
     return rows.withColumn("s", of("text")).select(*[c for c in rows.columns if c != "text"], "s.*")
 
 
@@ -70,7 +79,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
     return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
 
 
-def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of pairs with a Jaccard similarity of at least least: that of the least (id, text hash), nulls first.
 
     Texts without words are alike. Columns stay as they are; repeated rows, and null or repeated ids, are no obstacle.
@@ -84,15 +93,19 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, id_col: str = "
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th"), text.alias("text"))
     rows = materialize(_sets(rows, n, least, last), "prefixes")
-    buckets = rows.select("sid", "m", "hs").dropDuplicates(["sid"]).select("sid", "m", F.explode("hs").alias("h"))
-    size = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "m")).alias("c")).filter("size > 1").select("h", "c")
-    buckets = materialize(buckets.join(size, "h"), "buckets")
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
+    anchored = materialize(_similar(_anchored(rows, t, near), texts, n, least), "anchored")
+    joined = components(anchored)
 
-    stars = buckets.filter((F.col("c.sid") < F.col("sid")) & near(F.col("c.m"), F.col("m"))).select(F.col("c.sid").alias("u"), F.col("sid").alias("v"))
-    first = materialize(_similar(stars, texts, n, least), "links")
+    buckets = rows.select("sid", "m", "hs").dropDuplicates(["sid"]).join(joined, F.col("sid") == F.col("node"), "left")
+    buckets = buckets.select("sid", "m", F.coalesce("root", "sid").alias("root"), F.explode("hs").alias("h"))
+    size = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "m", "root")).alias("c")).filter("size > 1").select("h", "c")
+    buckets = materialize(buckets.join(size, "h"), "buckets")
+
+    stars = buckets.filter((F.col("c.root") != F.col("root")) & near(F.col("c.m"), F.col("m"))).select(F.col("c.sid").alias("u"), F.col("sid").alias("v"))
+    first = materialize(anchored.union(_similar(stars, texts, n, least)), "links")
     found = components(first)
-    placed = buckets.join(found, F.col("sid") == F.col("node"), "left").select("h", "sid", "m", F.coalesce("root", "sid").alias("root"))
+    placed = buckets.select("h", "sid", "m").join(found, F.col("sid") == F.col("node"), "left").select("h", "sid", "m", F.coalesce("root", "sid").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     placed = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
     a, b = placed.toDF("h", "u", "mu", "ru"), placed.toDF("h", "v", "mv", "rv")
@@ -103,3 +116,15 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, id_col: str = "
     best = same.groupBy("sid").agg(F.min(F.struct("doc_id", "th", "m")).alias("s"))
     keep = best.join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("s").alias("s"))
     return keep_rows(docs, keep, th, id_col)
+
+
+def _anchored(rows: DataFrame, t: int, near) -> DataFrame:
+    """(u, v): sets of one fingerprint with the least of them, and the least sets of fingerprints that differ in t bits or fewer."""
+    prints = rows.filter("m > 0").groupBy("sid").agg(F.first("m").alias("m"), F.first("fp").alias("fp"))
+    least = materialize(prints.groupBy("fp").agg(F.min(F.struct("sid", "m")).alias("c"), F.count(F.lit(1)).alias("sets")), "prints")
+    same = prints.join(least.filter("sets > 1"), "fp").filter((F.col("sid") != F.col("c.sid")) & near(F.col("c.m"), F.col("m"))).select(F.col("c.sid").alias("u"), F.col("sid").alias("v"))
+    parts = min(max(8, least.count() // 20_000), 4096)
+    apart = links(least.select("fp").repartition(parts, "fp"), t)
+    apart = apart.join(least.select(F.col("fp").alias("u"), F.col("c").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("c").alias("b")), "v")
+    apart = apart.filter(near(F.col("a.m"), F.col("b.m"))).select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v"))
+    return same.union(apart)

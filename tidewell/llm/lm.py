@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_shuffles, materialize
+from .common import free_shuffles, materialize
 
 ADD, DISCOUNT = 0.1, 0.5
 #: Both as parts of one, so that sums of discounted counts are sums of integers.
@@ -37,7 +37,7 @@ SPARE_BITS = 20
 LEAST = 2
 CHUNK_BYTES = 6_000_000
 SHARD_TOKENS = 1_000_000
-END = xxhash.xxh64_intdigest(b" ")  # no word has a blank
+END = b" "  # no word has a blank
 
 
 def held_out(id_col: str) -> F.Column:
@@ -78,56 +78,92 @@ def _unpack_keys(blob: bytes, low: int) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64) + np.uint64(low)
 
 
+class _Numbers(dict):
+    """Words to numbers, in the order of their first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _pack_tokens(x: np.ndarray) -> bytes:
+    """Word numbers as compressed planes of their bytes; the upper ones are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack_tokens(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents to rows of chunks: ids, held-out marks, byte lengths, and the lower-cased texts in a row, compressed."""
-    ids, held, texts, size, kind = [], [], [], 0, None
+    """Rows of documents to rows of chunks: ids, held-out marks, tokens a document, and the lower-cased words by number, with the words' hashes."""
+    ids, held, tokens, sizes, size, kind, numbers = [], [], [], [], 0, None, _Numbers()
 
     def row():
-        n = np.array([len(t) for t in texts], np.int64)
-        tokens = sum(len(t.split()) + 1 for t, h in zip(texts, held, strict=True) if not h)
-        out = {"docs": len(ids), "train": tokens, "ids": ids, "held": held, "lengths": n.tobytes(), "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(texts))}
-        types = {"docs": pa.int64(), "train": pa.int64(), "ids": pa.list_(kind), "held": pa.list_(pa.bool_()), "lengths": pa.binary(), "texts": pa.binary()}
+        x = np.concatenate(tokens)
+        order = np.argsort(-np.bincount(x, minlength=len(numbers)), kind="stable")  # small numbers for frequent words
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
+        n = np.array(sizes, np.int64)
+        out = {"docs": len(ids), "train": int(n[~np.array(held, bool)].sum()), "ids": ids, "held": held, "sizes": n.tobytes(), "hashes": hashes.tobytes(), "tokens": _pack_tokens(new[x])}
+        types = {"docs": pa.int64(), "train": pa.int64(), "ids": pa.list_(kind), "held": pa.list_(pa.bool_()), "sizes": pa.binary(), "hashes": pa.binary(), "tokens": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([out[k]], t) for k, t in types.items()], names=list(types))
 
     for b in batches:
         kind = b.schema.field("doc_id").type
         for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words = _tokens(t)
+            words.append(END)
             ids.append(i)
             held.append(h)
-            texts.append((t or "").encode().lower())
-            size += len(texts[-1]) + 8
+            sizes.append(len(words))
+            tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            size += len(t or "") + 8
             if size >= CHUNK_BYTES:
                 yield row()
-                ids, held, texts, size = [], [], [], 0
+                ids, held, tokens, sizes, size, numbers = [], [], [], [], 0, _Numbers()
     if ids:
         yield row()
 
 
+def _grouped(k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values of k, a place of each, and each place's number among them. k has values of so many bits."""
+    n = len(k)
+    at_bits = np.uint64(max(1, (n - 1).bit_length()))
+    drop = np.uint64(max(0, bits + int(at_bits) - 64))
+    order = (np.sort(k >> drop << at_bits | np.arange(n, dtype=np.uint64)) & ((np.uint64(1) << at_bits) - np.uint64(1))).astype(np.int64)
+    s = k[order]
+    if drop and (s[1:] < s[:-1]).any():  # two values that differ in the dropped bits only
+        order = np.argsort(k, kind="stable")
+        s = k[order]
+    new = np.concatenate(([True], s[1:] != s[:-1])) if n else np.zeros(0, bool)
+    inv = np.empty(n, np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return s[new], order[new], inv
+
+
 class _Chunk:
     """keys[o]: sorted distinct keys of order o + 1; at[o]: each position's place there, or -1; first[o]: a position of each key."""
 
-    def __init__(self, held: list[bool], lengths: bytes, texts: bytes, bits: int):
-        n, raw, hashes = np.frombuffer(lengths, np.int64), zstandard.ZstdDecompressor().decompress(texts), WordHashes()
-        flat, sizes, a = [], [], 0
-        for k in n.tolist():
-            words = raw[a : a + k].split()
-            flat.extend(map(hashes.__getitem__, words))
-            flat.append(END)
-            sizes.append(len(words) + 1)
-            a += k
-        x = np.array(flat, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, row: dict, bits: int):
+        self.sizes, hashes, words = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["hashes"], np.uint64), _unpack_tokens(row["tokens"])
+        x, shift = hashes[words], np.uint64(64 - bits)
         self.starts = np.cumsum(self.sizes) - self.sizes
         since = np.arange(len(x)) - np.repeat(self.starts, self.sizes)
-        train = ~np.repeat(np.array(held, bool), self.sizes)
+        train = ~np.repeat(np.array(row["held"], bool), self.sizes)
         two = np.zeros(len(x), np.uint64)
         two[1:] = _mix(x[:-1], x[1:])
         three = np.zeros(len(x), np.uint64)
         three[1:] = _mix(two[:-1], two[1:])
-        self.keys, self.at, self.first, self.n = [], [], [], []
-        for o, k in enumerate((x, two, three)):
+        keys, _, inv = _grouped(hashes >> shift, bits)
+        self.keys, self.at, self.first, self.n = [keys], [inv[words]], [np.zeros(len(keys), np.int64)], []
+        self.first[0][self.at[0]] = np.arange(len(x))
+        self.n.append(np.bincount(self.at[0][train], minlength=len(keys)))
+        for o, k in ((1, two), (2, three)):
             here = np.flatnonzero(since >= o)
-            keys, first, inv = np.unique(k[here] >> np.uint64(64 - bits), return_index=True, return_inverse=True)
+            keys, first, inv = _grouped(k[here] >> shift, bits)
             at = np.full(len(x), -1, np.int64)
             at[here] = inv
             self.keys.append(keys)
@@ -202,7 +238,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 def _send_counts(n_shards: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
+            c = _Chunk(r, bits)
             for o in range(3):
                 rows = [(o, k, r["chunk"], _pack_keys(c.keys[o][s], _edge(k, n_shards, bits)), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards, bits)]
                 if rows:
@@ -217,7 +253,7 @@ def _add_counts(least: int, n_shards: int, bits: int):
         low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
         keys = [_unpack_keys(k, low) for k in g["keys"]]
         n = np.concatenate([_unpack(a) for a in g["a"]])
-        _, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        _, first, inv = _grouped(np.concatenate(keys), bits)
         total = np.bincount(inv, n).astype(np.int64)
         distinct = int((total > 0).sum())
         if g["ord"].iloc[0]:
@@ -236,7 +272,7 @@ def _send_masses(n_shards: int, bits: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
+            c = _Chunk(r, bits)
             c.read_counts(r["counts"])
             for o in (1, 2):
                 mass, low = c.masses(o)
@@ -254,7 +290,7 @@ def _add_masses(n_shards: int, bits: int):
         g = g.sort_values("chunk")
         low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
         keys = [_unpack_keys(k, low) for k in g["keys"]]
-        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        inv = _grouped(np.concatenate(keys), bits)[2]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         mass, below = ([_pack(a) for a in np.split(np.bincount(inv, np.concatenate([_unpack(x) for x in g[c]])).astype(np.int64)[inv], cuts)] for c in ("a", "b"))
         return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": mass, "low": below})
@@ -267,7 +303,7 @@ def _scorer(z: float, bits: int, least: int):
         for b in batches:
             kind = b.schema.field("ids").type.value_type
             for r in _rows(iter([b])):
-                c = _Chunk(r["held"], r["lengths"], r["texts"], bits)
+                c = _Chunk(r, bits)
                 c.read_counts(r["counts"])
                 n1, n2, n3 = c.n
                 w, pair, triple = c.at
@@ -330,7 +366,7 @@ def score(docs: DataFrame, min_share: float = 0.0, id_col: str = "doc_id", text_
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    body = f"docs long, train long, ids array<{id_type}>, held array<boolean>, lengths binary, texts binary"
+    body = f"docs long, train long, ids array<{id_type}>, held array<boolean>, sizes binary, hashes binary, tokens binary"
     chunks = materialize(rows.mapInArrow(_chunks, body).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     total = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     least, n_shards = max(LEAST, math.ceil(min_share * total)), max(4, -(-total // SHARD_TOKENS))
@@ -338,7 +374,7 @@ def score(docs: DataFrame, min_share: float = 0.0, id_col: str = "doc_id", text_
     bits = min(64, max(1, total).bit_length() + SPARE_BITS)
 
     answer = "chunk long, ord int, shard int, blob binary"
-    sent = chunks.select("chunk", "held", "lengths", "texts").mapInArrow(_send_counts(n_shards, bits), SENT)
+    sent = chunks.select("chunk", "held", "sizes", "hashes", "tokens").mapInArrow(_send_counts(n_shards, bits), SENT)
     counts = materialize(sent.groupBy("ord", "shard").applyInPandas(_add_counts(least, n_shards, bits), answer + ", words long"), "counts")
     free_shuffles(docs.sparkSession)
     distinct = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
