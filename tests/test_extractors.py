@@ -1,4 +1,4 @@
-"""EDA and SpO2 extractors against analytic answers, and the channels of the registered query."""
+"""Extractors against answers worked out by hand, and the channels of the registered query."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from tidewell.functions import features as fx
 from tidewell.plans import arrays
 
 
+def first(got):
+    return {k: float(v[0]) for k, v in got.items()}
+
+
 def test_all_channels_are_extracted(monkeypatch):
     seen = {}
     monkeypatch.setattr(arrays, "signals", lambda spark, d: "table")
@@ -19,13 +23,66 @@ def test_all_channels_are_extracted(monkeypatch):
 
 def test_spo2():
     x = np.full(1000, 97.0)
-    x[200] = x[600] = 87.0
-    got = fx.spo2_features(x, 10.0)
-    assert got["mean"] == pytest.approx(96.98) and got["min"] == 87 and got["dip_count"] == 2 and got["dip_magnitude"] == pytest.approx(9.98)
+    x[200], x[203], x[600], x[800] = 87.0, 90.0, 87.0, 95.5
+    got = first(fx.spo2_features(x[None], 10.0))
+    assert got["mean"] == pytest.approx(x.mean()) and got["min"] == 87 and got["dip_magnitude"] == pytest.approx(x.mean() - 87)
+    assert got["dip_count"] == 2  # 203 is within half a second of a deeper one, 800 less than two below the mean
 
 
 def test_eda():
     t = np.arange(2000) / 20
-    got = fx.eda_features(3 + 0.01 * t, 20.0)
+    got = first(fx.eda_features((3 + 0.01 * t)[None], 20.0))
     assert got["tonic_mean"] == pytest.approx(3.49975, abs=1e-3) and got["tonic_slope"] == pytest.approx(0.01, abs=1e-3)
-    assert got["scr_count"] == 0 and got["scr_amp"] == 0 and got["range"] == pytest.approx(0.01 * t[-1])
+    assert got["scr_count"] == 0 and got["scr_amp_mean"] == 0 and got["range"] == pytest.approx(0.01 * t[-1])
+    bumps = 3 + sum(np.exp(-((t - c) ** 2) / 0.5) for c in range(5, 100, 5))
+    got = first(fx.eda_features(bumps[None], 20.0))
+    assert got["scr_count"] == 19 and got["scr_rate"] == pytest.approx(1.9) and got["scr_amp_mean"] == pytest.approx(1, abs=0.15)
+
+
+def test_bvp():
+    """Beats 0.7 and 0.9 s apart in turn, each rising for 0.2 s."""
+    fs, x, at = 100.0, np.zeros(3000), [50]
+    while at[-1] < 2900:
+        at.append(at[-1] + (70 if len(at) % 2 else 90))
+    for p in at[:-1]:
+        x += np.exp(-((np.arange(3000) - p) ** 2) / 200)
+    got = first(fx.bvp_features(x[None], fs))
+    assert got["rr_mean"] == pytest.approx(0.8, abs=0.01) and got["hr_mean"] == pytest.approx(60 / got["rr_mean"])
+    assert got["rmssd"] == pytest.approx(200, abs=15) and got["sdnn"] == pytest.approx(100, abs=10) and got["pnn20"] == 1
+    assert got["peak_count"] == len(at) - 1 and 0.1 < got["risetime_mean"] < 0.5
+
+
+def test_resp():
+    """Rises of 1 s and falls of 3 s."""
+    fs = 50.0
+    phase = (np.arange(3000) / fs) % 4
+    got = first(fx.resp_features(np.where(phase < 1, phase, (4 - phase) / 3)[None], fs))
+    assert got["rate"] == pytest.approx(15, abs=0.3) and got["interval_std"] < 0.1 and 0.3 < got["ie_ratio"] < 1
+    assert 0.5 < got["amp_mean"] < 1.2 and got["amp_std"] < 0.1
+
+
+def test_short_signals_have_no_physiology():
+    for name, f in fx.PHYSIO.items():
+        assert f(np.ones((2, 8)), 10.0) == {}, name
+    assert np.isnan(fx.coupling(np.ones((1, 20)), np.ones((1, 40)), 10.0)).all()
+
+
+def test_coupling_follows_the_envelope():
+    t = np.arange(4000) / 100
+    slow = np.sin(2 * np.pi * 0.25 * t)
+    got = fx.coupling(((1.5 + slow) * np.sin(2 * np.pi * 2 * t))[None], np.stack([slow]), 100.0)
+    assert got[0] > 0.9
+
+
+def test_subwindows_of_few_samples_are_zero():
+    assert all((v == 0).all() for v in fx.subwindow_features(np.ones((3, 2))).values())
+
+
+def test_failed_rows_do_not_take_others_along():
+    def f(x):
+        if (x < 0).any():
+            raise ValueError
+        return {"s": x.sum(1)}
+
+    got = {int(i): None if v is None else float(v["s"][k]) for at, v in fx.by_length([np.ones(3), -np.ones(3), np.ones(2)], f) for k, i in enumerate(at)}
+    assert got == {0: 3, 1: None, 2: 2}

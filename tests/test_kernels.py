@@ -39,16 +39,16 @@ def test_spectrum():
     assert f[p.argmax()] == pytest.approx(12.5, abs=0.4)
     assert s.trapezoid(p, f) == pytest.approx(0.5, rel=0.02)
     rng = np.random.default_rng(0)
-    white = s.spectral(*s.welch(rng.normal(size=20_000), FS))
-    assert white["spec_flatness"] > 0.95 and white["spec_entropy"] > 0.99
+    white = s.spectral(*s.welch(rng.normal(size=(1, 20_000)), FS))
+    assert white["spec_flatness"][0] > 0.95 and white["spec_entropy"][0] > 0.99
 
 
 def test_heart_rate_and_breathing():
     beat = np.exp(-(((T % 0.8) - 0.2) ** 2) / 0.005)
-    assert features.bvp_features(beat, FS)["hr_mean"] == pytest.approx(75, abs=1)
+    assert features.bvp_features(beat[None], FS)["hr_mean"][0] == pytest.approx(75, abs=1)
     t = np.arange(3000) / FS
-    assert features.resp_features(np.sin(2 * np.pi * 0.25 * t), FS)["rate"] == pytest.approx(15, abs=0.5)
-    assert features.spo2_features(np.r_[np.full(50, 98.0), 90, np.full(50, 98.0)], FS)["dip_count"] == 1
+    assert features.resp_features(np.sin(2 * np.pi * 0.25 * t)[None], FS)["rate"][0] == pytest.approx(15, abs=0.5)
+    assert features.spo2_features(np.r_[np.full(50, 98.0), 90, np.full(50, 98.0)][None], FS)["dip_count"][0] == 1
 
 
 def test_resampling():
@@ -65,11 +65,13 @@ def test_resampling():
 def test_entropies_and_dimensions():
     rng = np.random.default_rng(1)
     noise, sine = rng.normal(size=500), np.sin(2 * np.pi * T)
-    assert s.permutation_entropy(noise) > 0.99 > s.permutation_entropy(np.arange(50.0)) == 0
-    assert s.sample_entropy(noise) > s.sample_entropy(sine[:500])
+    assert s.permutation_entropy(noise[None])[0] > 0.99 and s.permutation_entropy(np.arange(50.0)[None])[0] == 0
+    (rough,), (rough2,) = s.match_entropies(noise[None])
+    (smooth,), (smooth2,) = s.match_entropies(sine[None, :500])
+    assert rough > smooth and rough2 > smooth2
     assert 0.4 < s.dfa_alpha(rng.normal(size=4000)) < 0.6
-    assert s.hjorth(sine)[1] == pytest.approx(2 * np.pi / FS, rel=0.01)
-    assert math.isnan(s.sample_entropy(np.ones(50)))
+    assert s.hjorth(sine[None])[1][0] == pytest.approx(2 * np.pi / FS, rel=0.01)
+    assert np.isnan(s.match_entropies(np.ones((1, 50)))[0][0])
 
 
 def test_pairs_of_signals():
@@ -85,8 +87,38 @@ def test_pairs_of_signals():
 def test_gaps():
     x = np.array([1, np.nan, 3, np.nan, np.nan])
     assert s.strip_and_fill(x).tolist() == [1, 2, 3]
-    got, status = features.segment_features({"bvp": np.array([])}, FS)
-    assert got == {} and status["tf_bvp"] == "short"
+    got, status = features.segment_features({"bvp": [np.array([])]}, FS)
+    assert all(np.isnan(v).all() for _, _, v in got) and {s for s, _ in status} == {"raw_bvp=ok", "tf_bvp=short", "physio_bvp=short"}
+
+
+def test_entropies_by_definition():
+    rng = np.random.default_rng(7)
+    for n in (120, 700):
+        x = rng.normal(size=(2, n))
+        sample, approximate = s.match_entropies(x, cells=n * n)
+        for row, got, also in zip(x, sample, approximate, strict=True):
+            tol = 0.2 * row.std()
+
+            def counts(v, m):
+                t = np.lib.stride_tricks.sliding_window_view(v, m)
+                return np.array([(np.abs(t - u).max(1) <= tol).sum() for u in t])  # noqa: B023
+
+            phi = [np.log(c / len(c)).mean() for c in (counts(row, 2), counts(row, 3))]
+            assert also == pytest.approx(phi[0] - phi[1])
+            b, a = ((c - 1).sum() / len(c) for c in (counts(row[::2] if n > 600 else row, m) for m in (2, 3)))
+            assert got == pytest.approx(-math.log(a / b))
+
+
+def test_matrices_are_rows():
+    """Filters, envelopes, spectra and resampling of a matrix are those of its rows."""
+    x = np.random.default_rng(8).normal(size=(5, 200))
+    b, a = s.butter(3, 0.5, 8.0, FS)
+    for f in (lambda v: s.filtfilt(b, a, v), s.envelope, lambda v: s.welch(v, FS, 64, 32)[1], lambda v: s.resample_poly(v, 150), lambda v: s.slope(v, FS)):
+        assert np.allclose(f(x), [f(r) for r in x])
+    by_hand = np.zeros(200)
+    for i in range(200):  # the difference equation
+        by_hand[i] = sum(b[k] * x[0, i - k] for k in range(len(b)) if i >= k) - sum(a[k] * by_hand[i - k] for k in range(1, len(a)) if i >= k)
+    assert np.allclose(s.lfilter(b, a, x[0]), by_hand)
 
 
 def test_tail_probabilities():
@@ -97,6 +129,18 @@ def test_tail_probabilities():
     assert special.percent_point(0.975) == pytest.approx(1.959964, abs=1e-6)
 
 
+def test_exact_rank_tests():
+    """Against all sets of signs, and all orders."""
+    for n in (1, 4, 9):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert special.wilcoxon_exact(n, w) == pytest.approx(min(1, 2 * np.mean([s <= w for s in sums])))
+    for a, b in ((1, 3), (3, 4), (5, 3)):
+        us = [sum(p > q for p in first for q in set(range(a + b)) - set(first)) for first in itertools.combinations(range(a + b), a)]
+        for u in range(a * b + 1):
+            assert special.mann_whitney_exact(a, b, u) == pytest.approx(min(1, 2 * np.mean([v >= max(u, a * b - u) for v in us])))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_exact_counts_are_optimal(seed):
     rng = np.random.default_rng(seed)
@@ -125,5 +169,9 @@ def test_logistic_and_isotonic():
 
 def test_names():
     assert columns.modality("BVP_RESP_x") == "cross" and columns.modality("BVP_RESP_x", first_match=True) == "bvp"
+    assert columns.modality("SpO_2_mean") == "spo2"
+    assert [columns.signal_axis(n) for n in ("Bvp_x", "raw_resp_y", "tf_eda_z", "SPO2_min", "tf_bvp_z")] == ["BVP/HR", "RESP", "EDA", "SpO2", "OTHER"]
     assert columns.unique_by_canonical(["raw_a", "b", "a", "raw_c"]) == ["a", "b", "raw_c"]
     assert select.greedy_forward(["a", "b", "c"], lambda n: len(n) - 10 * ("c" in n))[0] == ["a", "b"]
+    scores = {1: 0.5, 2: 0.6, 3: 0.596, 4: 0.592, 5: 0.58}  # each step falls by less than 0.005 until the last
+    assert len(select.greedy_forward(list("abcdefgh"), lambda n: scores.get(len(n), 0))[0]) == 4

@@ -43,12 +43,24 @@ def is_pain(cls: Column) -> Column:
 
 def modality(name: str, first_match: bool = False) -> str:
     """bvp, eda, resp or spo2 by substring; "cross" where two match (unless first_match), "other" where none does."""
-    found = [m for m in MODALITIES if m in name.lower()]
+    low = name.lower().replace("spo_2", "spo2")
+    found = [m for m in MODALITIES if m in low]
     return "other" if not found else found[0] if first_match or len(found) == 1 else "cross"
 
 
+AXES = {"bvp": "BVP/HR", "eda": "EDA", "resp": "RESP", "spo2": "SpO2"}
+
+
+def signal_axis(name: str) -> str:
+    """The report's axis of a feature, by how its name begins; EDA also by its second part."""
+    low = canonical(name.lower())
+    found = next((a for m, a in AXES.items() if low.startswith(m)), None)
+    return found or ("EDA" if "eda" in name.lower().split("_")[:2] else "OTHER")
+
+
 def modality_column(name: Column) -> Column:
-    hits = F.filter(F.array(*[F.lit(m) for m in MODALITIES]), lambda m: F.contains(F.lower(name), m))
+    low = F.replace(F.lower(name), F.lit("spo_2"), F.lit("spo2"))
+    hits = F.filter(F.array(*[F.lit(m) for m in MODALITIES]), lambda m: F.contains(low, m))
     return F.when(F.size(hits) == 0, "other").when(F.size(hits) > 1, "cross").otherwise(F.get(hits, F.lit(0)))
 
 

@@ -1,8 +1,9 @@
-"""Feature extractors of one segment: raw statistics, time-domain, spectral and physiological features; None where undefined."""
+"""Feature extractors: raw statistics, time-domain, spectral and physiological features.
 
-from __future__ import annotations
+Each takes a matrix with a segment of equal length in every row and gives name -> one value a row; NaN where undefined.
+"""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 
@@ -10,142 +11,227 @@ from . import signal as s
 
 #: The frequency bands of the four signals, in Hz.
 BANDS = {
-    "bvp": {"vlf": (0.003, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4), "cardiac": (0.5, 3.0), "high": (3.0, 8.0)},
-    "eda": {"tonic": (0.0, 0.05), "symp": (0.045, 0.25), "phasic": (0.25, 1.0), "fast": (1.0, 5.0)},
-    "resp": {"slow": (0.05, 0.1), "normal": (0.1, 0.5), "fast": (0.5, 1.0)},
-    "spo2": {"slow": (0.0, 0.1), "mid": (0.1, 0.5), "cardiac": (0.5, 3.0)},
+    "bvp": {"vlf": (0.003, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4), "vhf": (0.4, 4.0)},
+    "eda": {"tonic": (0.01, 0.1), "phasic": (0.1, 0.5), "higher": (0.5, 5.0)},
+    "resp": {"breathing": (0.1, 0.5)},
+    "spo2": {"low": (0.0, 0.1)},
 }
+#: The band whose strongest frequency is a feature of its own.
+DOMINANT = {"bvp": ("vhf", "dom_freq_cardiac"), "resp": ("breathing", "dom_freq_breathing")}
+RAW = ("mean", "std", "min", "max", "range", "median", "iqr", "skew", "kurtosis", "mad", "rms", "cv", "diff_std", "n_extrema")
 
 
-def raw_stats(x: np.ndarray) -> dict[str, float]:
-    n = len(x)
-    if n == 0:
-        return dict.fromkeys(("mean", "std", "min", "max", "range", "median", "iqr", "skew", "kurtosis", "mad", "rms", "cv", "diff_std", "n_extrema"), math.nan)
-    mean, std, med = x.mean(), x.std(), np.median(x)
-    q1, q3 = np.percentile(x, [25, 75])
-    g1 = ((x - mean) ** 3).mean() / std**3 if std > 0 else math.nan
-    g2 = ((x - mean) ** 4).mean() / std**4 - 3 if std > 0 else math.nan
-    return {
-        "mean": mean, "std": std, "min": x.min(), "max": x.max(), "range": np.ptp(x), "median": med, "iqr": q3 - q1,
-        "skew": g1 * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else math.nan,
-        "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n > 3 else math.nan,
-        "mad": np.median(np.abs(x - med)), "rms": math.sqrt((x**2).mean()), "cv": std / mean if abs(mean) > 1e-12 else math.nan,
-        "diff_std": np.diff(x).std() if n > 1 else math.nan, "n_extrema": float(s.n_extrema(x)),
-    }
+def _ratio(a, b, otherwise=np.nan):
+    """a / b where b > 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(b > 0, np.divide(a, b), otherwise)
+
 
+def _centred_moments(x: np.ndarray):
+    """Mean, deviation, and the third and fourth standardised moments (NaN without spread)."""
+    mean, std = x.mean(1), x.std(1)
+    c = x - mean[:, None]
+    return mean, std, _ratio((c**3).mean(1), std**3), _ratio((c**4).mean(1), std**4)
 
-def time_features(x: np.ndarray) -> dict[str, float]:
-    n = len(x)
+
+def raw_stats(x: np.ndarray) -> dict[str, np.ndarray]:
+    k, n = x.shape
+    if n == 0:
+        return dict.fromkeys(RAW, np.full(k, np.nan))
+    mean, std, m3, m4 = _centred_moments(x)
+    med = np.median(x, 1)
+    q1, q3 = np.percentile(x, [25, 75], axis=1)
+    nan = np.full(k, np.nan)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {
+            "mean": mean, "std": std, "min": x.min(1), "max": x.max(1), "range": np.ptp(x, 1), "median": med, "iqr": q3 - q1,
+            "skew": m3 * np.sqrt(n * (n - 1)) / (n - 2) if n > 2 else nan,
+            "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 - 3) + 6) if n > 3 else nan,
+            "mad": np.median(np.abs(x - med[:, None]), 1), "rms": np.sqrt((x**2).mean(1)), "cv": np.where(np.abs(mean) > 1e-12, std / mean, np.nan),
+            "diff_std": np.diff(x, axis=1).std(1) if n > 1 else nan, "n_extrema": np.array([s.n_extrema(r) for r in x], float),
+        }
+
+
+def time_features(x: np.ndarray) -> dict[str, np.ndarray]:
+    n = x.shape[1]
     if n < 4:
         return {}
-    mean, std = x.mean(), x.std()
-    p10, p25, p75, p90 = np.percentile(x, [10, 25, 75, 90])
-    act, mob, com = s.hjorth(x)
+    mean, std, m3, m4 = _centred_moments(x)
+    p10, p25, p75, p90 = np.percentile(x, [10, 25, 75, 90], axis=1)
+    activity, mobility, complexity = s.hjorth(x)
+    sample, approximate = s.match_entropies(x)
+    med = np.median(x, 1)
     return {
-        "mean": mean, "std": std, "min": x.min(), "max": x.max(), "median": np.median(x), "p10": p10, "p90": p90, "iqr": p75 - p25,
-        "skew": ((x - mean) ** 3).mean() / std**3 if std > 0 else math.nan, "kurtosis": ((x - mean) ** 4).mean() / std**4 - 3 if std > 0 else math.nan,
-        "rms": math.sqrt((x**2).mean()), "mean_abs": np.abs(x).mean(), "energy": float((x**2).sum()),
-        "hjorth_activity": act, "hjorth_mobility": mob, "hjorth_complexity": com, "zcr": s.zero_cross_rate(x), "mcr": s.zero_cross_rate(x - mean),
-        "sample_entropy": s.sample_entropy(x), "permutation_entropy": s.permutation_entropy(x), "petrosian_fd": s.petrosian(x), "dfa_alpha": s.dfa_alpha(x) if n >= 32 else math.nan,
+        "mean": mean, "std": std, "min": x.min(1), "max": x.max(1), "p10": p10, "p90": p90, "iqr": p75 - p25,
+        "skew": np.where(std > 0, m3, 0.0), "kurtosis": np.where(std > 0, m4 - 3, 0.0), "rms": np.sqrt((x**2).mean(1)), "mean_abs": np.abs(x).mean(1),
+        "mad": np.median(np.abs(x - med[:, None]), 1), "energy": (x**2).sum(1), "zcr": s.zero_cross_rate(x - mean[:, None]), "mcr": s.above_cross_rate(x, mean),
+        "hjorth_activity": activity, "hjorth_mobility": mobility, "hjorth_complexity": complexity, "samp_entropy": sample, "approx_entropy": approximate,
+        "perm_entropy": s.permutation_entropy(x), "petrosian_fd": s.petrosian(x), "dfa_alpha": np.array([s.dfa_alpha(r) if n >= 100 else np.nan for r in x]),
     }
 
 
-def frequency_features(x: np.ndarray, fs: float, bands: dict[str, tuple[float, float]]) -> dict[str, float]:
-    if len(x) < 8:
+def frequency_features(x: np.ndarray, fs: float, name: str, size: int = 256, overlap: int = 128) -> dict[str, np.ndarray]:
+    if x.shape[1] < 16:
         return {}
-    f, p = s.welch(x, fs, 256, 128)
+    f, p = s.welch(x, fs, size, overlap)
     out = s.spectral(f, p)
-    total = s.trapezoid(p, f)
-    out["total_power"] = total
-    for name, (lo, hi) in bands.items():
-        b = s.band_power(f, p, lo, hi)
-        out |= {f"band_{name}": b, f"rel_{name}": b / total if total > 0 else math.nan}
-    out["peak_rel"] = out["peak_power"] / p.sum() if p.sum() > 0 else math.nan
-    if "lf" in bands and "hf" in bands:
-        out["lf_hf"] = out["band_lf"] / out["band_hf"] if out["band_hf"] > 0 else math.nan
+    total = out["total_power"] = s.trapezoid(p, f)
+    for band, (lo, hi) in BANDS[name].items():
+        b = out[f"bp_{band}"] = s.band_power(f, p, lo, hi)
+        out[f"bp_{band}_rel"] = _ratio(b, total)
+    if name == "bvp":
+        out["lf_hf_ratio"] = _ratio(out["bp_lf"], out["bp_hf"])
+    if name in DOMINANT:
+        band, feature = DOMINANT[name]
+        lo, hi = BANDS[name][band]
+        m = (f >= lo) & (f <= hi)
+        out[feature] = f[m][p[:, m].argmax(1)] if m.any() else np.full(len(x), np.nan)
+    if name == "spo2":
+        out["total_variance"] = x.var(1)
     return out
 
 
-def bvp_features(x: np.ndarray, fs: float) -> dict[str, float]:
+def _rows(f, *matrices) -> dict[str, np.ndarray]:
+    """f of every row, as columns."""
+    got = [f(*r) for r in zip(*matrices, strict=True)]
+    return {k: np.array([g[k] for g in got], float) for k in got[0]} if got else {}
+
+
+def _long_enough(x: np.ndarray, fs: float) -> bool:
+    return x.shape[1] >= int(2 * fs)
+
+
+def bvp_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    """Beats of the 0.5 to 8 Hz band: rates and intervals (s; variability in ms), amplitudes, rise from the trough before, envelope."""
+    if not _long_enough(x, fs):
+        return {}
     y = s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), x)
-    peaks = s.find_peaks(y, 0.4 * fs, 0.3 * y.std())
-    rr = np.diff(peaks) / fs * 1000
-    drr = np.diff(rr)
-    amp = y[peaks]
-    rise = [(p - (a + int(np.argmin(y[a:p])))) / fs for a, p in zip(peaks[:-1], peaks[1:], strict=True)]
-    return {
-        "hr_mean": 60_000 / rr.mean() if len(rr) else math.nan, "peak_count": float(len(peaks)), "rr_mean": rr.mean() if len(rr) else math.nan,
-        "sdnn": rr.std(ddof=1) if len(rr) > 1 else math.nan, "rmssd": math.sqrt((drr**2).mean()) if len(drr) else math.nan,
-        "pnn20": (np.abs(drr) > 20).mean() if len(drr) else math.nan, "peak_amp_mean": amp.mean() if len(amp) else math.nan, "peak_amp_std": amp.std() if len(amp) else math.nan,
-        "risetime": float(np.mean(rise)) if rise else math.nan, "env_std": s.envelope(y).std(),
-    }
 
+    def beats(y: np.ndarray) -> dict[str, float]:
+        peaks = s.find_peaks(y, int(0.35 * fs), 0.3 * y.std())
+        out = dict.fromkeys(("peak_count", "rr_mean", "hr_mean", "sdnn", "rmssd", "pnn20", "peak_amp_mean", "peak_amp_std", "risetime_mean"), np.nan)
+        if len(peaks) < 2:
+            return out
+        rr = np.diff(peaks) / fs
+        out |= {"peak_count": len(peaks), "rr_mean": rr.mean(), "hr_mean": 60 / rr.mean(), "peak_amp_mean": y[peaks].mean(), "peak_amp_std": y[peaks].std()}
+        if len(rr) > 1:
+            step = np.diff(rr * 1000)
+            out |= {"sdnn": (rr * 1000).std(ddof=1), "rmssd": np.sqrt((step**2).mean()), "pnn20": (np.abs(step) > 20).mean()}
+        troughs = s.find_peaks(-y, int(0.3 * fs))
+        before = np.searchsorted(troughs, peaks) - 1
+        if (before >= 0).any():
+            out["risetime_mean"] = ((peaks - troughs[before]) / fs)[before >= 0].mean()
+        return out
+
+    return _rows(beats, y) | {"env_std": s.envelope(y).std(1)}
+
+
+def eda_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    """Tonic level below 0.05 Hz, and responses in what lies above."""
+    if not _long_enough(x, fs):
+        return {}
+    tonic, phasic = (s.filtfilt(*s.butter(2, *band, fs), x) for band in ((None, 0.05), (0.05, None)))
 
-def eda_features(x: np.ndarray, fs: float) -> dict[str, float]:
-    tonic = s.filtfilt(*s.butter(2, None, 0.05, fs), x)
-    ph = x - tonic
-    peaks = s.find_peaks(ph, 1.0 * fs, 0.01)
-    dur = len(x) / fs
-    return {"tonic_mean": tonic.mean(), "tonic_slope": s.slope(tonic, fs), "scr_count": float(len(peaks)), "scr_amp": ph[peaks].mean() if len(peaks) else 0.0, "scr_rate": len(peaks) / dur * 60, "phasic_auc": s.trapezoid(np.abs(ph), np.arange(len(x)) / fs), "range": np.ptp(x)}
+    def responses(y: np.ndarray) -> dict[str, float]:
+        peaks = s.find_peaks(y, int(fs), max(0.01, 0.1 * y.std()))
+        return {"scr_count": len(peaks), "scr_rate": len(peaks) / (len(y) / fs / 10), "scr_amp_mean": np.mean([s.peak_prominence(y, k) for k in peaks]) if len(peaks) else 0.0}
 
+    return _rows(responses, phasic) | {"tonic_mean": tonic.mean(1), "tonic_slope": s.slope(tonic, fs), "phasic_auc": s.trapezoid(np.abs(phasic), np.arange(x.shape[1])) / fs, "range": np.ptp(x, 1)}
 
-def resp_features(x: np.ndarray, fs: float) -> dict[str, float]:
-    y = s.filtfilt(*s.butter(2, 0.1, 0.5, fs), x)
-    peaks, troughs = s.find_peaks(y, 1.5 * fs, 0.2 * y.std()), s.find_peaks(-y, 1.5 * fs, 0.2 * y.std())
-    gap = np.diff(peaks) / fs
-    rate = 60 / gap.mean() if len(gap) else (60 / (len(x) / fs) if len(peaks) == 1 else 0.0)
-    ins = [(p - t[-1]) / fs for p in peaks if len(t := troughs[troughs < p])]
-    exp = [(t[0] - p) / fs for p in peaks if len(t := troughs[troughs > p])]
-    return {
-        "rate": rate, "interval_std": gap.std() if len(gap) > 1 else math.nan, "amp_mean": y[peaks].mean() if len(peaks) else math.nan, "amp_std": y[peaks].std() if len(peaks) else math.nan,
-        "ie_ratio": float(np.mean(ins) / np.mean(exp)) if ins and exp and np.mean(exp) > 0 else math.nan,
-    }
 
+def resp_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    """Breaths of the 0.1 to 0.5 Hz band: rate a minute, spread of intervals, heights above the mean trough, inhaling by exhaling time."""
+    if not _long_enough(x, fs):
+        return {}
 
-def spo2_features(x: np.ndarray, fs: float) -> dict[str, float]:
-    dips = s.find_peaks(-x)
-    dips = dips[x[dips] < x.mean() - 2]
-    return {"mean": x.mean(), "std": x.std(), "min": x.min(), "dip_magnitude": float((x.mean() - x[dips]).mean()) if len(dips) else 0.0, "dip_count": float(len(dips)), "slope": s.slope(x, fs)}
+    def breaths(y: np.ndarray) -> dict[str, float]:
+        least = max(1e-6, 0.1 * y.std())
+        peaks, troughs = s.find_peaks(y, int(fs), least), s.find_peaks(-y, int(fs), least)
+        out = {"rate": 0.0, "interval_std": np.nan, "amp_mean": np.nan, "amp_std": np.nan, "ie_ratio": np.nan}
+        if len(peaks) == 1:
+            out["rate"] = 60 / (len(y) / fs)
+        elif len(peaks):
+            gaps = np.diff(peaks) / fs
+            out |= {"rate": 60 / gaps.mean(), "interval_std": gaps.std()}
+        if len(peaks):
+            height = y[peaks] - (y[troughs].mean() if len(troughs) else 0.0)
+            out |= {"amp_mean": height.mean(), "amp_std": height.std()}
+        after = np.searchsorted(troughs, peaks)
+        both = (after > 0) & (after < len(troughs))
+        if both.any():
+            p, a = peaks[both], after[both]
+            out["ie_ratio"] = np.median((p - troughs[a - 1]) / (troughs[a] - p))
+        return out
+
+    return _rows(breaths, s.filtfilt(*s.butter(2, 0.1, 0.5, fs), x))
+
+
+def spo2_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    """Level, depth of the lowest point, and dips of more than two below the mean."""
+    if x.shape[1] < 10:
+        return {}
+    mean = x.mean(1)
+    dips = [float((m - r[s.find_peaks(-r, int(0.5 * fs))] > 2).sum()) for r, m in zip(x, mean, strict=True)]
+    return {"mean": mean, "std": x.std(1), "min": x.min(1), "dip_magnitude": mean - x.min(1), "dip_count": np.array(dips), "slope": s.slope(x, fs)}
 
 
-def coupling(bvp: np.ndarray, resp: np.ndarray, fs: float) -> float:
+def coupling(bvp: np.ndarray, resp: np.ndarray, fs: float) -> np.ndarray:
     """Correlation of the BVP envelope and the breathing band, from three seconds on."""
-    n = min(len(bvp), len(resp))
-    if n < 3 * fs:
-        return math.nan
-    env = s.envelope(s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), bvp[:n]))
-    band = s.filtfilt(*s.butter(2, 0.1, 0.5, fs), resp[:n])
-    return float(np.corrcoef(env, band)[0, 1]) if env.std() > 0 and band.std() > 0 else math.nan
+    n = min(bvp.shape[1], resp.shape[1])
+    if n < int(3 * fs):
+        return np.full(len(bvp), np.nan)
+    env = s.envelope(s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), bvp[:, :n]))
+    band = s.filtfilt(*s.butter(2, 0.1, 0.5, fs), resp[:, :n])
+    a, b = env - env.mean(1, keepdims=True), band - band.mean(1, keepdims=True)
+    flat = (a.std(1) < 1e-12) | (b.std(1) < 1e-12)
+    return np.where(flat, np.nan, _ratio((a * b).sum(1), np.sqrt((a * a).sum(1) * (b * b).sum(1))))
 
 
 PHYSIO = {"bvp": bvp_features, "eda": eda_features, "resp": resp_features, "spo2": spo2_features}
 
 
-def segment_features(signals: dict[str, np.ndarray], fs: float) -> tuple[dict[str, float], dict[str, str]]:
-    """All features of a segment, prefixed physio_, tf_ and raw_ so that no names meet in any case, and each family's status."""
-    out: dict[str, float] = {}
-    status: dict[str, str] = {}
-    filled = {k: s.strip_and_fill(v) for k, v in signals.items()}
-    for name, x in filled.items():
-        for family, f in (("raw", lambda: raw_stats(x)), ("tf", lambda: time_features(x) | frequency_features(x, fs, BANDS[name])), ("physio", lambda: PHYSIO[name](x, fs))):
-            try:
-                got = f()
-                status[f"{family}_{name}"] = "ok" if got else "short"
-            except (ValueError, IndexError, ZeroDivisionError, np.linalg.LinAlgError):
-                got = {}
-                status[f"{family}_{name}"] = "failed"
-            out |= {f"{family}_{name}_{k}": float(v) for k, v in got.items()}
+def by_length(rows: list[np.ndarray], f):
+    """(indices, f of them as a matrix) for all rows of each length. A matrix that fails is tried row by row; a row that fails gives None."""
+    lengths = np.array([len(r) for r in rows])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        try:
+            yield at, f(np.stack([rows[i] for i in at]))
+        except (ValueError, IndexError, ZeroDivisionError, FloatingPointError, np.linalg.LinAlgError):
+            for i in at:
+                try:
+                    yield at[at == i], f(rows[i][None])
+                except (ValueError, IndexError, ZeroDivisionError, FloatingPointError, np.linalg.LinAlgError):
+                    yield at[at == i], None
+
+
+def segment_features(signals: dict[str, list], fs: float):
+    """Of segments with these recordings: (feature, segment indices, values), prefixed raw_, tf_ and physio_, and (status, indices) of each family: ok, short or failed."""
+    values, states = [], []
+    filled = {k: [s.strip_and_fill(v) for v in rows] for k, rows in signals.items()}
+    for name, rows in filled.items():
+        families = {"raw": raw_stats, "tf": lambda x: time_features(x) | frequency_features(x, fs, name), "physio": lambda x: PHYSIO[name](x, fs)}  # noqa: B023
+        for family, f in families.items():
+            for at, got in by_length(rows, f):
+                states.append((f"{family}_{name}={'failed' if got is None else 'ok' if got else 'short'}", at))
+                values += [(f"{family}_{name}_{k}", at, v) for k, v in (got or {}).items()]
     if "bvp" in filled and "resp" in filled:
-        out["physio_bvp_resp_envcorr"] = coupling(filled["bvp"], filled["resp"], fs)
-    return {k: v for k, v in out.items() if math.isfinite(v)}, status
-
-
-def subwindow_features(x: np.ndarray, fs: float) -> dict[str, float]:
-    """Statistics of one sub-window."""
-    if len(x) < 4:
-        return {}
-    c, std, med = x - x.mean(), x.std(), np.median(x)
+        n = [min(len(a), len(b)) for a, b in zip(filled["bvp"], filled["resp"], strict=True)]
+        pairs = [np.concatenate([a[:k], b[:k]]) for a, b, k in zip(filled["bvp"], filled["resp"], n, strict=True)]
+        for at, got in by_length(pairs, lambda x: coupling(*np.hsplit(x, 2), fs)):
+            if got is not None:
+                values.append(("physio_bvp_resp_envcorr", at, got))
+    return values, states
+
+
+def subwindow_features(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Compact statistics of sub-windows; 0 for windows of fewer than three samples. pos_frac: samples above the mean; slope: a sample."""
+    k, n = x.shape
+    if n < 3:
+        return dict.fromkeys(("mean", "std", "slope", "range", "ptp", "rms", "median", "mad", "pos_frac", "ac1", "skew"), np.zeros(k))
+    mean, std, m3, _ = _centred_moments(x)
+    c, med = x - mean[:, None], np.median(x, 1)
     return {
-        "mean": x.mean(), "std": std, "slope": s.slope(x, fs), "range": np.ptp(x), "ptp": np.ptp(np.diff(x)), "rms": math.sqrt((x**2).mean()), "median": med, "mad": np.median(np.abs(x - med)),
-        "pos_frac": (np.diff(x) > 0).mean(), "ac1": float((c[1:] * c[:-1]).sum() / (c * c).sum()) if std > 0 else math.nan, "skew": (c**3).mean() / std**3 if std > 0 else math.nan,
+        "mean": mean, "std": std, "slope": s.slope(x), "range": np.ptp(x, 1), "ptp": np.ptp(x, 1), "rms": np.sqrt((x**2).mean(1)), "median": med, "mad": np.median(np.abs(x - med[:, None]), 1),
+        "pos_frac": (x > mean[:, None]).mean(1), "ac1": _ratio((c[:, 1:] * c[:, :-1]).sum(1), (c * c).sum(1), 0.0), "skew": np.where(std > 1e-8, m3, 0.0),
     }

@@ -72,24 +72,34 @@ def subwindows(df: DataFrame, samples: str, n: int) -> DataFrame:
 
 
 def hjorth(a: Column) -> Column:
-    """struct(activity, mobility, complexity)."""
+    """struct(activity, mobility, complexity); the latter two null without movement."""
 
     def of(d1: Column, d2: Column) -> Column:
         v0, v1, v2 = var_pop(a), var_pop(d1), var_pop(d2)
         ok = (v0 > 0) & (v1 > 0)
         mob = F.sqrt(v1 / F.when(ok, v0))
-        return F.struct(v0.alias("activity"), F.coalesce(mob, F.lit(0.0)).alias("mobility"), F.coalesce(F.sqrt(v2 / F.when(ok, v1)) / mob, F.lit(0.0)).alias("complexity"))
+        return F.struct(v0.alias("activity"), mob.alias("mobility"), (F.sqrt(v2 / F.when(ok, v1)) / mob).alias("complexity"))
 
     return bind(diff(a), lambda d1: bind(diff(d1), lambda d2: of(d1, d2)))
 
 
+def change_rate(flags: Column) -> Column:
+    """Share of neighbours in a boolean array that differ."""
+    return mean(F.filter(F.transform(flags, lambda x, i: (F.get(flags, i + 1) != x).cast("double")), lambda v: v.isNotNull()))
+
+
 def zero_cross_rate(a: Column) -> Column:
-    neg = lambda x: (x < 0).cast("int")
-    return mean(F.filter(F.transform(a, lambda x, i: F.abs(neg(F.get(a, i + 1)) - neg(x)).cast("double")), lambda v: v.isNotNull()))
+    """Changes of sign about the mean."""
+    return bind(mean(a), lambda m: bind(F.transform(a, lambda x: x - m < 0), change_rate))
+
+
+def mean_cross_rate(a: Column) -> Column:
+    """Changes between above the mean and not above it."""
+    return bind(mean(a), lambda m: bind(F.transform(a, lambda x: x > m), change_rate))
 
 
 def petrosian(a: Column) -> Column:
-    turns = bind(diff(a), lambda d: F.size(F.filter(F.transform(d, lambda x, i: x * F.get(d, i + 1)), lambda v: v < 0)))
+    turns = bind(F.transform(diff(a), lambda x: x < 0), lambda d: F.size(F.filter(F.transform(d, lambda x, i: F.get(d, i + 1) != x), lambda v: v)))
     n = F.size(a).cast("double")
     return F.when(n >= 3, F.log10(n) / (F.log10(n) + F.log10(n / (n + 0.4 * turns))))
 
@@ -139,25 +149,66 @@ def dft_power(a: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), power)
 
 
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """df over all cores: segments are short to read and long to work on, so one input split may hold very many."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *key) if df.rdd.getNumPartitions() < n else df
+
+
+def _arrays(column: pd.Series) -> list[np.ndarray]:
+    return [np.asarray(a if a is not None else [], float) for a in column]
+
+
 def extract(df: DataFrame, key: list[str], signals: dict[str, str], fs: float) -> DataFrame:
     """(key, feature, value) and status rows (value null, feature "status:<family>=<state>") of every segment, over Arrow batches.
 
     signals: name (bvp, eda, resp, spo2) -> array column. A long table, so that names need no agreement beforehand.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    columns = list(signals.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                ids, arrays = row[: len(key)], row[len(key) :]
-                got, status = fx.segment_features({n: np.asarray(a if a is not None else [], float) for n, a in zip(signals, arrays, strict=True)}, fs)
-                out += [(*ids, k, v) for k, v in got.items()] + [(*ids, f"status:{k}={v}", None) for k, v in status.items()]
-            yield pd.DataFrame(out, columns=[*key, "feature", "value"])
+            values, states = fx.segment_features({n: _arrays(b[c]) for n, c in signals.items()}, fs)
+            parts = [(f, at[np.isfinite(v)], v[np.isfinite(v)]) for f, at, v in values] + [(f"status:{s}", at, np.full(len(at), np.nan)) for s, at in states]
+            at = np.concatenate([p[1] for p in parts])
+            out = b[key].iloc[at].reset_index(drop=True)
+            value = pd.Series(np.concatenate([p[2] for p in parts]), dtype="Float64")
+            yield out.assign(feature=np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]), value=value.where(value.notna(), None))
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", feature string, value double"
-    return df.select(*key, *columns).mapInPandas(run, schema)
+    return spread(df.select(*key, *dict.fromkeys(signals.values())), key).mapInPandas(run, schema)
+
+
+def features(df: DataFrame, key: list[str], samples: str, f, names: list[str]) -> DataFrame:
+    """key and the named features of f (a matrix of equally long rows -> name -> values) as columns; NaN becomes null."""
+    kinds = {c.name: c.dataType.simpleString() for c in df.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = np.full((len(b), len(names)), np.nan)
+            for at, got in fx.by_length(_arrays(b[samples]), f):
+                for k, name in enumerate(names):
+                    if got and name in got:
+                        out[at, k] = got[name]
+            yield pd.concat([b[key].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + "".join(f", `{n}` double" for n in names)
+    out = spread(df.select(*key, samples), key).mapInPandas(run, schema)
+    return out.select(*key, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
+
+
+def map_matrix(c: Column, f) -> Column:
+    """A numpy function of matrices, over arrays of equal length at once, by Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        out = np.empty(len(s), object)
+        for at, got in fx.by_length(_arrays(s), f):
+            for i, row in zip(at, got if got is not None else [None] * len(at), strict=True):
+                out[i] = row
+        return pd.Series(out, index=s.index).where(s.notna(), None)
+
+    return run(c)
 
 
 def map_array(c: Column, f) -> Column:
@@ -170,11 +221,26 @@ def map_array(c: Column, f) -> Column:
     return run(c)
 
 
+def map_pair(a: Column, b: Column, f) -> Column:
+    """A numpy function of two array columns, by Arrow batches; NaN becomes null."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or v is None else [float(r) for r in f(np.asarray(u, float), np.asarray(v, float))] for u, v in zip(x, y, strict=True)])
+
+    return F.transform(run(a, b), lambda v: F.nanvl(v, F.lit(None).cast("double")))
+
+
 def psd(c: Column, fs: float, size: int = 256, overlap: int = 128) -> Column:
+    """struct(f, p): Welch's power spectral density."""
+
     @F.pandas_udf("f array<double>, p array<double>")
     def run(s: pd.Series) -> pd.DataFrame:
-        got = [sg.welch(np.asarray(a, float), fs, size, overlap) for a in s]
-        return pd.DataFrame({"f": [list(f) for f, _ in got], "p": [list(p) for _, p in got]})
+        out = pd.DataFrame({"f": np.empty(len(s), object), "p": np.empty(len(s), object)})
+        for at, (f, p) in fx.by_length(_arrays(s), lambda x: sg.welch(x, fs, size, overlap)):
+            for i, row in zip(at, p, strict=True):
+                out.at[i, "f"], out.at[i, "p"] = f, row
+        return out
 
     return run(c)
 
@@ -184,3 +250,17 @@ def position_means(df: DataFrame, by: list[str], samples: str) -> DataFrame:
     x = df.select(*by, F.posexplode(samples).alias("pos", "x"))
     out = x.groupBy(*by, "pos").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))
     return out.withColumn("sem", F.col("sd") / F.sqrt(F.when(F.col("n") > 0, F.col("n")))).drop("sd")
+
+
+def baseline_normalised(df: DataFrame, baseline: Column, samples: str = "samples", by: str = "subject", floor: float | None = None) -> DataFrame:
+    """df with samples as deviations from all of the group's baseline samples; null where these are fewer than ten or flat.
+
+    floor: samples at or below it do not count for the baseline, and segments that hold one below it, or hardly move, become null.
+    """
+    x = df.filter(baseline).select(by, F.explode(samples).alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.lit(True) if floor is None else F.col("x") > floor))
+    stats = x.groupBy(by).agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"), F.count("x").alias("__n"))
+    out = df.join(stats, by, "left")
+    ok = (F.col("__n") >= 10) & (F.col("__s") >= 1e-6)
+    if floor is not None:
+        ok = ok & ~F.exists(samples, lambda v: v < floor) & (F.sqrt(var_pop(F.col(samples))) >= 1e-6)
+    return out.withColumn(samples, F.when(ok, F.transform(samples, lambda v: (v - F.col("__m")) / F.col("__s")))).drop("__m", "__s", "__n")
