@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,60 @@ def normal_two_sided(z: Column) -> Column:
     return run(z)
 
 
+#: Rows of the larger class up to which the exact distribution of U is computed.
+MOST_EXACT = 10_000
+
+
+@lru_cache(maxsize=256)
+def _wilcoxon_counts(n: int) -> np.ndarray:
+    """How many sets of signs give each sum of positive ranks, as a share of all."""
+    out = np.zeros(n * (n + 1) // 2 + 1)
+    out[0] = 1.0
+    for i in range(1, n + 1):
+        out[i:] = out[i:] + out[:-i]
+    return out / 2.0**n
+
+
+@lru_cache(maxsize=256)
+def _mann_whitney_counts(a: int, b: int) -> np.ndarray:
+    """How many orders of a and b rows give each U, as a share of all: the Gaussian binomial coefficients, term by term."""
+    a, b = min(a, b), max(a, b)
+    out = np.zeros(a * b + 1)
+    out[0] = 1.0
+    for i in range(1, a + 1):
+        if b + i <= a * b:
+            out[b + i :] -= out[: -(b + i)].copy()
+        for k in range(i, len(out)):
+            out[k] += out[k - i]
+    return out / out.sum()
+
+
+def wilcoxon_exact(n: int, w: float) -> float:
+    """Two-sided p of the lesser rank sum w of n differences without zeros and ties."""
+    return float(min(1.0, 2 * _wilcoxon_counts(n)[: math.floor(w) + 1].sum()))
+
+
+def mann_whitney_exact(a: int, b: int, u: float) -> float:
+    """Two-sided p of U without ties."""
+    return float(min(1.0, 2 * _mann_whitney_counts(a, b)[math.ceil(max(u, a * b - u)) :].sum()))
+
+
+def wilcoxon_p(n: Column, w: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(n: pd.Series, w: pd.Series) -> pd.Series:
+        return _each(lambda n, w: wilcoxon_exact(int(n), w) if n <= 50 else math.nan, n, w)
+
+    return run(n, w)
+
+
+def mann_whitney_p(n1: Column, n2: Column, u: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, u: pd.Series) -> pd.Series:
+        return _each(lambda a, b, u: mann_whitney_exact(int(a), int(b), u) if min(a, b) <= 8 and max(a, b) <= MOST_EXACT else math.nan, a, b, u)
+
+    return run(n1, n2, u)
+
+
 def percent_point(p: float) -> float:
     """The standard normal quantile, by bisection."""
     lo, hi = -40.0, 40.0

@@ -11,9 +11,19 @@ from tidewell.functions.columns import ratio
 FEATURE = ["feature"]
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1 within by, ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+def ranked_counts(df: DataFrame, by: list[str], value: str, others: list[str] | None = None) -> DataFrame:
+    """(by, others, value, n, t, r): counts of distinct values, t rows of the value in all, r their rank from 1, ties sharing their mean rank.
+
+    Rows are counted before they are shuffled, so what is sorted within by is distinct values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, *(others or []), value).agg(F.count(F.lit(1)).alias("n"))
+    t = F.sum("n").over(Window.partitionBy(*by, value))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))  # by value, so with all rows of equal value
+    return counts.withColumn("t", t).withColumn("r", upto - F.col("t") + (F.col("t") + 1) / 2.0)
+
+
+def _ties() -> Column:
+    return F.sum(F.col("n") * (F.col("t").cast("double") * F.col("t") - 1.0))
 
 
 def anova(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
@@ -30,8 +40,8 @@ def anova(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: s
 
 def kruskal(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
     """(by, h, p) with the correction for ties."""
-    r = long.filter(F.col(value).isNotNull()).select(*by, cls, value, average_rank(by, value).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("t"))
-    groups = r.groupBy(*by, cls).agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("t") * F.col("t") - 1.0).alias("ties"))
+    r = ranked_counts(long, by, value, [cls])
+    groups = r.groupBy(*by, cls).agg(_ties().alias("ties"), F.sum(F.col("n") * F.col("r")).alias("s"), F.sum("n").alias("n"))
     t = groups.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"))
     n = F.col("n").cast("double")
     h = 12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
@@ -47,17 +57,17 @@ def levene(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value:
 
 
 def mann_whitney(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
-    """(by, n1, n2, u, delta, p): U of class a, Cliff's delta, and the tie-corrected normal approximation with continuity correction."""
-    x = long.filter(F.col(cls).isin(a, b) & F.col(value).isNotNull())
-    x = x.select(*by, cls, average_rank(by, value).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("t"))
-    t = x.groupBy(*by).agg(F.count_if(F.col(cls) == a).alias("n1"), F.count_if(F.col(cls) == b).alias("n2"), F.sum(F.when(F.col(cls) == a, F.col("r"))).alias("s"), F.sum(F.col("t") * F.col("t") - 1.0).alias("ties"))
+    """(by, n1, n2, u, delta, p): U of class a, Cliff's delta, and p: exact without ties if a class has at most eight rows, else the tie-corrected normal approximation with continuity correction."""
+    x = ranked_counts(long.filter(F.col(cls).isin(a, b)), by, value, [cls])
+    of = lambda k, v: F.coalesce(F.sum(F.when(F.col(cls) == k, v)), F.lit(0))
+    t = x.groupBy(*by).agg(of(a, F.col("n")).alias("n1"), of(b, F.col("n")).alias("n2"), of(a, F.col("n") * F.col("r")).alias("s"), _ties().alias("ties"))
     t = t.filter("n1 > 0 and n2 > 0")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     t = t.withColumn("u", F.col("s") - n1 * (n1 + 1) / 2)
     sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * F.greatest(n - 1, F.lit(1.0)))))
     z = ratio(F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
-    return t.select(*by, "n1", "n2", "u", (2 * F.col("u") / (n1 * n2) - 1).alias("delta"), special.normal_two_sided(z).alias("p"))
+    return t.select(*by, "n1", "n2", "u", (2 * F.col("u") / (n1 * n2) - 1).alias("delta"), F.when((F.least(n1, n2) <= 8) & (F.greatest(n1, n2) <= special.MOST_EXACT) & (F.col("ties") == 0), special.mann_whitney_p(n1, n2, F.col("u"))).otherwise(special.normal_two_sided(z)).alias("p"))
 
 
 def cliffs_delta(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
@@ -66,17 +76,18 @@ def cliffs_delta(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls:
 
 
 def wilcoxon(pairs: DataFrame, by: list[str] = FEATURE, a: str = "a", b: str = "b") -> DataFrame:
-    """(by, n, w, rank_biserial, p) of paired columns: zero differences dropped, normal approximation with tie correction."""
-    d = pairs.withColumn("__d", F.col(a) - F.col(b)).filter("__d <> 0").withColumn("__a", F.abs("__d"))
-    d = d.select(*by, "__d", average_rank(by, "__a").alias("r"), F.count(F.lit(1)).over(Window.partitionBy(*by, "__a")).alias("t"))
-    t = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("__d") > 0, F.col("r"))), F.lit(0.0)).alias("up"), F.coalesce(F.sum(F.when(F.col("__d") < 0, F.col("r"))), F.lit(0.0)).alias("down"), F.sum(F.col("t") * F.col("t") - 1.0).alias("ties")
-    )
+    """(by, n, w, rank_biserial, p) of paired columns: zero differences dropped; p exact for up to 50 differences without zeros and ties, else the normal approximation with tie correction."""
+    d = pairs.select(*by, (F.col(a) - F.col(b)).alias("__d")).filter("__d is not null")
+    d = d.withColumns({"__a": F.abs("__d"), "__up": F.col("__d") > 0})
+    zeros = d.groupBy(*by).agg(F.count_if(F.col("__d") == 0).alias("zeros"))
+    r = ranked_counts(d.filter("__d <> 0"), by, "__a", ["__up"])
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("n") * F.col("r"))), F.lit(0.0))
+    t = r.groupBy(*by).agg(side(F.col("__up")).alias("up"), side(~F.col("__up")).alias("down"), _ties().alias("ties"), F.sum("n").alias("n")).join(zeros, by)
     n = F.col("n").cast("double")
     w = F.least("up", "down")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = ratio(F.abs(w - n * (n + 1) / 4), sd)
-    return t.select(*by, "n", w.alias("w"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2)).alias("rank_biserial"), special.normal_two_sided(z).alias("p"))
+    return t.select(*by, "n", w.alias("w"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2)).alias("rank_biserial"), F.when((F.col("n") <= 50) & (F.col("zeros") == 0) & (F.col("ties") == 0), special.wilcoxon_p(n, w)).otherwise(special.normal_two_sided(z)).alias("p"))
 
 
 def paired_by_feature(means: DataFrame, a: str, b: str, subject: str = "subject", cls: str = "class", value: str = "value") -> DataFrame:
@@ -84,6 +95,28 @@ def paired_by_feature(means: DataFrame, a: str, b: str, subject: str = "subject"
     return means.groupBy("feature", subject).agg(of(a).alias("a"), of(b).alias("b")).filter("a is not null and b is not null")
 
 
+def kuiper(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
+    """(by, v): greatest excess of either class's distribution function over the other, summed; by counts of distinct values."""
+    x = long.filter(F.col(cls).isin(a, b) & F.col(value).isNotNull())
+    c = x.groupBy(*by, value).agg(F.count_if(F.col(cls) == a).alias("a"), F.count_if(F.col(cls) == b).alias("b"))
+    upto, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
+    share = lambda k: F.sum(k).over(upto) / F.when(F.sum(k).over(whole) > 0, F.sum(k).over(whole))
+    d = c.withColumn("d", share("a") - share("b"))
+    return d.groupBy(*by).agg((F.greatest(F.max("d"), F.lit(0.0)) + F.greatest(F.max(-F.col("d")), F.lit(0.0))).alias("v"))
+
+
+def mutual_information(df: DataFrame, x: str, y: str, bins: int = 16) -> DataFrame:
+    """(mi): of the two-dimensional histogram over both ranges, in nats. The histogram has bins * bins cells at most."""
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(1.0) * bins), F.lit(bins - 1))
+    cells = rows.crossJoin(F.broadcast(ends)).groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.count(F.lit(1)).alias("n"))  # ends: one row
+    everything = Window.partitionBy()
+    cells = cells.withColumn("p", F.col("n") / F.sum("n").over(everything))
+    outer = F.sum("p").over(Window.partitionBy("i")) * F.sum("p").over(Window.partitionBy("j"))
+    return cells.withColumn("t", F.col("p") * F.log(F.col("p") / outer)).agg(F.sum("t").alias("mi"))
+
+
 def fdr(df: DataFrame, p: str = "p", out: str = "q", by: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg: the running minimum from the greatest p of p * m / rank, at most 1; null p stay null."""
     part = [*(by or []), F.col(p).isNotNull()]
@@ -95,16 +128,95 @@ def fdr(df: DataFrame, p: str = "p", out: str = "q", by: list[str] | None = None
     return raw.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__v").over(back)))).drop("__m", "__r", "__v")
 
 
+def with_fdr(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """df with <p>_fdr and <test>_signif for each column of p values <test>_p...; one row a feature, so one task holds all."""
+    for p in columns:
+        df = fdr(df, p, f"{p}_fdr").withColumn(p.replace("_p", "", 1) + "_signif", F.coalesce(F.col(f"{p}_fdr") <= alpha, F.lit(False)))
+    return df
+
+
 def battery(means: DataFrame, classes: tuple[str, str, str]) -> DataFrame:
-    """One row a feature: ANOVA, Kruskal-Wallis, Levene, three Mann-Whitney and three Wilcoxon tests on subject means."""
+    """One row a feature: ANOVA, Kruskal-Wallis, Levene, three Mann-Whitney and three Wilcoxon tests on subject means, with FDR of all but Levene's."""
     c0, c1, c2 = classes
     out = anova(means).withColumnsRenamed({"f": "anova_f", "p": "anova_p"}).drop("k", "n")
     out = out.join(kruskal(means).withColumnsRenamed({"h": "kruskal_h", "p": "kruskal_p"}), "feature").join(levene(means).withColumnsRenamed({"w": "levene_w", "p": "levene_p"}), "feature")
+    tests = ["anova_p", "kruskal_p"]
     for x, y in ((c0, c1), (c0, c2), (c1, c2)):
         mw = mann_whitney(means, x, y).select("feature", F.col("u").alias(f"u_{x}_{y}"), F.col("delta").alias(f"delta_{x}_{y}"), F.col("p").alias(f"mwu_p_{x}_{y}"))
         wx = wilcoxon(paired_by_feature(means, x, y)).select("feature", F.col("w").alias(f"w_{x}_{y}"), F.col("rank_biserial").alias(f"rbc_{x}_{y}"), F.col("p").alias(f"wilcoxon_p_{x}_{y}"))
         out = out.join(mw, "feature", "left").join(wx, "feature", "left")
-    return out
+        tests += [f"mwu_p_{x}_{y}", f"wilcoxon_p_{x}_{y}"]
+    return with_fdr(out, tests)
+
+
+def pain_table(means: DataFrame, rest: str = "NoPain") -> DataFrame:
+    """Subject means, the other classes pooled by their mean, against rest: means, ANOVA, paired Wilcoxon, delta, FDR and direction of every feature."""
+    other = means.filter(F.col("class") != rest).groupBy("feature", "subject").agg(F.avg("value").alias("value")).withColumn("class", F.lit("Pain"))
+    both = other.unionByName(means.filter(F.col("class") == rest).select("feature", "subject", "value", "class"))
+    at = lambda k: F.when(F.col("class") == k, F.col("value"))
+    out = both.groupBy("feature").agg(F.avg(at("Pain")).alias("mean_pain"), F.avg(at(rest)).alias("mean_rest"), F.least(F.count(at("Pain")), F.count(at(rest))).alias("n_subjects"))
+    out = out.join(anova(both).select("feature", F.col("f").alias("anova_f"), F.col("p").alias("anova_p"), "eta2"), "feature", "left")
+    paired = wilcoxon(paired_by_feature(both, "Pain", rest)).select("feature", F.col("w").alias("wilcoxon_w"), F.col("p").alias("wilcoxon_p"), F.col("rank_biserial").alias("wilcoxon_rb"))
+    out = out.join(paired, "feature", "left").join(cliffs_delta(both, "Pain", rest), "feature", "left")
+    return with_fdr(out, ["anova_p", "wilcoxon_p"]).withColumn("direction", F.when(F.col("mean_pain") > F.col("mean_rest"), f"Pain > {rest}").otherwise(f"Pain < {rest}"))
+
+
+def pair_table(means: DataFrame, a: str, b: str) -> DataFrame:
+    """Subjects' means in two classes, of subjects with both: paired Wilcoxon, Mann-Whitney, delta, FDR and direction of every feature."""
+    both = paired_by_feature(means, a, b)
+    long = both.select("feature", F.inline(F.array(F.struct(F.lit(a).alias("class"), F.col("a").alias("value")), F.struct(F.lit(b).alias("class"), F.col("b").alias("value")))))
+    at = lambda k: F.avg(F.when(F.col("class") == k, F.col("value")))
+    out = means.groupBy("feature").agg(at(a).alias("mean_a"), at(b).alias("mean_b")).join(both.groupBy("feature").agg(F.count(F.lit(1)).alias("n_subjects")), "feature")
+    paired = wilcoxon(both).select("feature", F.col("w").alias("wilcoxon_w"), F.col("p").alias("wilcoxon_p"), F.col("rank_biserial").alias("wilcoxon_rb"))
+    out = out.join(paired, "feature", "left").join(mann_whitney(long, a, b).select("feature", F.col("u").alias("mw_u"), F.col("p").alias("mw_p"), "delta"), "feature", "left")
+    return with_fdr(out, ["wilcoxon_p", "mw_p"]).withColumn("direction", F.when(F.col("mean_a") > F.col("mean_b"), f"{a} > {b}").otherwise(f"{a} < {b}"))
+
+
+def significant_counts(tests: DataFrame, by: list[str], effect: str, p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """(by, n, mean_effect, n_significant) of tests."""
+    return tests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(effect).alias("mean_effect"), F.count_if(F.col(p) < alpha).alias("n_significant"))
+
+
+def percent_rank_mean(column: str) -> Column:
+    """Rank as a share of all rows that have a value, ties sharing their mean rank; over rows of subjects, in one task."""
+    some = F.col(column).isNotNull()
+    rank = F.rank().over(Window.partitionBy(some).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(some, column)) - 1) / 2.0
+    return F.when(some, rank / F.count(F.lit(1)).over(Window.partitionBy(some)))
+
+
+def responder_scores(df: DataFrame, columns: list[str], rest: str = "NoPain", subject: str = "subject", cls: str = "class") -> DataFrame:
+    """Of subjects with two rows or more at rest and otherwise: how far and how consistently they differ, as weighted ranks, and flags.
+
+    separability: mean absolute standardized difference; sign_consistency: share of features with the sign of the median subject.
+    """
+    long = df.unpivot([subject, cls], columns, "feature", "value")
+    at = lambda c: F.when(c, F.col("value"))
+    still, moved = F.col(cls) == rest, F.col(cls) != rest
+    g = long.groupBy(subject, "feature").agg(F.avg(at(moved)).alias("m1"), F.avg(at(still)).alias("m0"), F.var_samp(at(moved)).alias("v1"), F.var_samp(at(still)).alias("v0"), F.count_if(moved).alias("n1"), F.count_if(still).alias("n0"))
+    pooled = F.sqrt((F.col("v1") + F.col("v0")) / 2)
+    d = g.filter("n1 >= 2 and n0 >= 2").withColumn("d", (F.col("m1") - F.col("m0")) / F.when(pooled > 1e-8, pooled).otherwise(1.0))
+    consensus = d.groupBy("feature").agg(F.signum(F.median("d")).alias("consensus"))
+    d = d.join(F.broadcast(consensus), "feature")  # a row for each feature
+    out = d.groupBy(subject).agg(F.avg(F.abs("d")).alias("separability"), F.avg((F.signum("d") == F.col("consensus")).cast("double")).alias("sign_consistency"))
+    out = out.withColumns({"sep_rank": percent_rank_mean("separability"), "sign_rank": percent_rank_mean("sign_consistency")})
+    out = out.withColumn("responder_score", 0.6 * F.col("sep_rank") + 0.4 * F.col("sign_rank"))
+    return out.withColumns({"low_separability": F.col("sep_rank") < 0.2, "sign_flipper": F.col("sign_consistency") < 0.5, "non_responder": F.col("responder_score") < 0.25})
+
+
+def compare_groups(subjects: DataFrame, metrics: list[str], easy: Column, hard: Column) -> DataFrame:
+    """(metric, hard_mean, hard_median, easy_mean, easy_median, delta_mean, cliffs_delta) of metrics that both groups of subjects have."""
+    side = F.when(easy, "easy").when(hard, "hard")
+    long = subjects.withColumn("class", side).filter("class is not null").unpivot(["class"], metrics, "feature", "value").filter("value is not null")
+    at = lambda k: F.when(F.col("class") == k, F.col("value"))
+    out = long.groupBy("feature").agg(*[f(at(k)).alias(f"{k}_{n}") for k in ("hard", "easy") for n, f in (("mean", F.avg), ("median", F.median))])
+    out = out.join(cliffs_delta(long, "easy", "hard"), "feature").withColumn("delta_mean", F.col("easy_mean") - F.col("hard_mean"))
+    return out.withColumnsRenamed({"feature": "metric", "delta": "cliffs_delta"})
+
+
+def signal_quality(df: DataFrame, columns: dict[str, list[str]], subject: str = "subject") -> DataFrame:
+    """(subject, <modality>_signal_std): mean over a modality's columns of their means; 0 for a modality without columns."""
+    mean = lambda cs: sum((F.avg(c) for c in cs[1:]), F.avg(cs[0])) / len(cs) if cs else F.lit(0.0)
+    return df.groupBy(subject).agg(*[mean(cs).alias(f"{m}_signal_std") for m, cs in columns.items()])
 
 
 def cohens_d(df: DataFrame, columns: list[str], a: str, b: str, subject: str = "subject", cls: str = "class") -> DataFrame:
@@ -116,6 +228,14 @@ def cohens_d(df: DataFrame, columns: list[str], a: str, b: str, subject: str = "
     return g.select(subject, "feature", ratio(F.col("m1") - F.col("m2"), pooled).alias("d"))
 
 
+def separability(d: DataFrame, subject: str = "subject") -> DataFrame:
+    """Of each subject's absolute d over the features: mean, median, and mean of the greatest tenth (one at least)."""
+    per = Window.partitionBy(subject)
+    place = F.row_number().over(per.orderBy(F.desc("a"), "feature"))
+    d = d.filter("d is not null").withColumn("a", F.abs("d")).withColumn("top", place <= F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(per) / 10)))
+    return d.groupBy(subject).agg(F.avg("a").alias("mean"), F.median("a").alias("median"), F.avg(F.when(F.col("top"), F.col("a"))).alias("top_mean"))
+
+
 def sign_consistency(means: DataFrame, a: str, b: str) -> DataFrame:
     """(feature, consensus, consistency, n): how many subjects' differences have the sign of the median difference."""
     d = paired_by_feature(means, a, b).withColumn("d", F.col("a") - F.col("b"))

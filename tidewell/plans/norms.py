@@ -97,10 +97,10 @@ def norm_winsorize(spark, d):
     return one(normalize.winsorize(segments(spark, d), [V], F.col("split") == "train"))
 
 
-@query("norm_channel_z", SIG + ", e AS (SELECT class, unnest(samples) AS x FROM sig), m AS (SELECT class, avg(x) m, stddev_pop(x) s FROM e GROUP BY class)\n--\nSELECT segment_id, list_sum(list_transform(samples[1:5], lambda x: (x - m) / s)) AS head FROM sig JOIN m USING (class)", "head", "segment_id")
+@query("norm_channel_z", SIG + ", e AS (SELECT class, unnest(samples) AS x FROM sig), m AS (SELECT class, avg(x) m, stddev_pop(x) s FROM e GROUP BY class)\n--\nSELECT segment_id, list_sum(list_transform(range(1, len(samples) + 1), lambda i: i * (samples[i] - m) / s)) AS digest FROM sig JOIN m USING (class)", "digest", "segment_id")
 def norm_channel_z(spark, d):
     z = normalize.array_z(signals(spark, d), "samples", ["class"])
-    return z.select("segment_id", F.aggregate(F.slice("samples", 1, 5), F.lit(0.0), lambda a, b: a + b).alias("head"))
+    return z.select("segment_id", F.aggregate(F.transform("samples", lambda x, i: (i + 1) * x), F.lit(0.0), lambda a, b: a + b).alias("digest"))
 
 
 @query("norm_channel_z_samples", SIG + ", e AS (SELECT class, unnest(samples) AS x FROM sig), m AS (SELECT class, avg(x) m, stddev_pop(x) s FROM e GROUP BY class), p AS (SELECT segment_id, class, unnest(range(len(samples))) AS pos, unnest(samples) AS x FROM sig)\n--\nSELECT segment_id, CAST(pos AS INTEGER) AS pos, (x - m) / s AS z FROM p JOIN m USING (class)", "z", "segment_id pos")
@@ -111,9 +111,15 @@ def norm_channel_z_samples(spark, d):
 ANOVA = ", g AS (SELECT feature, class, count(*) n, avg(value) m, var_pop(value) v FROM means GROUP BY ALL), t AS (SELECT feature, count(*) k, sum(n) nn, sum(n * v) ssw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) ssb FROM g GROUP BY feature)"
 
 
-@query("anova", LONG + ANOVA + "\n--\nSELECT feature, k, CAST(nn AS BIGINT) AS n, (ssb / (k - 1)) / (ssw / (nn - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM t", "f eta2", "feature k n")
+#: Tail probabilities in SQL: of F with two degrees of freedom above (three classes), and of a normal deviate, both sides, by Simpson's rule.
+F2_TAIL = "pow(1 + 2 * ({f}) / ({d}), -({d}) / 2e0)"
+NORMAL_TAIL = "1 - 2 / sqrt(2 * pi()) * ({z}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(({z}) * i / 2000e0) ** 2 / 2)))"
+F_RATIO = "(ssb / (k - 1)) / (ssw / (nn - k))"
+
+
+@query("anova", LONG + ANOVA + f"\n--\nSELECT feature, k, CAST(nn AS BIGINT) AS n, {F_RATIO} AS f, {F2_TAIL.format(f=F_RATIO, d='nn - k')} AS p, ssb / (ssb + ssw) AS eta2 FROM t", "f p eta2", "feature k n")
 def anova(spark, d):
-    return stats.anova(_long(spark, d)).drop("p")
+    return stats.anova(_long(spark, d))
 
 
 def _long(spark, d):
@@ -126,23 +132,26 @@ RANKS = "rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITIO
 @query("kruskal", LONG + f""", r AS (SELECT feature, class, {RANKS.format(by='feature', v='value')} AS r, count(*) OVER (PARTITION BY feature, value) AS t FROM means),
 g AS (SELECT feature, class, count(*) n, sum(r) s, sum(t * t - 1e0) ties FROM r GROUP BY ALL), t AS (SELECT feature, sum(n) n, sum(s * s / n) q, sum(ties) ties FROM g GROUP BY feature)
 --
-SELECT feature, (12e0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM t""", "h", "feature")
+SELECT feature, h, exp(-h / 2) AS p FROM (SELECT feature, (12e0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM t)""", "h p", "feature")
 def kruskal(spark, d):
-    return stats.kruskal(_long(spark, d)).drop("p")
+    return stats.kruskal(_long(spark, d))
 
 
-@query("levene", LONG.replace("means AS (SELECT subject, class, feature, avg(value) AS value FROM long GROUP BY ALL)", "m0 AS (SELECT subject, class, feature, avg(value) AS value FROM long GROUP BY ALL), means AS (SELECT feature, class, abs(value - median(value) OVER (PARTITION BY feature, class)) AS value FROM m0)") + ANOVA + "\n--\nSELECT feature, (ssb / (k - 1)) / (ssw / (nn - k)) AS w FROM t", "w", "feature")
+@query("levene", LONG.replace("means AS (SELECT subject, class, feature, avg(value) AS value FROM long GROUP BY ALL)", "m0 AS (SELECT subject, class, feature, avg(value) AS value FROM long GROUP BY ALL), means AS (SELECT feature, class, abs(value - median(value) OVER (PARTITION BY feature, class)) AS value FROM m0)") + ANOVA + f"\n--\nSELECT feature, {F_RATIO} AS w, {F2_TAIL.format(f=F_RATIO, d='nn - k')} AS p FROM t", "w p", "feature")
 def levene(spark, d):
-    return stats.levene(_long(spark, d)).drop("p")
+    return stats.levene(_long(spark, d))
 
 
 MWU = LONG + f""", r AS (SELECT feature, class, {RANKS.format(by='feature', v='value')} AS r FROM means WHERE class IN ('PainArm', 'PainHand')),
 t AS (SELECT feature, count(*) FILTER (class = 'PainArm') AS n1, count(*) FILTER (class = 'PainHand') AS n2, sum(r) FILTER (class = 'PainArm') AS s FROM r GROUP BY feature)"""
 
 
-@query("mann_whitney", MWU + "\n--\nSELECT feature, n1, n2, s - n1 * (n1 + 1) / 2e0 AS u, 2 * (s - n1 * (n1 + 1) / 2e0) / (n1 * n2) - 1 AS delta FROM t", "u delta", "feature n1 n2")
+MWU_Z = "greatest(abs(s - n1 * (n1 + 1) / 2e0 - n1 * n2 / 2e0) - 0.5, 0) / sqrt(n1 * n2 / 12e0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1e0))))"
+
+
+@query("mann_whitney", MWU + f", q AS (SELECT feature, sum(c * (c * c - 1e0)) AS ties FROM (SELECT feature, value, count(*) AS c FROM means WHERE class IN ('PainArm', 'PainHand') GROUP BY ALL) GROUP BY feature), z AS (SELECT *, {MWU_Z} AS z FROM t JOIN q USING (feature))\n--\nSELECT feature, n1, n2, s - n1 * (n1 + 1) / 2e0 AS u, 2 * (s - n1 * (n1 + 1) / 2e0) / (n1 * n2) - 1 AS delta, {NORMAL_TAIL.format(z='z')} AS p FROM z", "u delta p", "feature n1 n2")
 def mann_whitney(spark, d):
-    return stats.mann_whitney(_long(spark, d), "PainArm", "PainHand").drop("p")
+    return stats.mann_whitney(_long(spark, d), "PainArm", "PainHand")
 
 
 @query("cliffs_delta_pairs", LONG + "\n--\nSELECT a.feature, avg(CAST(sign(a.value - b.value) AS DOUBLE)) AS delta FROM means a JOIN means b ON a.feature = b.feature WHERE a.class = 'NoPain' AND b.class = 'PainArm' GROUP BY a.feature", "delta", "feature")
@@ -156,9 +165,9 @@ PAIRS = LONG + ", pr AS (SELECT feature, subject, avg(value) FILTER (class = 'Pa
 
 @query("wilcoxon", PAIRS + f""", dd AS (SELECT feature, a - b AS d, abs(a - b) AS ad FROM pr WHERE a <> b), r AS (SELECT feature, d, {RANKS.format(by='feature', v='ad')} AS r FROM dd), t AS (SELECT feature, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS up, coalesce(sum(r) FILTER (d < 0), 0) AS down FROM r GROUP BY feature)
 --
-SELECT feature, n, least(up, down) AS w, (up - down) / (n * (n + 1) / 2e0) AS rank_biserial FROM t""", "w rank_biserial", "feature n")
+SELECT feature, n, least(up, down) AS w, (up - down) / (n * (n + 1) / 2e0) AS rank_biserial, """ + NORMAL_TAIL.format(z="z") + """ AS p FROM (SELECT *, abs(least(up, down) - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48) AS z FROM t JOIN (SELECT feature, sum(c * (c * c - 1e0)) AS ties FROM (SELECT feature, ad, count(*) AS c FROM dd GROUP BY ALL) GROUP BY feature) USING (feature))""", "w rank_biserial p", "feature n")
 def wilcoxon(spark, d):
-    return stats.wilcoxon(stats.paired_by_feature(_long(spark, d), "PainArm", "PainHand")).drop("p")
+    return stats.wilcoxon(stats.paired_by_feature(_long(spark, d), "PainArm", "PainHand"))
 
 
 @query("fdr", SEG + """, p AS (SELECT subject AS feature, CASE WHEN subject % 7 = 0 THEN NULL ELSE avg(bvp_value) / 1000 END AS p FROM seg GROUP BY subject), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS r, count(*) OVER () AS m FROM p WHERE p IS NOT NULL)

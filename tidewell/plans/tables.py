@@ -231,9 +231,10 @@ def sort_and_head(spark, d):
     return segments(spark, d).orderBy(F.desc_nulls_last("bvp_value"), "segment_id").limit(25).select("segment_id", "bvp_value")
 
 
-@query("arg_max_row", SEG + "\n--\nSELECT subject, arg_max(segment_id, bvp_value) AS best FROM seg GROUP BY subject", "", "subject best")
+@query("arg_max_row", SEG + "\n--\nSELECT subject, segment_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY bvp_value DESC, segment_id) AS r FROM seg) WHERE r = 1", "", "subject best")
 def arg_max_row(spark, d):
-    return segments(spark, d).groupBy("subject").agg(F.max_by("segment_id", "bvp_value").alias("best"))
+    """The row of the greatest value; of equal ones that of the least key."""
+    return segments(spark, d).groupBy("subject").agg(F.max_by("segment_id", F.struct("bvp_value", -F.col("segment_id"))).alias("best"))
 
 
 @query("exact_top_12", SEG + "\n--\nSELECT segment_id, CASE WHEN row_number() OVER (PARTITION BY subject ORDER BY bvp_value DESC, segment_id) <= 12 THEN 1 ELSE 0 END AS pred FROM seg", "", "segment_id pred")
