@@ -41,6 +41,54 @@ def spread_of_scores(df: DataFrame, score: str, by: list[str], low: float = 0.5)
     )
 
 
+def config_summary(df: DataFrame, by: list[str], scores: list[str], elapsed: str) -> DataFrame:
+    """(by, n, <score>_mean, <score>_std, elapsed): results of runs by configuration, with the time they took together."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[x for c in scores for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))], F.sum(elapsed).alias("elapsed"))
+
+
+def running_totals(df: DataFrame, order: str, sums: list[str], buckets: int = 64) -> DataFrame:
+    """df with run_<c>, the sum of c over rows of this value of order or a greater one, and all_<c>, over all rows.
+
+    Rows are cut into ranges by approximate quantiles, which need not be right, only much the same size: totals run over
+    the ranges, then within each, so no task sorts all rows.
+    """
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("__cuts"))
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda c: c < F.col(order)))).drop("__cuts")  # one row
+    every, above = Window.partitionBy(), Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sums])
+    ranges = ranges.select("__b", *[F.sum(c).over(every).alias(f"all_{c}") for c in sums], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__above_{c}") for c in sums])
+    here = Window.partitionBy("__b").orderBy(F.desc(order))
+    out = rows.join(F.broadcast(ranges), "__b")  # a row for each range
+    return out.withColumns({f"run_{c}": F.col(f"__above_{c}") + F.sum(c).over(here) for c in sums}).drop("__b", *[f"__above_{c}" for c in sums])
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], error: float = 1e-4) -> DataFrame:
+    """(by, q): the quantiles at these shares, interpolated linearly, of any number of values in a group.
+
+    A sketch of known error gives a bracket about each quantile; the second pass counts what lies below the bracket and
+    ranks what lies in it, some thousandth of the values. Nulls do not count.
+    """
+    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    at = lambda d: F.percentile_approx("__x", F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in shares]), round(1 / error))
+    sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), at(-5 * error).alias("__lo"), at(5 * error).alias("__hi"))
+    rows = x.join(sketch, by) if by else x.crossJoin(F.broadcast(sketch))  # one row
+    lo, hi = (lambda k: F.get("__lo", F.lit(k))), (lambda k: F.get("__hi", F.lit(k)))
+    parts = range(len(shares))
+    outside = rows.groupBy(*by).agg(
+        F.first("__n").alias("__n"), F.array(*[F.count_if(F.col("__x") < lo(k)) for k in parts]).alias("__below"), F.array(*[F.min(F.when(F.col("__x") > hi(k), F.col("__x"))) for k in parts]).alias("__next")
+    )
+    inside = F.filter(F.array(*[F.when((F.col("__x") >= lo(k)) & (F.col("__x") <= hi(k)), F.lit(k)) for k in parts]), lambda k: k.isNotNull())
+    counts = rows.select(*by, "__x", F.explode(inside).alias("__k")).groupBy(*by, "__k", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("__run", F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy("__x")))
+    ranked = counts.join(outside, by) if by else counts.crossJoin(F.broadcast(outside))  # one row
+    place = F.get(F.array(*[F.lit(float(q)) for q in shares]), F.col("__k")) * (F.col("__n") - 1)
+    first = F.floor(place) - F.get("__below", F.col("__k"))
+    of = lambda i: F.min(F.when(F.col("__run") > i, F.col("__x")))
+    found = ranked.groupBy(*by, "__k").agg(of(first).alias("__a"), F.coalesce(of(first + 1), F.first(F.get("__next", F.col("__k")))).alias("__b"), F.first(place - F.floor(place)).alias("__f"))
+    q = F.when(F.col("__f") > 0, F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).otherwise(F.col("__a"))
+    return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", q.alias("q")))), lambda r: r["q"]).alias("q"))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all pairs a < b, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

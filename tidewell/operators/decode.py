@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import sigmoid
 
 from .aggregate import exact_top
+from .metrics import summary
 from .normalize import _scaled
 
 EPS = 1e-6
+#: Bytes of back pointers of one group.
+MOST_CELLS = 1 << 30
 
 
 def log_clipped(p: Column) -> Column:
@@ -51,6 +54,32 @@ def joint_scores(df: DataFrame, p0: str, p1: str, w: tuple[float, float, float]
     return df.withColumns({"s0": w[0] * log_clipped(F.col(p0)), "s1": w[1] * (rest + log_clipped(F.col(p1))), "s2": w[2] * (rest + log_clipped(1 - F.col(p1)))})
 
 
+def gated_scores(df: DataFrame, p0: str, p1: str, confidence: str, w: tuple[float, float, float] = (1.0, 1.0, 1.0), mode: str = "gate", alpha: float = 0.5) -> DataFrame:
+    """s0, s1, s2 with a confidence: gate weighs the second stage by 0.5 + confidence; aux adds alpha times its log, or that of its rest for class 0."""
+    rest, c = log_clipped(1 - F.col(p0)), F.col(confidence)
+    gain, yes, no = (0.5 + c, F.lit(0.0), F.lit(0.0)) if mode == "gate" else (F.lit(1.0), alpha * log_clipped(c), alpha * log_clipped(1 - c))
+    second = lambda p: w[1] * rest + w[2] * gain * log_clipped(p) + yes
+    return df.withColumns({"s0": w[0] * log_clipped(F.col(p0)) + no, "s1": second(F.col(p1)), "s2": second(1 - F.col(p1))})
+
+
+def class_scores(df: DataFrame, probabilities: list[str]) -> DataFrame:
+    """s0, s1, ...: log probabilities of a model of all classes."""
+    return df.withColumns({f"s{k}": log_clipped(F.col(p)) for k, p in enumerate(probabilities)})
+
+
+def sweep_weights(df: DataFrame, p0: str, p1: str, y: str, weights: list[tuple[float, float, float]], counts: DataFrame, key: str = "segment_id", by: str = "subject") -> DataFrame:
+    """(w0, w1, w2, accuracy, balanced_accuracy, macro_f1, n) of exact-count decoding with each triple of weights, all in one job."""
+    grid = F.array(*[F.struct(*[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(w)]) for w in weights])
+    x = df.select(by, key, y, p0, p1, F.posexplode(grid).alias("__g", "__w"))
+    rest = log_clipped(1 - F.col(p0))
+    x = x.withColumns({"s0": F.col("__w.w0") * log_clipped(F.col(p0)), "s1": F.col("__w.w1") * (rest + log_clipped(F.col(p1))), "s2": F.col("__w.w2") * (rest + log_clipped(1 - F.col(p1)))})
+    x = x.withColumn("__case", F.concat_ws("|", F.col(by).cast("string"), F.col("__g").cast("string")))
+    cases = x.select("__case", by).distinct().join(counts, by).drop(by)
+    pred = exact_count_decode(x, ["s0", "s1", "s2"], cases, key, "__case")
+    found = summary(x.join(pred, ["__case", key]), y, "pred", ["__w"])
+    return found.select("__w.*", *[c for c in found.columns if c != "__w"])
+
+
 def exact_count_labels(scores: np.ndarray, counts: Sequence[int]) -> np.ndarray:
     """The labels of greatest total score with exactly counts[k] of class k.
 
@@ -59,26 +88,30 @@ def exact_count_labels(scores: np.ndarray, counts: Sequence[int]) -> np.ndarray:
     n, k = scores.shape
     if sum(counts) != n:
         raise ValueError(f"counts sum to {sum(counts)}, rows are {n}")
-    shape = tuple(c + 1 for c in counts)
+    if k == 1:
+        return np.zeros(n, np.int64)
+    shape = tuple(c + 1 for c in counts[:-1])  # of the last class there are as many as the others leave
+    used = sum(np.indices(shape))
     best = np.full(shape, -np.inf)
-    best[(0,) * k] = 0.0
-    picks = []
-    for row in scores:
-        new, pick = np.full(shape, -np.inf), np.full(shape, -1, np.int8)
+    best[(0,) * (k - 1)] = 0.0
+    picks = np.full((n, *shape), -1, np.int8)
+    for i, row in enumerate(scores):
+        new, pick = np.full(shape, -np.inf), picks[i]
         for c in range(k):
-            to = tuple(slice(1, None) if j == c else slice(None) for j in range(k))
-            frm = tuple(slice(None, -1) if j == c else slice(None) for j in range(k))
+            to = tuple(slice(1, None) if j == c else slice(None) for j in range(k - 1))
+            frm = tuple(slice(None, -1) if j == c else slice(None) for j in range(k - 1))
             cand = best[frm] + row[c]
+            if c == k - 1:
+                cand = np.where(i + 1 - used <= counts[-1], cand, -np.inf)
             better = cand > new[to]
             new[to] = np.where(better, cand, new[to])
             pick[to] = np.where(better, c, pick[to])
         best = new
-        picks.append(pick)
-    at, out = list(counts), np.zeros(n, np.int64)
+    at, out = list(counts[:-1]), np.zeros(n, np.int64)
     for i in range(n - 1, -1, -1):
-        c = int(picks[i][tuple(at)])
-        out[i] = c
-        at[c] -= 1
+        c = out[i] = int(picks[i][tuple(at)])
+        if c < k - 1:
+            at[c] -= 1
     return out
 
 
@@ -89,6 +122,9 @@ def exact_count_decode(df: DataFrame, scores: list[str], counts: DataFrame, key:
 
     def decode(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(key, kind="stable")
+        cells = np.prod([int(x) + 1 for x in g[names[:-1]].iloc[0]])
+        if cells * len(g) > MOST_CELLS:
+            raise ValueError(f"{len(g)} rows with {cells} combinations of counts are too many to decode in one group")
         pred = exact_count_labels(g[scores].to_numpy(float), [int(x) for x in g[names].iloc[0]])
         return g[[by, key]].assign(**{label: pred})
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import exact_quantiles
+
 
 def lengths(df: DataFrame, by: list[str], samples: str, usual: int) -> DataFrame:
     n = F.size(samples)
@@ -29,8 +31,8 @@ def gaps(df: DataFrame, by: list[str], samples: str, head: int) -> DataFrame:
 
 def ranges(df: DataFrame, by: list[str], samples: str) -> DataFrame:
     x = df.select(*by, F.explode(F.col(samples).cast("array<double>")).alias("x")).filter(~F.isnan("x") & (F.abs("x") != float("inf")))
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = x.groupBy(*by).agg(F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"), F.count("x").alias("n_finite"))
+    out = x.groupBy(*by).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n_finite"))
+    out = out.join(exact_quantiles(x, by, "x", [0.01, 0.5, 0.99]), by)
     return out.withColumns({"p1": F.col("q")[0], "median": F.col("q")[1], "p99": F.col("q")[2]}).drop("q")
 
 

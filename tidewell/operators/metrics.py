@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import ratio
 
+from .aggregate import running_totals
+
 ZERO = 0.0
 
 
@@ -53,11 +55,8 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> D
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, from the greatest."""
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q"))
-    run = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select(
-        "threshold", ratio(F.sum("p").over(run), F.sum("p").over(everything)).alias("tpr"), ratio(F.sum("q").over(run), F.sum("q").over(everything)).alias("fpr")
-    )
+    run = running_totals(counts, "threshold", ["p", "q"])
+    return run.select("threshold", ratio(F.col("run_p"), F.col("all_p")).alias("tpr"), ratio(F.col("run_q"), F.col("all_q")).alias("fpr"))
 
 
 def reliability(df: DataFrame, y: str, p: str, bins: int = 8) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.io import read_json, write_json
+
+from .metrics import roc_auc
 from .normalize import _scaled
+from .relational import seeded_subset
 
 
 @dataclass(frozen=True)
@@ -19,12 +24,19 @@ class ModelSpec:
     params: dict = field(default_factory=dict)
 
 
-def classifier(spec: ModelSpec, features: str = "features", label: str = "label", weight: str | None = None, multiclass: bool = False):
-    """logreg, rf, gbt or svm_linear of pyspark.ml; gbt and svm one against the rest for several classes."""
+def classifier(spec: ModelSpec, features: str = "features", label: str = "label", weight: str | None = None, multiclass: bool = False, validation: str | None = None):
+    """logreg, elastic_net, naive_bayes, rf, gbt or svm_linear of pyspark.ml; gbt and svm one against the rest for several classes.
+
+    validation: for gbt, a boolean column of the rows on which boosting stops early, once they no longer gain.
+    """
     from pyspark.ml import classification as m
 
-    made = {"logreg": m.LogisticRegression, "rf": m.RandomForestClassifier, "gbt": m.GBTClassifier, "svm_linear": m.LinearSVC}[spec.name]
-    out = made(featuresCol=features, labelCol=label, **({"weightCol": weight} if weight else {}), **spec.params)
+    kind, usual = {
+        "logreg": (m.LogisticRegression, {}), "elastic_net": (m.LogisticRegression, {"elasticNetParam": 0.5, "regParam": 0.01}), "naive_bayes": (m.NaiveBayes, {"modelType": "gaussian"}),
+        "rf": (m.RandomForestClassifier, {"seed": 42}), "gbt": (m.GBTClassifier, {"seed": 42}), "svm_linear": (m.LinearSVC, {}),
+    }[spec.name]
+    more = {"validationIndicatorCol": validation} if validation and spec.name == "gbt" else {}
+    out = kind(featuresCol=features, labelCol=label, **({"weightCol": weight} if weight else {}), **(usual | spec.params | more))
     return m.OneVsRest(classifier=out, featuresCol=features, labelCol=label) if multiclass and spec.name in ("gbt", "svm_linear") else out
 
 
@@ -79,42 +91,211 @@ def scale_fit(x: np.ndarray, robust: bool) -> tuple[np.ndarray, np.ndarray]:
     return centre, np.where(scale > 0, scale, 1.0)
 
 
+#: Numbers that a task sums up for the folds it fits at once.
+FOLD_CELLS = 250_000
+
+
+def _fold_sums(rows: DataFrame, q: int, at: np.ndarray, weight: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper Hessian sums of every fold at its raw coefficients b, by one pass over rows.
+
+    rows: x_0 .. x_{q-2}, y, w, f. Row i counts for fold at[k] unless f is it, weighted by w and weight[k, y].
+    Partial sums are added up in two rounds, so the driver gets a few rows of q * q numbers a fold.
+    """
+    names = [f"x_{j}" for j in range(q - 1)]
+    step = max(1, 2_000_000 // len(at))
+
+    def run(batches):
+        out = np.zeros((len(at), 1 + q + q * q))
+        for g in batches:
+            for i in range(0, len(g), step):
+                part = g.iloc[i : i + step]
+                x = np.hstack([part[names].to_numpy(float), np.ones((len(part), 1))])
+                y, f = part["y"].to_numpy(float), part["f"].to_numpy(np.int64)
+                z = np.clip(x @ b.T, -500, 500)
+                w = part["w"].to_numpy(float)[:, None] * weight[:, y.astype(int)].T * (f[:, None] != at)
+                p = 1 / (1 + np.exp(-z))
+                out[:, 0] += (w * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
+                out[:, 1 : 1 + q] += (w * (p - y[:, None])).T @ x
+                out[:, 1 + q :] += (w * p * (1 - p)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        yield pd.DataFrame({"sums": [out.tobytes()]})
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [sum(np.frombuffer(v) for v in g["sums"]).tobytes()]})
+
+    parts = rows.mapInPandas(run, "sums binary").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
+    return sum(np.frombuffer(r.sums) for r in parts.groupBy("k").applyInPandas(add, "sums binary").collect()).reshape(len(at), -1)
+
+
+def _fit_folds(rows: DataFrame, q: int, at: np.ndarray, centre: np.ndarray, scale: np.ndarray, weight: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
+    """Raw coefficients of every fold, intercept last: fit_logistic of the scaled columns, Newton steps for all folds at once."""
+    k = len(at)
+    t = np.zeros((k, q, q))  # scaled = t @ raw
+    t[:, range(q - 1), range(q - 1)] = 1 / scale
+    t[:, :-1, -1] = -centre / scale
+    t[:, -1, -1] = 1
+    ridge = np.append(np.ones(q - 1), 0.0)
+
+    def at_point(b: np.ndarray):
+        s = _fold_sums(rows, q, at, weight, np.einsum("kij,ki->kj", t, b))
+        grad = ridge * b + c * np.einsum("kij,kj->ki", t, s[:, 1 : 1 + q])
+        hess = np.diag(ridge + 1e-12) + c * t @ s[:, 1 + q :].reshape(k, q, q) @ t.transpose(0, 2, 1)
+        return 0.5 * (ridge * b * b).sum(1) + c * s[:, 0], grad, hess
+
+    b = np.zeros((k, q))
+    loss, grad, hess = at_point(b)
+    for _ in range(steps):
+        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        new = at_point(b - step)
+        while (worse := (new[0] > loss + 1e-9 * np.abs(loss)) & (np.abs(step).max(1) > 1e-8)).any():
+            step[worse] /= 2
+            new = at_point(b - step)
+        b, (loss, grad, hess) = b - step, new
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.einsum("kij,ki->kj", t, b)
+
+
 def loso(
     df: DataFrame, columns: list[str], label: str, train: Column, c: float = 1.0, balanced: bool = True, robust: bool = False, key: str = "segment_id", by: str = "subject", weight: str | None = None, learn: Column | None = None
 ) -> DataFrame:
     """(key, by, fold, proba): leave-one-subject-out probabilities of the training subjects, and (fold -1) of all other rows by a fit on all training rows.
 
-    learn restricts the training rows that are learned from; all are scored.
-    Folds are fitted in parallel. A fold needs all training rows, so they are sent once to each of at most 64 tasks of
-    folds; the training table is a feature table of subjects' segments, and its size is the caller's to bound.
+    learn restricts the training rows that are learned from; all are scored. A fold without both classes scores no row.
+    All folds are fitted together: each Newton step is one pass over the rows, which stay where they are and send sums
+    of the folds' gradients and curvatures. Scales leave the fold's subject out: by sums or, if robust, by percentiles.
+    """
+    rows = df.select(
+        F.col(key), F.col(by), *[F.col(x).cast("double").alias(f"x_{j}") for j, x in enumerate(columns)], F.col(label).cast("double").alias("y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.when(train, F.col(by).cast("long")).otherwise(-1).alias("fold"), (learn if learn is not None else F.lit(True)).alias("__learn"),
+    )
+    rows = rows.persist()
+    try:
+        coefficients = _loso_coefficients(rows, len(columns), c, balanced, robust)
+    finally:
+        rows.unpersist()
+    fits = df.sparkSession.createDataFrame(coefficients, "fold long, b array<double>")
+    if len(coefficients) * (len(columns) + 1) < 4_000_000:  # 32 MB
+        fits = F.broadcast(fits)
+    z = sum((F.get("b", F.lit(j)) * F.col(f"x_{j}") for j in range(len(columns))), F.get("b", F.lit(len(columns))))
+    return rows.join(fits, "fold").select(key, by, "fold", (1 / (1 + F.exp(-z))).alias("proba"))
+
+
+def _loso_coefficients(rows: DataFrame, p: int, c: float, balanced: bool, robust: bool) -> list[tuple[int, list[float]]]:
+    used = rows.filter("fold <> -1 and __learn").select(*[f"x_{j}" for j in range(p)], "y", "w", F.col("fold").alias("f"))
+    xs = [f"x_{j}" for j in range(p)]
+    folds = np.array([-1, *sorted(r.fold for r in rows.filter("fold <> -1").select("fold").distinct().collect())], np.int64)
+    sums = used.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *[F.sum(x).alias(f"s_{x}") for x in xs], *[F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in xs]).collect()
+    own = {r.f: np.array(r[1:], float) for r in sums}
+    if not own:
+        return []
+    everything = sum(own.values())
+    left = np.array([everything - own.get(f, 0.0) for f in folds.tolist()])
+    n, ones = left[:, 0], left[:, 1]
+    ok = (ones > 0.5) & (n - ones > 0.5)
+    folds, left, n, ones = folds[ok], left[ok], n[ok], ones[ok]
+    if robust:
+        q = F.percentile(F.col("x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        spread = used.select("f", F.posexplode(F.array(*xs)).alias("j", "x"), F.explode(F.array(*[F.lit(int(f)) for f in folds])).alias("fold")).filter("f <> fold")
+        quartiles = {(r.fold, r.j): r.q for r in spread.groupBy("fold", "j").agg(q.alias("q")).collect()}
+        got = np.array([[quartiles[f, j] for j in range(p)] for f in folds.tolist()])
+        centre, scale = got[:, :, 1], got[:, :, 2] - got[:, :, 0]
+    else:
+        centre = left[:, 2 : 2 + p] / n[:, None]
+        var = left[:, 2 + p :] / n[:, None] - centre**2
+        scale = np.sqrt(np.where(var > 1e-12 * np.maximum(left[:, 2 + p :] / n[:, None], 1e-300), var, 0.0))
+    scale = np.where(scale > 0, scale, 1.0)
+    weight = np.stack([n / (2 * (n - ones)), n / (2 * ones)], 1) if balanced else np.ones((len(n), 2))
+    out, size = [], max(1, FOLD_CELLS // (p + 1) ** 2)
+    for i in range(0, len(folds), size):
+        s = slice(i, i + size)
+        b = _fit_folds(used, p + 1, folds[s], centre[s], scale[s], weight[s], c)
+        out += [(int(f), [float(v) for v in row]) for f, row in zip(folds[s], b, strict=True)]
+    return out
+
+
+@dataclass(frozen=True)
+class LinearModel:
+    """A fitted logistic regression on raw columns; plain values, so that it is stored as JSON."""
+
+    columns: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def proba(self) -> Column:
+        return 1 / (1 + F.exp(-sum((F.col(c) * w for c, w in zip(self.columns, self.weights, strict=True)), F.lit(self.intercept))))
+
+
+def fit_model(df: DataFrame, columns: list[str], label: str, c: float = 1.0, balanced: bool = True, robust: bool = False, weight: str | None = None) -> LinearModel:
+    """The fit of loso() on all rows, to be kept."""
+    rows = df.select(*[F.col(x).cast("double").alias(f"x_{j}") for j, x in enumerate(columns)], F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.lit(0).cast("long").alias("fold"), F.lit(True).alias("__learn"))
+    fits = dict(_loso_coefficients(rows, len(columns), c, balanced, robust))
+    if -1 not in fits:
+        raise ValueError("both classes are needed")
+    return LinearModel(tuple(columns), tuple(fits[-1][:-1]), fits[-1][-1])
+
+
+def save_model(spark, path: str, model: LinearModel, **settings) -> None:
+    """The model and the settings it was fitted with, as one JSON file."""
+    write_json(spark, path, {"model": asdict(model), "settings": settings})
+
+
+def load_model(spark, path: str) -> tuple[LinearModel, dict]:
+    got = read_json(spark, path)
+    m = got["model"]
+    return LinearModel(tuple(m["columns"]), tuple(m["weights"]), m["intercept"]), got["settings"]
+
+
+def experts(df: DataFrame, columns: list[str], label: str, train: Column, strength: str, k: int, least: int = 5, by: str = "subject", key: str = "segment_id", **options) -> DataFrame:
+    """(key, by, stratum, proba): mixture of experts. Subjects fall into k strata by the training subjects' quantiles of log1p(strength).
+
+    A row is scored by a fit on the training subjects of its stratum, its own subject left out; by one on all training
+    subjects where the stratum has fewer than least others.
     """
-    rows = df.select(key, by, *columns, F.col(label).cast("double").alias("__y"), train.alias("__train"), (F.col(weight) if weight else F.lit(1.0)).alias("__w"), (learn if learn is not None else F.lit(True)).alias("__learn"))
-    folds = rows.filter("__train").select(F.col(by).cast("long").alias("fold")).distinct().union(df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("fold")))
-    tasks = folds.groupBy(F.pmod(F.xxhash64("fold"), F.lit(64)).alias("task")).agg(F.sort_array(F.collect_list("fold")).alias("folds"))
-    sent = rows.join(F.broadcast(tasks), F.lit(True))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        folds_here = [int(f) for f in g["folds"].iloc[0]]
-        g = g.sort_values(key, kind="stable")
-        x, y, tr, w0, subject = g[columns].to_numpy(float), g["__y"].to_numpy(float), g["__train"].to_numpy(bool), g["__w"].to_numpy(float), g[by].to_numpy()
-        use, out = tr & g["__learn"].to_numpy(bool), []
-        for f in folds_here:
-            fit_on = use if f == -1 else use & (subject != f)
-            held = ~tr if f == -1 else tr & (subject == f)
-            if not held.any() or len(np.unique(y[fit_on])) < 2:
-                continue
-            centre, scale = scale_fit(x[fit_on], robust)
-            w = w0[fit_on].copy()
-            if balanced:
-                for v in (0.0, 1.0):
-                    w[y[fit_on] == v] *= fit_on.sum() / (2 * (y[fit_on] == v).sum())
-            b = fit_logistic((x[fit_on] - centre) / scale, y[fit_on], w, c)
-            z = np.hstack([(x[held] - centre) / scale, np.ones((held.sum(), 1))]) @ b
-            out.append(g.loc[held, [key, by]].assign(fold=f, proba=1 / (1 + np.exp(-z))))
-        return pd.concat(out) if out else pd.DataFrame({key: [], by: [], "fold": [], "proba": []}).astype({key: g[key].dtype, by: g[by].dtype, "fold": "int64"})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return sent.groupBy("task").applyInPandas(fit, f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, fold long, proba double")
+    known = df.filter(train).select(by, strength).distinct()
+    edges = known.agg(F.percentile(F.log1p(strength), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("e")).first().e or []
+    stratum = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.log1p(F.col(strength))))
+    df = df.withColumn("stratum", stratum)
+    members = {r.stratum: r["count"] for r in df.filter(train).select(by, "stratum").distinct().groupBy("stratum").count().collect()}
+    out = None
+    for s in range(k):
+        here = df.filter(F.col("stratum") == s)
+        enough = members.get(s, 0) > least
+        scored = loso(here if enough else df, columns, label, train, by=by, key=key, **options).select(key, by, "proba")
+        scored = (scored if enough else scored.join(here.select(key), key, "left_semi")).withColumn("stratum", F.lit(s))
+        out = scored if out is None else out.unionByName(scored)
+    return out.select(key, by, "stratum", "proba")
+
+
+def importances(model: LinearModel, df: DataFrame) -> DataFrame:
+    """(feature, importance): each column's absolute weight by its deviation over df, the greatest first."""
+    row = df.agg(*[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(model.columns)])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.lit(w) * F.col(f"s_{i}")).alias("importance")) for i, (c, w) in enumerate(zip(model.columns, model.weights, strict=True))])
+    return row.select(F.inline(parts)).orderBy(F.desc("importance"), "feature")
+
+
+def learning_curve(df: DataFrame, columns: list[str], label: str, train: Column, sizes: list[int], seed: int = 42, by: str = "subject", **options) -> DataFrame:
+    """(n_subjects, auc, n_pos, n_neg): fits on a seeded choice of so many training subjects, each choice within the next, on all other rows."""
+    out = None
+    for n in sizes:
+        model = fit_model(seeded_subset(df.filter(train), by, n, seed), columns, label, **options)
+        auc = roc_auc(df.filter(~train).select(label, model.proba().alias("p")), label, "p").select(F.lit(n).alias("n_subjects"), "auc", "n_pos", "n_neg")
+        out = auc if out is None else out.unionByName(auc)
+    return out
+
+
+def grid_search(configs: list[dict], stages: list[tuple[tuple[str, ...], Callable]], score: Callable) -> list[dict]:
+    """Each config with its score. stages: (the config's keys it depends on, f(config, results before)); a stage runs once for each value of its and its predecessors' keys."""
+    memo: dict[tuple, object] = {}
+    out = []
+    for config in configs:
+        got, path = [], ()
+        for names, run in stages:
+            path = (*path, *[(n, config[n]) for n in names])
+            if path not in memo:
+                memo[path] = run(config, got)
+            got = [*got, memo[path]]
+        out.append({**config, "score": score(config, got)})
+    return out
 
 
 @dataclass(frozen=True)
@@ -225,20 +406,24 @@ def standard_scale(df: DataFrame, columns: list[str], train: Column, robust: boo
 
 
 def mixup(df: DataFrame, columns: list[str], alpha: float, seed: int, by: tuple[str, ...] = ("subject", "class"), key: str = "segment_id") -> DataFrame:
-    """Each row blended with the next of its group in a seeded order, by a seeded weight as of Beta(alpha, alpha): max of powers of uniforms."""
+    """Each row blended with the next of its group in a seeded order, by a weight of the law Beta(alpha, alpha) that depends on the seed and the row's key alone."""
     w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), F.col(key)), F.lit(1_000_003)) + 1) / 1_000_005.0
-    a, b = F.pow(u(1), F.lit(1 / alpha)), F.pow(u(2), F.lit(1 / alpha))
-    lam = a / (a + b)  # Johnk's form, without rejection: symmetric about one half
+
+    @F.pandas_udf("double")
+    def beta(h: pd.Series) -> pd.Series:
+        return pd.Series([np.random.Generator(np.random.Philox(key=int(v) & (1 << 64) - 1)).beta(alpha, alpha) for v in h])
+
     first = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(first))
-    out = df.withColumn("__l", lam)
+    out = df.withColumn("__l", beta(F.xxhash64(F.lit(seed + 1), F.col(key))))
     return out.withColumns({c: F.col("__l") * F.col(c) + (1 - F.col("__l")) * other(c) for c in columns}).drop("__l")
 
 
-def jitter(df: DataFrame, columns: list[str], scale: float, seed: int) -> DataFrame:
-    """df and a copy with Gaussian noise."""
-    noisy = df.withColumns({c: F.col(c) + scale * F.randn(seed + i) for i, c in enumerate(columns)})
+def jitter(df: DataFrame, columns: list[str], scale: float, seed: int, key: str = "segment_id") -> DataFrame:
+    """df and a copy with Gaussian noise, which depends on the seed, the column and the row's key alone."""
+    unit = lambda *x: (F.shiftrightunsigned(F.xxhash64(*[F.lit(v) for v in x], F.col(key)), 11) + 1) / float(2**53 + 1)
+    normal = lambda i: F.sqrt(-2 * F.log(unit(seed, i, 0))) * F.cos(2 * math.pi * unit(seed, i, 1))
+    noisy = df.withColumns({c: F.col(c) + scale * normal(i) for i, c in enumerate(columns)})
     return df.withColumn("augmented", F.lit(False)).unionByName(noisy.withColumn("augmented", F.lit(True)))
 
 

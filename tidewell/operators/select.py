@@ -43,6 +43,36 @@ def names_of(ranked: DataFrame, k: int) -> list[str]:
     return [r.feature for r in ranked.limit(k).collect()]
 
 
+#: Feature sets of the two stages and of three classes, as parts (modalities, how many of the best ranked; None: all in their order).
+STAGE1 = {
+    "bvp_only": [(("bvp",), None)], "eda_only": [(("eda",), None)], "bvp_eda_core": [(("bvp",), None), (("eda",), None)],
+    "bvp_eda_resp_small": [(("bvp", "eda"), 60), (("resp",), 10)], "all": [(None, None)],
+}
+STAGE2 = {
+    "resp_all": [(("resp",), None)], "resp_top20": [(("resp",), 20)], "resp_bvp5": [(("resp",), 20), (("bvp",), 5)],
+    "eda_resp_top30": [(("eda", "resp"), 30)], "bvp_resp_top30": [(("bvp", "resp"), 30)], "all_top40": [(("bvp", "eda", "resp"), 40)],
+}
+MULTICLASS = {
+    "bvp_eda_resp": [(("bvp",), None), (("eda",), None), (("resp",), None)], "top80": [(("bvp", "eda", "resp"), 80)],
+    "all_top120": [(None, 120)], "all_modalities": [(None, None)],
+}
+
+
+def named_sets(recipes: dict[str, list], columns: list[str], ranked: list[str], fixed: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """The recipes' sets of columns, without the raw_ twins of other columns. ranked: best first; its order within any modality is that of the whole.
+
+    fixed: further sets by name, of which the columns that exist are kept. "all_raw" has every column, twins too.
+    """
+    unique = unique_by_canonical(columns)
+    best = [c for c in ranked if c in set(unique)]
+
+    def part(tags, k):
+        return [c for c in (unique if k is None else best) if tags is None or modality(c) in tags][:k]
+
+    out = {name: [c for tags, k in parts for c in part(tags, k)] for name, parts in recipes.items()}
+    return out | {"all_raw": columns} | {name: [c for c in names if c in columns] for name, names in (fixed or {}).items()}
+
+
 def feature_sets(columns: list[str], first_match: bool = False) -> dict[str, list[str]]:
     """Pools by modality, without the raw_ twins of other columns."""
     unique = unique_by_canonical(columns)
@@ -56,13 +86,13 @@ def top_k_sweep(names: list[str], sizes: Iterable[int], score: Callable[[list[st
 
 
 def greedy_forward(names: list[str], score: Callable[[list[str]], float], most: int = 8, drop: float = 0.005) -> tuple[list[str], list[float]]:
-    """Add the name that scores best, first of equals, until the score falls by more than drop below the best so far."""
+    """Add the name that scores best, first of equals, until the score falls by more than drop below that of the step before."""
     chosen: list[str] = []
     history: list[float] = []
     while len(chosen) < min(most, len(names)):
         scored = [(score([*chosen, n]), n) for n in names if n not in chosen]
         best = max(scored, key=lambda x: x[0])
-        if history and best[0] < max(history) - drop:
+        if history and best[0] < history[-1] - drop:
             break
         chosen.append(best[1])
         history.append(best[0])
