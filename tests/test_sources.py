@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.errors import PySparkException
 
-from tidewell.operators import relational
+from tidewell.operators import relational, select
 from tidewell.sources import io
 from tidewell.streaming import sinks
 
@@ -51,6 +51,42 @@ def test_cache_is_built_once(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_splits_are_kept_by_length(spark, tmp_path):
+    root = str(tmp_path)
+    _recordings(root)
+    a = {r.segment_id: r for r in io.load_split(spark, root, "train", 4, f"{root}/c").collect()}
+    assert list(a["7_PainArm_1"].samples_Bvp) == [0, 2, 4, None] and a["7_PainArm_1"].raw_len_Bvp == 3 and len(a["7_NoPain_1"].samples_Eda) == 4
+    _recordings(root, 8)  # comes too late for the table of four samples, not for that of six
+    counts = lambda n: sorted(map(tuple, io.prime(spark, root, ["train"], n, f"{root}/c").collect()))
+    assert counts(4) == [("train", "NoPain", 1), ("train", "PainArm", 1)] and counts(6) == [("train", "NoPain", 2), ("train", "PainArm", 2)]
+    spark.conf.set("spark.tidewell.cache.dir", f"{root}/other/")
+    try:
+        assert io.cache_root(spark, "x") == f"{root}/other" and io.load_split(spark, root, "train", 4).count() == 4
+    finally:
+        spark.conf.unset("spark.tidewell.cache.dir")
+    assert os.path.isdir(f"{root}/other/train_4")
+
+
+def test_named_sets():
+    columns = [f"bvp_{i}" for i in range(70)] + [f"eda_{i}" for i in range(30)] + [f"resp_{i}" for i in range(30)] + ["raw_resp_0", "spo_2_mean"]
+    ranked = sorted(columns, key=lambda c: c[::-1])
+    one = select.named_sets(select.STAGE1, columns, ranked, {"fwd": ["eda_3", "gone"]})
+    assert one["bvp_eda_core"] == columns[:100] and one["fwd"] == ["eda_3"] and one["all_raw"] == columns and len(one["all"]) == len(columns) - 1
+    assert one["bvp_eda_resp_small"] == [c for c in ranked if c[:3] in ("bvp", "eda")][:60] + [c for c in ranked if c.startswith("resp")][:10]
+    two = select.named_sets(select.STAGE2, columns, ranked)
+    assert two["resp_bvp5"][20:] == [c for c in ranked if c.startswith("bvp")][:5] and len(two["all_top40"]) == 40
+    three = select.named_sets(select.MULTICLASS, columns, ranked)
+    assert len(three["top80"]) == 80 and "spo_2_mean" not in three["bvp_eda_resp"] and "spo_2_mean" in three["all_modalities"]
+    assert relational.features_of(relational_frame(columns)) == columns
+
+
+class relational_frame:
+    """Something with columns."""
+
+    def __init__(self, columns):
+        self.columns = ["subject", *columns, "class"]
+
+
 def test_small_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, None)], "a int, b double")
     io.write_csv(df, f"{tmp_path}/csv")

@@ -1,13 +1,14 @@
-"""Sources and sinks: wide signal CSVs, feature tables, caches, small configuration files, models."""
+"""Sources and sinks: wide signal CSVs, feature tables, caches, small configuration files."""
 
 from __future__ import annotations
 
 import json
 import re
+from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewell.functions.columns import parse_key, segment_key
 
@@ -37,15 +38,23 @@ def subjects(spark: SparkSession, root: str, split: str, signal: str = SIGNALS[0
     return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"(\d+)\.csv", n)))
 
 
-def read_signal(spark: SparkSession, root: str, split: str, subject: int, signal: str) -> DataFrame:
-    """(key, t, x): a file's columns are segments and its rows samples; blanks and NaN are null."""
-    path = f"{split_root(spark, root, split)}/{signal}/{subject}.csv"
-    header = spark.read.text(path).first()[0].split(",")
-    schema = T.StructType([T.StructField(h.strip().strip('"'), T.DoubleType()) for h in header])
-    wide = spark.read.csv(path, header=True, schema=schema, nanValue="nan", enforceSchema=True, multiLine=True)
-    wide = wide.withColumn("t", F.monotonically_increasing_id())
-    long = wide.unpivot(["t"], [f.name for f in schema], "key", "x")
-    return long.select("key", "t", F.when(~F.isnan("x"), F.col("x")).alias("x"))
+def read_signal(spark: SparkSession, root: str, split: str, signal: str) -> DataFrame:
+    """(file_subject, key, t, x) of all subjects: a file's columns are segments and its rows samples; blanks and NaN are null.
+
+    A file is one subject's recording of one signal, some thousands of rows, and is parsed whole in one task; files are dealt over tasks.
+    """
+
+    def parse(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                wide = pd.read_csv(BytesIO(content), dtype="float64", na_values=["", "nan", "NaN"], skip_blank_lines=False)
+                subject = int(re.search(r"(\d+)\.csv$", path)[1])
+                for name in wide.columns:
+                    yield pd.DataFrame({"file_subject": subject, "key": name.strip().strip('"'), "t": range(len(wide)), "x": wide[name]})
+
+    files = spark.read.format("binaryFile").load(f"{split_root(spark, root, split)}/{signal}").filter(F.col("path").rlike(r"/\d+\.csv$"))
+    long = files.select("path", "content").mapInPandas(parse, "file_subject int, key string, t long, x double")
+    return long.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
 def to_segments(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -65,11 +74,7 @@ def build_split(spark: SparkSession, root: str, split: str, signals: tuple[str,
     """
     out = None
     for signal in signals:
-        parts = [read_signal(spark, root, split, s, signal).withColumn("file_subject", F.lit(s)) for s in subjects(spark, root, split, signal)]
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
-        seg = to_segments(long, ["file_subject"]).withColumnsRenamed({"samples": f"samples_{signal}", "raw_len": f"raw_len_{signal}"})
+        seg = to_segments(read_signal(spark, root, split, signal), ["file_subject"]).withColumnsRenamed({"samples": f"samples_{signal}", "raw_len": f"raw_len_{signal}"})
         out = seg if out is None else out.join(seg, ["file_subject", "key"], "full")
     whole = F.lit(True)
     for signal in signals:
@@ -79,6 +84,31 @@ def build_split(spark: SparkSession, root: str, split: str, signals: tuple[str,
     return out.select(F.lit(split).alias("split"), k["subject"].alias("subject"), k["class"].alias("class"), k["segment_idx"].alias("segment_idx"), segment_key(k["subject"], k["class"], k["segment_idx"]).alias("segment_id"), *[c for s in signals for c in (f"samples_{s}", f"raw_len_{s}")])
 
 
+def cache_root(spark: SparkSession, default: str) -> str:
+    """Where caches lie: the session's spark.tidewell.cache.dir, else the default."""
+    return (spark.conf.get("spark.tidewell.cache.dir", None) or default).rstrip("/")
+
+
+def load_split(spark: SparkSession, root: str, split: str, n_samples: int, cache: str | None = None, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """build_split with every signal cut, or filled up with nulls, to n_samples; kept in a table for each split and n_samples."""
+
+    def build() -> DataFrame:
+        out = build_split(spark, root, split, signals)
+        fit = lambda a: F.concat(F.slice(a, 1, n_samples), F.array_repeat(F.lit(None).cast("double"), F.greatest(F.lit(n_samples) - F.size(a), F.lit(0))))
+        return out.withColumns({f"samples_{s}": fit(f"samples_{s}") for s in signals})
+
+    return cached(spark, f"{cache_root(spark, cache or f'{root}/cache')}/{split}_{n_samples}", build)
+
+
+def prime(spark: SparkSession, root: str, splits: list[str], n_samples: int, cache: str | None = None, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """Build the splits' caches where they are missing. Gives (split, class, n)."""
+    out = None
+    for split in splits:
+        counts = load_split(spark, root, split, n_samples, cache, signals).groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at path, built and written first if it is not there."""
     if not exists(spark, f"{path}/_SUCCESS"):
