@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a five-word Jaccard similarity of 0.8 or more stays: the one with the least id."""
+    """SimHash with anchors, completed: one document of each group with a five-word Jaccard similarity of 0.8 or more stays, the one with the least id."""
     return jaccard.deduplicate(docs)
 
 
