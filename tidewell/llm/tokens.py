@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, worker_cache
@@ -25,6 +25,7 @@ from .common import materialize, worker_cache
 #: The pre-tokenizer's pattern that goes with the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+MOST_VOCABULARY = 32 << 20
 #: White space as the pattern has it, in runs too long for its look-ahead.
 LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
@@ -36,25 +37,40 @@ def default_vocabulary() -> str:
     return os.path.join(folder, "byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
+def vocabulary_bytes(spark: SparkSession, path: str) -> bytes:
+    """The vocabulary file, from the driver's disk or else by a path that Spark reads. Its size is bounded by MOST_VOCABULARY."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            data = f.read(MOST_VOCABULARY + 1)
+    else:
+        data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    if len(data) > MOST_VOCABULARY:
+        raise ValueError(f"{path} is larger than a vocabulary should be")
+    return data
+
+
+def encoder(path: str, data: bytes | None = None):
+    """The encoding of this process. data: the file's content, where the file itself is not at hand."""
     cache = worker_cache()
     if ("bpe", path) not in cache:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         cache["bpe", path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         cache["blank", path] = tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
     return cache["bpe", path]
 
 
-def encoded_length(text: str | None, path: str) -> int:
+def encoded_length(text: str | None, path: str, data: bytes | None = None) -> int:
     """Tokens of the whole text; of a null one 0.
 
     The pattern takes a run of white space up to its last character as one piece, and that character with what follows;
     at the end of the text it takes all of the run. Its engine fails on very long runs, so these are cut there.
     """
-    encode = encoder(path).encode_ordinary
+    encode = encoder(path, data).encode_ordinary
     n = at = 0
     for m in LONG_BLANK.finditer(text or ""):
         end = m.end() - (m.end() < len(text))
@@ -66,14 +82,15 @@ def encoded_length(text: str | None, path: str) -> int:
 def add_length(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", as_col: str = "n_tokens") -> DataFrame:
     """docs with the encoded length of the whole text; null and empty texts have 0. A column of that name is replaced.
 
-    vocabulary: a path that every executor can open, such as one in its Python environment.
+    vocabulary: a path that the driver or Spark can read; executors get the file by broadcast.
     """
     path = vocabulary or default_vocabulary()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(docs.sparkSession, path))
 
     @F.pandas_udf("long")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([encoded_length(t, path) for t in texts], np.int64))
+            yield pd.Series(np.array([encoded_length(t, path, shared.value) for t in texts], np.int64))
 
     return docs.withColumn(as_col, length(F.col(f"`{text_col}`").cast("string")))
 
