@@ -125,10 +125,9 @@ def test_quality_estimate_against_numpy(spark):
     rules = quality.Rules()
     fit = quality.fit_mcd(df, rules).first()
     m, cov = plain.mcd(x, rules)
-    chol = np.linalg.cholesky(cov)
     assert np.allclose([fit[f"m_{n}"] for n in names], m)
-    assert np.allclose([fit[f"l_{i}_{j}"] for i in range(p) for j in range(i + 1)], [chol[i, j] for i in range(p) for j in range(i + 1)])
-    out = df.withColumns({f"m_{n}": F.lit(fit[f"m_{n}"]) for n in names} | {f"l_{i}_{j}": F.lit(fit[f"l_{i}_{j}"]) for i in range(p) for j in range(i + 1)})
+    assert np.allclose([fit[f"v_{i}_{j}"] for i in range(p) for j in range(i + 1)], [cov[i, j] for i in range(p) for j in range(i + 1)])
+    out = df.withColumns({f"m_{n}": F.lit(fit[f"m_{n}"]) for n in names} | {f"w_{i}_{j}": F.lit(fit[f"w_{i}_{j}"]) for i in range(p) for j in range(i + 1)})
     far = [r[0] for r in out.select(quality._distance2(names)).collect()]
     assert np.allclose(far, plain.far(x, m, cov))
     assert min(far[700:]) > quality.chi2_quantile(rules.reject_quantile, p) and np.mean(np.array(far[:700]) > quality.chi2_quantile(rules.reject_quantile, p)) < 0.01

@@ -10,7 +10,7 @@ by a fixed number of pseudo-rows, so that few rows do not make a cohort of outli
 Medians and distance quantiles come from exact counts on a fine grid, so that every row counts, a
 group is never gathered in one task, and results do not depend on the order of rows. A document
 is rejected if its distance from its estimate is beyond the cutoff. DataFrame functions only; the
-covariance is factored by Cholesky expressions.
+covariance is inverted by sweeps over its rows.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, let, materialize, without, words
+from .common import let, materialize, without, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GRID = 256  # cells a unit for medians; a distance's logarithm has GRID / 4
-BROADCAST_COHORTS = 20_000
+BROADCAST_COHORTS = 5_000
 
 
 @dataclass(frozen=True)
@@ -129,135 +129,118 @@ def _quantile(rows: DataFrame, keys: list[str], cell: Column, share: float) -> D
     return counts.filter(F.col("run") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("cell").alias("q"))
 
 
-def _distance2(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of the row's x from (m_*, l_*_*), l being the Cholesky factor: forward substitution by nested binding."""
-    vals = F.array(*[(F.col(f"__tw_x_{a}") - F.col(f"m_{a}")) for a in names])
+def _num(x: float) -> str:
+    """A double in SQL."""
+    return f"{x!r}D"
 
-    def step(i: int, z: list[Column], d: Column) -> Column:
-        if i == len(names):
-            return sum((x * x for x in z[1:]), z[0] * z[0])
-        t = F.get(d, F.lit(i))
-        for j in range(i):
-            t = t - F.col(f"l_{i}_{j}") * z[j]
-        return let(t / F.col(f"l_{i}_{i}"), lambda x: step(i + 1, [*z, x], d))
 
-    return let(vals, lambda d: step(0, [], d))
+def _pairs(names: list[str]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(names)) for j in range(i + 1)]
 
 
-def _cholesky(df: DataFrame, v, names: list[str], floors: dict[str, float]) -> DataFrame:
-    """df with the covariance v(i, j) plus the squared floors on the diagonal as v_*_*, its Cholesky factor l_*_*, and logdet."""
-    p = len(names)
-    df = df.withColumns({f"v_{i}_{j}": v(i, j) + (floors[names[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-    for i in range(p):
-        for j in range(i + 1):
-            t = F.col(f"v_{i}_{j}")
-            for k in range(j):
-                t = t - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(t, F.lit(floors[names[i]] ** 2 * 1e-3))) if i == j else t / F.col(f"l_{j}_{j}"))
-    return df.withColumn("logdet", sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0)))
+def _distance2(names: list[str]) -> Column:
+    """Squared Mahalanobis distance of the row's x from (m_*, w_*_*), w being the inverse covariance."""
+    d = [f"(__tw_x_{a} - m_{a})" for a in names]
+    return F.expr(f"greatest({' + '.join(f'{1 if i == j else 2} * w_{i}_{j} * {d[i]} * {d[j]}' for i, j in _pairs(names))}, 0D)")
+
+
+def _invert(df: DataFrame, keep: list[str], v, names: list[str], floors: dict[str, float]) -> DataFrame:
+    """keep, the covariance v(i, j) (SQL) plus the squared floors on the diagonal as v_*_*, its inverse w_*_*, and logdet: one sweep for each row."""
+    pairs = _pairs(names)
+    vs = [f"v_{i}_{j}" for i, j in pairs]
+    df = df.selectExpr(*keep, *[f"{v(i, j)} + {_num(floors[names[i]] ** 2 if i == j else 0.0)} AS v_{i}_{j}" for i, j in pairs])
+    df = df.selectExpr(*keep, *vs, *[f"v_{i}_{j} AS w_{i}_{j}" for i, j in pairs], "0D AS logdet")
+    at = lambda i, j: f"w_{max(i, j)}_{min(i, j)}"
+    for k in range(len(names)):
+        pivot = f"greatest({at(k, k)}, 1e-12D)"
+        swept = [f"-1 / {pivot}" if i == j == k else f"{at(i, j)} / {pivot}" if k in (i, j) else f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {pivot}" for i, j in pairs]
+        df = df.selectExpr(*keep, *vs, *[f"{c} AS w_{i}_{j}" for c, (i, j) in zip(swept, pairs, strict=True)], f"logdet + ln({pivot}) AS logdet")
+    return df.selectExpr(*keep, *vs, *[f"-w_{i}_{j} AS w_{i}_{j}" for i, j in pairs], "logdet")
 
 
 def _estimate(names: list[str]) -> list[str]:
-    p = len(names)
-    pairs = [f"{i}_{j}" for i in range(p) for j in range(i + 1)]
-    return [*[f"c_{a}" for a in names], *[f"m_{a}" for a in names], *[f"v_{x}" for x in pairs], *[f"l_{x}" for x in pairs], "logdet"]
+    return [*[f"{x}_{a}" for x in "cm" for a in names], *[f"{x}_{i}_{j}" for x in "vw" for i, j in _pairs(names)], "logdet"]
 
 
 def _moments(rows: DataFrame, keys: list[str], names: list[str], factor: float, floors: dict[str, float]) -> DataFrame:
     """The keys with their centre and covariance from all rows; the latter times factor, plus the floors."""
-    p = len(names)
-    x = [F.col(f"__tw_x_{a}") - F.col(f"c_{a}") for a in names]  # about the medians, so that sums of squares keep their digits
-    aggs = [F.avg(x[i]).alias(f"a_{i}") for i in range(p)] + [F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(*aggs, *[F.first(f"c_{a}").alias(f"c_{a}") for a in names])
-    out = out.withColumns({f"m_{a}": F.col(f"c_{a}") + F.col(f"a_{i}") for i, a in enumerate(names)})
-    out = _cholesky(out, lambda i, j: (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * factor, names, floors)
-    return out.select(*keys, *_estimate(names))
-
-
-def _small(params: DataFrame) -> DataFrame:
-    """Estimates for a join: broadcast if there are not too many cohorts."""
-    return broadcast_if(params, BROADCAST_COHORTS)
+    x = [f"(__tw_x_{a} - c_{a})" for a in names]  # about the medians, so that sums of squares keep their digits
+    aggs = [f"avg({x[i]}) AS a_{i}" for i in range(len(names))] + [f"avg({x[i]} * {x[j]}) AS s_{i}_{j}" for i, j in _pairs(names)] + [f"first(c_{a}) AS c_{a}" for a in names]
+    out = rows.groupBy(*keys).agg(*map(F.expr, aggs))
+    cs, ms = [f"c_{a}" for a in names], [f"m_{a}" for a in names]
+    out = out.selectExpr(*keys, *cs, *[f"c_{a} + a_{i} AS m_{a}" for i, a in enumerate(names)], *[f"(s_{i}_{j} - a_{i} * a_{j}) * {_num(factor)} AS u_{i}_{j}" for i, j in _pairs(names)])
+    return _invert(out, [*keys, *cs, *ms], lambda i, j: f"u_{i}_{j}", names, floors)
 
 
-def _starts(vectors: DataFrame, names: list[str], floors: dict[str, float]) -> DataFrame:
+def _starts(vectors: DataFrame, names: list[str], floors: dict[str, float], small) -> DataFrame:
     """(cohort, start, estimate) with medians as centres and the scales of the MADs: 0 with no correlations, 1 with those of tanh(z), 2 with those of z / |z|."""
     p = len(names)
-    long = vectors.select("cohort", F.inline(F.array(*[F.struct(F.lit(a).alias("name"), F.col(f"__tw_x_{a}").alias("x")) for a in names])))
-    median = materialize(_quantile(long, ["cohort", "name"], F.round(F.col("x") * GRID).cast("int"), 0.5), "mcd-median").withColumnRenamed("q", "mid")
-    spread = _quantile(long.join(_small(median), ["cohort", "name"]), ["cohort", "name"], F.round(F.abs(F.col("x") - F.col("mid") / GRID) * GRID).cast("int"), 0.5)
-    mids = median.join(spread, ["cohort", "name"]).groupBy("cohort").agg(
-        *[F.max(F.when(F.col("name") == a, F.col("mid") / GRID)).alias(f"c_{a}") for a in names],
-        *[F.max(F.when(F.col("name") == a, 1.4826 * F.col("q") / GRID)).alias(f"d_{i}") for i, a in enumerate(names)],
-    )
+    long = vectors.select("cohort", F.expr("inline(array(" + ", ".join(f"named_struct('name', '{a}', 'x', __tw_x_{a})" for a in names) + "))"))
+    median = materialize(_quantile(long, ["cohort", "name"], F.expr(f"CAST(round(x * {GRID}) AS INT)"), 0.5), "mcd-median").withColumnRenamed("q", "mid")
+    spread = _quantile(long.join(small(median), ["cohort", "name"]), ["cohort", "name"], F.expr(f"CAST(round(abs(x - mid / {GRID}) * {GRID}) AS INT)"), 0.5)
+    of = lambda a, c: f"max(CASE WHEN name = '{a}' THEN {c} / {GRID} END)"
+    mids = median.join(spread, ["cohort", "name"]).groupBy("cohort").agg(*[F.expr(f"{of(a, 'mid')} AS c_{a}") for a in names], *[F.expr(f"1.4826D * {of(a, 'q')} AS d_{i}") for i, a in enumerate(names)])
     mids = materialize(mids, "mcd-mids")
-    z = F.array(*[(F.col(f"__tw_x_{a}") - F.col(f"c_{a}")) / F.sqrt(F.col(f"d_{i}") ** 2 + floors[a] ** 2) for i, a in enumerate(names)])
-    rows = vectors.join(_small(mids), "cohort").select("cohort", z.alias("z"))
-    norm = F.greatest(F.sqrt(F.aggregate("z", F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-9))
-    rows = rows.select("cohort", F.transform("z", F.tanh).alias("z1"), F.transform("z", lambda x: x / norm).alias("z2"))
-    get = lambda c, i: F.get(F.col(c), F.lit(i))
-    aggs = [F.avg(get(c, i) * get(c, j)).alias(f"{c}_{i}_{j}") for c in ("z1", "z2") for i in range(p) for j in range(i + 1)]
-    found = mids.join(rows.groupBy("cohort").agg(*aggs), "cohort")
+    z = [f"(__tw_x_{a} - c_{a}) / sqrt(d_{i} * d_{i} + {_num(floors[a] ** 2)})" for i, a in enumerate(names)]
+    rows = vectors.join(small(mids), "cohort").selectExpr("cohort", *[f"{c} AS z_{i}" for i, c in enumerate(z)])
+    norm = f"greatest(sqrt({' + '.join(f'z_{i} * z_{i}' for i in range(p))}), 1e-9D)"
+    rows = rows.selectExpr("cohort", *[f"tanh(z_{i}) AS z1_{i}" for i in range(p)], *[f"z_{i} / {norm} AS z2_{i}" for i in range(p)])
+    found = mids.join(rows.groupBy("cohort").agg(*[F.expr(f"avg({z}_{i} * {z}_{j}) AS {z}_{i}_{j}") for z in ("z1", "z2") for i, j in _pairs(names)]), "cohort")
 
-    def correlation(i: int, j: int) -> Column:
-        if i == j:
-            return F.lit(1.0)
-        r = lambda c: F.coalesce(F.try_divide(F.col(f"{c}_{i}_{j}"), F.sqrt(F.col(f"{c}_{i}_{i}") * F.col(f"{c}_{j}_{j}"))), F.lit(0.0))
-        return F.when(F.col("start") == 1, r("z1")).when(F.col("start") == 2, r("z2")).otherwise(0.0)
+    def covariance(i: int, j: int) -> str:
+        r = lambda z: f"coalesce(try_divide({z}_{i}_{j}, sqrt({z}_{i}_{i} * {z}_{j}_{j})), 0D)"
+        return f"d_{i} * d_{i}" if i == j else f"d_{i} * d_{j} * CASE start WHEN 1 THEN {r('z1')} WHEN 2 THEN {r('z2')} ELSE 0D END"
 
-    found = found.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumns({f"m_{a}": F.col(f"c_{a}") for a in names})
-    found = _cholesky(found, lambda i, j: correlation(i, j) * F.col(f"d_{i}") * F.col(f"d_{j}"), names, floors)
-    return found.select("cohort", "start", *_estimate(names)).withColumn("logdet", F.lit(float("inf")))
+    cs = [f"c_{a}" for a in names]
+    found = found.selectExpr("*", "explode(array(0, 1, 2)) AS start").selectExpr("cohort", "start", *cs, *[f"c_{a} AS m_{a}" for a in names], *[f"{covariance(i, j)} AS u_{i}_{j}" for i, j in _pairs(names)])
+    found = _invert(found, ["cohort", "start", *cs, *[f"m_{a}" for a in names]], lambda i, j: f"u_{i}_{j}", names, floors)
+    return found.withColumn("logdet", F.lit(float("inf")))
 
 
-def fit_mcd(vectors: DataFrame, rules: Rules) -> DataFrame:
-    """vectors: cohort, __tw_x_*. Gives one row a cohort: cohort, c_*, m_*, v_*_*, l_*_*, logdet.
+def fit_mcd(vectors: DataFrame, rules: Rules, small=F.broadcast) -> DataFrame:
+    """vectors: cohort, __tw_x_*. Gives one row a cohort: cohort, c_*, m_*, v_*_*, w_*_*, logdet.
 
     Concentration steps from three starts; after two of them the start with the least determinant goes on, until no
-    cohort's determinant falls further. Each cohort keeps the least determinant that it met.
+    cohort's determinant falls further. Each cohort keeps the least determinant that it met. small marks tables of a row
+    or a few for each cohort for their joins.
     """
     names, floors = list(rules.floors), rules.floors
     p = len(names)
-    params = materialize(_starts(vectors, names, floors), "mcd-starts")
+    params = materialize(_starts(vectors, names, floors, small), "mcd-starts")
     consistency = 0.5 / _chi2_cdf(chi2_quantile(0.5, p), p + 2)
     keys = ["cohort", "start"]
     cell = F.floor(F.log(F.col("d2") + 1e-9) * (GRID // 4)).cast("int")
     for k in range(rules.max_steps):
-        near = vectors.join(_small(params), "cohort").withColumn("d2", _distance2(names)).withColumn("cell", cell)
+        near = vectors.join(small(params), "cohort").withColumn("d2", _distance2(names)).withColumn("cell", cell)
         limit = materialize(_quantile(near, keys, F.col("cell"), 0.5), f"mcd-half-{k}")
-        after = _moments(near.join(_small(limit), keys).filter("cell <= q"), keys, names, consistency, floors)
-        old = params.select(*keys, F.struct(*_estimate(names)).alias("old"))
-        both = after.select(*keys, F.struct(*_estimate(names)).alias("new")).join(old, keys)
-        falls = F.col("new.logdet") < F.col("old.logdet") - 1e-6
-        both = both.select(*keys, falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"))
+        after = _moments(near.join(small(limit), keys).filter("cell <= q"), keys, names, consistency, floors)
+        packed = lambda df, name: df.selectExpr(*keys, f"struct({', '.join(_estimate(names))}) AS {name}")
+        both = packed(after, "new").join(packed(params, "old"), keys).withColumn("falls", F.expr("new.logdet < old.logdet - 1e-6D"))
+        both = both.selectExpr(*keys, "falls", "CASE WHEN falls THEN new ELSE old END AS e")
         if k == 1:
-            both = both.groupBy("cohort").agg(F.min_by(F.struct("start", "falls", "e"), F.struct("e.logdet", "start")).alias("b")).select("cohort", "b.*")
+            both = both.groupBy("cohort").agg(F.expr("min_by(struct(start, falls, e), struct(e.logdet, start)) AS b")).select("cohort", "b.*")
         both = materialize(both, f"mcd-{k}")
         params = both.select(*keys, "e.*")
         if k and both.filter("falls").isEmpty():
             break
     q = rules.reweight_quantile
-    near = vectors.join(_small(params), "cohort").withColumn("d2", _distance2(names)).filter(F.col("d2") <= chi2_quantile(q, p))
+    near = vectors.join(small(params), "cohort").withColumn("d2", _distance2(names)).filter(F.col("d2") <= chi2_quantile(q, p))
     return materialize(_moments(near, ["cohort"], names, q / _chi2_cdf(chi2_quantile(q, p), p + 2), floors), "mcd-final")
 
 
 def _shrunk(sizes: DataFrame, params: DataFrame, names: list[str], rules: Rules) -> DataFrame:
-    """(__tw_lang, __tw_source, m_*, l_*_*): the estimate of each language and source, drawn to that of the language and that to the one of all by prior_rows pseudo-rows."""
-    p = len(names)
-    values = [f"m_{a}" for a in names] + [f"v_{i}_{j}" for i in range(p) for j in range(i + 1)]
-    level = lambda tag: params.select(F.col("cohort").alias(f"{tag}_cohort"), F.struct(*values).alias(tag))
+    """(__tw_lang, __tw_source, m_*, w_*_*): the estimate of each language and source, drawn to that of the language and that to the one of all by prior_rows pseudo-rows."""
+    values = [f"m_{a}" for a in names] + [f"v_{i}_{j}" for i, j in _pairs(names)]
+    level = lambda tag: params.selectExpr(f"cohort AS {tag}_cohort", f"struct({', '.join(values)}) AS {tag}")
     out = sizes.withColumn("lang_n", F.sum("n").over(Window.partitionBy("__tw_lang")))
     out = out.join(level("own"), F.concat_ws("\x01", "__tw_lang", "__tw_source") == F.col("own_cohort"))
-    out = out.join(level("lang"), F.col("__tw_lang") == F.col("lang_cohort")).join(level("all"), F.col("all_cohort") == "")
-
-    def mix(c: str) -> Column:
-        n, m, k = F.col("n"), F.col("lang_n"), float(rules.prior_rows)
-        parent = (m * F.col(f"lang.{c}") + k * F.col(f"all.{c}")) / (m + k)
-        return (n * F.col(f"own.{c}") + k * parent) / (n + k)
-
-    out = out.select("__tw_lang", "__tw_source", *[mix(c).alias(c) for c in values])
-    none = dict.fromkeys(names, 1e-3)  # the floors are in the estimates already
-    out = _cholesky(out.withColumnsRenamed({f"v_{i}_{j}": f"w_{i}_{j}" for i in range(p) for j in range(i + 1)}), lambda i, j: F.col(f"w_{i}_{j}"), names, none)
-    return out.select("__tw_lang", "__tw_source", *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    out = out.join(level("lang"), F.col("__tw_lang") == F.col("lang_cohort")).join(level("everyone"), F.col("everyone_cohort") == "")
+    k = _num(float(rules.prior_rows))
+    mix = lambda c: f"(n * own.{c} + {k} * (lang_n * lang.{c} + {k} * everyone.{c}) / (lang_n + {k})) / (n + {k})"
+    ms, where = [f"m_{a}" for a in names], ["__tw_lang", "__tw_source"]
+    out = out.selectExpr(*where, *[f"{mix(c)} AS {c}" for c in ms], *[f"{mix(f'v_{i}_{j}')} AS u_{i}_{j}" for i, j in _pairs(names)])
+    out = _invert(out, [*where, *ms], lambda i, j: f"u_{i}_{j}", names, dict.fromkeys(names, 1e-3))  # the floors are in the estimates already
+    return out.select(*where, *ms, *[f"w_{i}_{j}" for i, j in _pairs(names)])
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
@@ -278,13 +261,15 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_
     sizes = materialize(fitted.groupBy("__tw_lang", "__tw_source").agg(F.count(F.lit(1)).alias("n")), "cohorts")
     levels = F.array(F.concat_ws("\x01", "__tw_lang", "__tw_source"), F.col("__tw_lang"), F.lit(""))
     vectors = materialize(fitted.withColumn("cohort", F.explode(levels)).drop("__tw_lang", "__tw_source"), "cohort-vectors")
-    params = materialize(_shrunk(sizes, fit_mcd(vectors, rules), names, rules), "quality-estimates")
+    # A broadcast of at most some ten rows of seventy numbers for each language and source, unless there are very many of these.
+    small = F.broadcast if sizes.count() <= BROADCAST_COHORTS else lambda df: df
+    params = materialize(_shrunk(sizes, fit_mcd(vectors, rules, small), names, rules), "quality-estimates")
 
-    out = table.join(_small(params), ["__tw_lang", "__tw_source"], "left")
-    out = out.withColumn("distance2", F.when(F.col("l_0_0").isNotNull(), _distance2(names)))
+    out = table.join(small(params), ["__tw_lang", "__tw_source"], "left")
+    out = out.withColumn("distance2", F.when(F.col("w_0_0").isNotNull(), _distance2(names)))
     cutoff = chi2_quantile(rules.reject_quantile, p)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
-    return out.drop("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names], *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return out.drop("__tw_lang", "__tw_source", *[f"__tw_x_{a}" for a in names], *[f"m_{a}" for a in names], *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
