@@ -66,7 +66,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     """(by, q): the quantiles at these shares, interpolated linearly, of any number of values in a group.
 
     A sketch of known error gives a bracket about each quantile; the second pass counts what lies below the bracket and
-    ranks what lies in it, some thousandth of the values. Nulls do not count.
+    ranks what lies in it, some thousandth of the values. In small groups the quantile's neighbours may be the values next
+    to the bracket, which are kept too. Nulls do not count.
     """
     x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
     at = lambda d: F.percentile_approx("__x", F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in shares]), round(1 / error))
@@ -75,7 +76,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     lo, hi = (lambda k: F.get("__lo", F.lit(k))), (lambda k: F.get("__hi", F.lit(k)))
     parts = range(len(shares))
     outside = rows.groupBy(*by).agg(
-        F.first("__n").alias("__n"), F.array(*[F.count_if(F.col("__x") < lo(k)) for k in parts]).alias("__below"), F.array(*[F.min(F.when(F.col("__x") > hi(k), F.col("__x"))) for k in parts]).alias("__next")
+        F.first("__n").alias("__n"), F.array(*[F.count_if(F.col("__x") < lo(k)) for k in parts]).alias("__below"), F.array(*[F.min(F.when(F.col("__x") > hi(k), F.col("__x"))) for k in parts]).alias("__next"), F.array(*[F.max(F.when(F.col("__x") < lo(k), F.col("__x"))) for k in parts]).alias("__last")
     )
     inside = F.filter(F.array(*[F.when((F.col("__x") >= lo(k)) & (F.col("__x") <= hi(k)), F.lit(k)) for k in parts]), lambda k: k.isNotNull())
     counts = rows.select(*by, "__x", F.explode(inside).alias("__k")).groupBy(*by, "__k", "__x").agg(F.count(F.lit(1)).alias("__c"))
@@ -84,7 +85,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     place = F.get(F.array(*[F.lit(float(q)) for q in shares]), F.col("__k")) * (F.col("__n") - 1)
     first = F.floor(place) - F.get("__below", F.col("__k"))
     of = lambda i: F.min(F.when(F.col("__run") > i, F.col("__x")))
-    found = ranked.groupBy(*by, "__k").agg(of(first).alias("__a"), F.coalesce(of(first + 1), F.first(F.get("__next", F.col("__k")))).alias("__b"), F.first(place - F.floor(place)).alias("__f"))
+    found = ranked.groupBy(*by, "__k").agg(F.when(F.first(first) < 0, F.first(F.get("__last", F.col("__k")))).otherwise(of(first)).alias("__a"), F.coalesce(of(first + 1), F.first(F.get("__next", F.col("__k")))).alias("__b"), F.first(place - F.floor(place)).alias("__f"))
     q = F.when(F.col("__f") > 0, F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).otherwise(F.col("__a"))
     return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", q.alias("q")))), lambda r: r["q"]).alias("q"))
 

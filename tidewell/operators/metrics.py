@@ -39,17 +39,13 @@ def summary(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> Da
     )
 
 
-def _rank(score: str, by: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, score)) - 1) / 2.0
-
-
 def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """(by, auc, n_pos, n_neg): the rank form over distinct scores, so that what is ranked is counts, not rows."""
     by = by or []
-    counts = df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = counts.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
-    return t.select(*by, ratio(F.col("won"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    counts = df.groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(y) == 1).alias("__p"), F.count_if(F.col(y) == 0).alias("__q"))
+    below = F.coalesce(F.sum("__q").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = counts.withColumn("__won", F.col("__p") * (below + F.col("__q") / 2.0)).groupBy(*by).agg(F.sum("__won").alias("__won"), F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"))
+    return t.select(*by, ratio(F.col("__won"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:

@@ -113,7 +113,7 @@ ANOVA = ", g AS (SELECT feature, class, count(*) n, avg(value) m, var_pop(value)
 
 #: Tail probabilities in SQL: of F with two degrees of freedom above (three classes), and of a normal deviate, both sides, by Simpson's rule.
 F2_TAIL = "pow(1 + 2 * ({f}) / ({d}), -({d}) / 2e0)"
-NORMAL_TAIL = "1 - 2 / sqrt(2 * pi()) * ({z}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(({z}) * i / 2000e0) ** 2 / 2)))"
+NORMAL_TAIL = "1 - 2 / sqrt(2 * pi()) * ({z}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(({z}) * i / 2000e0, 2))))"
 F_RATIO = "(ssb / (k - 1)) / (ssw / (nn - k))"
 
 

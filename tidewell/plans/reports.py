@@ -296,7 +296,8 @@ def beat_templates(spark, d):
 def sympathetic_envelope(spark, d):
     """Paired Wilcoxon tests over the segments' mean envelope of the sympathetic band, and the phasic part's deviation."""
     s = signals(spark, d).withColumn("subject", F.col("segment_id") % 25)
-    s = s.withColumns({"tvsymp": seg.mean(seg.map_array(F.col("samples"), lambda x: sg.tvsymp(x, 2.0))), "phasic": F.sqrt(seg.var_pop(seg.map_array(F.col("samples"), lambda x: sg.phasic(x, 2.0))))})
+    s = s.withColumns({"e": seg.map_array(F.col("samples"), lambda x: sg.tvsymp(x, 2.0)), "f": seg.map_array(F.col("samples"), lambda x: sg.phasic(x, 2.0))})
+    s = s.withColumns({"tvsymp": seg.mean(F.col("e")), "phasic": F.sqrt(seg.var_pop(F.col("f")))})
     labels = [r[0] for r in s.select("class").distinct().orderBy("class").limit(2).collect()]
     means = agg.subject_means(s, ["tvsymp", "phasic"]).unpivot(["subject", "class"], ["tvsymp", "phasic"], "feature", "value")
     return stats.wilcoxon(stats.paired_by_feature(means, *labels))
