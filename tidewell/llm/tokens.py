@@ -72,7 +72,7 @@ def encoded_length(text: str | None, path: str, data: bytes | None = None) -> in
     """
     encode = encoder(path, data).encode_ordinary
     n = at = 0
-    for m in LONG_BLANK.finditer(text or ""):
+    for m in LONG_BLANK.finditer(text) if text and len(text) >= 10_000 else ():
         end = m.end() - (m.end() < len(text))
         n += len(encode(text[at : m.start()])) + len(worker_cache()["blank", path].encode_ordinary(text[m.start() : end]))
         at = end
