@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if, materialize
+from .common import WordHashes, broadcast_if, free_shuffles, materialize
 from .components import components
 from .lm import _mix, _tokens
 from .simhash import keep_rows, links
@@ -69,12 +69,19 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
     return rows.withColumn("s", of("text")).select(*[c for c in rows.columns if c != "text"], "s.*")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """materialize(), and the shuffle files that it took are deleted at once: the sets' shingles take several times the disk of the texts."""
+    out = materialize(df, name)
+    free_shuffles(df.sparkSession)
+    return out
+
+
 def _similar(pairs: DataFrame, names: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
     """The pairs (u, v) of sets whose similarity is at least least. names: (sid, th), a text of each set by its hash. Only these texts are cut again."""
     pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(names, "sid")
     chosen = texts.join(broadcast_if(materialize(wanted.select("th").distinct(), "wanted"), BROADCAST_SETS), "th", "left_semi").dropDuplicates(["th"])
-    sets = materialize(_sets(chosen.select("text"), n, least, whole=True).dropDuplicates(["sid"]), "sets")
+    sets = _written(_sets(chosen.select("text"), n, least, whole=True).dropDuplicates(["sid"]), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
@@ -94,22 +101,22 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th"), text.alias("text"))
     rows = materialize(_sets(rows, n, least, last), "prefixes")
-    names = materialize(rows.groupBy("sid").agg(F.min("th").alias("th")), "set-names")
+    names = _written(rows.groupBy("sid").agg(F.min("th").alias("th")), "set-names")
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
-    anchored = materialize(_similar(_anchored(rows, t, near), names, texts, n, least), "anchored")
+    anchored = _written(_similar(_anchored(rows, t, near), names, texts, n, least), "anchored")
     joined = components(anchored)
 
     buckets = rows.select("sid", "m", "hs").dropDuplicates(["sid"]).join(joined, F.col("sid") == F.col("node"), "left")
     buckets = buckets.select("sid", "m", F.coalesce("root", "sid").alias("root"), F.explode("hs").alias("h"))
     size = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "m", "root")).alias("c")).filter("size > 1").select("h", "c")
-    buckets = materialize(buckets.join(size, "h"), "buckets")
+    buckets = _written(buckets.join(size, "h"), "buckets")
 
     stars = buckets.filter((F.col("c.root") != F.col("root")) & near(F.col("c.m"), F.col("m"))).select(F.col("c.sid").alias("u"), F.col("sid").alias("v"))
-    first = materialize(anchored.union(_similar(stars, names, texts, n, least)), "links")
+    first = _written(anchored.union(_similar(stars, names, texts, n, least)), "links")
     found = components(first)
     placed = buckets.select("h", "sid", "m").join(found, F.col("sid") == F.col("node"), "left").select("h", "sid", "m", F.coalesce("root", "sid").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    placed = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
+    placed = _written(placed.join(mixed, "h", "left_semi"), "mixed")
     a, b = placed.toDF("h", "u", "mu", "ru"), placed.toDF("h", "v", "mv", "rv")
     cross = a.join(b, "h").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near(F.col("mu"), F.col("mv"))).select("u", "v")
     roots = components(first.union(_similar(cross.join(stars.distinct(), ["u", "v"], "left_anti"), names, texts, n, least)))
