@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lm, packing, quality, shards, simhash, sql, substring, tokens, urls
+from . import decontam, kmeans, lines, lm, packing, quality, resample, shards, simhash, sql, substring, tokens, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,20 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), stable=True)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -74,6 +88,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_histogram_sharding": op10_histogram_sharding,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 #: The others have verdicts, hashes or encodings that SQL lacks; tests/llm holds them against brute force.
@@ -82,4 +99,7 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": sql.OP4,
     "op5_line_dedup": sql.OP5,
     "op9_url_filters": sql.OP9,
+    "op11_importance_resampling": sql.OP11,
+    "op12_centroid_clustering": sql.OP12,
+    "op13_exact_top_k": sql.OP13,
 }
