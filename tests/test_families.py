@@ -154,3 +154,14 @@ def test_stack_does_not_leak(spark, table):
     own = [i for i in a if a[i][0] == of[0]]
     assert own and all(a[i][1] == pytest.approx(b[i][1], abs=1e-9) for i in own)
     assert any(abs(a[i][1] - b[i][1]) > 1e-3 for i in a if a[i][0] not in (of[0],))
+
+
+def test_knn(table):
+    rows, df = table
+    x, y = np.array([r[2:4] for r in rows]), np.array([r[4] for r in rows])
+    fold = np.array([r[1] if r[7] else -1 for r in rows])
+    z = (x - x[fold >= 0].mean(0)) / x[fold >= 0].std(0)
+    got = {r.segment_id: (r.fold, r.proba) for r in families.left_out(df, ModelSpec("knn", {"k": 7}), COLS, "y", F.col("train")).collect()}
+    for i in range(len(rows)):
+        d = np.where((fold >= 0) & (fold != fold[i]), ((z - z[i]) ** 2).sum(1), np.inf)
+        assert got[i] == (fold[i], pytest.approx(y[np.argsort(d)[:7]].mean()))

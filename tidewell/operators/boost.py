@@ -200,7 +200,10 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int) -> list[np.ndar
 
 
 def _blocks(rows: DataFrame, xs: list[str], edges: list[np.ndarray]) -> DataFrame:
-    """Blocks of bin numbers, labels, weights, folds and hashes, with no margins yet."""
+    """Blocks of bin numbers, labels, weights, folds and hashes, with no margins yet; small inputs are dealt to all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

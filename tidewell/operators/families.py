@@ -13,6 +13,7 @@ from . import models
 from .boost import Boosting, loso_boosting
 from .kernel import Svm, loso_svm
 from .models import ModelSpec
+from .neighbors import nearest
 
 
 def _with(kind, spec: ModelSpec, **usual):
@@ -27,12 +28,23 @@ def _svm(landmarks: int):
     return lambda df, columns, label, train, spec, **options: loso_svm(df, columns, label, train, _with(Svm, spec, landmarks=landmarks), **options).drop("decision")
 
 
+def _knn(df, columns, label, train, spec, key="segment_id", by="subject", weight=None, learn=None):
+    """Share of class 1 among the k nearest training rows of other subjects, by columns scaled by all training rows."""
+    rows = models.standard_scale(df.withColumns({"__y": F.col(label).cast("double"), "__fold": F.when(train, F.col(by).cast("long")).otherwise(-1), "__learn": learn if learn is not None else F.lit(True)}), columns, train)
+    rows = rows.select(key, by, "__fold", "__y", "__learn", F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("__v"), F.xxhash64(key).alias("__id"))
+    known = rows.filter("__fold <> -1 and __learn and __y is not null")
+    found = nearest(rows, known, spec.params.get("k", 5), "__id", "__v", own=F.col("__fold"), tag=F.col("__y"))
+    share = F.aggregate("neighbours", F.lit(0.0), lambda s, n: s + n["tag"]) / F.when(F.size("neighbours") > 0, F.size("neighbours"))
+    return rows.join(found.select(F.col("query_id").alias("__id"), share.alias("proba")), "__id").filter("proba is not null").select(key, by, F.col("__fold").alias("fold"), "proba")
+
+
 #: name -> f(df, columns, label, train, spec, key=, by=, weight=, learn=) -> (key, by, fold, proba)
 FAMILIES: dict[str, Callable] = {
     "logreg": _logistic,
     "xgb": lambda df, columns, label, train, spec, **options: loso_boosting(df, columns, label, train, _with(Boosting, spec), **options),
     "svm_linear": _svm(0),
     "svm_rbf": _svm(256),
+    "knn": _knn,
 }
 
 
