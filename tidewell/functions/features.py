@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import detect
 from . import signal as s
 
 #: The frequency bands of the four signals, in Hz.
@@ -101,14 +102,23 @@ def _long_enough(x: np.ndarray, fs: float) -> bool:
     return x.shape[1] >= int(2 * fs)
 
 
+def pulse_band(x: np.ndarray, fs: float) -> np.ndarray:
+    return s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), x)
+
+
+def beats(y: np.ndarray, fs: float) -> list[np.ndarray]:
+    """Beats of each row of band-passed pulses: by two moving averages, or by prominence where these find fewer than two."""
+    found = detect.pulse_peaks(y, fs)
+    return [p if len(p) > 1 else s.find_peaks(r, max(1, int(0.35 * fs)), 0.3 * r.std()) for p, r in zip(found, y, strict=True)]
+
+
 def bvp_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     """Beats of the 0.5 to 8 Hz band: rates and intervals (s; variability in ms), amplitudes, rise from the trough before, envelope."""
     if not _long_enough(x, fs):
         return {}
-    y = s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), x)
+    y = pulse_band(x, fs)
 
-    def beats(y: np.ndarray) -> dict[str, float]:
-        peaks = s.find_peaks(y, int(0.35 * fs), 0.3 * y.std())
+    def of_beats(y: np.ndarray, peaks: np.ndarray) -> dict[str, float]:
         out = dict.fromkeys(("peak_count", "rr_mean", "hr_mean", "sdnn", "rmssd", "pnn20", "peak_amp_mean", "peak_amp_std", "risetime_mean"), np.nan)
         if len(peaks) < 2:
             return out
@@ -116,25 +126,30 @@ def bvp_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
         out |= {"peak_count": len(peaks), "rr_mean": rr.mean(), "hr_mean": 60 / rr.mean(), "peak_amp_mean": y[peaks].mean(), "peak_amp_std": y[peaks].std()}
         if len(rr) > 1:
             step = np.diff(rr * 1000)
-            out |= {"sdnn": (rr * 1000).std(ddof=1), "rmssd": np.sqrt((step**2).mean()), "pnn20": (np.abs(step) > 20).mean()}
-        troughs = s.find_peaks(-y, int(0.3 * fs))
+            out |= {"sdnn": (rr * 1000).std(ddof=1), "rmssd": np.sqrt((step**2).mean()), "pnn20": (np.abs(step) > 20 + 1e-6).mean()}
+        troughs = s.find_peaks(-y, max(1, int(0.3 * fs)))
         before = np.searchsorted(troughs, peaks) - 1
         if (before >= 0).any():
             out["risetime_mean"] = ((peaks - troughs[before]) / fs)[before >= 0].mean()
         return out
 
-    return _rows(beats, y) | {"env_std": s.envelope(y).std(1)}
+    return _rows(of_beats, y, beats(y, fs)) | {"env_std": s.envelope(y).std(1)}
 
 
 def eda_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-    """Tonic level below 0.05 Hz, and responses in what lies above."""
+    """Tonic level below 0.05 Hz, and responses in what lies above: how many, how high, how fast they rise and lose half their height."""
     if not _long_enough(x, fs):
         return {}
     tonic, phasic = (s.filtfilt(*s.butter(2, *band, fs), x) for band in ((None, 0.05), (0.05, None)))
 
     def responses(y: np.ndarray) -> dict[str, float]:
-        peaks = s.find_peaks(y, int(fs), max(0.01, 0.1 * y.std()))
-        return {"scr_count": len(peaks), "scr_rate": len(peaks) / (len(y) / fs / 10), "scr_amp_mean": np.mean([s.peak_prominence(y, k) for k in peaks]) if len(peaks) else 0.0}
+        r = detect.skin_responses(y, fs, max(0.01, 0.1 * y.std()))
+        n, back = len(r["peak"]), r["recovery"] >= 0
+        mean = lambda v: v.mean() if len(v) else np.nan
+        return {
+            "scr_count": n, "scr_rate": n / (len(y) / fs / 10), "scr_amp_mean": np.mean([s.peak_prominence(y, k) for k in r["peak"]]) if n else 0.0, "scr_height_mean": mean(r["amplitude"]),
+            "scr_rise_mean": mean((r["peak"] - r["onset"]) / fs), "scr_half_recovery_mean": mean((r["recovery"] - r["peak"])[back] / fs), "scr_recovered": back.mean() if n else np.nan,
+        }
 
     return _rows(responses, phasic) | {"tonic_mean": tonic.mean(1), "tonic_slope": s.slope(tonic, fs), "phasic_auc": s.trapezoid(np.abs(phasic), np.arange(x.shape[1])) / fs, "range": np.ptp(x, 1)}
 
@@ -180,7 +195,7 @@ def coupling(bvp: np.ndarray, resp: np.ndarray, fs: float) -> np.ndarray:
     n = min(bvp.shape[1], resp.shape[1])
     if n < int(3 * fs):
         return np.full(len(bvp), np.nan)
-    env = s.envelope(s.filtfilt(*s.butter(3, 0.5, min(8.0, 0.45 * fs), fs), bvp[:, :n]))
+    env = s.envelope(pulse_band(bvp[:, :n], fs))
     band = s.filtfilt(*s.butter(2, 0.1, 0.5, fs), resp[:, :n])
     a, b = env - env.mean(1, keepdims=True), band - band.mean(1, keepdims=True)
     flat = (a.std(1) < 1e-12) | (b.std(1) < 1e-12)

@@ -10,10 +10,11 @@ from tidewell.functions import signal as sg
 from tidewell.operators import relational as rel
 from tidewell.operators import segments as seg
 
-from .registry import SIG, query, signals
+from .registry import SIG, query, recordings, signals
 
 MEAN = "list_avg(samples)"
 FS = 64.0
+RATE = 100.0
 
 
 def _var(x: str) -> str:
@@ -194,8 +195,8 @@ def baseline_waveforms(spark, d):
 
 @query("extract_features")
 def extract_features(spark, d):
-    """Raw, time-frequency and physiological features of each signal as a recording of each of the four channels."""
-    return seg.extract(signals(spark, d), ["segment_id"], dict.fromkeys(("bvp", "eda", "resp", "spo2"), "samples"), FS)
+    """Raw, time-frequency and physiological features of recordings of ten seconds, each as every one of the four channels."""
+    return seg.extract(recordings(spark, d), ["recording_id"], dict.fromkeys(("bvp", "eda", "resp", "spo2"), "samples"), RATE)
 
 
 SUBWINDOW = "mean std slope range ptp rms median mad pos_frac ac1 skew"

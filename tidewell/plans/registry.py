@@ -52,6 +52,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("label").alias("class"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def recordings(spark: SparkSession, sf_dir: str, parts: int = 16) -> DataFrame:
+    """(recording_id, class, samples): the signals of so many neighbouring segments one after the other, some ten seconds at 100 Hz; the last may be shorter. class: of the first."""
+    s = signals(spark, sf_dir).groupBy(F.floor(F.col("segment_id") / parts).alias("recording_id")).agg(F.sort_array(F.collect_list(F.struct("segment_id", "class", "samples"))).alias("s"))
+    return s.select("recording_id", F.get("s", F.lit(0))["class"].alias("class"), F.flatten(F.transform("s", lambda x: x["samples"])).alias("samples"))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{f.name}`") + float(NUDGE), DIGITS).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema])
 

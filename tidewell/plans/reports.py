@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewell.functions import features as fx
 from tidewell.functions import signal as sg
 from tidewell.functions.columns import CLASSES, is_pain
 from tidewell.operators import aggregate as agg
 from tidewell.operators import decode, metrics, models, normalize, relational, select, stats
 from tidewell.operators import segments as seg
 
+from .arrays import RATE
 from .norms import ANOVA, F2_TAIL, F_RATIO, LONG, NORMAL_TAIL, P, PRED, RANKS, V, _long, _pred
-from .registry import FEATURES, SEG, SIG, query, segments, signals
+from .registry import FEATURES, SEG, SIG, query, recordings, segments, signals
 
 
 def _mwu_sql(name: str, table: str, a: str, b: str) -> str:
@@ -287,9 +289,14 @@ def distance_correlation(spark, d):
 
 @query("beat_templates")
 def beat_templates(spark, d):
-    """Mean shape about the peaks of each segment."""
-    s = signals(spark, d).select("segment_id", seg.map_array(F.col("samples"), lambda x: sg.beat_template(x, sg.find_peaks(x, 4), 4, 8)).alias("t"))
-    return s.select("segment_id", F.posexplode("t").alias("k", "x")).filter(~F.isnan("x"))
+    """Mean shape of the band-passed pulse about the beats of each recording, a quarter of a second before to half a second after."""
+
+    def template(x: np.ndarray) -> np.ndarray:
+        y = fx.pulse_band(x[None], RATE)
+        return sg.beat_template(y[0], fx.beats(y, RATE)[0], 25, 50)
+
+    s = recordings(spark, d).select("recording_id", seg.map_array(F.col("samples"), template).alias("t"))
+    return s.select("recording_id", F.posexplode("t").alias("k", "x")).filter(~F.isnan("x"))
 
 
 @query("sympathetic_envelope")
