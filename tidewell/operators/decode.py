@@ -1,8 +1,11 @@
-"""Anchor scores, joint log scores, and decoding under exact class counts for each subject."""
+"""Anchor scores, joint log scores, and decoding under exact class counts for each subject, of any number of rows."""
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,14 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import sigmoid
+from tidewell.sources.shared import stored
 
 from .aggregate import exact_top
 from .metrics import summary
 from .normalize import _scaled
 
 EPS = 1e-6
-#: Bytes of back pointers of one group.
-MOST_CELLS = 1 << 30
 
 
 def log_clipped(p: Column) -> Column:
@@ -115,21 +117,177 @@ def exact_count_labels(scores: np.ndarray, counts: Sequence[int]) -> np.ndarray:
     return out
 
 
-def exact_count_decode(df: DataFrame, scores: list[str], counts: DataFrame, key: str = "segment_id", by: str = "subject", label: str = "pred") -> DataFrame:
-    """(by, key, pred): exact-count decoding of each subject; counts: (by, n0, n1, ...), one row a subject."""
-    names = [f"n{k}" for k in range(len(scores))]
-    rows = df.select(by, key, *scores).join(counts.select(by, *names), by)
-
-    def decode(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key, kind="stable")
-        cells = np.prod([int(x) + 1 for x in g[names[:-1]].iloc[0]])
-        if cells * len(g) > MOST_CELLS:
-            raise ValueError(f"{len(g)} rows with {cells} combinations of counts are too many to decode in one group")
-        pred = exact_count_labels(g[scores].to_numpy(float), [int(x) for x in g[names].iloc[0]])
-        return g[[by, key]].assign(**{label: pred})
+def count_flow(scores: np.ndarray, counts: Sequence[int], prices: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of greatest total score with exactly counts[k] of class k, and prices that prove it.
 
+    Rows first take their best class at given prices, which is optimal for the counts that come out. Then one row after the other goes from
+    a class with too many to one with too few along the path between classes that loses least; of rows that lose the same the
+    first moves. At the prices every row's class is its best: score - price, so no other labels with these counts have a greater total.
+    """
+    n, k = scores.shape
+    counts = np.asarray(counts, np.int64)
+    if counts.sum() != n or (counts < 0).any():
+        raise ValueError(f"counts sum to {counts.sum()}, rows are {n}")
+    price = np.zeros(k) if prices is None else np.array(prices, float)
+    price = _approach(scores, counts, price)
+    label = (scores - price).argmax(1)
+    excess = np.bincount(label, minlength=k) - counts
+    heaps: dict[tuple[int, int], list] = {}
+    for a in range(k) if excess.any() else ():
+        at = np.flatnonzero(label == a)
+        for b in range(k):
+            if a != b:
+                heaps[a, b] = list(zip((scores[at, a] - scores[at, b]).tolist(), at.tolist(), strict=True))
+                heapq.heapify(heaps[a, b])
+
+    def loss(a: int, b: int) -> float:
+        h = heaps[a, b]
+        while h and label[h[0][1]] != a:
+            heapq.heappop(h)
+        return h[0][0] if h else math.inf
+
+    while excess.any():
+        cost = [[loss(a, b) if a != b else math.inf for b in range(k)] for a in range(k)]
+        far, came = [0.0 if e > 0 else math.inf for e in excess], [-1] * k
+        for _ in range(k - 1):
+            for a in range(k):
+                for b in range(k):
+                    if far[a] + cost[a][b] < far[b] - 1e-12:
+                        far[b], came[b] = far[a] + cost[a][b], a
+        b = min((j for j in range(k) if excess[j] < 0), key=lambda j: far[j])
+        excess[b] += 1
+        while (a := came[b]) >= 0:
+            i = heaps[a, b][0][1]
+            label[i] = b
+            for c in range(k):
+                if c != b:
+                    heapq.heappush(heaps[b, c], (float(scores[i, b] - scores[i, c]), i))
+            b = a
+        excess[b] -= 1
+    for _ in range(k):  # price[b] - price[a] is at least what a row of a would gain in b
+        for a in range(k):
+            own = label == a
+            if own.any():
+                price = np.maximum(price, np.where(np.arange(k) == a, -np.inf, price[a] + (scores[own] - scores[own, a, None]).max(0)))
+    return label, price
+
+
+def _approach(scores: np.ndarray, counts: np.ndarray, price: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Prices at which about the right numbers choose each class: each class in turn takes the price at which exactly its number does."""
+    best, least = price, np.abs(np.bincount((scores - price).argmax(1), minlength=len(price)) - counts).sum()
+    k = len(price)
+    for r in range(rounds if len(scores) else 0):
+        if least <= 2 * k:
+            break
+        c = r % k
+        if not 0 < counts[c] < len(scores):
+            continue
+        other = (scores - price)[:, [j for j in range(k) if j != c]].max(1)
+        margin = np.partition(scores[:, c] - other, len(scores) - counts[c] - 1)
+        price = price.copy()
+        price[c] = margin[len(scores) - counts[c] - 1]
+        off = np.abs(np.bincount((scores - price).argmax(1), minlength=k) - counts).sum()
+        if off < least:
+            best, least = price, off
+    return best
+
+
+@dataclass(frozen=True)
+class Decoding:
+    in_task: int = 200_000  #: most rows of a group that one task decodes
+    sample: int = 50_000  #: rows from which a larger group's prices are first taken
+    near: float = 0.05  #: share of rows, nearest to another class, that stay open at those prices
+    seed: int = 42
+
+
+def exact_count_decode(df: DataFrame, scores: list[str], counts: DataFrame, key: str = "segment_id", by: str = "subject", label: str = "pred", s: Decoding = Decoding()) -> DataFrame:
+    """(by, key, pred): the labels of each subject with the greatest total score under its exact class counts; counts: (by, n0, n1, ...), one row a subject.
+
+    Groups of up to s.in_task rows are decoded in one task. Of larger ones, a seeded choice of rows gives class prices, at which most rows' classes
+    are clear; the others stay open, with the counts that are left, and so on until a task can hold them. Its final prices are then
+    checked on all rows: if every row's class is its best at them, the labels are optimal, as in small groups. If not, more rows stay
+    open. Equal totals are settled by key.
+    """
+    k, names = len(scores), [f"n{i}" for i in range(len(scores))]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return rows.groupBy(by).applyInPandas(decode, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, `{label}` int")
+    given = counts.select(F.col(by).alias("__by"), F.array(*[F.col(n).cast("long") for n in names]).alias("__n"))
+    rows = df.select(F.col(by).alias("__by"), F.col(key).alias("__key"), F.array(*[F.col(c).cast("double") for c in scores]).alias("__s"))
+    sizes = rows.groupBy("__by").agg(F.count(F.lit(1)).alias("__rows")).join(given, "__by")
+    total = F.aggregate("__n", F.lit(0).cast("long"), lambda a, x: a + x)
+    wrong = F.concat(F.lit("counts sum to "), total.cast("string"), F.lit(", rows are "), F.col("__rows").cast("string"))
+    sizes = sizes.withColumn("__n", F.when(total == F.col("__rows"), F.col("__n")).otherwise(F.raise_error(wrong)))
+    schema = f"`__by` {kinds[by]}, `__key` {kinds[key]}, `__pred` int, `__price` array<double>"
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("__key", kind="stable")
+        pred, price = count_flow(np.stack(g["__s"].to_list()), g["__n"].iloc[0])
+        out = g[["__by", "__key"]].assign(__pred=pred.astype(np.int32))
+        out["__price"] = [price.tolist()] + [None] * (len(out) - 1)
+        return out
+
+    def solved(open_rows: DataFrame, left: DataFrame) -> DataFrame:
+        return open_rows.join(left, "__by").groupBy("__by").applyInPandas(solve, schema)
+
+    named = lambda d: d.select(F.col("__by").alias(by), F.col("__key").alias(key), F.col("__pred").alias(label))
+    small = solved(rows, sizes.filter(F.col("__rows") <= s.in_task).drop("__rows"))
+    if sizes.filter(F.col("__rows") > s.in_task).isEmpty():
+        return named(small)
+    large = sizes.filter(F.col("__rows") > s.in_task)
+    return named(small.drop("__price")).unionByName(named(_decode_large(rows.join(large.select("__by"), "__by", "left_semi"), large, k, s, solved, kinds[by])))
+
+
+def _decode_large(rows: DataFrame, sizes: DataFrame, k: int, s: Decoding, solved, kind: str) -> DataFrame:
+    """(__by, __key, __pred) of groups that no single task decodes."""
+    rows, sizes = stored(rows, "large"), stored(sizes, "sizes")
+    done, todo, near = None, sizes, s.near
+    while True:
+        out = _narrowed(rows.join(todo.select("__by"), "__by", "left_semi"), todo, k, s, near, solved, kind)
+        # a group is settled if all of its rows are best where they are at its final prices
+        price = out.filter("__price is not null").select("__by", F.col("__price").alias("__p"))
+        all_ = rows.join(out.select("__by", "__key", "__pred"), ["__by", "__key"]).join(price, "__by")
+        gain = F.array_max(F.zip_with("__s", "__p", lambda a, b: a - b)) - (F.get("__s", F.col("__pred")) - F.get("__p", F.col("__pred")))
+        bad = all_.groupBy("__by").agg(F.max(gain).alias("__gain")).filter(F.col("__gain") > 1e-9)
+        left = stored(todo.join(bad, "__by", "left_semi"), "unsettled")
+        fine = out.join(left, "__by", "left_anti").select("__by", "__key", "__pred")
+        done = fine if done is None else done.unionByName(fine)
+        if left.isEmpty():
+            return done
+        todo, near = left, min(1.0, 4 * near)
+
+
+def _narrowed(rows: DataFrame, sizes: DataFrame, k: int, s: Decoding, near: float, solved, kind: str) -> DataFrame:
+    """Labels of all rows, and the final prices of each group on one of its rows."""
+    fixed, open_rows, left = None, rows, sizes.select("__by", "__rows", "__n")
+    while near < 1 and not left.filter(F.col("__rows") > s.in_task).isEmpty():
+        pick = F.pmod(F.xxhash64(F.lit(s.seed), "__key"), F.greatest("__rows", F.lit(1))) < s.sample
+        chosen = open_rows.join(left, "__by").filter(pick)
+
+        def price(g: pd.DataFrame) -> pd.DataFrame:
+            x, n = np.stack(g["__s"].to_list()), np.asarray(g["__n"].iloc[0], float)
+            share = np.floor(n / n.sum() * len(x)).astype(int)
+            share[np.argsort(-(n / n.sum() * len(x) - share), kind="stable")[: len(x) - share.sum()]] += 1
+            return pd.DataFrame({"__by": g["__by"].iloc[:1], "__p": [count_flow(x, share)[1].tolist()]})
+
+        prices = stored(chosen.select("__by", "__s", "__n").groupBy("__by").applyInPandas(price, f"`__by` {kind}, `__p` array<double>"), "prices")
+        value = F.zip_with("__s", "__p", lambda a, b: a - b)
+        at = open_rows.join(prices, "__by").withColumn("__v", value)
+        order = F.sort_array("__v", asc=False)
+        at = at.withColumns({"__pred": (F.array_position("__v", F.array_max("__v")) - 1).cast("int"), "__margin": F.get(order, F.lit(0)) - F.get(order, F.lit(1))}).drop("__v", "__p")
+        edge = at.join(left.select("__by", "__rows"), "__by").groupBy("__by").agg(F.percentile_approx("__margin", near, 10_000).alias("__edge"), F.first("__rows").alias("__all"))
+        at = stored(at.join(edge, "__by").withColumn("__open", (F.col("__margin") <= F.col("__edge")) | (F.col("__all") <= s.in_task)).drop("__edge", "__all"), "marked")
+        clear = at.filter(~F.col("__open"))
+        taken = clear.groupBy("__by").agg(F.array(*[F.count_if(F.col("__pred") == c) for c in range(k)]).alias("__t"))
+        after = left.join(taken, "__by", "left").withColumn("__n", F.coalesce(F.zip_with("__n", "__t", lambda a, b: a - b), F.col("__n"))).drop("__t")
+        after = stored(after.withColumn("__rows", F.aggregate("__n", F.lit(0).cast("long"), lambda a, x: a + x)), "left")
+        if not after.filter(F.exists("__n", lambda x: x < 0)).isEmpty():  # prices were too far off for so few open rows
+            near = min(1.0, 4 * near)
+            continue
+        clear = clear.select("__by", "__key", "__pred")
+        fixed = clear if fixed is None else fixed.unionByName(clear)
+        open_rows, left = at.filter("__open").select("__by", "__key", "__s"), after
+    last = solved(open_rows, left.drop("__rows"))
+    none = F.lit(None).cast("array<double>").alias("__price")
+    return stored(last if fixed is None else last.unionByName(fixed.select("*", none)), "decoded")
 
 
 def split_top_k(df: DataFrame, p0: str, p1: str, k0: Column | int, k1: Column | int, key: str = "segment_id", by: str = "subject", label: str = "pred") -> DataFrame:
