@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,15 +219,34 @@ def exact_count_decode(df: DataFrame, scores: list[str], counts: DataFrame, key:
     sizes = sizes.withColumn("__n", F.when(total == F.col("__rows"), F.col("__n")).otherwise(F.raise_error(wrong)))
     schema = f"`__by` {kinds[by]}, `__key` {kinds[key]}, `__pred` int, `__price` array<double>"
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__key", kind="stable")
-        pred, price = count_flow(np.stack(g["__s"].to_list()), g["__n"].iloc[0])
-        out = g[["__by", "__key"]].assign(__pred=pred.astype(np.int32))
-        out["__price"] = [price.tolist()] + [None] * (len(out) - 1)
-        return out
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group and key; a group at a time."""
+        held: list[pa.RecordBatch] = []
+
+        def decoded() -> pa.RecordBatch:
+            g = pa.Table.from_batches(held).combine_chunks()
+            x = g.column("__s").combine_chunks().flatten().to_numpy().reshape(-1, k)
+            pred, price = count_flow(x, g.column("__n")[0].as_py())
+            prices = pa.array([price.tolist()] + [None] * (len(pred) - 1), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*(g.column(c).combine_chunks() for c in ("__by", "__key")), pa.array(pred.astype(np.int32)), prices], ["__by", "__key", "__pred", "__price"])
+
+        for batch in batches:
+            of = batch.column("__by").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False) if len(of) else ():
+                part = batch.slice(a, b - a)
+                if held and held[0].column("__by")[0] != part.column("__by")[0]:
+                    yield decoded()
+                    held = []
+                held.append(part)
+        if held:
+            yield decoded()
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def solved(open_rows: DataFrame, left: DataFrame) -> DataFrame:
-        return open_rows.join(left, "__by").groupBy("__by").applyInPandas(solve, schema)
+        # so many tasks however small the rows are: the work is in the decoding
+        return open_rows.join(left, "__by").repartition(tasks, "__by").sortWithinPartitions("__by", "__key").mapInArrow(solve, schema)
 
     named = lambda d: d.select(F.col("__by").alias(by), F.col("__key").alias(key), F.col("__pred").alias(label))
     small = solved(rows, sizes.filter(F.col("__rows") <= s.in_task).drop("__rows"))
