@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def subject_means(df: DataFrame, columns: list[str], by: tuple[str, ...] = ("subject", "class")) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
@@ -91,10 +94,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs a < b, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    """(a, b, r) of all pairs a < b in the order of columns, over the rows that have both; null where one does not vary."""
+    r = blocks.correlation_matrix(df, columns)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def target_correlations(df: DataFrame, columns: list[str], target: str, least: int = 5) -> DataFrame:

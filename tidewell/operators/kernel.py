@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import models
+from .blocks import tree_sum
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ def _sums(rows: DataFrame, xs: list[str], to: Map, at: np.ndarray, weight: np.nd
     """Of every fold at its coefficients b: sum of w h^2, of w y h phi, of w a r, and (curved) of w phi phi' over rows with h = max(0, 1 - y f) > 0."""
     q = b.shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pd.DataFrame]) -> np.ndarray:
         out = np.zeros((len(at), 2 + q + (q * q if curved else 0)))
         for g in batches:
             phi, y, f = to(g[xs].to_numpy(float)), g["y"].to_numpy(int), g["f"].to_numpy(np.int64)
@@ -89,13 +90,9 @@ def _sums(rows: DataFrame, xs: list[str], to: Map, at: np.ndarray, weight: np.nd
             for j in range(len(at)) if curved else ():
                 on = np.flatnonzero(w[:, j] * h[:, j] > 0)
                 out[j, 2 + q :] += ((phi[on] * w[on, j, None]).T @ phi[on]).ravel()
-        yield pd.DataFrame({"sums": [out.tobytes()]})
+        return out
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(v) for v in g["sums"]).tobytes()]})
-
-    parts = rows.mapInPandas(run, "sums binary").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
-    return sum(np.frombuffer(r.sums) for r in parts.groupBy("k").applyInPandas(add, "sums binary").collect()).reshape(len(at), -1)
+    return tree_sum(rows, part).reshape(len(at), -1)
 
 
 def _fit(rows: DataFrame, xs: list[str], to: Map, at: np.ndarray, weight: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.io import read_json, write_json
 
+from .blocks import covariances, tree_sum
 from .metrics import roc_auc
 from .normalize import _scaled
 from .relational import seeded_subset
@@ -99,31 +100,27 @@ def _fold_sums(rows: DataFrame, q: int, at: np.ndarray, weight: np.ndarray, b: n
     """Loss, gradient and upper Hessian sums of every fold at its raw coefficients b, by one pass over rows.
 
     rows: x_0 .. x_{q-2}, y, w, f. Row i counts for fold at[k] unless f is it, weighted by w and weight[k, y].
-    Partial sums are added up in two rounds, so the driver gets a few rows of q * q numbers a fold.
+    Partial sums are added up in a tree, so the driver gets a few rows of q * q numbers a fold.
     """
     names = [f"x_{j}" for j in range(q - 1)]
     step = max(1, 2_000_000 // len(at))
 
-    def run(batches):
+    def part(batches) -> np.ndarray:
         out = np.zeros((len(at), 1 + q + q * q))
         for g in batches:
             for i in range(0, len(g), step):
-                part = g.iloc[i : i + step]
-                x = np.hstack([part[names].to_numpy(float), np.ones((len(part), 1))])
-                y, f = part["y"].to_numpy(float), part["f"].to_numpy(np.int64)
+                rows = g.iloc[i : i + step]
+                x = np.hstack([rows[names].to_numpy(float), np.ones((len(rows), 1))])
+                y, f = rows["y"].to_numpy(float), rows["f"].to_numpy(np.int64)
                 z = np.clip(x @ b.T, -500, 500)
-                w = part["w"].to_numpy(float)[:, None] * weight[:, y.astype(int)].T * (f[:, None] != at)
+                w = rows["w"].to_numpy(float)[:, None] * weight[:, y.astype(int)].T * (f[:, None] != at)
                 p = 1 / (1 + np.exp(-z))
                 out[:, 0] += (w * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
                 out[:, 1 : 1 + q] += (w * (p - y[:, None])).T @ x
                 out[:, 1 + q :] += (w * p * (1 - p)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-        yield pd.DataFrame({"sums": [out.tobytes()]})
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(v) for v in g["sums"]).tobytes()]})
+        return out
 
-    parts = rows.mapInPandas(run, "sums binary").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
-    return sum(np.frombuffer(r.sums) for r in parts.groupBy("k").applyInPandas(add, "sums binary").collect()).reshape(len(at), -1)
+    return tree_sum(rows, part).reshape(len(at), -1)
 
 
 def _fit_folds(rows: DataFrame, q: int, at: np.ndarray, centre: np.ndarray, scale: np.ndarray, weight: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
@@ -180,6 +177,133 @@ def loso(
     return rows.join(fits, "fold").select(key, by, "fold", (1 / (1 + F.exp(-z))).alias("proba"))
 
 
+def loso_many(
+    df: DataFrame, sets: list[list[str]], label: str, train: Column, c: float = 1.0, balanced: bool = True, key: str = "segment_id", by: str = "subject", weight: str | None = None, learn: Column | None = None
+) -> DataFrame:
+    """(key, by, fold, set, proba): what loso() gives for each set of columns, set being its number. A Newton step of all sets and folds is one pass over the rows."""
+    columns = list(dict.fromkeys(x for s in sets for x in s))
+    place = {x: j for j, x in enumerate(columns)}
+    at_sets = [[place[x] for x in s] for s in sets]
+    xs = [f"x_{j}" for j in range(len(columns))]
+    rows = df.select(
+        F.col(key), F.col(by), *[F.col(x).cast("double").alias(n) for x, n in zip(columns, xs, strict=True)], F.col(label).cast("double").alias("y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.when(train, F.col(by).cast("long")).otherwise(-1).alias("fold"), (learn if learn is not None else F.lit(True)).alias("__learn"),
+    ).persist()
+    try:
+        folds, fits = _many_coefficients(rows, xs, at_sets, c, balanced)
+    finally:
+        rows.unpersist()
+    number = {f: j for j, f in enumerate(folds.tolist())}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches):
+        for g in batches:
+            j = g["fold"].map(number)
+            g, j = g[j.notna()], j[j.notna()].astype(int).to_numpy()
+            x = g[xs].to_numpy(float)
+            for s, (cols, b) in enumerate(zip(at_sets, fits, strict=True)):
+                z = (x[:, cols] * b[j, :-1]).sum(1) + b[j, -1] if len(g) else np.zeros(0)
+                yield g[[key, by, "fold"]].assign(set=s, proba=1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+    return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, fold long, set int, proba double")
+
+
+def _many_coefficients(rows: DataFrame, xs: list[str], sets: list[list[int]], c: float, balanced: bool, steps: int = 50) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Folds, and for each set their raw coefficients, intercept last."""
+    used = rows.filter("fold <> -1 and __learn").select(*xs, "y", "w", F.col("fold").alias("f"))
+    there = sorted(r.fold for r in rows.filter("fold <> -1").select("fold").distinct().collect())
+    sums = used.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *[F.sum(x) for x in xs], *[F.sum(F.col(x) * F.col(x)) for x in xs]).collect()
+    own = {r.f: np.array(r[1:], float) for r in sums}
+    folds = np.array([-1, *there], np.int64)
+    if not own:
+        return folds[:0], [np.zeros((0, len(s) + 1)) for s in sets]
+    everything, p = sum(own.values()), len(xs)
+    left = np.array([everything - own.get(f, 0.0) for f in folds.tolist()])
+    ok = (left[:, 1] > 0.5) & (left[:, 0] - left[:, 1] > 0.5)
+    folds, left = folds[ok], left[ok]
+    n, ones = left[:, 0], left[:, 1]
+    centre, square = left[:, 2 : 2 + p] / n[:, None], left[:, 2 + p :] / n[:, None]
+    var = square - centre**2
+    scale = np.sqrt(np.where(var > 1e-12 * np.maximum(square, 1e-300), var, 0.0))
+    scale = np.where(scale > 0, scale, 1.0)
+    weight = np.stack([n / (2 * (n - ones)), n / (2 * ones)], 1) if balanced else np.ones((len(n), 2))
+    cells = [len(folds) * (1 + (q := len(s) + 1) + q * q) for s in sets]
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(sets):  # as many sets at once as a pass may sum up
+        last, held = first, 0
+        while last < len(sets) and (last == first or held + cells[last] <= MANY_CELLS):
+            held += cells[last]
+            last += 1
+        out += _fit_many(used, xs, sets[first:last], folds, centre, scale, weight, c, steps)
+        first = last
+    return folds, out
+
+
+#: Numbers that a pass sums up for all sets and folds that it fits (32 MB).
+MANY_CELLS = 4_000_000
+
+
+def _many_sums(rows: DataFrame, xs: list[str], sets: list[list[int]], at: np.ndarray, weight: np.ndarray, bs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set, of every fold at its raw coefficients: loss, gradient and Hessian sums, by one pass."""
+    k, sizes = len(at), [len(s) + 1 for s in sets]
+    ends = np.cumsum([0, *[k * (1 + q + q * q) for q in sizes]])
+
+    def part(batches) -> np.ndarray:
+        out = [np.zeros((k, 1 + q + q * q)) for q in sizes]
+        for g in (b.iloc[i : i + 2048] for b in batches for i in range(0, len(b), 2048)):
+            every, y, f = g[xs].to_numpy(float), g["y"].to_numpy(float), g["f"].to_numpy(np.int64)
+            w = g["w"].to_numpy(float)[:, None] * weight[:, y.astype(int)].T * (f[:, None] != at)
+            for s, b, o, q in zip(sets, bs, out, sizes, strict=True):
+                x = np.hstack([every[:, s], np.ones((len(g), 1))])
+                z = np.clip(x @ b.T, -500, 500)
+                p = 1 / (1 + np.exp(-z))
+                o[:, 0] += (w * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
+                o[:, 1 : 1 + q] += (w * (p - y[:, None])).T @ x
+                o[:, 1 + q :] += (w * p * (1 - p)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        return np.concatenate([o.ravel() for o in out])
+
+    flat = tree_sum(rows, part)
+    return [flat[a:b].reshape(k, -1) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _fit_many(rows: DataFrame, xs: list[str], sets: list[list[int]], at: np.ndarray, centre: np.ndarray, scale: np.ndarray, weight: np.ndarray, c: float, steps: int) -> list[np.ndarray]:
+    k = len(at)
+    maps, ridges = [], []
+    for s in sets:  # scaled = t @ raw
+        q = len(s) + 1
+        t = np.zeros((k, q, q))
+        t[:, range(q - 1), range(q - 1)] = 1 / scale[:, s]
+        t[:, :-1, -1] = -centre[:, s] / scale[:, s]
+        t[:, -1, -1] = 1
+        maps.append(t)
+        ridges.append(np.append(np.ones(q - 1), 0.0))
+    raw = lambda bs: [np.einsum("kij,ki->kj", t, b) for t, b in zip(maps, bs, strict=True)]
+
+    def at_point(bs: list[np.ndarray]):
+        out = []
+        for s, b, t, ridge in zip(_many_sums(rows, xs, sets, at, weight, raw(bs)), bs, maps, ridges, strict=True):
+            q = len(ridge)
+            grad = ridge * b + c * np.einsum("kij,kj->ki", t, s[:, 1 : 1 + q])
+            hess = np.diag(ridge + 1e-12) + c * t @ s[:, 1 + q :].reshape(k, q, q) @ t.transpose(0, 2, 1)
+            out.append((0.5 * (ridge * b * b).sum(1) + c * s[:, 0], grad, hess))
+        return out
+
+    bs = [np.zeros((k, len(s) + 1)) for s in sets]
+    now = at_point(bs)
+    for _ in range(steps):
+        moves = [np.linalg.solve(h, g[:, :, None])[:, :, 0] for _, g, h in now]
+        new = at_point([b - m for b, m in zip(bs, moves, strict=True)])
+        while any((worse := [(n[0] > o[0] + 1e-9 * np.abs(o[0])) & (np.abs(m).max(1) > 1e-8) for n, o, m in zip(new, now, moves, strict=True)])[i].any() for i in range(len(sets))):
+            for m, bad in zip(moves, worse, strict=True):
+                m[bad] /= 2
+            new = at_point([b - m for b, m in zip(bs, moves, strict=True)])
+        bs, now = [b - m for b, m in zip(bs, moves, strict=True)], new
+        if max(np.abs(m).max() for m in moves) < 1e-8:
+            break
+    return raw(bs)
+
+
 def _loso_coefficients(rows: DataFrame, p: int, c: float, balanced: bool, robust: bool) -> list[tuple[int, list[float]]]:
     used = rows.filter("fold <> -1 and __learn").select(*[f"x_{j}" for j in range(p)], "y", "w", F.col("fold").alias("f"))
     xs = [f"x_{j}" for j in range(p)]
@@ -431,16 +555,6 @@ def sign_flip(df: DataFrame, columns: list[str], flagged: Column) -> DataFrame:
     return df.withColumns({c: F.when(flagged, -F.col(c)).otherwise(F.col(c)) for c in columns})
 
 
-def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Sample covariance by one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    row = df.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((len(columns),) * 2)
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c_{i}_{j}"]
-    return out
-
-
 def linear_map(df: DataFrame, columns: list[str], m: np.ndarray) -> DataFrame:
     """Rows times m, as column expressions."""
     return df.withColumns({c: sum((F.col(b) * float(m[i, j]) for i, b in enumerate(columns)), F.lit(0.0)) for j, c in enumerate(columns)})
@@ -453,12 +567,12 @@ def coral(source: DataFrame, target: DataFrame, columns: list[str], ridge: float
         v, q = np.linalg.eigh(c + ridge * np.eye(len(c)))
         return q @ np.diag(np.maximum(v, 1e-12) ** e) @ q.T
 
-    return linear_map(source, columns, power(covariance(source, columns), -0.5) @ power(covariance(target, columns), 0.5))
+    return linear_map(source, columns, power(covariances(source, columns), -0.5) @ power(covariances(target, columns), 0.5))
 
 
 def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """pc_1 .. pc_k of the centred columns; a component's sign makes its greatest loading positive."""
-    v, q = np.linalg.eigh(covariance(df, columns))
+    v, q = np.linalg.eigh(covariances(df, columns))
     q = q[:, np.argsort(-v, kind="stable")[:k]]
     q = q * np.sign(q[np.abs(q).argmax(0), np.arange(q.shape[1])])
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import modality, unique_by_canonical
 
-from . import stats
+from . import metrics, models, stats
 from .aggregate import subject_means
 
 
@@ -97,3 +97,33 @@ def greedy_forward(names: list[str], score: Callable[[list[str]], float], most:
         chosen.append(best[1])
         history.append(best[0])
     return chosen, history
+
+
+def set_scores(df: DataFrame, sets: list[list[str]], label: str, train: Column, key: str = "segment_id", by: str = "subject", **options) -> list[tuple[float, float]]:
+    """(left-out AUC of the training subjects, AUC of the other rows) of a logistic fit on each set of columns; NaN without both classes. All sets share every pass."""
+    p = models.loso_many(df, sets, label, train, key=key, by=by, **options).join(df.select(key, label), key)
+    p = p.withColumn("part", (F.col("fold") == -1).cast("int"))
+    found = {(r["set"], r.part): r.auc for r in metrics.roc_auc(p, label, "proba", ["set", "part"]).collect()}
+    value = lambda v: float("nan") if v is None else v
+    return [(value(found.get((i, 0))), value(found.get((i, 1)))) for i in range(len(sets))]
+
+
+def top_k_shared(df: DataFrame, ranked: list[str], sizes: Iterable[int], label: str, train: Column, **options) -> list[tuple[int, float, float]]:
+    """(k, left-out AUC, AUC of the other rows) of the first k ranked columns, for all sizes at once."""
+    sizes = [k for k in sizes if k <= len(ranked)]
+    return [(k, *s) for k, s in zip(sizes, set_scores(df, [ranked[:k] for k in sizes], label, train, **options), strict=True)]
+
+
+def greedy_shared(df: DataFrame, names: list[str], label: str, train: Column, most: int = 8, drop: float = 0.005, **options) -> tuple[list[str], list[float]]:
+    """greedy_forward by the left-out AUC; all candidates of a step are fitted and scored together, so a step's jobs don't grow with their number."""
+    chosen: list[str] = []
+    history: list[float] = []
+    while len(chosen) < min(most, len(names)):
+        rest = [n for n in names if n not in chosen]
+        scores = [s for s, _ in set_scores(df, [[*chosen, n] for n in rest], label, train, **options)]
+        best = max(range(len(rest)), key=lambda i: scores[i])
+        if history and scores[best] < history[-1] - drop:
+            break
+        chosen.append(rest[best])
+        history.append(scores[best])
+    return chosen, history
