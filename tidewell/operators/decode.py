@@ -310,6 +310,14 @@ def _narrowed(rows: DataFrame, sizes: DataFrame, k: int, s: Decoding, near: floa
     return stored(last if fixed is None else last.unionByName(fixed.select("*", none)), "decoded")
 
 
+def decode_stored(table: DataFrame, config: str, which: str, p0: str, p1: str, y: str, w: tuple[float, float, float], key: str = "segment_id", by: str = "subject") -> DataFrame:
+    """Metrics of one configuration's stored predictions, decoded with weights w under the true class counts (y: 0, 1, 2) of each subject."""
+    one = table.filter(F.col(config) == which)
+    counts = one.groupBy(by).agg(*[F.count_if(F.col(y) == k).alias(f"n{k}") for k in range(3)])
+    pred = exact_count_decode(joint_scores(one, p0, p1, w), ["s0", "s1", "s2"], counts, key, by, "decoded").select(key, "decoded")
+    return summary(one.join(pred, key), y, "decoded")
+
+
 def split_top_k(df: DataFrame, p0: str, p1: str, k0: Column | int, k1: Column | int, key: str = "segment_id", by: str = "subject", label: str = "pred") -> DataFrame:
     """Class 0 for the k0 rows of greatest p0, then 1 for the k1 of greatest p1 among the rest, else 2."""
     w = Window.partitionBy(by)

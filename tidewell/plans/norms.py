@@ -178,11 +178,6 @@ def fdr(spark, d):
     return stats.fdr(p.withColumn("p", F.when(F.col("feature") % 7 != 0, F.col("p"))))
 
 
-@query("test_battery")
-def test_battery(spark, d):
-    return stats.battery(_long(spark, d), CLASSES)
-
-
 @query("cohens_d", LONG + """, g AS (SELECT subject, feature, avg(value) FILTER (class = 'NoPain') m1, avg(value) FILTER (class = 'PainArm') m2, var_samp(value) FILTER (class = 'NoPain') v1, var_samp(value) FILTER (class = 'PainArm') v2, count(value) FILTER (class = 'NoPain') n1, count(value) FILTER (class = 'PainArm') n2 FROM long GROUP BY ALL)
 --
 SELECT subject, feature, CASE WHEN (n1 - 1) * v1 + (n2 - 1) * v2 > 0 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) END AS d FROM g""", "d", "subject feature")

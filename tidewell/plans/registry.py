@@ -65,6 +65,9 @@ def rounded(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None, doubles: str = "", others: str = ""):
     """Register f(spark, sf_dir); doubles and others name the columns of its result, doubles are rounded on both sides."""
 
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:

@@ -9,8 +9,9 @@ from tidewell.functions import features as fx
 from tidewell.functions import signal as sg
 from tidewell.functions.columns import CLASSES, is_pain
 from tidewell.operators import aggregate as agg
-from tidewell.operators import decode, metrics, models, normalize, relational, select, stats
+from tidewell.operators import decode, metrics, models, normalize, relational, select, stats, sweep
 from tidewell.operators import segments as seg
+from tidewell.sources.shared import new_path
 
 from .arrays import RATE
 from .norms import ANOVA, F2_TAIL, F_RATIO, LONG, NORMAL_TAIL, P, PRED, RANKS, V, _long, _pred
@@ -189,19 +190,18 @@ def direct_three_class(spark, d):
 
 @query("cached_decode")
 def cached_decode(spark, d):
-    """Stored predictions of two configurations: one of them decoded with given weights, with its metrics."""
+    """Predictions of two configurations, stored as a table and read back: one of them decoded with given weights, with its metrics."""
     p = _validation(spark, d)
-    stored = p.withColumn("config_id", F.lit("a")).unionByName(p.withColumn("proba", 1 - F.col("proba")).withColumn("config_id", F.lit("b")))
-    one = stored.filter("config_id = 'a'")
-    pred = decode.exact_count_decode(decode.joint_scores(one, "proba", "p1", (0.8, 1.2, 1.4)), ["s0", "s1", "s2"], _counts(one)).select("segment_id", F.col("pred").alias("decoded"))
-    return metrics.summary(one.join(pred, "segment_id"), "y", "decoded")
+    path = new_path(spark, "predictions")
+    p.withColumn("config_id", F.lit("a")).unionByName(p.withColumn("proba", 1 - F.col("proba")).withColumn("config_id", F.lit("b"))).write.partitionBy("config_id").parquet(path)
+    return decode.decode_stored(spark.read.parquet(path), "config_id", "a", "proba", "p1", "y", (0.8, 1.2, 1.4))
 
 
 @query("weight_sweep")
 def weight_sweep(spark, d):
     """Metrics of the validation subjects for each triple of stage weights."""
     p = _validation(spark, d)
-    grid = [(a, b, c) for a in (0.6, 1.0, 1.4) for b in (0.6, 1.0, 1.4) for c in (0.8, 1.2)]
+    grid = [(a, b, c) for a in (0.4, 0.6, 0.8, 1.0, 1.2, 1.4) for b in (0.6, 0.8, 1.0, 1.2, 1.4) for c in (0.6, 0.8, 1.0, 1.2, 1.4, 1.6)]
     return decode.sweep_weights(p, "proba", "p1", "y", grid, _counts(p))
 
 
@@ -222,10 +222,14 @@ def mixture_of_experts(spark, d):
 
 @query("train_and_score")
 def train_and_score(spark, d):
-    """A fit on the training split, as its stored form has it, scoring the validation split."""
+    """A fit on the training split with its calibration, stored, read back, and scoring the validation split."""
     s = normalize.subject_z(segments(spark, d), FEATURES).withColumn("y", is_pain(F.col("class")))
     model = models.fit_model(s.filter("split = 'train'"), FEATURES, "y")
-    return s.filter("split = 'validation'").select("segment_id", "y", model.proba().alias("proba"))
+    path = new_path(spark, "model") + ".json"
+    models.save_model(spark, path, model, norm="subject_z")
+    again, settings = models.load_model(spark, path)
+    fresh = normalize.norm_map(segments(spark, d).withColumn("y", is_pain(F.col("class"))), FEATURES)[settings["norm"]]
+    return fresh.filter("split = 'validation'").select("segment_id", "y", again.proba().alias("proba"))
 
 
 @query("norm_map_forms", SEG + f"""\n--\nSELECT segment_id, 'global' AS form, bvp_value FROM seg UNION ALL SELECT segment_id, 'subject_z', coalesce((bvp_value - avg(bvp_value) OVER ({P})) / CASE WHEN stddev_pop(bvp_value) OVER ({P}) > 0 THEN stddev_pop(bvp_value) OVER ({P}) ELSE 1 END, 0) FROM seg
@@ -235,7 +239,7 @@ def norm_map_forms(spark, d):
     return forms[0].unionByName(forms[1]).unionByName(forms[2])
 
 
-@query("flat_segments", SIG + "\n--\nSELECT segment_id FROM sig WHERE segment_id % 9 = 0", "", "segment_id")
+@query("flat_segments", SIG + ", e AS (SELECT segment_id, unnest(list_transform(samples, lambda x: CASE WHEN segment_id % 9 = 0 THEN 0.25e0 ELSE x END)) AS x FROM sig)\n--\nSELECT segment_id FROM e GROUP BY segment_id HAVING max(x) = min(x)", "", "segment_id")
 def flat_segments(spark, d):
     s = signals(spark, d).withColumn("samples", F.when(F.col("segment_id") % 9 == 0, F.transform("samples", lambda x: F.lit(0.25))).otherwise(F.col("samples")))
     return s.filter(seg.is_flat(F.col("samples"))).select("segment_id")
@@ -328,3 +332,17 @@ def ranked_sets(spark, d):
     s = segments(spark, d)
     found = {"effect_top2": select.names_of(select.rank_binary(s, FEATURES, "PainArm", "PainHand"), 2), "anova_top2": select.names_of(select.rank_multiclass(s, FEATURES), 2), "consistent_top2": select.names_of(select.rank_consistent(s, FEATURES, "PainArm", "PainHand"), 2)}
     return spark.createDataFrame([(k, i, n) for k, ns in found.items() for i, n in enumerate(ns)], "pool string, place int, feature string")
+
+
+@query("resumed_sweep", PRED + """, g AS (SELECT a AS alpha, k FROM (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS a), (SELECT unnest([6, 12]) AS k)),
+r AS (SELECT alpha, k, y, row_number() OVER (PARTITION BY alpha, k, subject ORDER BY alpha * proba + (1 - alpha) * p1 DESC, segment_id) AS place FROM p, g)
+--
+SELECT alpha, CAST(k AS INTEGER) AS k, avg(CASE WHEN (place <= k) = (y = 1) THEN 1e0 ELSE 0e0 END) AS accuracy, count(*) AS n FROM r GROUP BY alpha, k""", "alpha accuracy", "k n")
+def resumed_sweep(spark, d):
+    """Blend, then exact counts, over six configurations: a sweep that stopped after three, taken up by another."""
+    p = _pred(spark, d)
+    blend = sweep.Stage("blend", ("alpha",), lambda c, _: p.select("segment_id", "subject", "y", (c["alpha"] * F.col("proba") + (1 - c["alpha"]) * F.col("p1")).alias("p")))
+    decoded = sweep.Stage("decode", ("k",), lambda c, before: metrics.summary(agg.exact_top(before[0], "subject", "p", "segment_id", c["k"]), "y", "pred").select("accuracy", "n"))
+    configs, root = sweep.grid(alpha=[0.25, 0.5, 0.75], k=[6, 12]), new_path(spark, "sweep")
+    sweep.Sweep(spark, root, [blend, decoded]).run(configs[:3])
+    return sweep.Sweep(spark, root, [blend, decoded]).run(configs).select("alpha", "k", "accuracy", "n")

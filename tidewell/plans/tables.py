@@ -56,21 +56,29 @@ def scalar_math(spark, d):
     )
 
 
-@query("modality_and_family", """n AS (SELECT unnest(['physio_bvp_hr', 'raw_eda_mean', 'tf_resp_lf', 'BVP_RESP_envcorr', 'SpO2_min', 'age']) AS name)
+#: Names of feature columns as the events give them: a family, a signal in some spelling, and an event type.
+NAMES = """n AS (SELECT DISTINCT ['physio_', 'raw_', 'tf_', ''][user_id % 4 + 1] || ['BVP', 'eda', 'Resp', 'SpO2', 'BVP_RESP', 'age'][event_id % 6 + 1] || '_' || event_type AS name FROM events)"""
+
+
+def _names(spark, d):
+    pick = lambda options, k: F.get(F.array(*[F.lit(x) for x in options]), k.cast("int"))
+    family, signal = pick(("physio_", "raw_", "tf_", ""), F.col("user_id") % 4), pick(("BVP", "eda", "Resp", "SpO2", "BVP_RESP", "age"), F.col("event_id") % 6)
+    return table(spark, d, "events").select(F.concat(family, signal, F.lit("_"), "event_type").alias("name")).distinct()
+
+
+@query("modality_and_family", NAMES + """, m AS (SELECT name, list_filter(['bvp', 'eda', 'resp', 'spo2'], lambda k: contains(lower(name), k)) AS hits FROM n)
 --
-SELECT name, CASE name WHEN 'physio_bvp_hr' THEN 'bvp' WHEN 'raw_eda_mean' THEN 'eda' WHEN 'tf_resp_lf' THEN 'resp' WHEN 'BVP_RESP_envcorr' THEN 'cross' WHEN 'SpO2_min' THEN 'spo2' ELSE 'other' END AS modality,
-CASE WHEN name LIKE 'physio#_%' ESCAPE '#' THEN 'physio' WHEN name LIKE 'raw#_%' ESCAPE '#' THEN 'raw' WHEN name LIKE 'tf#_%' ESCAPE '#' THEN 'tf' ELSE 'other' END AS family FROM n""", "", "name modality family")
+SELECT name, CASE len(hits) WHEN 0 THEN 'other' WHEN 1 THEN hits[1] ELSE 'cross' END AS modality, CASE WHEN regexp_matches(name, '^(physio|raw|tf)_') THEN regexp_extract(name, '^(physio|raw|tf)_', 1) ELSE 'other' END AS family FROM m""", "", "name modality family")
 def modality_and_family(spark, d):
-    n = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("physio_bvp_hr", "raw_eda_mean", "tf_resp_lf", "BVP_RESP_envcorr", "SpO2_min", "age")])).alias("name"))
+    n = _names(spark, d)
     return n.select("name", c.modality_column(F.col("name")).alias("modality"), c.family_column(F.col("name")).alias("family"))
 
 
-@query("canonical_names", """n AS (SELECT unnest(['raw_a', 'a', 'raw_b', 'c', 'raw_c']) AS name)
+@query("canonical_names", NAMES + """
 --
 SELECT name, canonical FROM (SELECT name, regexp_replace(name, '^raw_', '') AS canonical, row_number() OVER (PARTITION BY regexp_replace(name, '^raw_', '') ORDER BY starts_with(name, 'raw_'), name) AS rn FROM n) WHERE rn = 1""", "", "name canonical")
 def canonical_names(spark, d):
-    n = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("raw_a", "a", "raw_b", "c", "raw_c")])).alias("name"))
-    return rel.unique_names(n, "name")
+    return rel.unique_names(_names(spark, d), "name")
 
 
 @query("impute_and_prune", SEG + """, g AS (SELECT segment_id, CASE WHEN segment_id % 20 = 0 THEN NULL ELSE bvp_value END AS bvp_value, CASE WHEN segment_id % 3 = 0 THEN NULL ELSE eda_k END AS eda_k, split FROM seg), m AS (SELECT median(bvp_value) FILTER (split = 'train') AS mb FROM g)
@@ -162,11 +170,11 @@ def inventory_lengths(spark, d):
     return out.withColumns({k: F.col(k).cast("long") for k in ("len_min", "len_max")})
 
 
-@query("inventory_gaps", SIG + """, g AS (SELECT class, list_transform(samples, lambda x: CASE WHEN abs(x) > 2 THEN NULL ELSE x END) AS s FROM sig), h AS (SELECT class, len(list_filter(s, lambda x: x IS NULL)) AS a, len(list_filter(s[1:10], lambda x: x IS NULL)) AS b FROM g)
+@query("inventory_gaps", SIG + """, g AS (SELECT class, list_transform(samples, lambda x: CASE WHEN x > 0.25 THEN NULL WHEN x < -0.25 THEN CAST('-inf' AS DOUBLE) ELSE x END) AS s FROM sig), h AS (SELECT class, len(list_filter(s, lambda x: x IS NULL)) AS a, len(list_filter(s[1:10], lambda x: x IS NULL)) AS b, len(list_filter(s, lambda x: isinf(x))) AS c, len(list_filter(s[1:10], lambda x: isinf(x))) AS e FROM g)
 --
-SELECT class, count(*) FILTER (a > 0) AS with_nan, CAST(0 AS BIGINT) AS with_inf, count(*) FILTER (b > 0) AS with_nan_head, CAST(0 AS BIGINT) AS with_inf_head, CAST(sum(a) AS BIGINT) AS nan_samples, CAST(0 AS BIGINT) AS inf_samples, count(*) AS n_total FROM h GROUP BY class""", "", "class with_nan with_inf with_nan_head with_inf_head nan_samples inf_samples n_total")
+SELECT class, count(*) FILTER (a > 0) AS with_nan, count(*) FILTER (c > 0) AS with_inf, count(*) FILTER (b > 0) AS with_nan_head, count(*) FILTER (e > 0) AS with_inf_head, CAST(sum(a) AS BIGINT) AS nan_samples, CAST(sum(c) AS BIGINT) AS inf_samples, count(*) AS n_total FROM h GROUP BY class""", "", "class with_nan with_inf with_nan_head with_inf_head nan_samples inf_samples n_total")
 def inventory_gaps(spark, d):
-    s = signals(spark, d).withColumn("samples", F.transform("samples", lambda x: F.when(F.abs(x) <= 2, x)))
+    s = signals(spark, d).withColumn("samples", F.transform("samples", lambda x: F.when(x < -0.25, float("-inf")).when(x <= 0.25, x)))
     return inv.gaps(s, ["class"], "samples", 10)
 
 
@@ -175,7 +183,7 @@ def inventory_ranges(spark, d):
     return inv.ranges(signals(spark, d), ["class"], "samples")
 
 
-@query("inventory_constants", SIG + "\n--\nSELECT segment_id, CAST(0 AS DOUBLE) AS std, CAST(64 AS BIGINT) AS n FROM sig WHERE segment_id % 7 = 0", "std", "segment_id n")
+@query("inventory_constants", SIG + ", e AS (SELECT segment_id, unnest(list_transform(samples, lambda x: CASE WHEN segment_id % 7 = 0 THEN 1.5e0 ELSE x END)) AS x FROM sig)\n--\nSELECT segment_id, stddev_pop(x) AS std, count(x) AS n FROM e GROUP BY segment_id HAVING count(x) >= 2 AND stddev_pop(x) < 1e-8", "std", "segment_id n")
 def inventory_constants(spark, d):
     s = signals(spark, d).withColumn("samples", F.when(F.col("segment_id") % 7 == 0, F.transform("samples", lambda x: F.lit(1.5))).otherwise(F.col("samples")))
     return inv.constants(s, "segment_id", "samples")
@@ -186,9 +194,10 @@ def inventory_duplicates(spark, d):
     return inv.duplicates(table(spark, d, "documents"), ["source"], "text").select("doc_id", "source", "group_size")
 
 
-@query("split_membership", SEG + "\n--\nSELECT subject, bool_or(split = 'train') AS in_train, bool_or(split = 'validation') AS in_validation, CAST(1 AS INTEGER) AS n_splits FROM seg GROUP BY subject", "", "subject in_train in_validation n_splits")
+@query("split_membership", SEG + ", s AS (SELECT subject, CASE WHEN segment_id % 97 = 0 THEN 'train' ELSE split END AS split FROM seg)\n--\nSELECT subject, bool_or(split = 'train') AS in_train, bool_or(split = 'validation') AS in_validation, CAST(count(DISTINCT split) AS INTEGER) AS n_splits FROM s GROUP BY subject", "", "subject in_train in_validation n_splits")
 def split_membership(spark, d):
-    return inv.split_membership(segments(spark, d))
+    """With some segments of validation subjects in the training split, as an inventory should find."""
+    return inv.split_membership(segments(spark, d).withColumn("split", F.when(F.col("segment_id") % 97 == 0, "train").otherwise(F.col("split"))))
 
 
 @query("describe_by_class", SEG + "\n--\nSELECT class, count(bvp_value) AS count, avg(bvp_value) AS mean, stddev_samp(bvp_value) AS std, min(bvp_value) AS min, max(bvp_value) AS max, quantile_cont(bvp_value, 0.25) AS p25, quantile_cont(bvp_value, 0.5) AS p50, quantile_cont(bvp_value, 0.75) AS p75 FROM seg GROUP BY class", "mean std min max p25 p50 p75", "class count")
@@ -282,7 +291,9 @@ def crosstab_grid(spark, d):
     return rel.crosstab(segments(spark, d), "class", "split", ["NoPain", "PainArm", "PainHand", "Other"], ["train", "validation", "test"])
 
 
-@query("grid_and_resume", "g AS (SELECT w0, w1 FROM (SELECT unnest([0.5, 1.0, 1.5]) AS w0), (SELECT unnest([1, 2, 3, 4]) AS w1))\n--\nSELECT CAST(w0 AS DOUBLE) AS w0, w1 FROM g WHERE NOT (w0 = 1.0 AND w1 = 2)", "w0", "w1")
+@query("grid_and_resume", "g AS (SELECT DISTINCT user_id % 5 AS w0, event_type AS w1 FROM events), e AS (SELECT user_id % 5 AS w0, event_type AS w1 FROM events WHERE value > 250)\n--\nSELECT w0, w1 FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.w0 = g.w0 AND e.w1 = g.w1)", "", "w0 w1")
 def grid_and_resume(spark, d):
-    grid = rel.parameter_grid(spark, w0=[0.5, 1.0, 1.5], w1=[1, 2, 3, 4])
-    return rel.pending(grid, grid.filter("w0 = 1.0 and w1 = 2"), ["w0", "w1"])
+    """Of the grid of subject groups and event types, what no run has reached yet; a run is an event of a great value."""
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("w0"), F.col("event_type").alias("w1"), "value")
+    kinds = [sorted(r[0] for r in e.select(k).distinct().collect()) for k in ("w0", "w1")]
+    return rel.pending(rel.parameter_grid(spark, w0=kinds[0], w1=kinds[1]), e.filter("value > 250"), ["w0", "w1"])

@@ -84,6 +84,36 @@ def build_split(spark: SparkSession, root: str, split: str, signals: tuple[str,
     return out.select(F.lit(split).alias("split"), k["subject"].alias("subject"), k["class"].alias("class"), k["segment_idx"].alias("segment_idx"), segment_key(k["subject"], k["class"], k["segment_idx"]).alias("segment_id"), *[c for s in signals for c in (f"samples_{s}", f"raw_len_{s}")])
 
 
+def write_split(df: DataFrame, root: str, split: str, signals: tuple[str, ...] = SIGNALS) -> None:
+    """The recordings of a split as read_signal reads them: a CSV for each signal and subject, a column for each segment and a row for each sample.
+
+    df: subject, key (the column's name) and samples_<signal>. Shorter segments end in blanks. A file is written by one task, and files are dealt over tasks.
+    """
+    spark = df.sparkSession
+    long = df.select("subject", "key", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"samples_{s}").cast("array<double>").alias("x")) for s in signals])))
+    n = F.size("x")
+    cells = long.select("signal", "subject", "key", F.explode(F.sequence(F.lit(-1), n - 1)).alias("t"), "x", n.alias("n")).withColumn("cell", F.when(F.col("t") < 0, F.col("key")).otherwise(F.get("x", F.col("t")).cast("string")))
+    keys = long.groupBy("signal", "subject").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rows = cells.groupBy("signal", "subject", "t").agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("cell", F.lit("")).alias("cell")))).alias("m")).join(keys, ["signal", "subject"])
+    line = F.array_join(F.transform("keys", lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))), ",")
+    part = f"{root}/.{split}-parts"
+    lines = rows.select("signal", "subject", "t", line.alias("value")).repartition("signal", "subject").sortWithinPartitions("signal", "subject", "t")
+    lines.drop("t").write.mode("overwrite").partitionBy("signal", "subject").text(part)
+    fs, base = _fs(spark, part)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for signal in (s.getPath() for s in fs.listStatus(base) if s.isDirectory()):
+        name = signal.getName().removeprefix("signal=")
+        fs.mkdirs(path(f"{root}/{split}/{name}"))
+        for subject in (s.getPath() for s in fs.listStatus(signal)):
+            files = [f.getPath() for f in fs.listStatus(subject) if f.getPath().getName().startswith("part-")]
+            if len(files) != 1:
+                raise RuntimeError(f"{subject.getName()} is in {len(files)} files")
+            to = path(f"{root}/{split}/{name}/{subject.getName().removeprefix('subject=')}.csv")
+            fs.delete(to, False)
+            fs.rename(files[0], to)
+    fs.delete(base, True)
+
+
 def cache_root(spark: SparkSession, default: str) -> str:
     """Where caches lie: the session's spark.tidewell.cache.dir, else the default."""
     return (spark.conf.get("spark.tidewell.cache.dir", None) or default).rstrip("/")

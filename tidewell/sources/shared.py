@@ -28,8 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table there and read back: lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
