@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import ratio
 
+from . import stats
 from .aggregate import running_totals
 
 ZERO = 0.0
@@ -40,12 +41,13 @@ def summary(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> Da
 
 
 def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by, auc, n_pos, n_neg): the rank form over distinct scores, so that what is ranked is counts, not rows."""
+    """(by, auc, n_pos, n_neg): from the ranks of distinct scores, over ranges, so that what is ranked is counts and no task has all of them."""
     by = by or []
-    counts = df.groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(y) == 1).alias("__p"), F.count_if(F.col(y) == 0).alias("__q"))
-    below = F.coalesce(F.sum("__q").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = counts.withColumn("__won", F.col("__p") * (below + F.col("__q") / 2.0)).groupBy(*by).agg(F.sum("__won").alias("__won"), F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"))
-    return t.select(*by, ratio(F.col("__won"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    rows = df.filter(F.col(y).isin(0, 1)).select(*by, (F.col(y) == 1).alias("__pos"), F.col(score).alias("__s"))
+    of = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    t = stats.ranked_counts(rows, by, "__s", ["__pos"]).groupBy(*by).agg(of(F.col("__pos"), F.col("n")).alias("n_pos"), of(~F.col("__pos"), F.col("n")).alias("n_neg"), of(F.col("__pos"), F.col("n") * F.col("r")).alias("__sum"))
+    won = F.col("__sum") - F.col("n_pos") * (F.col("n_pos").cast("double") + 1) / 2
+    return t.select(*by, ratio(won, F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.io import read_json, write_json
 
+from . import stats
 from .blocks import covariances, tree_sum
 from .metrics import roc_auc
 from .normalize import _scaled
@@ -52,10 +53,12 @@ def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame
 def sample_weights(df: DataFrame, mode: str, strength: str, by: str = "subject") -> DataFrame:
     """weight from a subject's strength: uniform, linear, sqrt, inverse or rank; mean 1 over the rows."""
     s = F.col(strength)
-    rank = F.percent_rank().over(Window.orderBy(strength))
     if mode == "rank":
-        table = df.select(by, strength).distinct().withColumn("__w", 0.5 + rank).drop(strength)
-        raw = df.join(F.broadcast(table), by)  # a row for each subject
+        each = df.select(by, strength).distinct()
+        r = stats.ranked_counts(each, [], strength).select(F.col(strength).alias("__s"), (F.col("r") - (F.col("t") - 1) / 2.0).alias("__r"), "t")
+        n = r.agg(F.sum("t").alias("__n"))
+        first = F.when(F.col("__n") > 1, (F.col("__r") - 1) / (F.col("__n") - 1)).otherwise(0.0)
+        raw = df.join(r.crossJoin(F.broadcast(n)).select("__s", (0.5 + first).alias("__w")), F.col(strength) == F.col("__s")).drop("__s")  # one row
     else:
         raw = df.withColumn("__w", {"uniform": F.lit(1.0), "linear": s, "sqrt": F.sqrt(s), "inverse": 1 / (s + 1e-6)}[mode])
     mean = raw.agg(F.avg("__w").alias("__mean"))

@@ -2,8 +2,9 @@
 
 Rows are dealt to the cells of their nearest pivots (a bounded, seeded choice of rows); a cell knows its count and radius. A query is
 first answered in its own cell. Its k-th distance there then rules out every other cell that lies farther, by the cell's
-radius or by the plane between the two pivots; what is left is searched in a second pass, and the lists are merged. Cells
-meet their queries by an equi-join of sorts: both are dealt by cell and streamed past each other in one task, in blocks of
+radius or by the plane between the two pivots; what is left is searched in a second pass, and the lists are merged. Cells are
+dealt to groups. A query goes once to each group in which it asks cells, with their numbers, so where little can be ruled out, as
+in many dimensions, it is copied to groups, not to cells. A group's rows are streamed past its queries in one task, in blocks of
 bounded size, so neither a large cell nor a cell that many ask for makes a large task.
 
 Ties go to the smaller id. Rows whose vectors are null, of another length than the first, or hold null or non-finite components take no part,
@@ -27,8 +28,9 @@ from tidewell.sources.shared import stored
 @dataclass(frozen=True)
 class Pivots:
     most: int = 512  #: cells; else the square root of the number of rows
-    block_rows: int = 1 << 16  #: rows of a cell in one task
-    block_queries: int = 1 << 14  #: queries of a cell in one task
+    groups: int | None = None  #: of cells; unless given, two for each task that can run
+    block_rows: int = 1 << 19  #: rows of a group in one task
+    block_queries: int = 1 << 16  #: queries of a group in one task
     tile: int = 64
     seed: int = 42
 
@@ -68,27 +70,30 @@ def _dealt(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.filter(F.size("v") == pivots.shape[1]).mapInArrow(run, "id long, own long, tag double, v array<double>, cell int, r double")
 
 
-class _Cell:
+class _Block:
     """Running lists of the queries of one block."""
 
     def __init__(self, keys: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, tile: int):
         self.keys, self.own, self.q, self.k, self.tile = keys, own, q, k, tile
         self.d, self.id, self.tag = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64), np.full((len(q), k), np.nan)
 
-    def add(self, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
-        for at in range(0, len(self.q), self.tile):
+    def add(self, which: np.ndarray, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
+        """Rows of one cell, for the queries that ask it."""
+        for at in range(0, len(which), self.tile):
             for row in range(0, len(x), 1024):
-                self._tile(slice(at, at + self.tile), ids[row : row + 1024], own[row : row + 1024], tag[row : row + 1024], x[row : row + 1024])
+                self._tile(which[at : at + self.tile], ids[row : row + 1024], own[row : row + 1024], tag[row : row + 1024], x[row : row + 1024])
 
-    def _tile(self, t: slice, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
-        q = self.q[t]
+    def _tile(self, t: np.ndarray, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
+        q, most = self.q[t], self.d[t].max(1)
         near = _far(q, x)
         near[self.own[t, None] == own[None, :]] = np.inf
         slack = SLACK * ((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :])
-        worst = self.d[t].max(1)
+        worst = most
         if near.shape[1] > self.k:  # the k-th best of this tile can't be beaten by what is farther
             worst = np.minimum(worst, np.partition(near + slack, self.k - 1, axis=1)[:, self.k - 1])
         a, b = np.nonzero((near - slack <= worst[:, None]) & (near < np.inf))
+        if not len(a):
+            return
         d = ((q[a] - x[b]) ** 2).sum(1)
         held = self.d[t] < np.inf
         rows = np.concatenate((a, np.nonzero(held)[0]))
@@ -110,39 +115,46 @@ class _Cell:
         return pa.RecordBatch.from_arrays([pa.array(self.keys), pa.ListArray.from_arrays(offsets, tops)], ["key", "top"])
 
 
-def _search(asked: DataFrame, rows: DataFrame, k: int, s: Pivots) -> DataFrame:
-    """(key, top) for every query and cell it asks. asked: key, own, v, cell; rows: id, own, tag, v, cell."""
-    counts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block_queries).cast("int").alias("nq"))
-    counts = counts.join(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("nr")), "cell")  # a row for each cell, s.most at most
+def _search(asked: DataFrame, rows: DataFrame, k: int, n_groups: int, s: Pivots) -> DataFrame:
+    """(key, top) for every query and block of rows of a group that it asks. asked: key, own, v, grp, cells; rows: id, own, tag, v, cell."""
+    rows = rows.withColumn("grp", F.col("cell") % n_groups)
+    counts = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_queries).cast("int").alias("nq"))
+    counts = counts.join(rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("nr")), "grp")  # a row for each group
     blocks, deal = F.broadcast(counts), lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = asked.join(blocks, "cell").select("cell", deal("key", "nq").alias("bq"), every("nr").alias("br"), F.lit(0).alias("kind"), "key", "own", F.lit(None).cast("double").alias("tag"), "v")
-    b = rows.join(blocks, "cell").select("cell", every("nq").alias("bq"), deal("id", "nr").alias("br"), F.lit(1).alias("kind"), F.col("id").alias("key"), "own", "tag", "v")
+    none = F.lit(None)
+    a = asked.join(blocks, "grp").select("grp", deal("key", "nq").alias("bq"), every("nr").alias("br"), F.lit(-1).alias("cell"), "key", "own", none.cast("double").alias("tag"), "v", "cells")
+    b = rows.join(blocks, "grp").select("grp", every("nq").alias("bq"), deal("id", "nr").alias("br"), "cell", F.col("id").alias("key"), "own", "tag", "v", none.cast("array<int>").alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, queries, cell = None, [], None
+        here, queries, asks, block, of = None, [], [], None, {}
         for batch in batches:
-            names = ("cell", "bq", "br", "kind")
-            place = np.stack([batch.column(c).to_numpy() for c in names])
+            place = np.stack([batch.column(c).to_numpy() for c in ("grp", "bq", "br", "cell")])
             cuts = np.flatnonzero((np.diff(place, axis=1) != 0).any(0)) + 1
             for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
                 if (now := tuple(place[:3, i])) != here:
-                    if cell is not None:
-                        yield cell.lists()
-                    here, queries, cell = now, [], None
+                    if block is not None:
+                        yield block.lists()
+                    here, queries, asks, block = now, [], [], None
                 part = batch.slice(i, j - i)
                 key, own, x = part.column("key").to_numpy(), part.column("own").fill_null(np.iinfo(np.int64).min).to_numpy(), _matrix(part.column("v"))
-                if place[3, i] == 0:
+                if place[3, i] < 0:
                     queries.append((key, own, x))
+                    asks.append((part.column("cells").value_lengths().to_numpy(), part.column("cells").flatten().to_numpy()))
                     continue
-                if queries and cell is None:
-                    cell = _Cell(*map(np.concatenate, zip(*queries, strict=True)), k, s.tile)
-                if cell is not None:
-                    cell.add(key, own, part.column("tag").to_numpy(zero_copy_only=False).astype(float), x)
-        if cell is not None:
-            yield cell.lists()
-
-    meet = a.unionByName(b).repartition("cell", "bq", "br").sortWithinPartitions("cell", "bq", "br", "kind")
+                if queries and block is None:
+                    block = _Block(*map(np.concatenate, zip(*queries, strict=True)), k, s.tile)
+                    sizes, cells = map(np.concatenate, zip(*asks, strict=True))
+                    by = np.argsort(cells, kind="stable")
+                    asker = np.repeat(np.arange(len(sizes)), sizes)[by]
+                    names, first = np.unique(cells[by], return_index=True)
+                    of = dict(zip(names.tolist(), np.split(asker, first[1:]), strict=True))
+                if block is not None and (which := of.get(int(place[3, i]))) is not None:
+                    block.add(which, key, own, part.column("tag").to_numpy(zero_copy_only=False).astype(float), x)
+        if block is not None:
+            yield block.lists()
+
+    meet = a.unionByName(b).repartition("grp", "bq", "br").sortWithinPartitions("grp", "bq", "br", "cell")
     return meet.mapInArrow(run, f"key long, top {LIST}")
 
 
@@ -151,9 +163,9 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
 
 
-def _others(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """asked (key, own, v, cell, r, theta) with a row for every other cell that may hold a nearer row."""
-    gaps = np.sqrt(_far(pivots, pivots))
+def _others(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray, n_groups: int) -> DataFrame:
+    """asked (key, own, v, cell, r, theta) with a row for every group, and in it the other cells that may hold a nearer row."""
+    gaps, group = np.sqrt(_far(pivots, pivots)), np.arange(len(pivots)) % n_groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,8 +174,7 @@ def _others(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray) -> DataFra
                 part, own, most = x[i : i + 256], cell[i : i + 256], theta[i : i + 256, None]
                 d2 = _far(part, pivots)
                 slack = SLACK * ((part**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :])
-                d = np.sqrt(d2)
-                least = d - radius[None, :]
+                least = np.sqrt(d2) - radius[None, :]
                 home = d2[np.arange(len(part)), own][:, None]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.where(gaps[own] > 0, (d2 - home) / (2 * gaps[own]), 0.0)
@@ -171,10 +182,14 @@ def _others(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray) -> DataFra
                 ask = (np.maximum(least, plane) - wide <= most) & (radius[None, :] >= 0)
                 ask[np.arange(len(part)), own] = False
                 row, to = np.nonzero(ask)
-                keep = b.slice(i, len(part)).select(["key", "own", "v"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(to.astype(np.int32))], ["key", "own", "v", "cell"])
+                order = np.lexsort((to, group[to], row))
+                row, to = row[order], to[order]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(group[to]) != 0)))) if len(row) else np.zeros(0, int)
+                keep = b.slice(i, len(part)).select(["key", "own", "v"]).take(pa.array(row[first]))
+                cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(to)).astype(np.int32)), pa.array(to.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(group[to[first]].astype(np.int32)), cells], ["key", "own", "v", "grp", "cells"])
 
-    return asked.mapInArrow(run, "key long, own long, v array<double>, cell int")
+    return asked.mapInArrow(run, "key long, own long, v array<double>, grp int, cells array<int>")
 
 
 def nearest(
@@ -197,10 +212,12 @@ def nearest(
     radius = np.full(len(pivots), -1.0)
     for r in table.groupBy("cell").agg(F.max("r").alias("r")).collect():
         radius[r.cell] = r.r
-    home = stored(_merged(_search(ask, table, k, s), k), "home")
+    n_groups = min(len(pivots), s.groups or 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    at_home = ask.withColumns({"grp": F.col("cell") % n_groups, "cells": F.array("cell")})
+    home = stored(_merged(_search(at_home, table, k, n_groups, s), k), "home")
     theta = F.when(F.size("top") >= k, F.sqrt(F.element_at("top", -1)["d"])).otherwise(F.lit(float("inf")))
     known = ask.join(home.select("key", theta.alias("theta")), "key", "left").withColumn("theta", F.coalesce("theta", F.lit(float("inf"))))
-    away = _search(stored(_others(known, pivots, radius), "asked"), table, k, s)
+    away = _search(stored(_others(known, pivots, radius, n_groups), "asked"), table, k, n_groups, s)
     best = _merged(home.unionByName(away), k)
     out = F.transform(F.coalesce("top", F.array().cast(LIST)), lambda t: F.struct(F.sqrt(t["d"]).alias("distance"), t["id"].alias("id"), t["tag"].alias("tag")))
     return ask.select("key", F.col("id").alias("query_id")).join(best, "key", "left").select("query_id", out.alias("neighbours"))

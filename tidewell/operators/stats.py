@@ -11,15 +11,31 @@ from tidewell.functions.columns import ratio
 FEATURE = ["feature"]
 
 
-def ranked_counts(df: DataFrame, by: list[str], value: str, others: list[str] | None = None) -> DataFrame:
+def ranked_counts(df: DataFrame, by: list[str], value: str, others: list[str] | None = None, ranges: int = 64) -> DataFrame:
     """(by, others, value, n, t, r): counts of distinct values, t rows of the value in all, r their rank from 1, ties sharing their mean rank.
 
-    Rows are counted before they are shuffled, so what is sorted within by is distinct values.
+    Rows are counted before they are shuffled. A group's values are cut into ranges by quantiles, which need not be exact: totals run over
+    the ranges, then within each, so no task sorts a whole group.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, *(others or []), value).agg(F.count(F.lit(1)).alias("n"))
-    t = F.sum("n").over(Window.partitionBy(*by, value))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))  # by value, so with all rows of equal value
-    return counts.withColumn("t", t).withColumn("r", upto - F.col("t") + (F.col("t") + 1) / 2.0)
+    keys = [*by, "__one"]
+    counts = counts.withColumn("__one", F.lit(1))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 1000).alias("__cuts"))
+    rows = counts.join(cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(*keys, "__b").agg(F.sum("n").alias("__n")).withColumn("__before", before).drop("__n")
+    here = Window.partitionBy(*keys, "__b")
+    rows = rows.withColumn("__upto", F.sum("n").over(here.orderBy(value))).withColumn("t", F.sum("n").over(Window.partitionBy(*keys, "__b", value)))
+    out = rows.join(starts, [*keys, "__b"]).withColumn("r", F.col("__before") + F.col("__upto") - F.col("t") + (F.col("t") + 1) / 2.0)
+    return out.select(*by, *(others or []), value, "n", "t", "r")
+
+
+def with_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with the mean rank of value as a share of the rows that have one; null for the others."""
+    r = ranked_counts(df, [], value).select(F.col(value).alias("__v"), "t", "r")
+    n = r.agg(F.sum("t").alias("__n"))
+    share = r.crossJoin(F.broadcast(n)).select("__v", (F.col("r") / F.col("__n")).alias(out))  # one row
+    return df.join(share, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def _ties() -> Column:
@@ -38,17 +54,25 @@ def anova(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: s
     return t.select(*by, "k", F.col("n_all").alias("n"), "f", special.f_sf(F.col("f"), F.col("k") - 1, F.col("n_all") - F.col("k")).alias("p"), "eta2")
 
 
-def kruskal(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
-    """(by, h, p) with the correction for ties."""
+def _rank_sums(long: DataFrame, by: list[str], cls: str, value: str) -> DataFrame:
+    """(by, cls, n, s, ties): rows, rank sum and ties of each class."""
     r = ranked_counts(long, by, value, [cls])
-    groups = r.groupBy(*by, cls).agg(_ties().alias("ties"), F.sum(F.col("n") * F.col("r")).alias("s"), F.sum("n").alias("n"))
-    t = groups.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"))
+    return r.groupBy(*by, cls).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("s"), _ties().alias("ties"))
+
+
+def _kruskal(sums: DataFrame, by: list[str]) -> DataFrame:
+    t = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"))
     n = F.col("n").cast("double")
     h = 12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     t = t.withColumn("h", ratio(h, 1 - F.col("ties") / F.when(n > 1, n * n * n - n)))
     return t.select(*by, "h", special.chi2_sf(F.col("h"), F.col("k") - 1).alias("p"))
 
 
+def kruskal(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
+    """(by, h, p) with the correction for ties."""
+    return _kruskal(_rank_sums(long, by, cls, value), by)
+
+
 def levene(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
     """(by, w, p), centred at the class medians."""
     med = long.groupBy(*by, cls).agg(F.median(value).alias("__med"))
@@ -56,12 +80,9 @@ def levene(long: DataFrame, by: list[str] = FEATURE, cls: str = "class", value:
     return anova(spread, by, cls, value).select(*by, F.col("f").alias("w"), "p")
 
 
-def mann_whitney(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
-    """(by, n1, n2, u, delta, p): U of class a, Cliff's delta, and p: exact without ties if a class has at most eight rows, else the tie-corrected normal approximation with continuity correction."""
-    x = ranked_counts(long.filter(F.col(cls).isin(a, b)), by, value, [cls])
-    of = lambda k, v: F.coalesce(F.sum(F.when(F.col(cls) == k, v)), F.lit(0))
-    t = x.groupBy(*by).agg(of(a, F.col("n")).alias("n1"), of(b, F.col("n")).alias("n2"), of(a, F.col("n") * F.col("r")).alias("s"), _ties().alias("ties"))
-    t = t.filter("n1 > 0 and n2 > 0")
+def _mann_whitney(sums: DataFrame, first: Column, by: list[str]) -> DataFrame:
+    of = lambda k, v: F.coalesce(F.sum(F.when(k, F.col(v))), F.lit(0))
+    t = sums.groupBy(*by).agg(of(first, "n").alias("n1"), of(~first, "n").alias("n2"), of(first, "s").alias("s"), F.sum("ties").alias("ties")).filter("n1 > 0 and n2 > 0")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     t = t.withColumn("u", F.col("s") - n1 * (n1 + 1) / 2)
@@ -70,6 +91,11 @@ def mann_whitney(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls:
     return t.select(*by, "n1", "n2", "u", (2 * F.col("u") / (n1 * n2) - 1).alias("delta"), F.when((F.least(n1, n2) <= 8) & (F.greatest(n1, n2) <= special.MOST_EXACT) & (F.col("ties") == 0), special.mann_whitney_p(n1, n2, F.col("u"))).otherwise(special.normal_two_sided(z)).alias("p"))
 
 
+def mann_whitney(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
+    """(by, n1, n2, u, delta, p): U of class a, Cliff's delta, and p: exact without ties if a class has at most eight rows, else the tie-corrected normal approximation with continuity correction."""
+    return _mann_whitney(_rank_sums(long.filter(F.col(cls).isin(a, b)), by, cls, value), F.col(cls) == a, by)
+
+
 def cliffs_delta(long: DataFrame, a: str, b: str, by: list[str] = FEATURE, cls: str = "class", value: str = "value") -> DataFrame:
     """(by, delta): by ranks, exact with ties; no pairs are formed."""
     return mann_whitney(long, a, b, by, cls, value).select(*by, "delta")
@@ -136,17 +162,41 @@ def with_fdr(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFram
 
 
 def battery(means: DataFrame, classes: tuple[str, str, str]) -> DataFrame:
-    """One row a feature: ANOVA, Kruskal-Wallis, Levene, three Mann-Whitney and three Wilcoxon tests on subject means, with FDR of all but Levene's."""
-    c0, c1, c2 = classes
-    out = anova(means).withColumnsRenamed({"f": "anova_f", "p": "anova_p"}).drop("k", "n")
-    out = out.join(kruskal(means).withColumnsRenamed({"h": "kruskal_h", "p": "kruskal_p"}), "feature").join(levene(means).withColumnsRenamed({"w": "levene_w", "p": "levene_p"}), "feature")
-    tests = ["anova_p", "kruskal_p"]
-    for x, y in ((c0, c1), (c0, c2), (c1, c2)):
-        mw = mann_whitney(means, x, y).select("feature", F.col("u").alias(f"u_{x}_{y}"), F.col("delta").alias(f"delta_{x}_{y}"), F.col("p").alias(f"mwu_p_{x}_{y}"))
-        wx = wilcoxon(paired_by_feature(means, x, y)).select("feature", F.col("w").alias(f"w_{x}_{y}"), F.col("rank_biserial").alias(f"rbc_{x}_{y}"), F.col("p").alias(f"wilcoxon_p_{x}_{y}"))
-        out = out.join(mw, "feature", "left").join(wx, "feature", "left")
-        tests += [f"mwu_p_{x}_{y}", f"wilcoxon_p_{x}_{y}"]
-    return with_fdr(out, tests)
+    """One row a feature: ANOVA, Kruskal-Wallis, Levene, three Mann-Whitney and three Wilcoxon tests on subject means, with FDR of all but Levene's.
+
+    Tests of a kind are one table keyed by what is compared, so all rank tests over classes take one ranking, all paired ones another, and all p values one FDR pass.
+    """
+    pairs = [(f"{x}_{y}", x, y) for x, y in ((classes[0], classes[1]), (classes[0], classes[2]), (classes[1], classes[2]))]
+    key = ["what", "feature"]
+    rows = means.filter(F.col("value").isNotNull()).select("feature", "subject", "class", F.col("value").cast("double").alias("value"))
+
+    groups = F.filter(F.array(F.lit("all"), *[F.when(F.col("class").isin(x, y), F.lit(name)) for name, x, y in pairs]), lambda g: g.isNotNull())
+    sums = _rank_sums(rows.select(F.explode(groups).alias("what"), "feature", "class", "value"), key, "class", "value")
+    first = F.element_at(F.create_map(*[F.lit(v) for name, x, _ in pairs for v in (name, x)]), F.col("what")) == F.col("class")
+    kw, mw = _kruskal(sums.filter("what = 'all'"), key), _mann_whitney(sums.filter("what <> 'all'"), first, key)
+
+    of = lambda k: F.avg(F.when(F.col("class") == k, F.col("value"))).alias(k)
+    wide = rows.groupBy("feature", "subject").agg(*[of(k) for k in classes])
+    both = wide.select("feature", F.inline(F.array(*[F.struct(F.lit(name).alias("what"), F.col(x).alias("a"), F.col(y).alias("b")) for name, x, y in pairs])))
+    wx = wilcoxon(both.filter("a is not null and b is not null"), key)
+
+    med = rows.groupBy("feature", "class").agg(F.median("value").alias("med"))
+    two = rows.join(med, ["feature", "class"]).select("feature", "class", F.inline(F.array(F.struct(F.lit("anova").alias("what"), F.col("value").alias("v")), F.struct(F.lit("levene").alias("what"), F.abs(F.col("value") - F.col("med")).alias("v")))))
+    var = anova(two, key, "class", "v")
+
+    row = lambda df, test, one, other: df.select("feature", test.alias("test"), F.col(one).alias("one"), (F.col(other) if other else F.lit(None).cast("double")).alias("other"), "p")
+    what = F.col("what")
+    found = row(var, what, "f", "eta2").unionByName(row(kw, F.lit("kruskal"), "h", None)).unionByName(row(mw, F.concat(F.lit("mwu_"), what), "u", "delta")).unionByName(row(wx, F.concat(F.lit("wilcoxon_"), what), "w", "rank_biserial"))
+    found = fdr(found, "p", "q", ["test"])
+    at = lambda test, c, name: F.max(F.when(F.col("test") == test, F.col(c))).alias(name)
+    out = [at("anova", "one", "anova_f"), at("anova", "p", "anova_p"), at("anova", "other", "eta2"), at("kruskal", "one", "kruskal_h"), at("kruskal", "p", "kruskal_p"), at("levene", "one", "levene_w"), at("levene", "p", "levene_p")]
+    tests = {"anova_p": "anova", "kruskal_p": "kruskal"}
+    for name, *_ in pairs:
+        out += [at(f"mwu_{name}", "one", f"u_{name}"), at(f"mwu_{name}", "other", f"delta_{name}"), at(f"mwu_{name}", "p", f"mwu_p_{name}")]
+        out += [at(f"wilcoxon_{name}", "one", f"w_{name}"), at(f"wilcoxon_{name}", "other", f"rbc_{name}"), at(f"wilcoxon_{name}", "p", f"wilcoxon_p_{name}")]
+        tests |= {f"mwu_p_{name}": f"mwu_{name}", f"wilcoxon_p_{name}": f"wilcoxon_{name}"}
+    t = found.groupBy("feature").agg(*out, *[at(test, "q", f"{p}_fdr") for p, test in tests.items()])
+    return t.withColumns({p.replace("_p", "", 1) + "_signif": F.coalesce(F.col(f"{p}_fdr") <= 0.05, F.lit(False)) for p in tests})
 
 
 def pain_table(means: DataFrame, rest: str = "NoPain") -> DataFrame:
@@ -177,13 +227,6 @@ def significant_counts(tests: DataFrame, by: list[str], effect: str, p: str = "p
     return tests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(effect).alias("mean_effect"), F.count_if(F.col(p) < alpha).alias("n_significant"))
 
 
-def percent_rank_mean(column: str) -> Column:
-    """Rank as a share of all rows that have a value, ties sharing their mean rank; over rows of subjects, in one task."""
-    some = F.col(column).isNotNull()
-    rank = F.rank().over(Window.partitionBy(some).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(some, column)) - 1) / 2.0
-    return F.when(some, rank / F.count(F.lit(1)).over(Window.partitionBy(some)))
-
-
 def responder_scores(df: DataFrame, columns: list[str], rest: str = "NoPain", subject: str = "subject", cls: str = "class") -> DataFrame:
     """Of subjects with two rows or more at rest and otherwise: how far and how consistently they differ, as weighted ranks, and flags.
 
@@ -198,7 +241,7 @@ def responder_scores(df: DataFrame, columns: list[str], rest: str = "NoPain", su
     consensus = d.groupBy("feature").agg(F.signum(F.median("d")).alias("consensus"))
     d = d.join(F.broadcast(consensus), "feature")  # a row for each feature
     out = d.groupBy(subject).agg(F.avg(F.abs("d")).alias("separability"), F.avg((F.signum("d") == F.col("consensus")).cast("double")).alias("sign_consistency"))
-    out = out.withColumns({"sep_rank": percent_rank_mean("separability"), "sign_rank": percent_rank_mean("sign_consistency")})
+    out = with_rank(with_rank(out, "separability", "sep_rank"), "sign_consistency", "sign_rank")
     out = out.withColumn("responder_score", 0.6 * F.col("sep_rank") + 0.4 * F.col("sign_rank"))
     return out.withColumns({"low_separability": F.col("sep_rank") < 0.2, "sign_flipper": F.col("sign_consistency") < 0.5, "non_responder": F.col("responder_score") < 0.25})
 
