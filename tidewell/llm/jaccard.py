@@ -4,8 +4,8 @@ SimHash with anchors comes first: sets whose fingerprints differ in t bits or fe
 those that are similar become one component. Fingerprints of a few bits' difference can't find all pairs of a similarity
 of 0.8, though, whose fingerprints differ in some ten bits, and no anchors cover that. So prefixes of the sets complete it: two sets of similarity t or more share one of the first m - ceil(t m) + 1 shingles of each, m being its size, in any one order of all
 shingles; so only sets that meet there are compared, and none is missed. The order is by hash, with shingles that are
-frequent there last: that choice changes the cost, never the result. Equal sets are one. Sets that meet are compared with the least of them first;
-after that only sets of different components are, as others can't change the components. So what the anchors have joined is not compared again.
+frequent there last: that choice changes the cost, never the result. Equal sets are one. Where sets meet, all are compared with a few of them first,
+twice, and only then with each other; each time only sets of different components are, as others can't change the components.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, broadcast_if, free_shuffles, materialize
@@ -24,9 +24,12 @@ from .components import components
 from .lm import _mix, _tokens
 from .simhash import keep_rows, links
 
-#: A shingle in more prefixes than this is put last, for the most frequent so many.
-FREQUENT, MOST_FREQUENT = 20, 200_000
-BROADCAST_SETS = 200_000
+#: A shingle in more prefixes than this is put last, for the most frequent so many. For that, prefixes are taken as for a similarity lower by WIDER,
+#: since what comes into them once others are put last should be known too.
+FREQUENT, MOST_FREQUENT, WIDER = 20, 200_000, 0.25
+BROADCAST_SETS, BROADCAST_BYTES = 200_000, 96 << 20
+#: Sets of a bucket with which all of it are compared in each of the two first rounds.
+CENTRES = 24
 
 
 def shingles(text: str | None, n: int, hashes: dict) -> np.ndarray:
@@ -48,7 +51,7 @@ def _fingerprint(h: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False) -> DataFrame:
-    """rows with sid (a hash of the set), m (its size), fp (the set's SimHash) and hs: the set if whole, else its prefix."""
+    """rows with sid (a hash of the set), m (its size), fp (the set's SimHash), rare (how many are not in last) and hs: the set if whole, else its prefix."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common = last.value if last is not None else np.zeros(0, np.int64)
@@ -57,15 +60,17 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
             for t in texts:
                 h = shingles(t, n, hashes)
                 sid, m = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)
-                fp = 0 if whole or not m else _fingerprint(h)
+                fp, rare = 0 if whole or not m else _fingerprint(h), 0
                 if not whole:
                     if len(common) and m:
-                        h = h[np.argsort(np.isin(h, common, kind="sort"), kind="stable")]
+                        known = np.isin(h, common, kind="sort")
+                        rare = m - int(known.sum())
+                        h = h[np.argsort(known, kind="stable")]
                     h = h[: m - math.ceil(least * m - 1e-9) + 1]
-                out.append((sid, m, fp, h))
-            yield pd.DataFrame(out, columns=["sid", "m", "fp", "hs"])
+                out.append((sid, m, fp, rare, h))
+            yield pd.DataFrame(out, columns=["sid", "m", "fp", "rare", "hs"])
 
-    of = F.pandas_udf(run, "sid long, m int, fp long, hs array<long>")
+    of = F.pandas_udf(run, "sid long, m int, fp long, rare int, hs array<long>")
     return rows.withColumn("s", of("text")).select(*[c for c in rows.columns if c != "text"], "s.*")
 
 
@@ -82,6 +87,7 @@ def _similar(pairs: DataFrame, names: DataFrame, texts: DataFrame, n: int, least
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(names, "sid")
     chosen = texts.join(broadcast_if(materialize(wanted.select("th").distinct(), "wanted"), BROADCAST_SETS), "th", "left_semi").dropDuplicates(["th"])
     sets = _written(_sets(chosen.select("text"), n, least, whole=True).dropDuplicates(["sid"]), "sets")
+    sets = broadcast_if(sets, BROADCAST_SETS, BROADCAST_BYTES)  # else both joins are shuffled
     both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
@@ -95,7 +101,7 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
     text = F.col(f"`{text_col}`").cast("string")
     th = F.xxhash64(F.coalesce(text, F.lit("")))
     texts = docs.select(th.alias("th"), text.alias("text"))
-    often = _sets(texts.select("text"), n, least).dropDuplicates(["sid"]).select(F.explode("hs").alias("h")).groupBy("h").count().filter(F.col("count") > FREQUENT)
+    often = _sets(texts.select("text"), n, least - WIDER).dropDuplicates(["sid"]).select(F.explode("hs").alias("h")).groupBy("h").count().filter(F.col("count") > FREQUENT)
     often = np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64)
     last = docs.sparkSession.sparkContext.broadcast(np.sort(often))
 
@@ -106,20 +112,32 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
     anchored = _written(_similar(_anchored(rows, t, near), names, texts, n, least), "anchored")
     joined = components(anchored)
 
-    buckets = rows.select("sid", "m", "hs").dropDuplicates(["sid"]).join(joined, F.col("sid") == F.col("node"), "left")
-    buckets = buckets.select("sid", "m", F.coalesce("root", "sid").alias("root"), F.explode("hs").alias("h"))
-    size = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "m", "root")).alias("c")).filter("size > 1").select("h", "c")
-    buckets = _written(buckets.join(size, "h"), "buckets")
-
-    stars = buckets.filter((F.col("c.root") != F.col("root")) & near(F.col("c.m"), F.col("m"))).select(F.col("c.sid").alias("u"), F.col("sid").alias("v"))
-    first = _written(anchored.union(_similar(stars, names, texts, n, least)), "links")
-    found = components(first)
-    placed = buckets.select("h", "sid", "m").join(found, F.col("sid") == F.col("node"), "left").select("h", "sid", "m", F.coalesce("root", "sid").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    placed = _written(placed.join(mixed, "h", "left_semi"), "mixed")
-    a, b = placed.toDF("h", "u", "mu", "ru"), placed.toDF("h", "v", "mv", "rv")
-    cross = a.join(b, "h").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near(F.col("mu"), F.col("mv"))).select("u", "v")
-    roots = components(first.union(_similar(cross.join(stars.distinct(), ["u", "v"], "left_anti"), names, texts, n, least)))
+    buckets = rows.select("sid", "m", "rare", "hs").dropDuplicates(["sid"]).join(joined, F.col("sid") == F.col("node"), "left")
+    buckets = buckets.select("sid", "m", "rare", F.coalesce("root", "sid").alias("root"), F.posexplode("hs").alias("i", "h"))
+    size = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("h")
+    buckets = _written(buckets.join(size, "h", "left_semi"), "buckets")
+
+    def fits(ma, ia, mb, ib):
+        """If a pair's first common shingle has places ia and ib in the order of all, the sets share at most what comes after; less than the least similarity needs rules the pair out here."""
+        return near(ma, mb) & (F.least(ma - ia, mb - ib) >= F.ceil((ma + mb) * (least / (1 + least)) - 1e-9))
+
+    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of different components that meet in a bucket of x and y and may be similar."""
+        a, b = x.toDF("h", "u", "mu", "iu", "ru"), y.toDF("h", "v", "mv", "iv", "rv")
+        met = a.join(b, "h").filter((F.col("ru") != F.col("rv")) & fits(F.col("mu"), F.col("iu"), F.col("mv"), F.col("iv")))
+        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    # All of a bucket are first compared with a few of it: those with the fewest shingles of their own, as patterns of many near copies
+    # have, then others. What these have joined isn't compared again, so that only what is left is compared with all.
+    linked, cols = anchored, ["h", "sid", "m", "i", "root"]
+    for k, order in enumerate((["rare", "sid"], [F.xxhash64("sid"), F.col("sid")])):
+        chosen = buckets.withColumn("__r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).filter(F.col("__r") <= CENTRES)
+        linked = _written(linked.union(_similar(apart(buckets.select(*cols), chosen.select(*cols)), names, texts, n, least)), f"links-{k}")
+        placed = buckets.drop("root").join(components(linked), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+        buckets = _written(placed.join(mixed, "h", "left_semi"), f"mixed-{k}")
+    rest = buckets.select(*cols)
+    roots = components(linked.union(_similar(apart(rest, rest), names, texts, n, least)))
 
     same = rows.groupBy("sid", "doc_id", "th").agg(F.count(F.lit(1)).alias("m"))
     best = same.groupBy("sid").agg(F.min(F.struct("doc_id", "th", "m")).alias("s"))
