@@ -63,7 +63,7 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
                 fp, rare = 0 if whole or not m else _fingerprint(h), 0
                 if not whole:
                     if len(common) and m:
-                        known = np.isin(h, common, kind="sort")
+                        known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                         rare = m - int(known.sum())
                         h = h[np.argsort(known, kind="stable")]
                     h = h[: m - math.ceil(least * m - 1e-9) + 1]
@@ -103,6 +103,7 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
     texts = docs.select(th.alias("th"), text.alias("text"))
     often = _sets(texts.select("text"), n, least - WIDER).dropDuplicates(["sid"]).select(F.explode("hs").alias("h")).groupBy("h").count().filter(F.col("count") > FREQUENT)
     often = np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64)
+    free_shuffles(docs.sparkSession)
     last = docs.sparkSession.sparkContext.broadcast(np.sort(often))
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th"), text.alias("text"))
