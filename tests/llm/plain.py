@@ -176,14 +176,14 @@ def clean(texts, items):
     return {d: t for d, t in texts.items() for w in [item_words(t)] if not any(tuple(w[k : k + n]) in grams for n in sizes for k in range(len(w) - n + 1))}
 
 
-def language_model(seqs, held):
-    """seqs: id -> tokens, the end included. Gives prob(context, token), word counts and training tokens, of backoff over n-grams seen twice."""
+def language_model(seqs, held, least=2):
+    """seqs: id -> tokens, the end included. Gives prob(context, token), word counts and training tokens, of backoff over n-grams seen often enough."""
     n = [Counter(), Counter(), Counter()]
     for i, q in seqs.items():
         for o in range(3):
             n[o].update([] if held[i] else [tuple(q[k : k + o + 1]) for k in range(len(q) - o)])
     total, distinct = sum(n[0].values()), len(n[0])
-    kept = [n[0], *({g: c for g, c in m.items() if c >= 2} for m in n[1:])]
+    kept = [n[0], *({g: c for g, c in m.items() if c >= least} for m in n[1:])]
     after, weights = {}, {}
     for m in kept[1:]:
         for g in m:
@@ -192,7 +192,7 @@ def language_model(seqs, held):
     def prob(context, w):
         if not context:
             return (n[0][w,] + 0.1) / (total + 0.1 * (distinct + 1))
-        if n[len(context) - 1][context] < 2:
+        if n[len(context) - 1][context] < least:
             return prob(context[1:], w)
         m, c = kept[len(context)], n[len(context) - 1][context]
         if (*context, w) in m:

@@ -300,43 +300,35 @@ def test_language_model(odd, none):
     assert lm.score(none).count() == 0
 
 
-def test_language_model_sums_to_one(spark):
-    """Over all words, the end and an unknown word, after any state."""
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_language_model_sums_to_one(least):
+    """Over all words, the end and an unknown word, after any state of the automaton of a chunk that is the whole corpus."""
     import numpy as np
-
-    texts = ["a b a b c", "a b c c d", "b c a b", "d d a b e"] * 3
-    ids, seqs = {}, []
-    for t in texts:
-        seqs.append([ids.setdefault(w, len(ids)) for w in t.split()])
-    end = len(ids)
-    c = np.bincount([w for s in seqs for w in s], minlength=end + 1)
-    c[end] = len(seqs)
-    two, three = Counter(), Counter()
-    for s in seqs:
-        s = [*s, end]
-        two.update(zip(s, s[1:], strict=False))
-        three.update(zip(s, s[1:], s[2:], strict=False))
-    pairs = np.array(sorted(a << lm.WORD_BITS | b for a, b in two))
-    pn = np.array([two[p >> lm.WORD_BITS, p & (1 << lm.WORD_BITS) - 1] for p in pairs.tolist()])
-    at = {p: i for i, p in enumerate(pairs.tolist())}
-    tri = {at[a << lm.WORD_BITS | b] << lm.WORD_BITS | w: n for (a, b, w), n in three.items()}
-    tk = np.array(sorted(tri))
-    m = lm.Automaton(c, int(c.sum()), end + 1, pairs, pn, tk, np.array([tri[k] for k in tk.tolist()]))
-    arcs = {k: i for i, k in enumerate(m.code.tolist())}
-    unknown = np.log10(lm.ADD / (c.sum() + lm.ADD * (end + 2)))
-    for state in range(len(m.fail)):
-        total = 0.0
-        for w in [*range(end + 1), None]:
-            s, lp = state, 0.0
-            while w is None and s or w is not None and s << lm.WORD_BITS | w not in arcs:
-                lp, s = lp + m.backoff[s], m.fail[s]
-            total += 10 ** (lp + (unknown if w is None else m.weight[arcs[s << lm.WORD_BITS | w]]))
-        assert total == pytest.approx(1, abs=1e-6)
-
-
-@pytest.mark.parametrize("share", [None, 1e-9])
-def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, share):
-    """Every row against plain backoff over all n-grams seen twice, over several chunks and shards."""
+    import pyarrow as pa
+
+    texts = ["a b a b c", "a b c c d", "b c a b", "d d a b e"] * 3 + ["once b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    (row,) = lm._rows(lm._chunks(iter([batch])))
+    c = lm._Chunk(row, 40)
+    c.n[1:] = [np.where(n >= least, n, 0) for n in c.n[1:]]
+    c.own = [np.ones(len(n), bool) for n in c.n]
+    z, backoffs = c.n[0].sum() + lm.ADD * (len(c.n[0]) + 1), []
+    for o in (1, 2):
+        mass, low = c.masses(o)
+        at = c.asks(o, mass, least)
+        backoffs.append(c.backoffs(o, [{"ord": o - 1, "shard": 0, "blob": lm._pack(mass[at]), "low": lm._pack(low[at])}], z, least))
+    m = lm.Automaton(c, z, backoffs)
+    kept = [s for s in range(len(m.fail)) if s <= m.words or c.n[1][s - 1 - m.words] > 0]
+    for state in kept:
+        unknown, s = np.log10(lm.ADD / z), state
+        while s:
+            unknown, s = unknown + m.backoff[s], m.fail[s]
+        assert 10**unknown + sum(10 ** m.traverse([w], state) for w in range(m.words)) == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("options", [{}, {"min_share": 1e-9}, {"least": 1}, {"least": 4}])
+def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, options):
+    """Every row against plain backoff over all n-grams seen often enough, over several chunks and shards."""
     import math
     import random
     import zlib
@@ -346,8 +338,7 @@ def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, share):
     docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(120)]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
     seqs = {i: [*t.split(), None] for i, t in docs}
-    prob, words, total = plain.language_model(seqs, held)
-    options = {} if share is None else {"min_share": share}
+    prob, words, total = plain.language_model(seqs, held, options.get("least", 2))
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **options).collect()}
     assert got.keys() == seqs.keys()
     for i, q in seqs.items():

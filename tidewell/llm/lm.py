@@ -8,10 +8,12 @@ probability of all its kept n-grams. For the backoff weights each kept n-gram is
 chunk sends its count, and that of the order below, to the shard of the context, which adds them up and answers every
 chunk that has to back off from the context. Shards grow in number, not in size, and a frequent n-gram is one row a chunk there.
 
-The score of a token depends on the two words before it: the discounted probability of the longest kept n-gram
-that ends in it, times the backoff weights of the longer contexts that are kept. At the empty context every token
-has its add-0.1 probability from its exact count. N-grams are told apart by hashes with SPARE_BITS bits more than it takes
-to number the training tokens (64 at most), so that at any size about one in a million shares its hash with another.
+With its answers a chunk builds an automaton (Automaton): kept n-grams are arcs between the states of their contexts, and a context's
+failure arc carries its backoff weight. Each document is read once from left to right; the state that is carried is the longest kept context.
+So the score of a token is the discounted probability of the longest kept n-gram that ends in it, times the backoff weights of the longer
+contexts that are kept; at the empty context every token has its add-0.1 probability from its count. Words are told apart by 64-bit hashes, pairs
+and triples by hashes with SPARE_BITS bits more than it takes to number the training tokens (64 at most), so that at any size about one
+in a million shares its hash with another.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ from .common import free_shuffles, materialize
 ADD, DISCOUNT = 0.1, 0.5
 #: Both as parts of one, so that sums of discounted counts are sums of integers.
 ADD_PARTS, DISCOUNT_PARTS = 10, 2
-WORD_BITS = 20
-SPARE_BITS = 20
+WORD_BITS, SPARE_BITS = 64, 20
 LEAST = 2
 CHUNK_BYTES = 6_000_000
 SHARD_TOKENS = 1_000_000
@@ -157,7 +158,7 @@ class _Chunk:
         two[1:] = _mix(x[:-1], x[1:])
         three = np.zeros(len(x), np.uint64)
         three[1:] = _mix(two[:-1], two[1:])
-        keys, _, inv = _grouped(hashes >> shift, bits)
+        keys, _, inv = _grouped(hashes, WORD_BITS)
         self.keys, self.at, self.first, self.n = [keys], [inv[words]], [np.zeros(len(keys), np.int64)], []
         self.first[0][self.at[0]] = np.arange(len(x))
         self.n.append(np.bincount(self.at[0][train], minlength=len(keys)))
@@ -209,13 +210,13 @@ def _joined(answers: list[dict], order: int, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[_unpack(b) for _, b in parts]])
 
 
-def _edge(shard: int, n_shards: int, bits: int) -> int:
-    return (shard << bits) // n_shards
+def _edge(shard: int, n_shards: int, o: int, bits: int) -> int:
+    return (shard << (bits if o else WORD_BITS)) // n_shards
 
 
-def _slices(keys: np.ndarray, n_shards: int, bits: int) -> Iterator[tuple[int, slice]]:
-    """(shard, its slice of the sorted keys), empty ones left out."""
-    edges = np.array([_edge(k, n_shards, bits) for k in range(1, n_shards)], np.uint64)
+def _slices(keys: np.ndarray, n_shards: int, o: int, bits: int) -> Iterator[tuple[int, slice]]:
+    """(shard, its slice of the sorted keys of order o), empty ones left out."""
+    edges = np.array([_edge(k, n_shards, o, bits) for k in range(1, n_shards)], np.uint64)
     cut = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
     for k in np.flatnonzero(np.diff(cut)).tolist():
         yield k, slice(cut[k], cut[k + 1])
@@ -240,7 +241,7 @@ def _send_counts(n_shards: int, bits: int):
         for r in _rows(batches):
             c = _Chunk(r, bits)
             for o in range(3):
-                rows = [(o, k, r["chunk"], _pack_keys(c.keys[o][s], _edge(k, n_shards, bits)), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards, bits)]
+                rows = [(o, k, r["chunk"], _pack_keys(c.keys[o][s], _edge(k, n_shards, o, bits)), _pack(c.n[o][s]), None) for k, s in _slices(c.keys[o], n_shards, o, bits)]
                 if rows:
                     yield _sent(rows)
 
@@ -250,13 +251,14 @@ def _send_counts(n_shards: int, bits: int):
 def _add_counts(least: int, n_shards: int, bits: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk")
-        low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
+        o = int(g["ord"].iloc[0])
+        low = _edge(int(g["shard"].iloc[0]), n_shards, o, bits)
         keys = [_unpack_keys(k, low) for k in g["keys"]]
         n = np.concatenate([_unpack(a) for a in g["a"]])
-        _, first, inv = _grouped(np.concatenate(keys), bits)
+        _, first, inv = _grouped(np.concatenate(keys), bits if o else WORD_BITS)
         total = np.bincount(inv, n).astype(np.int64)
         distinct = int((total > 0).sum())
-        if g["ord"].iloc[0]:
+        if o:
             total[total < least] = 0
         answer = total[inv] << 1
         answer[first] |= 1
@@ -278,7 +280,7 @@ def _send_masses(n_shards: int, bits: int, least: int):
                 mass, low = c.masses(o)
                 at = c.asks(o, mass, least)
                 keys, mass, low = c.keys[o - 1][at], mass[at], low[at]
-                rows = [(o - 1, k, r["chunk"], _pack_keys(keys[s], _edge(k, n_shards, bits)), _pack(mass[s]), _pack(low[s])) for k, s in _slices(keys, n_shards, bits)]
+                rows = [(o - 1, k, r["chunk"], _pack_keys(keys[s], _edge(k, n_shards, o - 1, bits)), _pack(mass[s]), _pack(low[s])) for k, s in _slices(keys, n_shards, o - 1, bits)]
                 if rows:
                     yield _sent(rows)
 
@@ -288,9 +290,10 @@ def _send_masses(n_shards: int, bits: int, least: int):
 def _add_masses(n_shards: int, bits: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk")
-        low = _edge(int(g["shard"].iloc[0]), n_shards, bits)
+        o = int(g["ord"].iloc[0])
+        low = _edge(int(g["shard"].iloc[0]), n_shards, o, bits)
         keys = [_unpack_keys(k, low) for k in g["keys"]]
-        inv = _grouped(np.concatenate(keys), bits)[2]
+        inv = _grouped(np.concatenate(keys), bits if o else WORD_BITS)[2]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         mass, below = ([_pack(a) for a in np.split(np.bincount(inv, np.concatenate([_unpack(x) for x in g[c]])).astype(np.int64)[inv], cuts)] for c in ("a", "b"))
         return pd.DataFrame({"chunk": g["chunk"].to_numpy(), "ord": g["ord"].to_numpy(), "shard": g["shard"].to_numpy(), "blob": mass, "low": below})
@@ -298,6 +301,43 @@ def _add_masses(n_shards: int, bits: int):
     return run
 
 
+class Automaton:
+    """The model over a chunk's n-grams as a weighted automaton with failure arcs.
+
+    State 0 is the empty context, 1 + w the word w, 1 + V + j the pair j. A kept n-gram is an arc from the state of its context to that of
+    its longest kept end, with its log10 probability; the empty context has an arc for every word. The failure arc of a state drops its first word
+    and weighs the log10 of its backoff weight.
+    """
+
+    def __init__(self, c: _Chunk, z: float, backoffs: list[np.ndarray]):
+        n1, n2, n3 = c.n
+        w, pair, _ = c.at
+        two, three = np.flatnonzero(n2 > 0), np.flatnonzero(n3 > 0)
+        p, q = c.first[1][two], c.first[2][three]
+        self.words, self.one = len(n1), np.log10((n1 + ADD) / z)
+        every, pairs = np.arange(self.words), 1 + self.words
+        state = np.concatenate((0 * every, 1 + w[p - 1], pairs + pair[q - 1]))
+        self.target = np.concatenate((1 + every, pairs + two, pairs + pair[q])).tolist()
+        self.weight = np.concatenate((self.one, np.log10((n2[two] - DISCOUNT) / n1[w[p - 1]]), np.log10((n3[three] - DISCOUNT) / n2[pair[q - 1]]))).tolist()
+        codes = state * self.words + np.concatenate((every, w[p], w[q]))
+        self.arcs = dict(zip(codes.tolist(), range(len(codes)), strict=True))
+        self.fail = np.concatenate(([0], 0 * every, 1 + w[c.first[1]])).tolist()
+        self.backoff = np.concatenate(([0.0], *backoffs)).tolist()
+
+    def traverse(self, tokens: list[int], state: int = 0) -> float:
+        """log10 of the probability of the tokens, read once from left to right."""
+        arcs, target, weight, fail, backoff, words, total = self.arcs, self.target, self.weight, self.fail, self.backoff, self.words, 0.0
+        for w in tokens:
+            arc = arcs.get(state * words + w)
+            while arc is None:
+                total += backoff[state]
+                state = fail[state]
+                arc = arcs.get(state * words + w)
+            total += weight[arc]
+            state = target[arc]
+        return total
+
+
 def _scorer(z: float, bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,71 +345,30 @@ def _scorer(z: float, bits: int, least: int):
             for r in _rows(iter([b])):
                 c = _Chunk(r, bits)
                 c.read_counts(r["counts"])
-                n1, n2, n3 = c.n
-                w, pair, triple = c.at
-                backoff = [c.backoffs(o, r["backoffs"] or [], z, least) for o in (1, 2)]
-                one = np.log10((n1 + ADD) / z)[w]
-                score = one.copy()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = np.flatnonzero(pair >= 0)
-                    v, n = w[p - 1], n2[pair[p]]
-                    score[p] = np.where(n > 0, np.log10((n - DISCOUNT) / n1[v]), backoff[0][v] + one[p])
-                    p = np.flatnonzero(triple >= 0)
-                    uv, n = pair[p - 1], n3[triple[p]]
-                    score[p] = np.where(n > 0, np.log10((n - DISCOUNT) / n2[uv]), backoff[1][uv] + score[p])
-                known = np.add.reduceat((n1[w] > 0).astype(np.int64), c.starts)
-                cols = [pa.array(r["ids"], kind), pa.array(r["held"], pa.bool_()), pa.array(c.sizes), pa.array(known), pa.array(np.add.reduceat(one, c.starts)), pa.array(np.add.reduceat(score, c.starts))]
+                model = Automaton(c, z, [c.backoffs(o, r["backoffs"] or [], z, least) for o in (1, 2)])
+                w = c.at[0]
+                score = [model.traverse(w[s : s + n].tolist()) for s, n in zip(c.starts.tolist(), c.sizes.tolist(), strict=True)]
+                known = np.add.reduceat((c.n[0][w] > 0).astype(np.int64), c.starts)
+                cols = [pa.array(r["ids"], kind), pa.array(r["held"], pa.bool_()), pa.array(c.sizes), pa.array(known), pa.array(np.add.reduceat(model.one[w], c.starts)), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-class Automaton:
-    """The same model as one automaton in one process, for small corpora and as the measure of score(). State 0 is the empty context, 1 + w the word w, 1 + V + p the pair p. arcs: state << WORD_BITS | word -> its place in nxt and weight."""
-
-    def __init__(self, c: np.ndarray, total: int, distinct: int, pairs, pair_n, triples, triple_n):
-        if len(c) > 1 << WORD_BITS or len(pairs) >= 1 << 62 - WORD_BITS:
-            raise ValueError(f"more than 2 ** {WORD_BITS} words, or too many pairs, for one automaton")
-        size, z = len(c), total + ADD * (distinct + 1)
-        p1 = (c + ADD) / z
-        a, b = pairs >> WORD_BITS, pairs & (1 << WORD_BITS) - 1
-        p2 = np.maximum(pair_n - DISCOUNT, 0) / c[a]
-        bow1 = self._backoff(a, p2, p1[b], size)
-        first, w = triples >> WORD_BITS, triples & (1 << WORD_BITS) - 1
-        p3 = np.maximum(triple_n - DISCOUNT, 0) / pair_n[first] if len(triples) else np.zeros(0)
-        low = np.searchsorted(pairs, b[first] << WORD_BITS | w) if len(triples) else np.zeros(0, np.int64)
-        bow2 = self._backoff(first, p3, p2[low] if len(triples) else p3, len(pairs))
-        state = np.concatenate((np.zeros(size, np.int64), 1 + a, 1 + size + first))
-        word = np.concatenate((np.arange(size), b, w))
-        self.code = state << WORD_BITS | word
-        self.nxt = np.concatenate((1 + np.arange(size), 1 + size + np.arange(len(pairs)), 1 + size + low)).astype(np.int64)
-        self.weight = np.log10(np.concatenate((p1, p2, p3)))
-        self.fail = np.concatenate(([0], np.zeros(size, np.int64), 1 + b)).astype(np.int64)
-        self.backoff = np.log10(np.concatenate(([1.0], bow1, bow2)))
-        self.base = np.log10(p1)
-
-    @staticmethod
-    def _backoff(state: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-        """(1 - kept mass) / (1 - its mass one order lower), for each of n states."""
-        left = 1 - np.bincount(state, p, n)
-        lower_left = 1 - np.bincount(state, lower, n)
-        return np.maximum(left, 1e-9) / np.maximum(lower_left, 1e-9)
-
-
-def score(docs: DataFrame, min_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, min_share: float = 0.0, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Tokens: words between ASCII white space, A-Z lower-cased, then one end token; null and empty texts have the end
     token only. The model learns from the rows that are not held out. Null ids are scored like others; repeated rows
-    count, and are scored, as often as they occur. Without training rows every token is unknown. A min_share above 0
-    also drops n-grams with a smaller share of the training tokens; by default none is dropped from LEAST upward.
+    count, and are scored, as often as they occur. Without training rows every token is unknown. Pairs and triples are states from
+    least occurrences upward; 1 keeps them all. A min_share above 0 also drops those with a smaller share of the training tokens.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     body = f"docs long, train long, ids array<{id_type}>, held array<boolean>, sizes binary, hashes binary, tokens binary"
     chunks = materialize(rows.mapInArrow(_chunks, body).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     total = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
-    least, n_shards = max(LEAST, math.ceil(min_share * total)), max(4, -(-total // SHARD_TOKENS))
+    least, n_shards = max(least, math.ceil(min_share * total)), max(4, -(-total // SHARD_TOKENS))
 
     bits = min(64, max(1, total).bit_length() + SPARE_BITS)
 
