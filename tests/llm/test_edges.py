@@ -318,12 +318,13 @@ def test_language_model_sums_to_one(least):
         at = c.asks(o, mass, least)
         backoffs.append(c.backoffs(o, [{"ord": o - 1, "shard": 0, "blob": lm._pack(mass[at]), "low": lm._pack(low[at])}], z, least))
     m = lm.Automaton(c, z, backoffs)
+    arcs = m.arcs(0, len(c.at[0]))
     kept = [s for s in range(len(m.fail)) if s <= m.words or c.n[1][s - 1 - m.words] > 0]
     for state in kept:
         unknown, s = np.log10(lm.ADD / z), state
         while s:
             unknown, s = unknown + m.backoff[s], m.fail[s]
-        assert 10**unknown + sum(10 ** m.traverse([w], state) for w in range(m.words)) == pytest.approx(1, abs=1e-6)
+        assert 10**unknown + sum(10 ** m.traverse([w], arcs, state)[0] for w in range(m.words)) == pytest.approx(1, abs=1e-6)
 
 
 @pytest.mark.parametrize("options", [{}, {"min_share": 1e-9}, {"least": 1}, {"least": 4}])
@@ -334,6 +335,7 @@ def test_language_model_keeps_all_repeated_ngrams(spark, monkeypatch, options):
     import zlib
 
     monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(lm, "BLOCK", 50)
     rng = random.Random(3)
     docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(120)]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}

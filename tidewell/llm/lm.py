@@ -19,6 +19,7 @@ in a million shares its hash with another.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ ADD_PARTS, DISCOUNT_PARTS = 10, 2
 WORD_BITS, SPARE_BITS = 64, 20
 LEAST = 2
 CHUNK_BYTES = 6_000_000
+#: Tokens whose arcs are laid out at a time.
+BLOCK = 1 << 16
 SHARD_TOKENS = 1_000_000
 END = b" "  # no word has a blank
 
@@ -306,36 +309,61 @@ class Automaton:
 
     State 0 is the empty context, 1 + w the word w, 1 + V + j the pair j. A kept n-gram is an arc from the state of its context to that of
     its longest kept end, with its log10 probability; the empty context has an arc for every word. The failure arc of a state drops its first word
-    and weighs the log10 of its backoff weight.
+    and weighs the log10 of its backoff weight. Only arcs of n-grams that end in some tokens can be taken while reading these, so arcs are
+    laid out for BLOCK tokens at a time.
     """
 
     def __init__(self, c: _Chunk, z: float, backoffs: list[np.ndarray]):
-        n1, n2, n3 = c.n
-        w, pair, _ = c.at
-        two, three = np.flatnonzero(n2 > 0), np.flatnonzero(n3 > 0)
-        p, q = c.first[1][two], c.first[2][three]
-        self.words, self.one = len(n1), np.log10((n1 + ADD) / z)
-        every, pairs = np.arange(self.words), 1 + self.words
-        state = np.concatenate((0 * every, 1 + w[p - 1], pairs + pair[q - 1]))
-        self.target = np.concatenate((1 + every, pairs + two, pairs + pair[q])).tolist()
-        self.weight = np.concatenate((self.one, np.log10((n2[two] - DISCOUNT) / n1[w[p - 1]]), np.log10((n3[three] - DISCOUNT) / n2[pair[q - 1]]))).tolist()
-        codes = state * self.words + np.concatenate((every, w[p], w[q]))
-        self.arcs = dict(zip(codes.tolist(), range(len(codes)), strict=True))
-        self.fail = np.concatenate(([0], 0 * every, 1 + w[c.first[1]])).tolist()
-        self.backoff = np.concatenate(([0.0], *backoffs)).tolist()
-
-    def traverse(self, tokens: list[int], state: int = 0) -> float:
-        """log10 of the probability of the tokens, read once from left to right."""
-        arcs, target, weight, fail, backoff, words, total = self.arcs, self.target, self.weight, self.fail, self.backoff, self.words, 0.0
+        self.c, self.words = c, len(c.n[0])
+        self.one = np.log10((c.n[0] + ADD) / z)
+        self.fail = array("q", np.concatenate((np.zeros(1 + self.words, np.int64), 1 + c.at[0][c.first[1]])).tobytes())
+        self.backoff = array("d", np.concatenate(([0.0], *backoffs)).tobytes())
+
+    def arcs(self, start: int, end: int) -> dict[int, tuple[int, float]]:
+        """state * V + word -> (next state, weight), of all n-grams that end at these positions."""
+        (n1, n2, n3), (w, pair, triple) = self.c.n, self.c.at
+        p = np.arange(start, end)
+        two = p[(pair[p] >= 0) & (n2[pair[p]] > 0)] if len(n2) else p[:0]
+        three = p[(triple[p] >= 0) & (n3[triple[p]] > 0)] if len(n3) else p[:0]
+        parts = (
+            (w[p], 1 + w[p], self.one[w[p]]),
+            ((1 + w[two - 1]) * self.words + w[two], 1 + self.words + pair[two], np.log10((n2[pair[two]] - DISCOUNT) / n1[w[two - 1]])),
+            ((1 + self.words + pair[three - 1]) * self.words + w[three], 1 + self.words + pair[three], np.log10((n3[triple[three]] - DISCOUNT) / n2[pair[three - 1]])),
+        )
+        out = {}
+        for code, to, weight in parts:
+            code, at = np.unique(code, return_index=True)
+            out.update(zip(code.tolist(), zip(to[at].tolist(), weight[at].tolist(), strict=True), strict=True))
+        return out
+
+    def traverse(self, tokens: list[int], arcs: dict[int, tuple[int, float]], state: int) -> tuple[float, int]:
+        """log10 of the probability of the tokens, read once from left to right, and the state after them."""
+        fail, backoff, words, total = self.fail, self.backoff, self.words, 0.0
         for w in tokens:
             arc = arcs.get(state * words + w)
             while arc is None:
                 total += backoff[state]
                 state = fail[state]
                 arc = arcs.get(state * words + w)
-            total += weight[arc]
-            state = target[arc]
-        return total
+            state, weight = arc
+            total += weight
+        return total, state
+
+    def scores(self) -> np.ndarray:
+        """Of every document; a long one goes on in the next block with the state it has."""
+        w, ends, out = self.c.at[0], np.cumsum(self.c.sizes).tolist(), np.zeros(len(self.c.sizes))
+        doc = state = 0
+        for start in range(0, len(w), BLOCK):
+            end = min(start + BLOCK, len(w))
+            arcs = self.arcs(start, end)
+            while start < end:
+                stop = min(end, ends[doc])
+                total, state = self.traverse(w[start:stop].tolist(), arcs, state)
+                out[doc] += total
+                if stop == ends[doc]:
+                    doc, state = doc + 1, 0
+                start = stop
+        return out
 
 
 def _scorer(z: float, bits: int, least: int):
@@ -347,9 +375,8 @@ def _scorer(z: float, bits: int, least: int):
                 c.read_counts(r["counts"])
                 model = Automaton(c, z, [c.backoffs(o, r["backoffs"] or [], z, least) for o in (1, 2)])
                 w = c.at[0]
-                score = [model.traverse(w[s : s + n].tolist()) for s, n in zip(c.starts.tolist(), c.sizes.tolist(), strict=True)]
                 known = np.add.reduceat((c.n[0][w] > 0).astype(np.int64), c.starts)
-                cols = [pa.array(r["ids"], kind), pa.array(r["held"], pa.bool_()), pa.array(c.sizes), pa.array(known), pa.array(np.add.reduceat(model.one[w], c.starts)), pa.array(score, pa.float64())]
+                cols = [pa.array(r["ids"], kind), pa.array(r["held"], pa.bool_()), pa.array(c.sizes), pa.array(known), pa.array(np.add.reduceat(model.one[w], c.starts)), pa.array(model.scores())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
