@@ -418,6 +418,22 @@ def test_token_counts(odd, none):
     assert tokens.suffix_sums(tokens.histogram(none)).count() == 0
 
 
+def test_faster_pattern_cuts_alike():
+    import random
+
+    import regex
+
+    rng, parts = random.Random(8), ["'s", "'re", "'", "'S", " ", "  ", "\n", "\u00a0", "\u3000", "a", "Zé", "ß", "中", "7", "٣", "½", "!", "-", "$ ", "_", "e\u0301", "\u200b", "🙂", "'ll"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(5000)]
+    for t in texts:
+        assert regex.findall(tokens.PATTERN, t) == regex.findall(tokens.FASTER, t)
+    import tiktoken
+
+    fast = tokens.encoder(tokens.default_vocabulary())
+    plain_form = tiktoken.Encoding("plain", pat_str=tokens.PATTERN, mergeable_ranks=fast._mergeable_ranks, special_tokens={})
+    assert all(fast.encode_ordinary(t) == plain_form.encode_ordinary(t) for t in texts)
+
+
 def test_token_counts_of_long_white_space(spark):
     """Runs too long for the tokenizer's pattern are cut where it cuts them itself."""
     path = tokens.default_vocabulary()

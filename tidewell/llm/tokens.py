@@ -24,6 +24,8 @@ from .common import materialize, worker_cache
 
 #: The pre-tokenizer's pattern that goes with the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pieces, faster: a word, a number and a contraction can't start alike, so their order is free, and all that needs no look-ahead is one group.
+FASTER = r"(?: ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+)|\s+(?!\S)|\s+"
 BLOCK = 1024
 MOST_VOCABULARY = 32 << 20
 #: White space as the pattern has it, in runs too long for its look-ahead.
@@ -59,7 +61,7 @@ def encoder(path: str, data: bytes | None = None):
             with open(path, "rb") as f:
                 data = f.read()
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
-        cache["bpe", path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cache["bpe", path] = tiktoken.Encoding("vocabulary", pat_str=FASTER, mergeable_ranks=ranks, special_tokens={})
         cache["blank", path] = tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
     return cache["bpe", path]
 
