@@ -104,3 +104,14 @@ def direction_tag(pairs: list[tuple[str, Column]]) -> Column:
     """Names in descending order of their values, joined by " > "."""
     order = F.array_sort(F.array(*[F.struct((-v).alias("v"), F.lit(n).alias("n")) for n, v in pairs]))
     return F.array_join(F.transform(order, lambda x: x["n"]), " > ")
+
+
+def ieee_log(v: Column, base: float | None = None) -> Column:
+    """The logarithm as IEEE has it: of zero it is -infinity, of a negative number NaN (F.log gives null for both)."""
+    log = F.log10(v) if base == 10 else F.log(v)
+    return F.when(v > 0, log).when(v == 0, float("-inf")).when(v.isNotNull(), float("nan"))
+
+
+def settled(v: Column) -> Column:
+    """v to 12 significant digits, so that sums that differ by the order of their terms only are equal, and tie in ranks."""
+    return F.when(v.isNotNull(), F.coalesce(F.format_string("%.11e", v).try_cast("double"), v))

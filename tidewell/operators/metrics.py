@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import ratio
+from tidewell.functions.columns import ieee_log, ratio
 
 from . import stats
 from .aggregate import running_totals
@@ -70,7 +70,12 @@ def reliability_quantile(df: DataFrame, y: str, p: str, bins: int = 10) -> DataF
     return df.crossJoin(F.broadcast(q)).groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
-def brier_log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15, by: list[str] | None = None) -> DataFrame:
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
+def brier_log_loss(df: DataFrame, y: str, p: str, eps: float | None = 1e-15, by: list[str] | None = None) -> DataFrame:
+    """(by, brier, log_loss). Probabilities are clipped to eps and 1 - eps for the log loss; with eps None they are not, so it is infinite or NaN where one is 0, 1 or beyond."""
     t = F.col(y).cast("double")
-    return df.groupBy(*(by or [])).agg(F.avg((F.col(p) - t) * (F.col(p) - t)).alias("brier"), F.avg(-(t * F.log(q) + (1 - t) * F.log(1 - q))).alias("log_loss"))
+    if eps is None:
+        loss = -(t * ieee_log(F.col(p)) + (1 - t) * ieee_log(1 - F.col(p)))
+    else:
+        q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
+        loss = -(t * F.log(q) + (1 - t) * F.log(1 - q))
+    return df.groupBy(*(by or [])).agg(F.avg((F.col(p) - t) * (F.col(p) - t)).alias("brier"), F.avg(loss).alias("log_loss"))
