@@ -32,6 +32,6 @@ def same(spark, sf, name):
     assert rows(a) == rows(b[a.columns])
 
 
-@pytest.mark.parametrize("name", ["metrics_brier_log_loss"])
+@pytest.mark.parametrize("name", ["metrics_brier_log_loss", "scalar_math"])
 def test_logarithms_of_zero(spark, odd, name):
     same(spark, odd, name)
