@@ -35,3 +35,9 @@ def same(spark, sf, name):
 @pytest.mark.parametrize("name", ["metrics_brier_log_loss", "scalar_math"])
 def test_logarithms_of_zero(spark, odd, name):
     same(spark, odd, name)
+
+
+def test_equal_separabilities_tie(spark, odd):
+    """Whatever the order of the rows that they come from: copies of a subject have one rank."""
+    out = registry.QUERIES["responder_scores"](spark, odd).selectExpr("subject % 1000 AS s", "sep_rank").distinct()
+    assert out.count() == out.select("s").distinct().count()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import special
-from tidewell.functions.columns import ratio
+from tidewell.functions.columns import ratio, settled
 
 FEATURE = ["feature"]
 
@@ -240,7 +240,7 @@ def responder_scores(df: DataFrame, columns: list[str], rest: str = "NoPain", su
     d = g.filter("n1 >= 2 and n0 >= 2").withColumn("d", (F.col("m1") - F.col("m0")) / F.when(pooled > 1e-8, pooled).otherwise(1.0))
     consensus = d.groupBy("feature").agg(F.signum(F.median("d")).alias("consensus"))
     d = d.join(F.broadcast(consensus), "feature")  # a row for each feature
-    out = d.groupBy(subject).agg(F.avg(F.abs("d")).alias("separability"), F.avg((F.signum("d") == F.col("consensus")).cast("double")).alias("sign_consistency"))
+    out = d.groupBy(subject).agg(settled(F.avg(F.abs("d"))).alias("separability"), F.avg((F.signum("d") == F.col("consensus")).cast("double")).alias("sign_consistency"))
     out = with_rank(with_rank(out, "separability", "sep_rank"), "sign_consistency", "sign_rank")
     out = out.withColumn("responder_score", 0.6 * F.col("sep_rank") + 0.4 * F.col("sign_rank"))
     return out.withColumns({"low_separability": F.col("sep_rank") < 0.2, "sign_flipper": F.col("sign_consistency") < 0.5, "non_responder": F.col("responder_score") < 0.25})
