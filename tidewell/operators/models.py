@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.io import read_json, write_json
 
-from . import stats
+from . import leaveout, stats
 from .blocks import covariances, tree_sum
 from .metrics import roc_auc
 from .normalize import _scaled
@@ -161,8 +161,9 @@ def loso(
     """(key, by, fold, proba): leave-one-subject-out probabilities of the training subjects, and (fold -1) of all other rows by a fit on all training rows.
 
     learn restricts the training rows that are learned from; all are scored. A fold without both classes scores no row.
-    All folds are fitted together: each Newton step is one pass over the rows, which stay where they are and send sums
-    of the folds' gradients and curvatures. Scales leave the fold's subject out: by sums or, if robust, by percentiles.
+    Some folds are fitted together: each Newton step is one pass over the rows, which stay where they are and send sums
+    of the folds' gradients and curvatures. Many are fitted by what their subjects take from the expanded loss of all rows (leaveout), so
+    that the work grows with the rows only. Scales leave the fold's subject out: by sums or, if robust, by percentiles.
     """
     rows = df.select(
         F.col(key), F.col(by), *[F.col(x).cast("double").alias(f"x_{j}") for j, x in enumerate(columns)], F.col(label).cast("double").alias("y"),
@@ -170,11 +171,12 @@ def loso(
     )
     rows = rows.persist()
     try:
-        coefficients = _loso_coefficients(rows, len(columns), c, balanced, robust)
+        many = not robust and rows.filter("fold <> -1").select("fold").distinct().count() > MANY_FOLDS
+        fits = _many_folds(rows, len(columns), c, balanced) if many else df.sparkSession.createDataFrame(_loso_coefficients(rows, len(columns), c, balanced, robust), "fold long, b array<double>")
+        n_fits = fits.count()
     finally:
         rows.unpersist()
-    fits = df.sparkSession.createDataFrame(coefficients, "fold long, b array<double>")
-    if len(coefficients) * (len(columns) + 1) < 4_000_000:  # 32 MB
+    if n_fits * (len(columns) + 1) < 4_000_000:  # 32 MB
         fits = F.broadcast(fits)
     z = sum((F.get("b", F.lit(j)) * F.col(f"x_{j}") for j in range(len(columns))), F.get("b", F.lit(len(columns))))
     return rows.join(fits, "fold").select(key, by, "fold", (1 / (1 + F.exp(-z))).alias("proba"))
@@ -307,11 +309,44 @@ def _fit_many(rows: DataFrame, xs: list[str], sets: list[list[int]], at: np.ndar
     return raw(bs)
 
 
-def _loso_coefficients(rows: DataFrame, p: int, c: float, balanced: bool, robust: bool) -> list[tuple[int, list[float]]]:
+#: Folds beyond which they are not fitted on all rows each.
+MANY_FOLDS = 256
+
+
+def _many_folds(rows: DataFrame, p: int, c: float, balanced: bool) -> DataFrame:
+    """(fold, b) of _loso_coefficients, without passes over all rows for each fold but for the few with a large share of the rows or beyond the expansion's reach."""
+    xs = [f"x_{j}" for j in range(p)]
+    spark, empty = rows.sparkSession, "fold long, b array<double>"
+    used = rows.filter("fold <> -1 and __learn")
+    each = [F.sum, lambda x: F.sum(F.col(x) * F.col(x)), F.min, F.max]
+    row = used.agg(F.count(F.lit(1)), F.sum("y"), *[f(x) for f in each for x in xs]).first()
+    n, ones = float(row[0]), float(row[1] or 0)
+    if ones < 0.5 or n - ones < 0.5:
+        return spark.createDataFrame([], empty)
+    total, square, least, most = np.array(row[2:], float).reshape(4, p)
+    centre, var = total / n, square / n - (total / n) ** 2
+    scale = np.sqrt(np.where(var > 1e-12 * np.maximum(square / n, 1e-300), var, 0.0))
+    scale = np.where(scale > 0, scale, 1.0)
+    weight = np.array([[n / (2 * (n - ones)), n / (2 * ones)]]) if balanced else np.ones((1, 2))
+    everything = np.array([-1], np.int64)
+    raw = _fit_folds(used.select(*xs, "y", "w", F.col("fold").alias("f")), p + 1, everything, centre[None], scale[None], weight, c)[0]
+    every = {"n": n, "ones": ones, "centre": centre, "scale": scale, "reach": np.maximum(most - centre, centre - least), "sum": np.zeros(p), "square": n * var / scale**2}
+    large = [r.fold for r in used.groupBy("fold").count().filter(F.col("count") > leaveout.LARGE * n).collect()]  # fewer than 1 / LARGE
+    fits = leaveout.fold_fits(rows.filter("fold <> -1"), p, every, raw, c, balanced, large)
+    again = sorted({*large, *(r.fold for r in fits.filter("not fine").select("fold").collect())})
+    some = _loso_coefficients(rows, p, c, balanced, False, again) if again else []
+    own = [(-1, [float(v) for v in raw]), *[(f, b) for f, b in some if f != -1]]
+    return fits.filter("fine").select("fold", "b").unionByName(spark.createDataFrame(own, empty))
+
+
+def _loso_coefficients(rows: DataFrame, p: int, c: float, balanced: bool, robust: bool, only: list[int] | None = None) -> list[tuple[int, list[float]]]:
+    """Raw coefficients of every fold (or only of some) and of fold -1."""
     used = rows.filter("fold <> -1 and __learn").select(*[f"x_{j}" for j in range(p)], "y", "w", F.col("fold").alias("f"))
     xs = [f"x_{j}" for j in range(p)]
-    folds = np.array([-1, *sorted(r.fold for r in rows.filter("fold <> -1").select("fold").distinct().collect())], np.int64)
-    sums = used.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *[F.sum(x).alias(f"s_{x}") for x in xs], *[F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in xs]).collect()
+    there = only if only is not None else sorted(r.fold for r in rows.filter("fold <> -1").select("fold").distinct().collect())
+    folds = np.array([-1, *there], np.int64)
+    key = F.col("f") if only is None else F.when(F.col("f").isin(only), F.col("f")).otherwise(-2).alias("f")
+    sums = used.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *[F.sum(x).alias(f"s_{x}") for x in xs], *[F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in xs]).collect()
     own = {r.f: np.array(r[1:], float) for r in sums}
     if not own:
         return []
