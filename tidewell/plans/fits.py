@@ -52,7 +52,7 @@ def feature_set_auc(spark, d):
     out = None
     for name, cols in select.feature_sets(FEATURES).items():
         if cols:
-            p = models.loso(s, cols, "y", F.col("split") == "train").filter("fold = -1")
-            auc = metrics.roc_auc(p.join(s.select("segment_id", "y"), "segment_id"), "y", "proba").select(F.lit(name).alias("pool"), "auc")
+            model = models.fit_model(s.filter("split = 'train'"), cols, "y")  # what loso() scores other rows with; no fold is needed
+            auc = metrics.roc_auc(s.filter("split <> 'train'").select("y", model.proba().alias("proba")), "y", "proba").select(F.lit(name).alias("pool"), "auc")
             out = auc if out is None else out.unionByName(auc)
     return out
