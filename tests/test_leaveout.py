@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import models
+from tidewell.operators import kernel, models
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +37,18 @@ def test_expansion_equals_fits_on_rows(many, monkeypatch, options):
     assert got.keys() == want.keys()
     worst = max((abs(got[k][1] - p), f) for k, (f, p) in want.items())
     assert all(got[k][0] == f for k, (f, _) in want.items()) and worst[0] < 1e-9, worst
+
+
+def test_svm_of_many_folds_equals_fits_on_rows(many, monkeypatch):
+    """With a band that holds some rows only; the folds beyond its reach go back to the rows."""
+    df = many.filter("subject >= 270").withColumn("y", (F.col("a") + F.col("b") / 100 + F.rand(3) > 1).cast("int")).localCheckpoint()
+    monkeypatch.setattr(models, "MANY_FOLDS", 20)
+    monkeypatch.setattr(kernel, "BAND", 200)
+    monkeypatch.setattr(kernel, "fit_svm", None)
+    run = lambda: {r.segment_id: (r.fold, r.decision, r.proba) for r in kernel.loso_svm(df, ["a", "b"], "y", F.col("subject") % 5 != 0, kernel.Svm(landmarks=0)).collect()}
+    got = run()
+    monkeypatch.undo()
+    want = run()
+    assert got.keys() == want.keys()
+    worst = max((abs(got[k][1] - v[1]) + abs(got[k][2] - v[2]), v[0]) for k, v in want.items())
+    assert worst[0] < 1e-6, worst

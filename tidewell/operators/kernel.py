@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import stored
+
 from . import models
 from .blocks import tree_sum
 
@@ -149,6 +151,125 @@ def fit_svm(rows: DataFrame, p: int, s: Svm) -> Machines | None:
     return Machines(to, folds.tolist(), np.concatenate([b for b, _ in parts]), np.concatenate([g for _, g in parts]))
 
 
+#: Rows nearest to the margin of the fit of all rows that every left-out fold decides anew.
+BAND = 4096
+FOLD = "fold long, b array<double>, fine boolean"
+
+
+def _many_folds(rows: DataFrame, p: int, s: Svm) -> tuple[Map, DataFrame] | None:
+    """The map, and (fold, b) of every fold, in work that grows with the rows and not with rows times folds.
+
+    Rows on one side of the margin add a quadratic form to the loss, or nothing. The form of all rows is summed up once, about the fit of all of them, and a subject's own
+    is taken off. Only rows that change sides between the two fits spoil this, so the BAND rows nearest to the margin are held one by one; if no
+    other row can have changed sides (|phi| |b - b_all| < the band's width for the greatest |phi|), the fold's fit is exact. The folds for which that fails are fitted on all rows.
+    """
+    xs = [f"x_{j}" for j in range(p)]
+    spark = rows.sparkSession
+    fit = rows.filter("f <> -1")
+    mass_all = np.zeros(2)
+    for r in fit.groupBy("y").agg(F.sum("w").alias("n")).collect():
+        mass_all[int(r.y)] = r.n
+    if not (mass_all > 0).all():
+        return None
+    weigh = lambda mass: mass.sum() / (2 * mass) if s.balanced else np.ones(2)
+    to = _map(fit, xs, s)
+    q, c = (to.root.shape[1] if to.root is not None else p) + 1, s.c
+    b_all = _fit(fit, xs, to, np.array([-1], np.int64), weigh(mass_all)[None], c)[0][0]
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            phi = to(g[xs].to_numpy(float))
+            yield g.assign(far=np.abs(1 - (2.0 * g["y"].to_numpy(int) - 1) * (phi @ b_all)), size=np.sqrt((phi**2).sum(1)))
+
+    kinds = ", ".join(f"{x} double" for x in xs) + ", y double, w double, f long, id long, far double, size double"
+    placed = stored(fit.select(*xs, "y", "w", "f", "id").mapInPandas(near, kinds), "margins")
+    most = placed.agg(F.max("size")).first()[0]
+    band = placed.orderBy("far", "id").limit(BAND + 1).toPandas()  # at most BAND + 1 rows
+    width = float(band["far"].iloc[-1]) if len(band) > BAND else np.inf
+    band = band[band["far"] < width]
+    held = to(band[xs].to_numpy(float)), 2.0 * band["y"].to_numpy(int) - 1, band["y"].to_numpy(int), band["w"].to_numpy(float), band["f"].to_numpy(np.int64)
+
+    def forms(phi: np.ndarray, y: np.ndarray, w: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """By class: w phi phi' and w sign phi over active rows outside the band; and the class's w."""
+        sign, out = 2.0 * y - 1, np.zeros((2, q * q + q + 1))
+        on = (1 - sign * (phi @ b_all) > 0) & (far >= width)
+        for k in (0, 1):
+            at = on & (y == k)
+            out[k, : q * q] = ((phi[at] * w[at, None]).T @ phi[at]).ravel()
+            out[k, q * q : -1] = (w[at] * sign[at]) @ phi[at]
+            out[k, -1] = w[y == k].sum()
+        return out
+
+    def of(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return to(g[xs].to_numpy(float)), g["y"].to_numpy(int), g["w"].to_numpy(float), g["far"].to_numpy(float)
+
+    total = tree_sum(placed, lambda batches: sum((forms(*of(g)) for g in batches), np.zeros((2, q * q + q + 1))).ravel()).reshape(2, -1)
+    phi_band, sign_band, y_band, w_band, f_band = held
+
+    def solve(fold: int, own: np.ndarray) -> tuple[np.ndarray, bool] | None:
+        left = total - own
+        mass = left[:, -1]
+        if not (mass > 1e-9 * mass_all).all():
+            return None
+        class_weight = weigh(mass)
+        hess = np.eye(q) + 2 * c * np.einsum("k,kij->ij", class_weight, left[:, : q * q].reshape(2, q, q))
+        grad = 2 * c * class_weight @ left[:, q * q : -1]
+        w = w_band * class_weight[y_band] * (f_band != fold)
+        b, on = b_all, None
+        for _ in range(60):  # Newton: exact once the band's sides stay as they are
+            now = (1 - sign_band * (phi_band @ b) > 0) & (w > 0)
+            if on is not None and (now == on).all():
+                return b, bool(most * np.linalg.norm(b - b_all) < width)
+            on, x = now, phi_band[now]
+            b = np.linalg.solve(hess + 2 * c * (x * w[now, None]).T @ x, grad + 2 * c * (w[now] * sign_band[now]) @ x)
+        return b, False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by fold; one fold's sums at a time."""
+        at, own, out = None, None, []
+
+        def done() -> None:
+            if at is not None and (r := solve(at, own)) is not None:
+                out.append((at, r[0].tolist(), r[1]))
+
+        for g in batches:
+            f, parts = g["f"].to_numpy(np.int64), of(g)
+            cuts = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)]
+            for i, j in zip(cuts, cuts[1:], strict=False) if len(f) else ():
+                if at != int(f[i]):
+                    done()
+                    at, own = int(f[i]), np.zeros_like(total)
+                own += forms(*(v[i:j] for v in parts))
+            if out:
+                yield pd.DataFrame(out, columns=["fold", "b", "fine"])
+                out.clear()
+        done()
+        yield pd.DataFrame(out, columns=["fold", "b", "fine"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fits = stored(placed.repartition(tasks, "f").sortWithinPartitions("f").mapInPandas(run, FOLD), "fits")
+    own = [(-1, b_all.tolist())]
+    again = [r.fold for r in fits.filter("not fine").select("fold").collect()]
+    size = max(1, models.FOLD_CELLS // q**2)
+    for i in range(0, len(again), size):
+        some = np.array(again[i : i + size], np.int64)
+        mass = {f: mass_all.copy() for f in some.tolist()}
+        for r in fit.filter(F.col("f").isin(some.tolist())).groupBy("f", "y").agg(F.sum("w").alias("n")).collect():
+            mass[r.f][int(r.y)] -= r.n
+        b = _fit(fit, xs, to, some, np.stack([weigh(mass[f]) for f in some.tolist()]), c)[0]
+        own += [(int(f), v.tolist()) for f, v in zip(some, b, strict=True)]
+    return to, fits.filter("fine").select("fold", "b").unionByName(spark.createDataFrame(own, "fold long, b array<double>"))
+
+
+def _decisions(rows: DataFrame, to: Map, fits: DataFrame, xs: list[str], schema: str, keep: list[str]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            f = (to(g[xs].to_numpy(float)) * np.stack(g["b"].to_list())).sum(1) if len(g) else np.zeros(0)
+            yield g[keep].assign(decision=f)
+
+    return rows.join(fits, "fold").mapInPandas(run, schema)
+
+
 def loso_svm(df: DataFrame, columns: list[str], label: str, train: Column, s: Svm = Svm(), key: str = "segment_id", by: str = "subject", weight: str | None = None, learn: Column | None = None) -> DataFrame:
     """(key, by, fold, decision, proba): training subjects by the fit that left them out, other rows by that of all training rows (fold -1).
 
@@ -163,12 +284,14 @@ def loso_svm(df: DataFrame, columns: list[str], label: str, train: Column, s: Sv
     p = len(columns)
     xs = [f"x_{j}" for j in range(p)]
     try:
-        fits = fit_svm(rows.filter("known and y is not null").withColumnRenamed("fold", "f"), p, s)
+        used = rows.filter("known and y is not null").withColumnRenamed("fold", "f")
+        many = used.filter("f <> -1").select("f").distinct().count() > models.MANY_FOLDS
+        fits = _many_folds(used, p, s) if many else fit_svm(used, p, s)
         kinds = {f.name: f.dataType.simpleString() for f in df.schema}
         schema = f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, fold long, y double, known boolean, decision double"
         if fits is None:
             return df.sparkSession.createDataFrame([], f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, fold long, decision double, proba double")
-        number = {f: j for j, f in enumerate(fits.folds)}
+        number = {} if many else {f: j for j, f in enumerate(fits.folds)}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in batches:
@@ -177,7 +300,7 @@ def loso_svm(df: DataFrame, columns: list[str], label: str, train: Column, s: Sv
                 f = (fits.to(g[xs].to_numpy(float)) * fits.b[j]).sum(1) if len(g) else np.zeros(0)
                 yield g[[key, by, "fold", "y", "known"]].assign(decision=f)
 
-        scored = rows.mapInPandas(run, schema)
+        scored = stored(_decisions(rows, *fits, xs, schema, [key, by, "fold", "y", "known"]), "decisions") if many else rows.mapInPandas(run, schema)
         out = scored.filter("fold <> -1 and known and y is not null").groupBy(F.col("decision").alias("p")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("n")).persist()
         a, b = models._platt(out) if not out.isEmpty() else (1.0, 0.0)
         out.unpersist()
