@@ -52,3 +52,10 @@ def test_svm_of_many_folds_equals_fits_on_rows(many, monkeypatch):
     assert got.keys() == want.keys()
     worst = max((abs(got[k][1] - v[1]) + abs(got[k][2] - v[2]), v[0]) for k, v in want.items())
     assert worst[0] < 1e-6, worst
+
+
+def test_pools_need_no_folds(spark, sf, monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(models, "loso", None)
+    assert {r.pool for r in __spark_entry__.queries()["feature_set_auc"](spark, sf).collect()} >= {"all", "bvp", "eda", "resp"}
