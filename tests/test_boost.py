@@ -155,3 +155,23 @@ def test_constant_and_empty_columns(spark):
     df = spark.createDataFrame([(i, i % 3, 1.0, None, float(i % 2), i % 2) for i in range(60)], "segment_id long, subject int, a double, b double, c double, y int")
     out = boost.loso_boosting(df, COLS, "y", F.lit(True), Boosting(rounds=5, depth=2, rate=0.5)).collect()
     assert all((r.proba > 0.5) == (r.segment_id % 2 == 1) for r in out) and len(out) == 60
+
+
+@pytest.mark.parametrize("options", [{}, {"weight": "w"}, {"label": "kind", "classes": 3}, {"learn": True}])
+@pytest.mark.parametrize("distinct", [boost.DISTINCT, 0])
+def test_many_folds_equal_few(table, monkeypatch, options, distinct):
+    """On distinct rows, or some folds at a time on the blocks."""
+    options = {"label": "y"} | options
+    if options.get("learn"):
+        options["learn"] = (F.col("segment_id") % 7 > 0) & (F.col("subject") != 2)
+    s = Boosting(rounds=4, depth=3, rate=0.4, bins=12, balanced="weight" in options, column_share=0.7 if "weight" in options else 1.0)
+    run = lambda: {r.segment_id: tuple(r)[2:] for r in boost.loso_boosting(table[1], COLS, train=F.col("train"), s=s, **options).collect()}
+    want = run()
+    fitted = []
+    plain = boost._fit
+    monkeypatch.setattr(boost, "_fit", lambda blocks, columns, edges, folds, *a: (fitted.append(len(folds)), plain(blocks, columns, edges, folds, *a))[1])
+    monkeypatch.setattr(boost.models, "MANY_FOLDS", 3)
+    monkeypatch.setattr(boost, "DISTINCT", distinct)
+    got = run()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    assert max(fitted, default=0) <= 3 and bool(fitted) == (not distinct)

@@ -7,6 +7,10 @@ passes. Margins are written every few rounds, so a pass meets few trees, and a l
 
 Bins are cut at quantiles of all training rows, without their labels, for all folds; nulls and NaN have a bin of their own, and a
 cut sends them to the better side. The loss is logistic, or softmax over several classes.
+
+Beyond models.MANY_FOLDS folds, rows with the same bins become one, with their weights by class. Where these distinct rows fit a task, folds are dealt
+over tasks, and a task fits its folds on them, less what their own subjects weigh; nothing of a fold passes the driver. Otherwise the folds are
+fitted on the blocks, some at a time. Both are rows times folds, in bounded memory.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from tidewell.sources.io import read_json, write_json
 from tidewell.sources.shared import stored
 
+from . import models
+
 #: Numbers in the histograms of one pass (32 MB); more models take more passes.
 CELLS = 4_000_000
 #: Rounds between two writings of the margins.
@@ -30,6 +36,8 @@ STRIDE = 10
 #: Most relative error of a bin edge's rank.
 ACCURACY = 10_000
 LEAST_GAIN = 1e-6
+#: Bytes of distinct rows of bins, with their weights, that a task may hold; and distinct rows times models that it works on at once.
+DISTINCT, AT_ONCE = 32 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -323,7 +331,16 @@ def fit_boosting(
 
     learn restricts the rows that are learned from. Rows outside train are watched by fold -1: their loss is in the curve.
     """
-    spark, xs = df.sparkSession, [f"x{i}" for i in range(len(columns))]
+    rows, xs, edges = _learned(df, columns, label, train, s, leave_out, key, by, weight, learn)
+    count = {(r.fold, int(r.y)): r.n for r in rows.filter("fold >= 0").groupBy("fold", "y").agg(F.sum("w").alias("n")).collect()}
+    folds = np.array([-1, *(sorted({f for f, _ in count}) if leave_out else [])], np.int64)
+    mass = np.array([[sum(n for (f, c), n in count.items() if f != j and c == y) for y in range(classes)] for j in folds])
+    return _fit(_blocks(rows, xs, edges), list(columns), edges, folds, mass, s, classes)
+
+
+def _learned(df, columns, label, train, s: Boosting, leave_out: bool, key, by, weight, learn) -> tuple[DataFrame, list[str], list[np.ndarray]]:
+    """Rows with x0 .., y, w, fold and id, their columns and the edges of their bins."""
+    xs = [f"x{i}" for i in range(len(columns))]
     known = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     fold = F.when(~train, -1).when(known, F.col(by).cast("long") if leave_out else F.lit(0)).otherwise(-2)
     rows = df.select(
@@ -332,22 +349,24 @@ def fit_boosting(
     ).filter("y is not null and fold <> -2")
     if s.bins > 250:
         raise ValueError("at most 250 bins")
-    edges = quantile_edges(rows.filter("fold >= 0"), xs, s.bins)
-    blocks = _blocks(rows, xs, edges)
+    return rows, xs, quantile_edges(rows.filter("fold >= 0"), xs, s.bins)
 
-    count = {(r.fold, int(r.y)): r.n for r in rows.filter("fold >= 0").groupBy("fold", "y").agg(F.sum("w").alias("n")).collect()}
-    there = sorted({f for f, _ in count})
-    folds = np.array([-1, *(there if leave_out else [])], np.int64)
-    mass = np.array([[sum(n for (f, c), n in count.items() if f != j and c == y) for y in range(classes)] for j in folds])
-    ok = (mass > 0).all(axis=1)  # a fold without all classes has no model
-    folds, mass = folds[ok], mass[ok]
+
+def _starts(mass: np.ndarray, s: Boosting, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class weights and first margins of folds, from what the classes weigh in them."""
     weight_of = mass.sum(1, keepdims=True) / (classes * mass) if s.balanced else np.ones_like(mass)
     share = mass * weight_of / (mass * weight_of).sum(1, keepdims=True)
+    return weight_of, np.log(share[:, 1] / share[:, 0]) if classes == 2 else np.log(share).ravel()
+
+
+def _fit(blocks: DataFrame, columns: list[str], edges: list[np.ndarray], folds: np.ndarray, mass: np.ndarray, s: Boosting, classes: int) -> Boosted:
+    ok = (mass > 0).all(axis=1)  # a fold without all classes has no model
+    folds, mass = folds[ok], mass[ok]
+    weight_of, base = _starts(mass, s, classes)
     k = 1 if classes == 2 else classes
-    base = np.log(share[:, 1] / share[:, 0]) if classes == 2 else np.log(share).ravel()
 
     n_folds, p = len(folds), len(columns)
-    out = Boosted(list(columns), edges, folds.tolist(), classes, base, [], [0] * n_folds, [], np.zeros((n_folds, p)))
+    out = Boosted(columns, edges, folds.tolist(), classes, base, [], [0] * n_folds, [], np.zeros((n_folds, p)))
     if not n_folds:
         return out
     since: list[Trees] = []
@@ -427,7 +446,155 @@ def _grow(state: _Pass, blocks: DataFrame, n_folds: int, k: int, p: int, gains:
     return tree, losses
 
 
-def loso_boosting(df: DataFrame, columns: list[str], label: str, train: Column, s: Boosting = Boosting(), classes: int = 2, key: str = "segment_id", by: str = "subject", **options) -> DataFrame:
+def loso_boosting(df: DataFrame, columns: list[str], label: str, train: Column, s: Boosting = Boosting(), classes: int = 2, key: str = "segment_id", by: str = "subject", weight: str | None = None, learn: Column | None = None) -> DataFrame:
     """(key, by, fold, proba), or proba_0 .. of several classes: training subjects by the model that left them out, other rows by that of all training rows (fold -1)."""
-    model = fit_boosting(df, columns, label, train, s, classes, True, key, by, **options)
-    return model.score(df, [key, by], F.when(train, F.col(by).cast("long")).otherwise(-1))
+    own = F.when(train, F.col(by).cast("long")).otherwise(-1)
+    rows, xs, edges = _learned(df, columns, label, train, s, True, key, by, weight, learn)
+    learns = rows.filter("fold >= 0")
+    if learns.select("fold").distinct().count() <= models.MANY_FOLDS:
+        return fit_boosting(df, columns, label, train, s, classes, True, key, by, weight, learn).score(df, [key, by], own)
+    if s.subsample == 1 and s.patience is None and (found := _on_distinct(df, columns, label, own, edges, s, classes, key, by, weight, learn)) is not None:
+        return found
+    blocks, out = _blocks(rows, xs, edges), None
+    total = np.zeros(classes)
+    for r in learns.groupBy("y").agg(F.sum("w").alias("n")).collect():
+        total[int(r.y)] = r.n
+    folds = [-1, *sorted(r.fold for r in learns.select("fold").distinct().collect())]
+    for i in range(0, len(folds), models.MANY_FOLDS):
+        some = folds[i : i + models.MANY_FOLDS]
+        mass = {f: total.copy() for f in some}
+        for r in learns.filter(F.col("fold").isin(some)).groupBy("fold", "y").agg(F.sum("w").alias("n")).collect():
+            mass[r.fold][int(r.y)] -= r.n
+        left = np.stack([mass[f] for f in some])
+        model = _fit(blocks, list(columns), edges, np.array(some, np.int64), np.where(left > 1e-9 * total, left, 0.0), s, classes)
+        scored = stored(model.score(df.filter(own.isin(some)), [key, by], own), "scores")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def _on_distinct(df, columns, label, own: Column, edges, s: Boosting, classes: int, key, by, weight, learn) -> DataFrame | None:
+    """loso_boosting with folds dealt over tasks, which hold the distinct rows of bins; None if these take more than DISTINCT bytes."""
+    spark, p, names = df.sparkSession, len(columns), ["proba"] if classes == 2 else [f"proba_{c}" for c in range(classes)]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    xs, ws = [f"__x{i}" for i in range(p)], [f"w{c}" for c in range(classes)]
+    known = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
+    rows = df.select(
+        key, by, own.alias("fold"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(columns, xs, strict=True)], F.col(label).cast("double").alias("__y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"), (known & F.col(label).isNotNull()).alias("__learns"),
+    ).filter("fold is not null")
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bins = to_bins(b[xs].to_numpy(float), edges).tobytes()
+            yield b.drop(columns=xs).assign(bins=[bins[i : i + p] for i in range(0, len(bins), p)])
+
+    coded = stored(rows.mapInPandas(code, f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, fold long, __y double, __w double, __learns boolean, bins binary"), "coded")
+    weighs = [F.sum(F.when(F.col("__learns") & (F.col("fold") >= 0) & (F.col("__y") == c), F.col("__w")).otherwise(0.0)).alias(w) for c, w in enumerate(ws)]
+    parts = stored(coded.groupBy("fold", "bins").agg(*weighs, F.max(F.col("__learns") & (F.col("fold") >= 0)).alias("learns")), "parts")
+    cells = stored(parts.groupBy("bins").agg(*[F.sum(w).alias(w) for w in ws]), "cells")
+    if cells.count() * (p + 8 * classes) > DISTINCT:
+        return None
+    got = cells.toArrow()  # DISTINCT bytes at most
+    cell = np.frombuffer(b"".join(got.column("bins").to_pylist()), f"S{p}")
+    order = np.argsort(cell)
+    held = spark.sparkContext.broadcast((cell[order], np.stack([got.column(w).to_numpy()[order] for w in ws], 1)))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by fold; some folds at a time."""
+        cell, total = held.value
+        bins = np.frombuffer(cell.tobytes(), np.uint8).reshape(-1, p)
+        size = max(1, AT_ONCE // (len(cell) * len(names)))
+        ids: list[int] = []
+        own: list[list[pa.RecordBatch]] = []
+
+        def done() -> pa.RecordBatch:
+            groups = [pa.Table.from_batches(g) for g in own]
+            at = [np.searchsorted(cell, np.frombuffer(b"".join(g.column("bins").to_pylist()), f"S{p}")) for g in groups]
+            left = np.repeat(total[None], len(ids), 0)
+            for j, (g, i) in enumerate(zip(groups, at, strict=True)):
+                left[j, i] = np.maximum(left[j, i] - np.stack([g.column(w).to_numpy() for w in ws], 1), 0.0)
+            mass, least = left.sum(1), 1e-9 * total.sum(0)
+            ok = np.flatnonzero((mass > least).all(1) & [f == -1 or any(g.column("learns").to_pylist()) for f, g in zip(ids, groups, strict=True)])
+            proba = _probabilities(bins, left[ok], mass[ok], s, classes) if len(ok) else []
+            fold = np.repeat([ids[j] for j in ok], [len(at[j]) for j in ok]).astype(np.int64)
+            code = [b for j in ok for b in groups[j].column("bins").to_pylist()]
+            v = np.concatenate([m[at[j]] for j, m in zip(ok, proba, strict=True)]) if len(ok) else np.zeros((0, len(names)))
+            return pa.RecordBatch.from_arrays([pa.array(fold), pa.array(code, pa.binary()), *map(pa.array, v.T)], ["fold", "bins", *names])
+
+        for b in batches:
+            f = b.column("fold").to_numpy()
+            cuts = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)]
+            for i, j in zip(cuts, cuts[1:], strict=False) if len(f) else ():
+                if not ids or ids[-1] != f[i]:
+                    if len(ids) >= size:
+                        yield done()
+                        ids, own = [], []
+                    ids.append(int(f[i]))
+                    own.append([])
+                own[-1].append(b.slice(i, j - i))
+        if ids:
+            yield done()
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    fitted = stored(parts.repartition(tasks, "fold").sortWithinPartitions("fold").mapInArrow(fit, "fold long, bins binary, " + ", ".join(f"{n} double" for n in names)), "fitted")
+    return coded.select(key, by, "fold", "bins").join(fitted, ["fold", "bins"]).select(key, by, "fold", *names)
+
+
+def _probabilities(bins: np.ndarray, weights: np.ndarray, mass: np.ndarray, s: Boosting, classes: int) -> np.ndarray:
+    """folds x rows x probabilities: models of some folds at the distinct rows that they are fitted on. weights: folds x rows x classes."""
+    weight_of, base = _starts(mass, s, classes)
+    k, nb, (n, p) = 1 if classes == 2 else classes, s.bins + 1, bins.shape
+    m, inner = len(weights) * k, 2**s.depth - 1
+    weights = weights * weight_of[:, None, :]
+    whole = weights.sum(2)
+    codes, flat, first_of = bins.T.astype(np.int64), bins.ravel(), np.arange(n) * p
+    margin = np.repeat(base[:, None], n, 1)
+    for done in range(s.rounds):
+        if k == 1:
+            q = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+            g, h = whole * q - weights[:, :, 1], whole * np.maximum(q * (1 - q), 1e-16)
+        else:
+            q = _softmax(margin, k)
+            g, h = whole[:, None] * q - weights.transpose(0, 2, 1), whole[:, None] * np.maximum(2 * q * (1 - q), 1e-16)
+            g, h = g.reshape(m, n), h.reshape(m, n)
+        rng = np.random.default_rng((s.seed, done))
+        features = np.sort(rng.choice(p, max(1, round(p * s.column_share)), replace=False)) if s.column_share < 1 else np.arange(p)
+        feature, sums, node = np.full((m, inner), -1), np.zeros((m, 2 * inner + 1, 2)), np.zeros((m, n), np.int64)
+        for level in range(s.depth):
+            nodes, first = 2**level, 2**level - 1
+            hist = np.empty((2, m, nodes, len(features), nb))
+            for j in range(m):
+                for i, f in enumerate(features):
+                    at = node[j] * nb + codes[f] if level else codes[f]
+                    hist[0, j, :, i] = np.bincount(at, g[j], nodes * nb).reshape(nodes, nb)
+                    hist[1, j, :, i] = np.bincount(at, h[j], nodes * nb).reshape(nodes, nb)
+            gain, cut, null_left, gl, hl, all_g, all_h = (v.reshape(m, nodes, -1) for v in best_cuts(*hist.reshape(2, -1, nb), s))
+            if level == 0:
+                sums[:, 0] = np.stack((all_g[:, 0, -1], all_h[:, 0, -1]), 1)
+            gain = np.where((all_h > 0) & (gain > LEAST_GAIN), gain, -np.inf)
+            pick = gain.argmax(2)[:, :, None]
+            of = lambda a: np.take_along_axis(a, pick, 2)[:, :, 0]  # noqa: B023, E731
+            is_cut = (of(gain) > -np.inf) & (feature[:, (first - 1 + np.arange(nodes)) // 2] >= 0 if level else True)
+            feature[:, first : first + nodes] = np.where(is_cut, features[pick[:, :, 0]], -1)
+            own, left = sums[:, first : first + nodes], np.stack((of(gl), of(hl)), 2)
+            both = np.stack((of(all_g), of(all_h)), 2)
+            sums[:, 2 * first + 1 : 2 * first + 1 + 2 * nodes : 2] = np.where(is_cut[:, :, None], left, own)
+            sums[:, 2 * first + 2 : 2 * first + 2 + 2 * nodes : 2] = np.where(is_cut[:, :, None], both - left, 0.0)
+            number = np.arange(nb)
+            right = np.where(number == 0, ~of(null_left)[:, :, None], number > of(cut)[:, :, None]) & is_cut[:, :, None]
+            for j in range(m):
+                f = np.maximum(feature[j, first : first + nodes], 0)
+                b = codes[f[0]] if nodes == 1 else flat[first_of + f[node[j]]]
+                node[j] = 2 * node[j] + right[j].ravel()[node[j] * nb + b]
+        ends = sums[:, inner:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(ends[:, :, 1] > 0, -s.rate * ends[:, :, 0] / (ends[:, :, 1] + s.ridge), 0.0)
+        margin += np.take_along_axis(value, node, 1)
+    return (1 / (1 + np.exp(-np.clip(margin, -500, 500))))[:, :, None] if k == 1 else _softmax(margin, k).transpose(0, 2, 1)
+
+
+def _softmax(margin: np.ndarray, k: int) -> np.ndarray:
+    """folds x k x rows, from (folds * k) x rows."""
+    x = margin.reshape(-1, k, margin.shape[1])
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
