@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import decode, models, normalize, stats
+from tidewell.operators import decode, metrics, models, normalize, stats
 from tidewell.operators.decode import exact_count_labels
 
 
@@ -113,6 +113,24 @@ def test_weight_sweep(spark):
         assert got[w] == pytest.approx(right / 27)
 
 
+def test_weight_sweep_gives_a_task_counts_only(spark, monkeypatch):
+    """No row for each subject and triple; the same with subjects that no task holds."""
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 7, float(rng.random()), float(rng.random()), int(rng.integers(3))) for i in range(210)]
+    df = spark.createDataFrame(rows, "segment_id long, subject int, p0 double, p1 double, y int").repartition(3)
+    counts = spark.createDataFrame([(s, 9, 0, 21) if s == 3 else (s, 8, 10, 12) for s in range(7)], "subject int, n0 int, n1 int, n2 int")
+    weights = [(1.0, 1.0, 1.0), (0.4, 1.2, 1.6), (1.4, 0.6, 0.6)]
+    large = decode.sweep_weights(df, "p0", "p1", "y", weights, counts, s=decode.Decoding(in_task=20, sample=10, near=0.4)).collect()
+    monkeypatch.setattr(decode, "exact_count_decode", None)
+    got = decode.sweep_weights(df, "p0", "p1", "y", weights, counts)
+    assert np.array(sorted(map(tuple, got.collect()))) == pytest.approx(np.array(sorted(map(tuple, large))))
+    monkeypatch.undo()
+    for w in weights:
+        scores = decode.joint_scores(df, "p0", "p1", w)
+        one = metrics.summary(df.join(decode.exact_count_decode(scores, ["s0", "s1", "s2"], counts), ["subject", "segment_id"]), "y", "pred").first()
+        assert next(tuple(r)[3:] for r in got.collect() if tuple(r)[:3] == w) == pytest.approx(tuple(one))
+
+
 def test_augmentation_depends_on_keys_alone(spark):
     df = spark.range(4000).select(F.col("id").alias("segment_id"), (F.col("id") % 2).alias("subject"), F.lit("c").alias("class"), F.col("id").cast("double").alias("x"))
     runs = [{r.segment_id: r.x for r in models.jitter(d, ["x"], 2.0, 3).filter("augmented").collect()} for d in (df, df.repartition(7, "class"))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.functions.columns import sigmoid
 from tidewell.sources.shared import stored
@@ -70,17 +72,74 @@ def class_scores(df: DataFrame, probabilities: list[str]) -> DataFrame:
     return df.withColumns({f"s{k}": log_clipped(F.col(p)) for k, p in enumerate(probabilities)})
 
 
-def sweep_weights(df: DataFrame, p0: str, p1: str, y: str, weights: list[tuple[float, float, float]], counts: DataFrame, key: str = "segment_id", by: str = "subject") -> DataFrame:
-    """(w0, w1, w2, accuracy, balanced_accuracy, macro_f1, n) of exact-count decoding with each triple of weights, all in one job."""
-    grid = F.array(*[F.struct(*[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(w)]) for w in weights])
-    x = df.select(by, key, y, p0, p1, F.posexplode(grid).alias("__g", "__w"))
+@dataclass(frozen=True)
+class Decoding:
+    in_task: int = 200_000  #: most rows of a group that one task decodes
+    sample: int = 50_000  #: rows from which a larger group's prices are first taken
+    near: float = 0.05  #: share of rows, nearest to another class, that stay open at those prices
+    seed: int = 42
+
+
+def sweep_weights(
+    df: DataFrame, p0: str, p1: str, y: str, weights: list[tuple[float, float, float]], counts: DataFrame, key: str = "segment_id", by: str = "subject", s: Decoding = Decoding()
+) -> DataFrame:
+    """(w0, w1, w2, accuracy, balanced_accuracy, macro_f1, n) of exact-count decoding with each triple of weights.
+
+    A task decodes a subject with every triple and gives how many rows of each class it labelled how. Subjects of more than s.in_task rows are decoded as in exact_count_decode.
+    """
+    spark, kinds = df.sparkSession, {f.name: f.dataType.simpleString() for f in df.schema}
     rest = log_clipped(1 - F.col(p0))
-    x = x.withColumns({"s0": F.col("__w.w0") * log_clipped(F.col(p0)), "s1": F.col("__w.w1") * (rest + log_clipped(F.col(p1))), "s2": F.col("__w.w2") * (rest + log_clipped(1 - F.col(p1)))})
-    x = x.withColumn("__case", F.concat_ws("|", F.col(by).cast("string"), F.col("__g").cast("string")))
-    cases = x.select("__case", by).distinct().join(counts, by).drop(by)
-    pred = exact_count_decode(x, ["s0", "s1", "s2"], cases, key, "__case")
-    found = summary(x.join(pred, ["__case", key]), y, "pred", ["__w"])
-    return found.select("__w.*", *[c for c in found.columns if c != "__w"])
+    logs = df.select(by, key, y, log_clipped(F.col(p0)).alias("__l0"), (rest + log_clipped(F.col(p1))).alias("__l1"), (rest + log_clipped(1 - F.col(p1))).alias("__l2"))
+    given = counts.select(by, F.array(*[F.col(f"n{c}").cast("long") for c in range(3)]).alias("__n"))
+    sizes = df.groupBy(by).agg((F.count(F.lit(1)) > s.in_task).alias("__large")).join(given, by)
+    rows, w = logs.join(sizes, by), np.array(weights, float)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group and key; a group at a time."""
+        totals: Counter = Counter()
+        held: list[pa.RecordBatch] = []
+
+        def decoded() -> None:
+            g = pa.Table.from_batches(held)
+            x, n = np.stack([g.column(f"__l{c}").to_numpy() for c in range(3)], 1), g.column("__n")[0].as_py()
+            code, names = pd.factorize(g.column("__y").to_pandas(), use_na_sentinel=False)
+            step = max(1, 1_000_000 // len(x))
+            for at in range(0, len(w), step):
+                for i, pred in enumerate(count_labels(w[at : at + step, None, :] * x, n), at):
+                    for cell, m in enumerate(np.bincount(3 * code + pred, minlength=3 * len(names)).tolist()):
+                        if m:
+                            totals[i, names[cell // 3], cell % 3] += m
+
+        for batch in batches:
+            of = batch.column("__by").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False) if len(of) else ():
+                part = batch.slice(a, b - a)
+                if held and held[0].column("__by")[0] != part.column("__by")[0]:
+                    decoded()
+                    held = []
+                held.append(part)
+        if held:
+            decoded()
+        if totals:
+            g, truth, pred = zip(*totals, strict=True)
+            truth = pa.array([None if pd.isna(v) else v for v in truth], of_y)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), truth, pa.array(pred, pa.int32()), pa.array(totals.values(), pa.int64())], ["__g", "__y", "pred", "__m"])
+
+    of_y = to_arrow_type(df.schema[y].dataType)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    small = rows.filter("not __large").select(F.col(by).alias("__by"), F.col(key).alias("__key"), F.col(y).alias("__y"), "__l0", "__l1", "__l2", "__n")
+    cells = small.repartition(tasks, "__by").sortWithinPartitions("__by", "__key").drop("__key").mapInArrow(solve, f"__g int, __y {kinds[y]}, pred int, __m long")
+    if not sizes.filter("__large").isEmpty():
+        grid = F.array(*[F.struct(*[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(t)]) for t in weights])
+        x = rows.filter("__large").select(by, key, y, "__n", "__l0", "__l1", "__l2", F.posexplode(grid).alias("__g", "__w")).withColumns({f"s{c}": F.col(f"__w.w{c}") * F.col(f"__l{c}") for c in range(3)})
+        x = x.withColumn("__case", F.concat_ws("|", F.col(by).cast("string"), F.col("__g").cast("string")))
+        cases = x.select("__case", *[F.col("__n")[c].alias(f"n{c}") for c in range(3)]).distinct()
+        pred = exact_count_decode(x, ["s0", "s1", "s2"], cases, key, "__case", s=s)
+        cells = cells.unionByName(x.join(pred, ["__case", key]).select("__g", F.col(y).alias("__y"), "pred", F.lit(1).cast("long").alias("__m")))
+    found = summary(cells, "__y", "pred", ["__g"], "__m")
+    triples = spark.createDataFrame([(i, *map(float, t)) for i, t in enumerate(weights)], "__g int, w0 double, w1 double, w2 double")
+    return triples.join(found, "__g").drop("__g")
 
 
 def exact_count_labels(scores: np.ndarray, counts: Sequence[int]) -> np.ndarray:
@@ -126,11 +185,35 @@ def count_flow(scores: np.ndarray, counts: Sequence[int], prices: np.ndarray | N
     first moves. At the prices every row's class is its best: score - price, so no other labels with these counts have a greater total.
     """
     n, k = scores.shape
+    counts = _checked(counts, n)
+    price = np.zeros((1, k)) if prices is None else np.array(prices, float)[None]
+    price = _approach(scores[None], counts, price)[0]
+    label = _moved(scores, counts, price)
+    for _ in range(k):  # price[b] - price[a] is at least what a row of a would gain in b
+        for a in range(k):
+            own = label == a
+            if own.any():
+                price = np.maximum(price, np.where(np.arange(k) == a, -np.inf, price[a] + (scores[own] - scores[own, a, None]).max(0)))
+    return label, price
+
+
+def count_labels(scores: np.ndarray, counts: Sequence[int]) -> Iterator[np.ndarray]:
+    """The labels of count_flow for each of several scores of the same rows: cases x rows x classes."""
+    counts = _checked(counts, scores.shape[1])
+    prices = _approach(scores, counts, np.zeros((len(scores), scores.shape[2])))
+    return (_moved(x, counts, price) for x, price in zip(scores, prices, strict=True))
+
+
+def _checked(counts: Sequence[int], n: int) -> np.ndarray:
     counts = np.asarray(counts, np.int64)
     if counts.sum() != n or (counts < 0).any():
         raise ValueError(f"counts sum to {counts.sum()}, rows are {n}")
-    price = np.zeros(k) if prices is None else np.array(prices, float)
-    price = _approach(scores, counts, price)
+    return counts
+
+
+def _moved(scores: np.ndarray, counts: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Labels: each row's best class at the prices, and then as few rows moved as the counts need."""
+    k = len(price)
     label = (scores - price).argmax(1)
     excess = np.bincount(label, minlength=k) - counts
     heaps: dict[tuple[int, int], list] = {}
@@ -165,42 +248,34 @@ def count_flow(scores: np.ndarray, counts: Sequence[int], prices: np.ndarray | N
                     heapq.heappush(heaps[b, c], (float(scores[i, b] - scores[i, c]), i))
             b = a
         excess[b] -= 1
-    for _ in range(k):  # price[b] - price[a] is at least what a row of a would gain in b
-        for a in range(k):
-            own = label == a
-            if own.any():
-                price = np.maximum(price, np.where(np.arange(k) == a, -np.inf, price[a] + (scores[own] - scores[own, a, None]).max(0)))
-    return label, price
+    return label
 
 
 def _approach(scores: np.ndarray, counts: np.ndarray, price: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Prices at which about the right numbers choose each class: each class in turn takes the price at which exactly its number does."""
-    best, least = price, np.abs(np.bincount((scores - price).argmax(1), minlength=len(price)) - counts).sum()
-    k = len(price)
-    for r in range(rounds if len(scores) else 0):
-        if least <= 2 * k:
+    """Prices (cases x classes) at which about the right numbers choose each class: each class in turn takes the price at which exactly its number does."""
+    n, k = scores.shape[1:]
+
+    def off(x: np.ndarray, price: np.ndarray) -> np.ndarray:
+        label = (x - price[:, None]).argmax(2)
+        return sum(np.abs((label == c).sum(1) - counts[c]) for c in range(k))
+
+    best, least = price.copy(), off(scores, price)
+    for r in range(rounds if n else 0):
+        on = np.flatnonzero(least > 2 * k)
+        if not len(on):
             break
         c = r % k
-        if not 0 < counts[c] < len(scores):
+        if not 0 < counts[c] < n:
             continue
-        other = (scores - price)[:, [j for j in range(k) if j != c]].max(1)
-        margin = np.partition(scores[:, c] - other, len(scores) - counts[c] - 1)
-        price = price.copy()
-        price[c] = margin[len(scores) - counts[c] - 1]
-        off = np.abs(np.bincount((scores - price).argmax(1), minlength=k) - counts).sum()
-        if off < least:
-            best, least = price, off
+        x, at = scores[on], price[on]
+        other = (x - at[:, None])[:, :, [j for j in range(k) if j != c]].max(2)
+        at[:, c] = np.partition(x[:, :, c] - other, n - counts[c] - 1)[:, n - counts[c] - 1]
+        price[on], now = at, off(x, at)
+        better = on[now < least[on]]
+        best[better], least[better] = price[better], now[now < least[on]]
     return best
 
 
-@dataclass(frozen=True)
-class Decoding:
-    in_task: int = 200_000  #: most rows of a group that one task decodes
-    sample: int = 50_000  #: rows from which a larger group's prices are first taken
-    near: float = 0.05  #: share of rows, nearest to another class, that stay open at those prices
-    seed: int = 42
-
-
 def exact_count_decode(df: DataFrame, scores: list[str], counts: DataFrame, key: str = "segment_id", by: str = "subject", label: str = "pred", s: Decoding = Decoding()) -> DataFrame:
     """(by, key, pred): the labels of each subject with the greatest total score under its exact class counts; counts: (by, n0, n1, ...), one row a subject.
 

@@ -13,28 +13,29 @@ from .aggregate import running_totals
 ZERO = 0.0
 
 
-def confusion(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or []), y, pred).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, y: str, pred: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
+    """n: a column of how many rows each row stands for."""
+    return df.groupBy(*(by or []), y, pred).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
 
 
 def confusion_normalised(df: DataFrame, y: str, pred: str) -> DataFrame:
     return confusion(df, y, pred).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(y)))
 
 
-def classwise(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
+def classwise(df: DataFrame, y: str, pred: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
     """(by, class, precision, recall, f1, support) for classes that occur as truth or prediction; a ratio by zero is 0."""
     by = by or []
-    sides = confusion(df, y, pred, by).select(*by, "n", F.inline(F.array(F.struct(F.col(y).alias("class"), F.lit(True).alias("truth")), F.struct(F.col(pred).alias("class"), F.lit(False).alias("truth")))), (F.col(y) == F.col(pred)).alias("hit"))
+    sides = confusion(df, y, pred, by, n).select(*by, "n", F.inline(F.array(F.struct(F.col(y).alias("class"), F.lit(True).alias("truth")), F.struct(F.col(pred).alias("class"), F.lit(False).alias("truth")))), (F.col(y) == F.col(pred)).alias("hit"))
     t = sides.groupBy(*by, "class").agg(
         F.coalesce(F.sum(F.when(F.col("truth"), F.col("n"))), F.lit(0)).alias("support"), F.coalesce(F.sum(F.when(~F.col("truth"), F.col("n"))), F.lit(0)).alias("predicted"), F.coalesce(F.sum(F.when(F.col("truth") & F.col("hit"), F.col("n"))), F.lit(0)).alias("tp")
     )
     return t.select(*by, "class", ratio(F.col("tp"), F.col("predicted"), ZERO).alias("precision"), ratio(F.col("tp"), F.col("support"), ZERO).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support"), ZERO).alias("f1"), "support", "tp")
 
 
-def summary(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
+def summary(df: DataFrame, y: str, pred: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
     """(by, accuracy, balanced_accuracy, macro_f1, n). Balanced accuracy is over the classes that occur as truth."""
     by = by or []
-    c = classwise(df, y, pred, by)
+    c = classwise(df, y, pred, by, n)
     return c.groupBy(*by).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), F.sum("support").alias("n")
     )
