@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tidewell.operators import relational, select
 from tidewell.sources import io
@@ -113,3 +114,14 @@ def test_case_collisions_and_strict_join(spark):
     with pytest.raises(PySparkException):
         relational.align(spark.createDataFrame([(2,)], "segment_id int"), a, "segment_id", ["SPO2_mean"], strict=True).collect()
     assert math.isclose(relational.align(spark.createDataFrame([(2,)], "segment_id int"), a, "segment_id", ["SPO2_mean"], 0.5).first()[1], 0.5)
+
+
+def test_split_needs_no_row_a_sample(spark, tmp_path, monkeypatch):
+    """Recordings are written and read by whole columns; lengths differ, one is empty, one has gaps."""
+    rows = [(1, "1_Baseline_1", [1.0, None, 3.0]), (1, "1_ARM_1", []), (2, "2_HAND_1", [0.5]), (2, "2_Baseline_2", [1.5, 2.5, None])]
+    df = spark.createDataFrame(rows, "subject int, key string, x array<double>")
+    io.write_split(df.select("subject", "key", *[F.col("x").alias(f"samples_{s}") for s in io.SIGNALS]), str(tmp_path), "train")
+    assert (tmp_path / "train/Bvp/1.csv").read_text() == "1_ARM_1,1_Baseline_1\n,1.0\n,\n,3.0\n"
+    monkeypatch.setattr(io, "to_segments", None)
+    got = {(r.subject, r.segment_idx, r["class"]): (r.samples_Eda, r.raw_len_SpO2) for r in io.build_split(spark, str(tmp_path), "train").collect()}
+    assert sorted(got.values(), key=str) == sorted([([1.0, None, 3.0], 3), ([], 0), ([0.5], 1), ([1.5, 2.5], 2)], key=str)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from io import BytesIO
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import parse_key, segment_key
 
 SIGNALS = ("Bvp", "Eda", "Resp", "SpO2")
+#: Files that the driver gives their names at once.
+RENAMES = 16
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,8 +41,8 @@ def subjects(spark: SparkSession, root: str, split: str, signal: str = SIGNALS[0
     return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"(\d+)\.csv", n)))
 
 
-def read_signal(spark: SparkSession, root: str, split: str, signal: str) -> DataFrame:
-    """(file_subject, key, t, x) of all subjects: a file's columns are segments and its rows samples; blanks and NaN are null.
+def read_columns(spark: SparkSession, root: str, split: str, signal: str) -> DataFrame:
+    """(file_subject, key, x) of all subjects: a file's columns are segments and its rows samples; blanks and NaN are null.
 
     A file is one subject's recording of one signal, some thousands of rows, and is parsed whole in one task; files are dealt over tasks.
     """
@@ -49,19 +52,27 @@ def read_signal(spark: SparkSession, root: str, split: str, signal: str) -> Data
             for path, content in zip(b["path"], b["content"], strict=True):
                 wide = pd.read_csv(BytesIO(content), dtype="float64", na_values=["", "nan", "NaN"], skip_blank_lines=False)
                 subject = int(re.search(r"(\d+)\.csv$", path)[1])
-                for name in wide.columns:
-                    yield pd.DataFrame({"file_subject": subject, "key": name.strip().strip('"'), "t": range(len(wide)), "x": wide[name]})
+                yield pd.DataFrame({"file_subject": subject, "key": [n.strip().strip('"') for n in wide.columns], "x": list(wide.to_numpy().T)})
 
     files = spark.read.format("binaryFile").load(f"{split_root(spark, root, split)}/{signal}").filter(F.col("path").rlike(r"/\d+\.csv$"))
-    long = files.select("path", "content").mapInPandas(parse, "file_subject int, key string, t long, x double")
-    return long.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    wide = files.select("path", "content").mapInPandas(parse, "file_subject int, key string, x array<double>")
+    return wide.withColumn("x", F.transform("x", lambda v: F.when(~F.isnan(v), v)))
+
+
+def read_signal(spark: SparkSession, root: str, split: str, signal: str) -> DataFrame:
+    """(file_subject, key, t, x): read_columns by samples."""
+    long = read_columns(spark, root, split, signal).select("file_subject", "key", F.posexplode("x").alias("t", "x"))
+    return long.withColumn("t", F.col("t").cast("long"))
 
 
 def to_segments(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, key, samples, raw_len): a segment's samples in the order of time, trailing nulls stripped."""
     by = by or []
     rows = samples.groupBy(*by, "key").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s"))
-    rows = rows.withColumn("samples", F.transform("s", lambda v: v["x"]))
+    return _stripped(rows.withColumn("samples", F.transform("s", lambda v: v["x"])), by)
+
+
+def _stripped(rows: DataFrame, by: list[str]) -> DataFrame:
     filled = F.filter(F.transform("samples", lambda x, i: F.when(x.isNotNull(), i + 1)), lambda i: i.isNotNull())
     last = F.coalesce(F.array_max(filled), F.lit(0))
     return rows.select(*by, "key", F.slice("samples", 1, last).alias("samples"), last.alias("raw_len"))
@@ -74,7 +85,7 @@ def build_split(spark: SparkSession, root: str, split: str, signals: tuple[str,
     """
     out = None
     for signal in signals:
-        seg = to_segments(read_signal(spark, root, split, signal), ["file_subject"]).withColumnsRenamed({"samples": f"samples_{signal}", "raw_len": f"raw_len_{signal}"})
+        seg = _stripped(read_columns(spark, root, split, signal).withColumnRenamed("x", "samples"), ["file_subject"]).withColumnsRenamed({"samples": f"samples_{signal}", "raw_len": f"raw_len_{signal}"})
         out = seg if out is None else out.join(seg, ["file_subject", "key"], "full")
     whole = F.lit(True)
     for signal in signals:
@@ -91,26 +102,32 @@ def write_split(df: DataFrame, root: str, split: str, signals: tuple[str, ...] =
     """
     spark = df.sparkSession
     long = df.select("subject", "key", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"samples_{s}").cast("array<double>").alias("x")) for s in signals])))
-    n = F.size("x")
-    cells = long.select("signal", "subject", "key", F.explode(F.sequence(F.lit(-1), n - 1)).alias("t"), "x", n.alias("n")).withColumn("cell", F.when(F.col("t") < 0, F.col("key")).otherwise(F.get("x", F.col("t")).cast("string")))
-    keys = long.groupBy("signal", "subject").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    rows = cells.groupBy("signal", "subject", "t").agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("cell", F.lit("")).alias("cell")))).alias("m")).join(keys, ["signal", "subject"])
-    line = F.array_join(F.transform("keys", lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))), ",")
+    files = long.groupBy("signal", "subject").agg(F.map_from_entries(F.collect_list(F.struct("key", "x"))).alias("m")).withColumn("keys", F.sort_array(F.map_keys("m")))
+    files = files.withColumn("columns", F.transform("keys", lambda k: F.coalesce(F.element_at("m", k), F.array().cast("array<double>"))))
+    n = F.array_max(F.transform("columns", lambda x: F.size(x)))
+    line = lambda t: F.array_join(F.transform("columns", lambda x: F.coalesce(F.get(x, t).cast("string"), F.lit(""))), ",")
+    body = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), line)).otherwise(F.array().cast("array<string>"))
+    lines = files.select("signal", "subject", F.array_join(F.concat(F.array(F.array_join("keys", ",")), body), "\n").alias("value"))
     part = f"{root}/.{split}-parts"
-    lines = rows.select("signal", "subject", "t", line.alias("value")).repartition("signal", "subject").sortWithinPartitions("signal", "subject", "t")
-    lines.drop("t").write.mode("overwrite").partitionBy("signal", "subject").text(part)
+    # version 2: tasks move their own files when they end, and not the driver all of them
+    lines.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("signal", "subject").text(part)
     fs, base = _fs(spark, part)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for signal in (s.getPath() for s in fs.listStatus(base) if s.isDirectory()):
-        name = signal.getName().removeprefix("signal=")
-        fs.mkdirs(path(f"{root}/{split}/{name}"))
-        for subject in (s.getPath() for s in fs.listStatus(signal)):
-            files = [f.getPath() for f in fs.listStatus(subject) if f.getPath().getName().startswith("part-")]
-            if len(files) != 1:
-                raise RuntimeError(f"{subject.getName()} is in {len(files)} files")
-            to = path(f"{root}/{split}/{name}/{subject.getName().removeprefix('subject=')}.csv")
-            fs.delete(to, False)
-            fs.rename(files[0], to)
+
+    def name(subject) -> None:
+        files = [f.getPath() for f in fs.listStatus(subject) if f.getPath().getName().startswith("part-")]
+        if len(files) != 1:
+            raise RuntimeError(f"{subject.getName()} is in {len(files)} files")
+        signal = subject.getParent().getName().removeprefix("signal=")
+        to = path(f"{root}/{split}/{signal}/{subject.getName().removeprefix('subject=')}.csv")
+        fs.delete(to, False)
+        if not fs.rename(files[0], to):
+            raise RuntimeError(f"{to} could not be written")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        for signal in (s.getPath() for s in fs.listStatus(base) if s.isDirectory()):
+            fs.mkdirs(path(f"{root}/{split}/{signal.getName().removeprefix('signal=')}"))
+            list(pool.map(name, (s.getPath() for s in fs.listStatus(signal))))
     fs.delete(base, True)
 
 
