@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -72,3 +74,40 @@ def test_stage_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     want, _ = brute([tuple(r) for r in docs.collect()])
     assert Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, sf).collect())) == want
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for m in (0, 1, 2, 30, 500, 4000):
+        h = rng.integers(-(2**63), 2**63, 2 * m + 40)
+        for own in (0, m // 50, m // 9, m // 2, m):
+            a, b = h[: m + own], h[own : 2 * m]
+            shared = len(np.intersect1d(a, b))
+            assert jaccard.most_shared(jaccard.bitmap(a), jaccard.bitmap(b), len(a), len(b)) >= shared
+            assert jaccard.most_shared(jaccard.bitmap(b), jaccard.bitmap(a), len(b), len(a)) >= shared
+    a, b = h[:500], np.concatenate((h[:250], h[1000:1250]))
+    assert jaccard.most_shared(jaccard.bitmap(a), jaccard.bitmap(b), 500, 500) < 350
+
+
+def test_whole_sets_of_unlike_pairs_are_not_fetched(spark, sf, monkeypatch):
+    """Texts that share a third of their words meet, but are ruled out before their sets are written; no set stays on the disk."""
+    rng, names, cut = random.Random(2), [], []
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, " ".join([*common, *(f"{i}x{k}" for k in range(120))])) for i in range(30)]
+    rows.append((99, rows[3][1] + " end"))
+    rng.shuffle(rows)
+    other = jaccard.materialize
+
+    def materialize(df, name):
+        out = other(df, name)
+        names.append(out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:"))
+        if name == "sets":
+            cut.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", materialize)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1000)
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute(rows)[0]
+    assert sum(cut) == 2
+    assert not [n for n in names if "/sets-" in n and os.path.exists(n)]

@@ -4,7 +4,8 @@ SimHash with anchors comes first: sets whose fingerprints differ in t bits or fe
 those that are similar become one component. Fingerprints of a few bits' difference can't find all pairs of a similarity
 of 0.8, though, whose fingerprints differ in some ten bits, and no anchors cover that. So prefixes of the sets complete it: two sets of similarity t or more share one of the first m - ceil(t m) + 1 shingles of each, m being its size, in any one order of all
 shingles; so only sets that meet there are compared, and none is missed. The order is by hash, with shingles that are
-frequent there last: that choice changes the cost, never the result. Equal sets are one. Where sets meet, all are compared with a few of them first,
+frequent there last: that choice changes the cost, never the result. Equal sets are one. Each set has a bitmap of a few bits a shingle, by which
+most pairs that aren't similar are ruled out before whole sets are fetched: a bit that one set has and the other has not is a shingle they don't share. Where sets meet, all are compared with a few of them first,
 twice, and only then with each other; each time only sets of different components are, as others can't change the components.
 """
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if, free_shuffles, materialize
+from .common import WordHashes, broadcast_if, discard, free_shuffles, materialize
 from .components import components
 from .lm import _mix, _tokens
 from .simhash import keep_rows, links
@@ -30,6 +31,8 @@ FREQUENT, MOST_FREQUENT, WIDER = 20, 200_000, 0.25
 BROADCAST_SETS, BROADCAST_BYTES = 200_000, 96 << 20
 #: Sets of a bucket with which all of it are compared in each of the two first rounds.
 CENTRES = 24
+#: Bits of a set's bitmap for each of its shingles, at least; the next power of two.
+BITS = 4
 
 
 def shingles(text: str | None, n: int, hashes: dict) -> np.ndarray:
@@ -50,8 +53,26 @@ def _fingerprint(h: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Which low bits the hashes of a set end in."""
+    n = 1 << max(6, (BITS * len(h) - 1).bit_length())
+    there = np.zeros(n, bool)
+    there[h & (n - 1)] = True
+    return np.packbits(there).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, ma: int, mb: int) -> int:
+    """No fewer than the hashes that two sets of ma and mb share, from their bitmaps. The longer one is folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(ma - int(np.bitwise_count(x & ~y).sum()), mb - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False) -> DataFrame:
-    """rows with sid (a hash of the set), m (its size), fp (the set's SimHash), rare (how many are not in last) and hs: the set if whole, else its prefix."""
+    """rows with sid (a hash of the set), m (its size), fp (the set's SimHash), rare (how many are not in last), bits (its bitmap, if last is given) and hs: the set if whole, else its prefix."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common = last.value if last is not None else np.zeros(0, np.int64)
@@ -61,16 +82,17 @@ def _sets(rows: DataFrame, n: int, least: float, last=None, whole: bool = False)
                 h = shingles(t, n, hashes)
                 sid, m = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)
                 fp, rare = 0 if whole or not m else _fingerprint(h), 0
+                bits = bitmap(h) if last is not None else None
                 if not whole:
                     if len(common) and m:
                         known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                         rare = m - int(known.sum())
                         h = h[np.argsort(known, kind="stable")]
                     h = h[: m - math.ceil(least * m - 1e-9) + 1]
-                out.append((sid, m, fp, rare, h))
-            yield pd.DataFrame(out, columns=["sid", "m", "fp", "rare", "hs"])
+                out.append((sid, m, fp, rare, bits, h))
+            yield pd.DataFrame(out, columns=["sid", "m", "fp", "rare", "bits", "hs"])
 
-    of = F.pandas_udf(run, "sid long, m int, fp long, rare int, hs array<long>")
+    of = F.pandas_udf(run, "sid long, m int, fp long, rare int, bits binary, hs array<long>")
     return rows.withColumn("s", of("text")).select(*[c for c in rows.columns if c != "text"], "s.*")
 
 
@@ -81,16 +103,30 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _likely(pairs: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of sets whose bitmaps don't rule out a similarity of least."""
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.Series:
+        shared = np.array([most_shared(*x) for x in zip(a, b, ma.tolist(), mb.tolist(), strict=True)], float)
+        return pd.Series(shared / (ma.to_numpy() + mb.to_numpy() - shared) >= least)
+
+    a, b = (names.select(F.col("sid").alias(k), F.col("bits").alias(f"b{k}"), F.col("m").alias(f"m{k}")) for k in "uv")
+    return pairs.join(a, "u").join(b, "v").filter(may("bu", "bv", "mu", "mv")).select("u", "v")
+
+
 def _similar(pairs: DataFrame, names: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """The pairs (u, v) of sets whose similarity is at least least. names: (sid, th), a text of each set by its hash. Only these texts are cut again."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(names, "sid")
+    """The pairs (u, v) of sets whose similarity is at least least. names: (sid, th, m, bits), with a text of each set by its hash. Only texts of likely pairs are cut again."""
+    pairs = _written(_likely(pairs.distinct(), names, least), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(names.select("sid", "th"), "sid")
     chosen = texts.join(broadcast_if(materialize(wanted.select("th").distinct(), "wanted"), BROADCAST_SETS), "th", "left_semi").dropDuplicates(["th"])
-    sets = _written(_sets(chosen.select("text"), n, least, whole=True).dropDuplicates(["sid"]), "sets")
-    sets = broadcast_if(sets, BROADCAST_SETS, BROADCAST_BYTES)  # else both joins are shuffled
+    whole = _written(_sets(chosen.select("text"), n, least, whole=True).select("sid", "hs"), "sets")  # a text for each set
+    sets = broadcast_if(whole, BROADCAST_SETS, BROADCAST_BYTES)  # else both joins are shuffled
     both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
+    out = _written(both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v"), "similar")
+    discard(whole)
+    return out
 
 
 def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,9 +144,9 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), th.alias("th"), text.alias("text"))
     rows = materialize(_sets(rows, n, least, last), "prefixes")
-    names = _written(rows.groupBy("sid").agg(F.min("th").alias("th")), "set-names")
+    names = _written(rows.groupBy("sid").agg(F.min("th").alias("th"), F.first("m").alias("m"), F.first("bits").alias("bits")), "set-names")
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
-    anchored = _written(_similar(_anchored(rows, t, near), names, texts, n, least), "anchored")
+    anchored = _similar(_anchored(rows, t, near), names, texts, n, least)
     joined = components(anchored)
 
     buckets = rows.select("sid", "m", "rare", "hs").dropDuplicates(["sid"]).join(joined, F.col("sid") == F.col("node"), "left")
@@ -133,7 +169,7 @@ def deduplicate(docs: DataFrame, n: int = 5, least: float = 0.8, t: int = 2, id_
     linked, cols = anchored, ["h", "sid", "m", "i", "root"]
     for k, order in enumerate((["rare", "sid"], [F.xxhash64("sid"), F.col("sid")])):
         chosen = buckets.withColumn("__r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).filter(F.col("__r") <= CENTRES)
-        linked = _written(linked.union(_similar(apart(buckets.select(*cols), chosen.select(*cols)), names, texts, n, least)), f"links-{k}")
+        linked = linked.union(_similar(apart(buckets.select(*cols), chosen.select(*cols)), names, texts, n, least))
         placed = buckets.drop("root").join(components(linked), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
         buckets = _written(placed.join(mixed, "h", "left_semi"), f"mixed-{k}")
