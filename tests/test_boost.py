@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,16 @@ def test_many_folds_equal_few(table, monkeypatch, options, distinct):
     got = run()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
     assert max(fitted, default=0) <= 3 and bool(fitted) == (not distinct)
+
+
+def test_batches_of_blocks_stay_small(spark):
+    """A task gets its blocks in batches of bounded size, not all of its rows in one."""
+    rows = spark.range(0, 800_000, 1, 1).select(F.rand(1).alias("x0"), (F.col("id") % 2).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("fold"), "id").coalesce(1)
+    blocks = boost._blocks(rows, ["x0"], [np.linspace(0, 1, 9)]).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(r["y"].__len__() // 8 for r in b.to_pylist())]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = blocks.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 800_000 and max(r.bytes for r in got) < 24 << 20

@@ -33,6 +33,8 @@ from . import models
 CELLS = 4_000_000
 #: Rounds between two writings of the margins.
 STRIDE = 10
+#: Rows of a block as it is written, and blocks that a pass works on at once. Spark reads and hands over thousands of blocks in one batch, so they are small.
+BLOCK_ROWS, JOINED = 64, 64
 #: Most relative error of a bin edge's rank.
 ACCURACY = 10_000
 LEAST_GAIN = 1e-6
@@ -216,12 +218,21 @@ def _blocks(rows: DataFrame, xs: list[str], edges: list[np.ndarray]) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for g in (b.iloc[i : i + 4096] for i in range(0, len(b), 4096)):
-                cols = {"y": np.float64, "w": np.float64, "fold": np.int64, "id": np.int64}
-                yield pd.DataFrame({"bins": [to_bins(g[xs].to_numpy(float), edges).tobytes()], **{c: [g[c].to_numpy(k).tobytes()] for c, k in cols.items()}, "margin": [b""]})
+                cols = {"y": g["y"].to_numpy(np.float64), "w": g["w"].to_numpy(np.float64), "fold": g["fold"].to_numpy(np.int64), "id": g["id"].to_numpy(np.int64)}
+                cols = {"bins": to_bins(g[xs].to_numpy(float), edges), **cols}
+                starts = range(0, len(g), BLOCK_ROWS)
+                yield pd.DataFrame({**{c: [v[i : i + BLOCK_ROWS].tobytes() for i in starts] for c, v in cols.items()}, "margin": [b""] * len(starts)})
 
     return stored(rows.mapInPandas(run, "bins binary, y binary, w binary, fold binary, id binary, margin binary"), "blocks")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks of a task, neighbouring ones as one."""
+    for b in batches:
+        for i in range(0, b.num_rows, JOINED):
+            yield {c: b"".join(v) for c, v in b.slice(i, JOINED).to_pydict().items()}
+
+
 class _Pass:
     """What a task needs for a pass: the models of this pass and the trees since the margins were written."""
 
@@ -254,7 +265,7 @@ class _Pass:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hist, losses = np.zeros((2, p, m * nodes * nb)), np.zeros((6, some.stop - some.start))
-            for r in (r for b in batches for r in b.to_pylist()):
+            for r in _joined(batches):
                 bins, y, w, fold, ids, margin = self.read(r)
                 fit, held, out = self.roles(w, y, fold, ids, some)
                 g, h, loss = slopes(margin[:, models], y, self.classes)
