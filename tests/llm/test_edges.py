@@ -112,6 +112,21 @@ def test_quality(spark, odd, none, sf):
         assert tuple(r[c] for c in quality.BASE) == base_stats(r.text)
 
 
+def test_quality_inverse(spark):
+    """The sweeps give the inverse and the determinant, in a plan of a few projections: one for each sweep filled the driver's heap."""
+    import numpy as np
+
+    g, names = np.random.default_rng(5), list("abcdef")
+    found = [m @ m.T for m in g.normal(size=(4, 6, 6))]
+    df = spark.createDataFrame([(k, *[float(m[i, j]) for i, j in quality._pairs(names)]) for k, m in enumerate(found)], ["k", *[f"u_{i}_{j}" for i, j in quality._pairs(names)]])
+    out = quality._invert(df, ["k"], lambda i, j: f"u_{i}_{j}", names, dict.fromkeys(names, 0.3))
+    for r in out.collect():
+        m = found[r.k] + 0.09 * np.eye(6)
+        assert all(np.isclose(r[f"w_{i}_{j}"], np.linalg.inv(m)[i, j]) and np.isclose(r[f"v_{i}_{j}"], m[i, j]) for i, j in quality._pairs(names))
+        assert np.isclose(r.logdet, np.linalg.slogdet(m)[1])
+    assert out._jdf.queryExecution().analyzed().toString().count("Project [") <= 4
+
+
 def test_quality_estimate_against_numpy(spark):
     """The estimate resists 30 % of outliers and rejects those; its steps are those of a plain implementation."""
     import numpy as np

@@ -117,11 +117,16 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's heap now, so that it does not grow by finished queries and their broadcasts."""
+    gc.collect()  # what Python still holds of them
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries deleted now: Spark does so when the driver's heap is next collected, which may be long after."""
     for _ in range(2):  # what listeners still hold at first is free the second time
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        collect_garbage(spark)
         time.sleep(0.5)
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, without, words
+from .common import collect_garbage, let, materialize, without, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -145,17 +145,19 @@ def _distance2(names: list[str]) -> Column:
 
 
 def _invert(df: DataFrame, keep: list[str], v, names: list[str], floors: dict[str, float]) -> DataFrame:
-    """keep, the covariance v(i, j) (SQL) plus the squared floors on the diagonal as v_*_*, its inverse w_*_*, and logdet: one sweep for each row."""
-    pairs = _pairs(names)
+    """keep, the covariance v(i, j) (SQL) plus the squared floors on the diagonal as v_*_*, its inverse w_*_*, and logdet: one sweep for each row.
+
+    The sweeps go over an array: as projections of all columns, one for each sweep, they filled the driver with plans.
+    """
+    pairs, p = _pairs(names), len(names)
     vs = [f"v_{i}_{j}" for i, j in pairs]
     df = df.selectExpr(*keep, *[f"{v(i, j)} + {_num(floors[names[i]] ** 2 if i == j else 0.0)} AS v_{i}_{j}" for i, j in pairs])
-    df = df.selectExpr(*keep, *vs, *[f"v_{i}_{j} AS w_{i}_{j}" for i, j in pairs], "0D AS logdet")
-    at = lambda i, j: f"w_{max(i, j)}_{min(i, j)}"
-    for k in range(len(names)):
-        pivot = f"greatest({at(k, k)}, 1e-12D)"
-        swept = [f"-1 / {pivot}" if i == j == k else f"{at(i, j)} / {pivot}" if k in (i, j) else f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {pivot}" for i, j in pairs]
-        df = df.selectExpr(*keep, *vs, *[f"{c} AS w_{i}_{j}" for c, (i, j) in zip(swept, pairs, strict=True)], f"logdet + ln({pivot}) AS logdet")
-    return df.selectExpr(*keep, *vs, *[f"-w_{i}_{j} AS w_{i}_{j}" for i, j in pairs], "logdet")
+    full = ", ".join(f"v_{max(i, j)}_{min(i, j)}" for i in range(p) for j in range(p))
+    pivot = f"greatest(s.w[k * {p + 1}], 1e-12D)"
+    swept = f"CASE WHEN c div {p} = k AND c % {p} = k THEN -1 / {pivot} WHEN c div {p} = k OR c % {p} = k THEN x / {pivot} ELSE x - s.w[c - c % {p} + k] * s.w[k * {p} + c % {p}] / {pivot} END"
+    sweeps = f"aggregate(sequence(0, {p - 1}), struct(array({full}) AS w, 0D AS logdet), (s, k) -> struct(transform(s.w, (x, c) -> {swept}) AS w, s.logdet + ln({pivot}) AS logdet))"
+    df = df.selectExpr(*keep, *vs, f"{sweeps} AS swept")
+    return df.selectExpr(*keep, *vs, *[f"-swept.w[{i * p + j}] AS w_{i}_{j}" for i, j in pairs], "swept.logdet AS logdet")
 
 
 def _estimate(names: list[str]) -> list[str]:
@@ -221,6 +223,7 @@ def fit_mcd(vectors: DataFrame, rules: Rules, small=F.broadcast) -> DataFrame:
             both = both.groupBy("cohort").agg(F.expr("min_by(struct(start, falls, e), struct(e.logdet, start)) AS b")).select("cohort", "b.*")
         both = materialize(both, f"mcd-{k}")
         params = both.select(*keys, "e.*")
+        collect_garbage(vectors.sparkSession)  # plans and broadcasts of a step, else the driver's heap grows with the steps
         if k and both.filter("falls").isEmpty():
             break
     q = rules.reweight_quantile
