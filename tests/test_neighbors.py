@@ -59,6 +59,32 @@ def test_own_groups_and_tags(spark):
     assert all(t.tag == label[t.id] for r in got for t in r.neighbours)
 
 
+def test_a_cell_is_not_all_pairs(monkeypatch):
+    """In few dimensions a query meets few rows of its cell; the lists are those of all pairs."""
+    n, g, pairs, far = 8000, np.random.default_rng(5), [], neighbors._far
+    monkeypatch.setattr(neighbors, "_far", lambda a, b: pairs.append(len(a) * len(b)) or far(a, b))
+    x, own = g.integers(0, 90, size=(n, 3)).astype(float), np.arange(n) % 50
+    block = neighbors._Block(np.arange(n), own, np.full(n, np.inf), x, 4, 64)
+    for part in np.split(np.arange(n), [7000]):
+        block.add(np.arange(n), part, own[part], own[part].astype(float), x[part])
+    assert sum(pairs) < 0.3 * n**2
+    for i in range(0, n, 40):
+        d = ((x - x[i]) ** 2).sum(1)
+        want = sorted((d[j], j) for j in range(n) if own[j] != own[i])[:4]
+        assert list(zip(block.d[i], block.id[i], strict=True)) == want
+
+
+def test_copies_that_no_list_can_hold_are_not_searched(spark, monkeypatch):
+    """Of many equal vectors k of an own and 2k in all take part, and lists stay those of all pairs."""
+    rows = [(i, [float(i % 3), 1.0], i % 70 % 4 if i % 2 else 9) for i in range(600)]
+    searched, other = [], neighbors._search
+    monkeypatch.setattr(neighbors, "_search", lambda asked, rows, *a: searched.append(rows.count()) or other(asked, rows, *a))
+    df = frame(spark, rows)
+    got = neighbors.neighbour_rows(neighbors.nearest(df, df, 4, own=F.col("label"))).collect()
+    assert Counter((r.query_id, r["rank"], r.id, round(r.distance, 7)) for r in got) == plain(rows, rows, 4, lambda a, b: a[2] == b[2])
+    assert searched and max(searched) <= 3 * 2 * 4
+
+
 def test_odd_rows(spark):
     rows = data(4, 20, 3)[:20]
     odd = [(100, None, 1), (101, [1.0], 1), (102, [1.0, None, 2.0], 1), (103, [1.0, float("nan"), 0.0], 1), (None, [1.0, 2.0, 3.0], 1)]

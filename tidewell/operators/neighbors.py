@@ -5,7 +5,12 @@ first answered in its own cell. Its k-th distance there then rules out every oth
 radius or by the plane between the two pivots; what is left is searched in a second pass, and the lists are merged. Cells are
 dealt to groups. A query goes once to each group in which it asks cells, with their numbers, so where little can be ruled out, as
 in many dimensions, it is copied to groups, not to cells. A group's rows are streamed past its queries in one task, in blocks of
-bounded size, so neither a large cell nor a cell that many ask for makes a large task.
+bounded size, so neither a large cell nor a cell that many ask for makes a large task. There, a cell's rows and the queries that
+ask it are parted into boxes of some dozens, and a box of queries meets boxes of rows, nearest first, until the next lies beyond
+what its queries hold, so a cell's work grows with its queries, not with its queries times its rows, where dimensions are few.
+
+Of equal vectors only those rows are searched that can be in a list: k with the same own, 2k in all, those with the smallest ids.
+Whatever own a query has, k with another are among them, or all there are.
 
 Ties go to the smaller id. Rows whose vectors are null, of another length than the first, or hold null or non-finite components take no part,
 nor do rows without an id.
@@ -19,7 +24,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.sources.shared import stored
@@ -28,10 +33,11 @@ from tidewell.sources.shared import stored
 @dataclass(frozen=True)
 class Pivots:
     most: int = 512  #: cells; else the square root of the number of rows
-    groups: int | None = None  #: of cells; unless given, two for each task that can run
+    groups: int | None = None  #: of cells; unless given, two for each task that can run, or one for each block_queries
     block_rows: int = 1 << 19  #: rows of a group in one task
     block_queries: int = 1 << 16  #: queries of a group in one task
-    tile: int = 64
+    tile: int = 64  #: queries or rows in a box
+    held_values: int = 1 << 20  #: components of a cell's rows that a task holds at once
     seed: int = 42
 
 
@@ -46,6 +52,14 @@ def _points(df: DataFrame, id_col: str, vec_col: str, own: Column | None, tag: C
     return out.filter(fine & F.col("id").isNotNull())
 
 
+def _of_copies(points: DataFrame, k: int) -> DataFrame:
+    """points without the rows that k others with an equal vector and a smaller id keep out of every list. Spark drops most of them before the shuffles."""
+    hashed = points.withColumn("__h", F.xxhash64("v"))  # sorts faster than vectors
+    for keys, most in ((["__h", "v", "own"], k), (["__h", "v"], 2 * k)):
+        hashed = hashed.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("__n") <= most)
+    return hashed.drop("__h", "__n")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -70,21 +84,50 @@ def _dealt(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.filter(F.size("v") == pivots.shape[1]).mapInArrow(run, "id long, own long, tag double, v array<double>, cell int, r double")
 
 
+def _boxes(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The row numbers of x in parts of at most size: halves at the median of the widest dimension, again and again."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        i = todo.pop()
+        if len(i) <= size:
+            out.append(i)
+            continue
+        part, half = x[i], len(i) // 2
+        order = np.argpartition(part[:, np.ptp(part, axis=0).argmax()], half)
+        todo += [i[order[half:]], i[order[:half]]]
+    return out
+
+
 class _Block:
-    """Running lists of the queries of one block."""
+    """Running lists of the queries of one block. bound: squared distances beyond which a query needs no row."""
 
-    def __init__(self, keys: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, tile: int):
-        self.keys, self.own, self.q, self.k, self.tile = keys, own, q, k, tile
+    def __init__(self, keys: np.ndarray, own: np.ndarray, bound: np.ndarray, q: np.ndarray, k: int, tile: int):
+        self.keys, self.own, self.bound, self.q, self.k, self.tile = keys, own, bound, q, k, tile
         self.d, self.id, self.tag = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64), np.full((len(q), k), np.nan)
 
     def add(self, which: np.ndarray, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
         """Rows of one cell, for the queries that ask it."""
-        for at in range(0, len(which), self.tile):
-            for row in range(0, len(x), 1024):
-                self._tile(which[at : at + self.tile], ids[row : row + 1024], own[row : row + 1024], tag[row : row + 1024], x[row : row + 1024])
+        boxes = _boxes(x, self.tile)
+        order, ends = np.concatenate(boxes), np.cumsum([len(b) for b in boxes])
+        ids, own, tag, x = ids[order], own[order], tag[order], x[order]
+        starts = np.append(0, ends[:-1])
+        low, high, norm = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts), np.maximum.reduceat((x**2).sum(1), starts)
+        for t in _boxes(self.q[which], self.tile):
+            t = which[t]
+            q = self.q[t]
+            gap = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0)
+            least = (gap**2).sum(1) - SLACK * ((q**2).sum(1).max() + norm)
+            near, at, n = np.argsort(least, kind="stable"), 0, 1
+            while at < len(near) and least[near[at]] <= np.minimum(self.d[t].max(1), self.bound[t]).max():
+                some = near[at : at + n]
+                rows = np.concatenate([np.arange(starts[b], ends[b]) for b in some])
+                for i in range(0, len(rows), 1024):
+                    r = rows[i : i + 1024]
+                    self._tile(t, ids[r], own[r], tag[r], x[r])
+                at, n = at + n, min(2 * n, 16)
 
     def _tile(self, t: np.ndarray, ids: np.ndarray, own: np.ndarray, tag: np.ndarray, x: np.ndarray) -> None:
-        q, most = self.q[t], self.d[t].max(1)
+        q, most = self.q[t], np.minimum(self.d[t].max(1), self.bound[t])
         near = _far(q, x)
         near[self.own[t, None] == own[None, :]] = np.inf
         slack = SLACK * ((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :])
@@ -116,30 +159,38 @@ class _Block:
 
 
 def _search(asked: DataFrame, rows: DataFrame, k: int, n_groups: int, s: Pivots) -> DataFrame:
-    """(key, top) for every query and block of rows of a group that it asks. asked: key, own, v, grp, cells; rows: id, own, tag, v, cell."""
+    """(key, top) for every query and block of rows of a group that it asks. asked: key, own, theta, v, grp, cells; rows: id, own, tag, v, cell."""
     rows = rows.withColumn("grp", F.col("cell") % n_groups)
     counts = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_queries).cast("int").alias("nq"))
     counts = counts.join(rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("nr")), "grp")  # a row for each group
     blocks, deal = F.broadcast(counts), lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = F.lit(None)
-    a = asked.join(blocks, "grp").select("grp", deal("key", "nq").alias("bq"), every("nr").alias("br"), F.lit(-1).alias("cell"), "key", "own", none.cast("double").alias("tag"), "v", "cells")
-    b = rows.join(blocks, "grp").select("grp", every("nq").alias("bq"), deal("id", "nr").alias("br"), "cell", F.col("id").alias("key"), "own", "tag", "v", none.cast("array<int>").alias("cells"))
+    a = asked.join(blocks, "grp").select("grp", deal("key", "nq").alias("bq"), every("nr").alias("br"), F.lit(-1).alias("cell"), "key", "own", F.col("theta").alias("tag"), "v", "cells")
+    b = rows.join(blocks, "grp").select("grp", every("nq").alias("bq"), deal("id", "nr").alias("br"), "cell", F.col("id").alias("key"), "own", "tag", "v", F.lit(None).cast("array<int>").alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, queries, asks, block, of = None, [], [], None, {}
+        here, queries, asks, block, of, held = None, [], [], None, {}, []
+
+        def put() -> None:
+            """The rows held, all of one cell, meet the queries that ask it."""
+            if held:
+                block.add(held[0][0], *map(np.concatenate, zip(*[h[1:] for h in held], strict=True)))
+                held.clear()
+
         for batch in batches:
             place = np.stack([batch.column(c).to_numpy() for c in ("grp", "bq", "br", "cell")])
             cuts = np.flatnonzero((np.diff(place, axis=1) != 0).any(0)) + 1
             for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
                 if (now := tuple(place[:3, i])) != here:
+                    put()
                     if block is not None:
                         yield block.lists()
                     here, queries, asks, block = now, [], [], None
                 part = batch.slice(i, j - i)
                 key, own, x = part.column("key").to_numpy(), part.column("own").fill_null(np.iinfo(np.int64).min).to_numpy(), _matrix(part.column("v"))
+                tag = part.column("tag").to_numpy(zero_copy_only=False).astype(float)
                 if place[3, i] < 0:
-                    queries.append((key, own, x))
+                    queries.append((key, own, tag**2 * (1 + SLACK), x))
                     asks.append((part.column("cells").value_lengths().to_numpy(), part.column("cells").flatten().to_numpy()))
                     continue
                 if queries and block is None:
@@ -150,7 +201,10 @@ def _search(asked: DataFrame, rows: DataFrame, k: int, n_groups: int, s: Pivots)
                     names, first = np.unique(cells[by], return_index=True)
                     of = dict(zip(names.tolist(), np.split(asker, first[1:]), strict=True))
                 if block is not None and (which := of.get(int(place[3, i]))) is not None:
-                    block.add(which, key, own, part.column("tag").to_numpy(zero_copy_only=False).astype(float), x)
+                    if held and (held[0][0] is not which or sum(h[-1].size for h in held) + x.size > s.held_values):
+                        put()
+                    held.append((which, key, own, tag, x))
+        put()
         if block is not None:
             yield block.lists()
 
@@ -185,11 +239,11 @@ def _others(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray, n_groups:
                 order = np.lexsort((to, group[to], row))
                 row, to = row[order], to[order]
                 first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(group[to]) != 0)))) if len(row) else np.zeros(0, int)
-                keep = b.slice(i, len(part)).select(["key", "own", "v"]).take(pa.array(row[first]))
+                keep = b.slice(i, len(part)).select(["key", "own", "theta", "v"]).take(pa.array(row[first]))
                 cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(to)).astype(np.int32)), pa.array(to.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(group[to[first]].astype(np.int32)), cells], ["key", "own", "v", "grp", "cells"])
+                yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(group[to[first]].astype(np.int32)), cells], ["key", "own", "theta", "v", "grp", "cells"])
 
-    return asked.mapInArrow(run, "key long, own long, v array<double>, grp int, cells array<int>")
+    return asked.mapInArrow(run, "key long, own long, theta double, v array<double>, grp int, cells array<int>")
 
 
 def nearest(
@@ -199,7 +253,7 @@ def nearest(
 
     own, query_own: a row is no neighbour of queries with the same value; their ids unless given. A query without any neighbour has an empty list.
     """
-    table = _points(rows, id_col, vec_col, own, tag)
+    table = stored(_of_copies(_points(rows, id_col, vec_col, own, tag), k), "points")
     ask = _points(queries, id_col, vec_col, query_own if query_own is not None else own, None)
     first = table.orderBy("id").limit(1).collect()
     if not first:
@@ -212,8 +266,9 @@ def nearest(
     radius = np.full(len(pivots), -1.0)
     for r in table.groupBy("cell").agg(F.max("r").alias("r")).collect():
         radius[r.cell] = r.r
-    n_groups = min(len(pivots), s.groups or 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    at_home = ask.withColumns({"grp": F.col("cell") % n_groups, "cells": F.array("cell")})
+    # More groups for more rows, so that a group's rows need not be copied to many blocks of its queries.
+    n_groups = min(len(pivots), s.groups or max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-ask.count() // s.block_queries)))
+    at_home = ask.withColumns({"grp": F.col("cell") % n_groups, "cells": F.array("cell"), "theta": F.lit(float("inf"))})
     home = stored(_merged(_search(at_home, table, k, n_groups, s), k), "home")
     theta = F.when(F.size("top") >= k, F.sqrt(F.element_at("top", -1)["d"])).otherwise(F.lit(float("inf")))
     known = ask.join(home.select("key", theta.alias("theta")), "key", "left").withColumn("theta", F.coalesce("theta", F.lit(float("inf"))))
