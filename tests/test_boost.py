@@ -178,6 +178,28 @@ def test_many_folds_equal_few(table, monkeypatch, options, distinct):
     assert max(fitted, default=0) <= 3 and bool(fitted) == (not distinct)
 
 
+@pytest.mark.parametrize("at_once", [boost.AT_ONCE, 2000])
+@pytest.mark.parametrize(("balanced", "unit", "share"), [(False, 1.0, 1.0), (True, 1.7, 0.7)])
+def test_folds_share_passes_while_cut_alike(monkeypatch, at_once, balanced, unit, share):
+    """Fits without some rows each equal those of one fold at a time; folds without the same rows, or without any, take one's passes."""
+    rng = np.random.default_rng(1)
+    bins = np.unique(rng.integers(0, 13, (400, 3)).astype(np.uint8), axis=0)
+    total = rng.integers(0, 4, (len(bins), 2)) * unit
+    own = [(a, np.minimum(total[a], rng.integers(0, 4, (12, 2)) * unit)) for a in (np.sort(rng.choice(len(bins), 12, replace=False)) for _ in range(9))]
+    own.append((np.arange(50), np.zeros((50, 2))))
+    left = np.repeat(total[None], len(own), 0)
+    for j, (a, w) in enumerate(own):
+        left[j, a] -= w
+    s = Boosting(rounds=4, depth=3, rate=0.4, bins=12, balanced=balanced, column_share=share)
+    want = [m[a] for m, (a, _) in zip(boost._probabilities(bins, left, left.sum(1), s, 2), own, strict=True)]
+    passes, plain = [], boost.best_cuts
+    monkeypatch.setattr(boost, "AT_ONCE", at_once)
+    monkeypatch.setattr(boost, "best_cuts", lambda *a: passes.append(1) or plain(*a))
+    got = boost._own_probabilities(bins, total, own * 20, s)
+    assert len(got) == 200 and all(g == pytest.approx(want[i % 10], abs=1e-12) for i, g in enumerate(got))
+    assert at_once < boost.TOGETHER or len(passes) <= 10 * s.rounds * s.depth
+
+
 def test_batches_of_blocks_stay_small(spark):
     """A task gets its blocks in batches of bounded size, not all of its rows in one."""
     rows = spark.range(0, 800_000, 1, 1).select(F.rand(1).alias("x0"), (F.col("id") % 2).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("fold"), "id").coalesce(1)

@@ -9,8 +9,8 @@ Bins are cut at quantiles of all training rows, without their labels, for all fo
 cut sends them to the better side. The loss is logistic, or softmax over several classes.
 
 Beyond models.MANY_FOLDS folds, rows with the same bins become one, with their weights by class. Where these distinct rows fit a task, folds are dealt
-over tasks, and a task fits its folds on them, less what their own subjects weigh; nothing of a fold passes the driver. Otherwise the folds are
-fitted on the blocks, some at a time. Both are rows times folds, in bounded memory.
+over tasks, and a task fits its folds on them, less what their own subjects weigh; nothing of a fold passes the driver. With two classes, folds whose trees are
+cut alike share the pass over these rows, and each takes its regions only. Otherwise the folds are fitted on the blocks, some at a time, which is rows times folds, in bounded memory.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ BLOCK_ROWS, JOINED = 64, 64
 #: Most relative error of a bin edge's rank.
 ACCURACY = 10_000
 LEAST_GAIN = 1e-6
-#: Bytes of distinct rows of bins, with their weights, that a task may hold; and distinct rows times models that it works on at once.
+#: Bytes of distinct rows of bins, with their weights, that a task may hold; and distinct rows (or regions, or sums of a histogram) times models that it works on at once.
 DISTINCT, AT_ONCE = 32 << 20, 1 << 19
+#: Folds of two classes that are fitted together at most.
+TOGETHER = 4096
 
 
 @dataclass(frozen=True)
@@ -514,43 +516,170 @@ def _on_distinct(df, columns, label, own: Column, edges, s: Boosting, classes: i
         """Rows sorted by fold; some folds at a time."""
         cell, total = held.value
         bins = np.frombuffer(cell.tobytes(), np.uint8).reshape(-1, p)
-        size = max(1, AT_ONCE // (len(cell) * len(names)))
+        size = TOGETHER if classes == 2 else max(1, AT_ONCE // (len(cell) * len(names)))
         ids: list[int] = []
         own: list[list[pa.RecordBatch]] = []
 
         def done() -> pa.RecordBatch:
             groups = [pa.Table.from_batches(g) for g in own]
             at = [np.searchsorted(cell, np.frombuffer(b"".join(g.column("bins").to_pylist()), f"S{p}")) for g in groups]
-            left = np.repeat(total[None], len(ids), 0)
-            for j, (g, i) in enumerate(zip(groups, at, strict=True)):
-                left[j, i] = np.maximum(left[j, i] - np.stack([g.column(w).to_numpy() for w in ws], 1), 0.0)
-            mass, least = left.sum(1), 1e-9 * total.sum(0)
+            takes = [np.stack([g.column(w).to_numpy() for w in ws], 1) for g in groups]
+            mass, least = total.sum(0) - np.stack([t.sum(0) for t in takes]), 1e-9 * total.sum(0)
             ok = np.flatnonzero((mass > least).all(1) & [f == -1 or any(g.column("learns").to_pylist()) for f, g in zip(ids, groups, strict=True)])
-            proba = _probabilities(bins, left[ok], mass[ok], s, classes) if len(ok) else []
+            if classes == 2:
+                found = _own_probabilities(bins, total, [(at[j], takes[j]) for j in ok], s)
+            else:
+                left = np.repeat(total[None], len(ok), 0)
+                for i, j in enumerate(ok):
+                    left[i, at[j]] = np.maximum(left[i, at[j]] - takes[j], 0.0)
+                found = [m[at[j]] for j, m in zip(ok, _probabilities(bins, left, left.sum(1), s, classes), strict=True)] if len(ok) else []
             fold = np.repeat([ids[j] for j in ok], [len(at[j]) for j in ok]).astype(np.int64)
             code = [b for j in ok for b in groups[j].column("bins").to_pylist()]
-            v = np.concatenate([m[at[j]] for j, m in zip(ok, proba, strict=True)]) if len(ok) else np.zeros((0, len(names)))
+            v = np.concatenate(found) if len(ok) else np.zeros((0, len(names)))
             return pa.RecordBatch.from_arrays([pa.array(fold), pa.array(code, pa.binary()), *map(pa.array, v.T)], ["fold", "bins", *names])
 
+        rows = 0
         for b in batches:
             f = b.column("fold").to_numpy()
             cuts = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)]
             for i, j in zip(cuts, cuts[1:], strict=False) if len(f) else ():
                 if not ids or ids[-1] != f[i]:
-                    if len(ids) >= size:
+                    if len(ids) >= size or rows >= AT_ONCE:
                         yield done()
-                        ids, own = [], []
+                        ids, own, rows = [], [], 0
                     ids.append(int(f[i]))
                     own.append([])
                 own[-1].append(b.slice(i, j - i))
+                rows += j - i
         if ids:
             yield done()
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = 4 * spark.sparkContext.defaultParallelism  # no more, since folds of one task share their passes
+    if classes != 2:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
     fitted = stored(parts.repartition(tasks, "fold").sortWithinPartitions("fold").mapInArrow(fit, "fold long, bins binary, " + ", ".join(f"{n} double" for n in names)), "fitted")
     return coded.select(key, by, "fold", "bins").join(fitted, ["fold", "bins"]).select(key, by, "fold", *names)
 
 
+@dataclass
+class _Alike:
+    """Folds whose trees are cut alike so far, and the distinct rows' regions (by the rounds before) and nodes (in this round)."""
+
+    folds: np.ndarray
+    done: int
+    level: int
+    region: np.ndarray
+    node: np.ndarray
+    margin: np.ndarray  # folds x regions
+    slope: np.ndarray | None = None  # gradient's part and curvature for one of weight, 2 x folds x regions
+    sums: np.ndarray | None = None  # folds x nodes of all levels x 2
+    cuts: np.ndarray | None = None  # nodes of the last level x (feature or -1, cut, null_left): not yet in node
+    cut: np.ndarray | None = None  # which nodes of the level before were cut
+
+
+def _numbered(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, all below most, and each one's place among them."""
+    there = np.zeros(most, bool)
+    there[code] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[code]
+
+
+def _own_probabilities(bins: np.ndarray, total: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], s: Boosting) -> list[np.ndarray]:
+    """rows x 1 of each fold: probabilities of two classes at its own rows, by a fit on all others. own: places of its rows in bins, and what they weigh by class; total: what all weigh.
+
+    While trees are cut alike, a fold's margins are a number for each region, and its histograms are products of slopes by region and of what a region
+    weighs by bin, less what its own rows have in them. Where cuts differ, folds part: at worst each is alone, with its pass over the distinct rows.
+    """
+    if not own:
+        return []
+    p, nb, inner, leaves = bins.shape[1], s.bins + 1, 2**s.depth - 1, 2**s.depth
+    size = np.array([len(a) for a, _ in own])
+    begin, at, takes = np.cumsum(size) - size, np.concatenate([a for a, _ in own]), np.concatenate([w for _, w in own])
+    weight_of, base = _starts(total.sum(0) - np.stack([w.sum(0) for _, w in own]), s, 2)
+    codes, first_of, whole = bins.T.astype(np.int64), np.arange(len(bins)) * p, total.sum(1)
+    flat, out, nothing = bins.ravel(), [np.zeros((n, 1)) for n in size], np.zeros(len(bins), np.int64)
+
+    def histograms(x: _Alike, features: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """2 x folds x nodes x features x bins. rows: of own rows of the folds, and whose (of)."""
+        n, nodes, scale = len(x.folds), 2**x.level, weight_of[x.folds]
+        hist = np.zeros((2, n, nodes, len(features), nb))
+        here, node = x.region[at[rows]], x.node[at[rows]]
+        mine = takes[rows] * scale[of]
+        slope = mine.sum(1) * x.slope[:, of, here]
+        slope[0] -= mine[:, 1]
+        for v in range(nodes):
+            cells = np.flatnonzero(x.node == v)
+            regions, place = _numbered(x.region[cells], x.margin.shape[1])
+            slopes_of = x.slope[:, :, regions].reshape(2 * n, -1)
+            for i, f in enumerate(features):
+                code = codes[f, cells]
+                for c in range(2) if s.balanced else (None,):
+                    weighs = np.bincount(place * nb + code, (whole if c is None else total[:, c])[cells], len(regions) * nb).reshape(-1, nb)
+                    hist[:, :, v, i] += (slopes_of @ weighs).reshape(2, n, nb) * (1.0 if c is None else scale[:, c, None])
+                hist[0, :, v, i] -= scale[:, 1, None] * np.bincount(code, total[cells, 1], nb)
+        for i, f in enumerate(features):
+            code = codes[f, at[rows]]
+            slot, shape = (of * nodes + node) * nb + code, (n, nodes, nb)
+            for k in range(2):
+                hist[k, :, :, i] -= np.bincount(slot, slope[k], n * nodes * nb).reshape(shape)
+            all_of = np.bincount(x.node * nb + codes[f], whole, nodes * nb).reshape(nodes, nb)
+            left = all_of - np.bincount(slot, takes[rows].sum(1), n * nodes * nb).reshape(shape)
+            hist[:, :, :, i][:, left <= 1e-12 * all_of] = 0.0  # no rows but its own: nothing, not what differences leave
+        return hist
+
+    def parted(x: _Alike) -> list[_Alike]:
+        """The folds by how they cut the nodes of x's level, most folds first."""
+        nodes, first = 2**x.level, 2**x.level - 1
+        rng = np.random.default_rng((s.seed, x.done))
+        features = np.sort(rng.choice(p, max(1, round(p * s.column_share)), replace=False)) if s.column_share < 1 else np.arange(p)
+        n = size[x.folds]
+        of = np.repeat(np.arange(len(n)), n)
+        rows = np.repeat(begin[x.folds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        gain, cut, null_left, gl, hl, all_g, all_h = (v.reshape(len(n), nodes, -1) for v in best_cuts(*histograms(x, features, rows, of).reshape(2, -1, nb), s))
+        if x.level == 0:
+            x.sums[:, 0] = np.stack((all_g[:, 0, -1], all_h[:, 0, -1]), 1)
+        gain = np.where((all_h > 0) & (gain > LEAST_GAIN), gain, -np.inf)
+        pick = gain.argmax(2)[:, :, None]
+        best = lambda a: np.take_along_axis(a, pick, 2)[:, :, 0]
+        is_cut = (best(gain) > -np.inf) & (np.repeat(x.cut, 2) if x.level else True)
+        mine, left, both = x.sums[:, first : first + nodes], np.stack((best(gl), best(hl)), 2), np.stack((best(all_g), best(all_h)), 2)
+        x.sums[:, 2 * first + 1 : 2 * first + 1 + 2 * nodes : 2] = np.where(is_cut[:, :, None], left, mine)
+        x.sums[:, 2 * first + 2 : 2 * first + 2 + 2 * nodes : 2] = np.where(is_cut[:, :, None], both - left, 0.0)
+        cuts = np.stack((np.where(is_cut, features[pick[:, :, 0]], -1), np.where(is_cut, best(cut), 0), is_cut & best(null_left)), 2)
+        kinds, which, many = np.unique(cuts.reshape(len(n), -1), axis=0, return_inverse=True, return_counts=True)
+        groups = [(kinds[k].reshape(nodes, 3), slice(None) if len(kinds) == 1 else np.flatnonzero(which.ravel() == k)) for k in np.argsort(-many)]
+        return [_Alike(x.folds[g], x.done, x.level, x.region, x.node, x.margin[g], x.slope[:, g], x.sums[g], k) for k, g in groups]
+
+    waiting = [_Alike(np.arange(len(own)), 0, 0, nothing, nothing, base[:, None])]
+    while waiting:
+        x = waiting.pop()  # few folds before many, so that not many states wait
+        if x.cuts is not None:
+            number, (feature, cut, null_left) = np.arange(nb), x.cuts.T
+            right = np.where(number == 0, null_left[:, None] == 0, number > cut[:, None]) & (feature >= 0)[:, None]
+            x.node = 2 * x.node + right[x.node, flat[first_of + np.maximum(feature, 0)[x.node]]]
+            x.level, x.cut, x.cuts = x.level + 1, feature >= 0, None
+        if x.level == s.depth:
+            ends = x.sums[:, inner:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = np.where(ends[:, :, 1] > 0, -s.rate * ends[:, :, 0] / (ends[:, :, 1] + s.ridge), 0.0)
+            known, x.region = _numbered(x.region * leaves + x.node, x.margin.shape[1] * leaves)
+            x.margin = x.margin[:, known // leaves] + value[:, known % leaves]
+            x.done, x.level, x.node = x.done + 1, 0, nothing
+        if x.level == 0:
+            if x.done == s.rounds:
+                for j, m in zip(x.folds, x.margin, strict=True):
+                    out[j][:, 0] = 1 / (1 + np.exp(-np.clip(m[x.region[at[begin[j] : begin[j] + size[j]]]], -500, 500)))
+                continue
+            half = len(x.folds) // 2
+            if half and len(x.folds) * max(x.margin.shape[1], leaves // 2 * p * nb) > AT_ONCE:
+                waiting += [_Alike(x.folds[g], x.done, 0, x.region, nothing, x.margin[g].copy()) for g in (slice(half, None), slice(half))]
+                continue
+            q = 1 / (1 + np.exp(-np.clip(x.margin, -500, 500)))
+            x.slope, x.sums = np.stack((q, np.maximum(q * (1 - q), 1e-16))), np.zeros((len(x.folds), 2 * inner + 1, 2))
+        waiting += parted(x)
+    return out
+
+
 def _probabilities(bins: np.ndarray, weights: np.ndarray, mass: np.ndarray, s: Boosting, classes: int) -> np.ndarray:
     """folds x rows x probabilities: models of some folds at the distinct rows that they are fitted on. weights: folds x rows x classes."""
     weight_of, base = _starts(mass, s, classes)
