@@ -62,3 +62,16 @@ def test_infinite_samples_are_counted(spark):
 def test_subjects_in_both_splits(spark):
     df = spark.createDataFrame([(1, "train"), (1, "validation"), (2, "train"), (3, "validation"), (3, "validation")], "subject int, split string")
     assert {r.subject: r.n_splits for r in inventory.split_membership(df).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_ranks_of_many_means(spark):
+    """Beyond 10,000 values a group's quantiles are approximate, and need not come out the same where a plan computes them twice."""
+    rows = spark.range(0, 60_000, 1, 4).select(F.expr("id div 3").alias("subject"), F.expr("array('A', 'B', 'C')[id % 3]").alias("class"), F.xxhash64("id").alias("h"))
+    means = rows.groupBy("subject", "class").agg(F.avg(F.col("h") % 100_003).alias("a"), F.avg(F.col("h") % 7919).alias("b")).unpivot(["subject", "class"], ["a", "b"], "feature", "value")
+    got = {r.feature: r for r in stats.battery(means, ("A", "B", "C")).collect()}
+    for feature, g in means.toPandas().groupby("feature"):
+        of = {k: np.sort(v.to_numpy()) for k, v in g.groupby("class")["value"]}
+        for x, y in ("AB", "AC", "BC"):
+            u = (np.searchsorted(of[y], of[x], "left") + np.searchsorted(of[y], of[x], "right")).sum() / 2
+            assert got[feature][f"u_{x}_{y}"] == u
+        assert got[feature].kruskal_h >= 0

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import stored
+
 from . import blocks
 
 
@@ -55,7 +57,7 @@ def running_totals(df: DataFrame, order: str, sums: list[str], buckets: int = 64
     Rows are cut into ranges by approximate quantiles, which need not be right, only much the same size: totals run over
     the ranges, then within each, so no task sorts all rows.
     """
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("__cuts"))
+    cuts = stored(df.agg(F.percentile_approx(order, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("__cuts")), "cuts")  # the same for both branches below
     rows = df.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda c: c < F.col(order)))).drop("__cuts")  # one row
     every, above = Window.partitionBy(), Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sums])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import special
 from tidewell.functions.columns import ratio, settled
+from tidewell.sources.shared import stored
 
 FEATURE = ["feature"]
 
@@ -22,6 +23,7 @@ def ranked_counts(df: DataFrame, by: list[str], value: str, others: list[str] |
     counts = counts.withColumn("__one", F.lit(1))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 1000).alias("__cuts"))
     rows = counts.join(cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    rows = stored(rows, "ranges")  # else both branches below cut anew, and neither the cuts nor values that are means need come out the same
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = rows.groupBy(*keys, "__b").agg(F.sum("n").alias("__n")).withColumn("__before", before).drop("__n")
     here = Window.partitionBy(*keys, "__b")
