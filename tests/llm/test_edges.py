@@ -394,6 +394,13 @@ def test_simhash_survivors_without_unique_ids(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter(set(rows[:8]))
 
 
+def test_simhash_replicas_are_not_broadcast(spark):
+    """A hundred replicas of a fingerprint are sized as one: few enough fingerprints to be broadcast have too many replicas for it."""
+    found = simhash.links(spark.range(500).select(F.xxhash64("id").alias("fp")).repartition(2, "fp"))
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_are_complete(spark):
     import numpy as np
 

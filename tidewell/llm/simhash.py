@@ -136,7 +136,8 @@ def links(fps: DataFrame, t: int = 2) -> DataFrame:
     home = fps.mapInPandas(replicate(0), "anchor long, fp long").withColumnRenamed("fp", "u")
     near = fps.mapInPandas(replicate(t), "anchor long, fp long").withColumnRenamed("fp", "v")
     close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= t)
-    return home.join(near, "anchor").filter(close).select("u", "v")
+    # Spark sizes near by its fingerprints, as if each were there once, and would broadcast it beside 10 MB of them.
+    return home.join(near.hint("merge"), "anchor").filter(close).select("u", "v")
 
 
 def group(rows: DataFrame, t: int = 2) -> DataFrame:
