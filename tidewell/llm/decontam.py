@@ -108,7 +108,8 @@ def decontaminate(
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("__tw_found"))
     found = materialize(found, "candidates").withColumnRenamed("doc_id", "__tw_id")
 
-    rows = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__tw_id")), "left")
+    # Never broadcast: as Parquet, lists of candidates take far less than in the driver's memory.
+    rows = docs.join(found.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__tw_id")), "left")
     kind = rows.schema["__tw_found"].dataType
     all_words = item_words(F.col(f"`{text_col}`"))
     verdict = F.when(

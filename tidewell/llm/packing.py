@@ -151,7 +151,8 @@ def pack(
     earlier = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("n_tokens", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     own = Window.partitionBy("n_tokens", "bucket").orderBy("row", "piece")
-    ranked = pieces.join(first, ["n_tokens", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(own) - 1)
+    # Never broadcast: Spark sizes pieces as one for each document.
+    ranked = pieces.hint("merge").join(first, ["n_tokens", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(own) - 1)
     plan = docs.sparkSession.sparkContext.broadcast(make_plan(hist, sizes, cost))
     schema = f"doc_id {id_type}, piece int, piece_start long, n_tokens long, bin_id long, bin_offset long, bin_capacity long, bin_used long"
     return ranked.select("doc_id", "piece", "piece_start", "n_tokens", "rank").mapInPandas(_assign(plan), schema)
