@@ -41,3 +41,14 @@ def test_equal_separabilities_tie(spark, odd):
     """Whatever the order of the rows that they come from: copies of a subject have one rank."""
     out = registry.QUERIES["responder_scores"](spark, odd).selectExpr("subject % 1000 AS s", "sep_rank").distinct()
     assert out.count() == out.select("s").distinct().count()
+
+
+def test_scalars_of_odd_values(spark, sf, tmp_path):
+    """At and below -1, at infinity, NaN and null, as its SQL has them."""
+    odd = "[-1, -2.5, 'nan'::DOUBLE, 'inf'::DOUBLE, -0.0, NULL, 0.5, 300]"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({odd}[event_id % 8 + 1] AS value) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = registry.QUERIES["scalar_math"](spark, str(tmp_path)).collect()
+    want = con.execute(f"SELECT {', '.join(got[0].asDict())} FROM ({registry.SQL['scalar_math']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

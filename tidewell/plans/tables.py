@@ -51,7 +51,7 @@ greatest(50, least(150, bvp_value)) AS cl, 1 / (1 + exp(-(bvp_value - 200) / 100
 def scalar_math(spark, d):
     v = F.col("bvp_value")
     return segments(spark, d).select(
-        "segment_id", c.ieee_log(v).alias("l"), F.log1p(v).alias("l1"), c.ieee_log(v, 10).alias("l10"), F.exp(-v / 100).alias("e"), F.sqrt(v).alias("s"), F.abs(v - 200).alias("a"), F.signum(v - 200).alias("g"),
+        "segment_id", c.ieee_log(v).alias("l"), c.ieee_log(v + 1).alias("l1"), c.ieee_log(v, 10).alias("l10"), F.exp(-v / 100).alias("e"), F.sqrt(v).alias("s"), F.abs(v - 200).alias("a"), F.when(F.isnan(v), 0.0).otherwise(F.signum(v - 200)).alias("g"),
         c.clip(v, 50.0, 150.0).alias("cl"), c.sigmoid((v - 200) / 100).alias("sg"), c.ratio(v, F.col("eda_k"), 0.0).alias("q"),
     )
 
